@@ -6,7 +6,9 @@ import importlib
 
 #: query -> module of this subpackage that defines a function of that name
 _WHERE = {
+    "op2_bpe_lexicon": "bpe_lexicon",
     "op4_language_id": "language_id",
+    "op9_best_fit_packing": "packing",
     "op10_quality_rules": "quality_bands",
 }
 
