@@ -8,6 +8,7 @@ import importlib
 _WHERE = {
     "op2_bpe_lexicon": "bpe_lexicon",
     "op4_language_id": "language_id",
+    "op6_toxicity": "toxicity",
     "op9_best_fit_packing": "packing",
     "op10_quality_rules": "quality_bands",
 }
