@@ -43,18 +43,17 @@ def byte_starts(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _contractions(codes, kind, run_start, doc_of, skip_after_space: bool):
+def _contractions(codes, kind, run_start, opens, skip_after_space: bool):
     """Apostrophes that open 's 't 're 've 'm 'll 'd, and how many letters follow in each."""
     n = len(codes)
     at = np.flatnonzero((codes == 39) & run_start)
     at = at[at + 1 < n]
-    at = at[(kind[at + 1] == LETTER) & (doc_of[at] == doc_of[at + 1])]
+    at = at[(kind[at + 1] == LETTER) & ~opens[at + 1]]
     if skip_after_space and len(at):
-        before = np.maximum(at - 1, 0)
-        at = at[~((codes[before] == 32) & (before < at) & (doc_of[before] == doc_of[at]))]
+        at = at[(at == 0) | opens[at] | (codes[at - 1] != 32)]
     one = codes[at + 1]
     end = np.minimum(at + 2, n - 1)
-    two = np.where((end == at + 2) & (doc_of[end] == doc_of[at]), codes[end], 0)
+    two = np.where((end == at + 2) & ~opens[end], codes[end], 0)
     single = np.isin(one, [ord(c) for c in "stmd"])
     double = ((two == ord("e")) & np.isin(one, [ord("r"), ord("v")])) | ((one == ord("l")) & (two == ord("l")))
     letters = np.where(single, 1, np.where(double, 2, 0))
@@ -62,20 +61,20 @@ def _contractions(codes, kind, run_start, doc_of, skip_after_space: bool):
 
 
 def _runs(codes: np.ndarray, doc_starts: np.ndarray):
+    """Class of each code point, whether a run of one class starts there, whether a document does."""
     kind = classes()[codes]
-    run_start = np.zeros(len(codes), dtype=bool)
-    run_start[1:] = kind[1:] != kind[:-1]
-    run_start[doc_starts[doc_starts < len(codes)]] = True
-    doc_of = np.searchsorted(doc_starts, np.arange(len(codes)), side="right")
-    return kind, run_start, doc_of
+    opens = np.zeros(len(codes), dtype=bool)
+    opens[doc_starts[doc_starts < len(codes)]] = True
+    run_start = opens.copy()
+    run_start[1:] |= kind[1:] != kind[:-1]
+    return kind, run_start, opens
 
 
-def _open_after(starts, run_start, at, letters):
+def _open_after(starts, at, letters):
     """A contraction is one word; letters that follow it open another."""
     starts[at + 1] = False
     after = at + 1 + letters
-    after = after[after < len(starts)]
-    starts[after] = True
+    starts[after[after < len(starts)]] = True
 
 
 def split_bytelevel(codes: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
@@ -83,14 +82,14 @@ def split_bytelevel(codes: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
     n = len(codes)
     if not n:
         return np.zeros(0, np.int64)
-    kind, run_start, doc_of = _runs(codes, doc_starts)
+    kind, run_start, opens = _runs(codes, doc_starts)
     starts = run_start.copy()
     # the last white space before a word: alone, or (a plain space) part of that word
-    last = np.flatnonzero((kind[:-1] == SPACE) & (kind[1:] != SPACE) & (doc_of[:-1] == doc_of[1:]))
+    last = np.flatnonzero((kind[:-1] == SPACE) & (kind[1:] != SPACE) & ~opens[1:])
     starts[last] = True
     starts[last[codes[last] == 32] + 1] = False
-    at, letters = _contractions(codes, kind, run_start, doc_of, True)
-    _open_after(starts, run_start, at, letters)
+    at, letters = _contractions(codes, kind, run_start, opens, True)
+    _open_after(starts, at, letters)
     return np.flatnonzero(starts)
 
 
@@ -99,10 +98,10 @@ def split_words(codes: np.ndarray, doc_starts: np.ndarray) -> tuple[np.ndarray,
     n = len(codes)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    kind, run_start, doc_of = _runs(codes, doc_starts)
+    kind, run_start, opens = _runs(codes, doc_starts)
     starts = run_start | (kind == DIGIT)
-    at, letters = _contractions(codes, kind, run_start, doc_of, False)
-    _open_after(starts, run_start, at, letters)
+    at, letters = _contractions(codes, kind, run_start, opens, False)
+    _open_after(starts, at, letters)
     first = np.flatnonzero(starts)
     end = np.append(first[1:], n)
     keep = kind[first] != SPACE
