@@ -31,7 +31,7 @@ from .merges import Merges
 #: Bound of the lexicon, and so of its file.
 LEXICON_WORDS = 1 << 15
 #: Bytes of text whose words are made distinct together.
-CHUNK = 12 << 20
+CHUNK = 4 << 20
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
