@@ -6,6 +6,7 @@ import importlib
 
 #: query -> module of this subpackage that defines a function of that name
 _WHERE = {
+    "op1_pii_sanitisation": "pii",
     "op2_bpe_lexicon": "bpe_lexicon",
     "op4_language_id": "language_id",
     "op6_toxicity": "toxicity",
