@@ -10,6 +10,7 @@ _WHERE = {
     "op2_bpe_lexicon": "bpe_lexicon",
     "op4_language_id": "language_id",
     "op6_toxicity": "toxicity",
+    "op7_ngram_jaccard_join": "ngram_join",
     "op8_context_tree_scoring": "ctw",
     "op9_best_fit_packing": "packing",
     "op10_quality_rules": "quality_bands",
