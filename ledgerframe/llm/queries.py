@@ -9,6 +9,7 @@ _WHERE = {
     "op1_pii_sanitisation": "pii",
     "op2_bpe_lexicon": "bpe_lexicon",
     "op4_language_id": "language_id",
+    "op5_substring_dedup": "substring",
     "op6_toxicity": "toxicity",
     "op7_ngram_jaccard_join": "ngram_join",
     "op8_context_tree_scoring": "ctw",
