@@ -106,6 +106,18 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str],
     return langs, np.log(total / total.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
+def predict_chunk(texts: list[str], langs: list[str], matrix: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Language and probability of each text."""
+    bucket, doc, has = features(texts)
+    if not langs:
+        return [UNDETERMINED] * len(texts), np.zeros(len(texts))
+    n = np.bincount(doc, minlength=len(texts))
+    logs = np.stack([np.bincount(doc, weights=row[bucket], minlength=len(texts)) for row in matrix], axis=1)
+    scaled = (logs - logs.max(axis=1, keepdims=True)) * np.minimum(1.0, EVIDENCE / np.maximum(n, 1))[:, None]
+    p = np.where(has, 1.0 / np.exp(scaled).sum(axis=1), 0.0)
+    return [langs[b] if ok else UNDETERMINED for b, ok in zip(logs.argmax(axis=1).tolist(), has.tolist())], p
+
+
 def score(docs: DataFrame, langs: list[str], matrix: np.ndarray) -> DataFrame:
     """doc_id, lang_pred and score (posterior probability under at most EVIDENCE n-grams)."""
     model = docs.sparkSession.sparkContext.broadcast(matrix)
@@ -113,17 +125,7 @@ def score(docs: DataFrame, langs: list[str], matrix: np.ndarray) -> DataFrame:
     def predict(batches):
         for batch in batches:
             for lo, hi, texts in _texts(batch.column(1)):
-                bucket, doc, has = features(texts)
-                n = np.bincount(doc, minlength=len(texts))
-                if langs:
-                    logs = np.stack([np.bincount(doc, weights=row[bucket], minlength=len(texts)) for row in model.value], axis=1)
-                    best = logs.argmax(axis=1)
-                    scaled = (logs - logs.max(axis=1, keepdims=True)) * np.minimum(1.0, EVIDENCE / np.maximum(n, 1))[:, None]
-                    p = 1.0 / np.exp(scaled).sum(axis=1)
-                    names = [langs[b] if ok else UNDETERMINED for b, ok in zip(best.tolist(), has.tolist())]
-                    p = np.where(has, p, 0.0)
-                else:
-                    names, p = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+                names, p = predict_chunk(texts, langs, model.value)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(names, pa.string()), pa.array(p)], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(predict, "doc_id long, lang_pred string, score double")
@@ -142,3 +144,23 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:
     return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: A document stays if a language is found with this probability at least.
+MIN_SCORE = 0.4
+
+
+def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """The rows of docs, all columns, whose language is determined with `min_score` or more."""
+    langs, matrix = train(docs.where(~held_out()), per_language)
+    model = docs.sparkSession.sparkContext.broadcast(matrix)
+    place = docs.columns.index("text")
+
+    def choose(batches):
+        for batch in batches:
+            for lo, hi, texts in _texts(batch.column(place)):
+                name, p = predict_chunk(texts, langs, model.value)
+                known = np.array([x != UNDETERMINED for x in name], dtype=bool)
+                yield batch.slice(lo, hi - lo).filter(pa.array(known & (p >= min_score)))
+
+    return docs.mapInArrow(choose, docs.schema)

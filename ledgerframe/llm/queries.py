@@ -8,6 +8,7 @@ import importlib
 _WHERE = {
     "op1_pii_sanitisation": "pii",
     "op2_bpe_lexicon": "bpe_lexicon",
+    "op3_embedding_near_dedup": "embed_dedup",
     "op4_language_id": "language_id",
     "op5_substring_dedup": "substring",
     "op6_toxicity": "toxicity",
