@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import pieces, textops as T
 from .merges import Merges
+from .workspace import most_frequent, store
 
 #: Bound of the lexicon, and so of its file.
 LEXICON_WORDS = 1 << 15
@@ -184,8 +185,8 @@ class Coder:
 def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS) -> list[str]:
     """The words of letters that occur most often in all texts (twice at least), at most `most`."""
     words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(r"(\p{L}+)"), 1)).alias("word"))
-    top = words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(most)
-    return [r["word"] for r in top.collect()]
+    counted = words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
+    return most_frequent(store(counted, "words"), most).select("word").toArrow()["word"].to_pylist()
 
 
 def compile_lexicon(words: list[str], path: str) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,3 +22,19 @@ def store(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def most_frequent(counts: DataFrame, most: int, n: str = "n") -> DataFrame:
+    """The rows with the largest counts, at most `most`; rows whose counts are about equal come together or not at all.
+
+    The cut is found on a histogram of the counts (a row for each step of about 2 %), so no sort and no top list
+    of each partition goes through one task or the driver.
+    """
+    step = F.floor(F.log2(F.col(n)) * 32).cast("int")
+    left, cut = most, None
+    for row in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).collect(), key=lambda r: -r["step"]):
+        left -= row["rows"]
+        if left < 0:
+            break
+        cut = row["step"]
+    return counts.where(F.lit(False) if cut is None else step >= cut)
