@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import textops as T
 from .graph import components
-from .workspace import store
+from .workspace import most_frequent, store
 
 WORDS = 5
 #: Similarity as a ratio of whole numbers: 100 * intersection >= 75 * union.
@@ -103,7 +103,7 @@ def long_shingles(docs: DataFrame, most: int = LONG_SHINGLES) -> tuple[np.ndarra
         yield pa.RecordBatch.from_arrays([pa.array(keys[ok]), pa.array(n[ok])], names=["shingle", "n"])
 
     found = docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = found.orderBy(F.desc("n"), "shingle").limit(most).toArrow()
+    top = most_frequent(store(found, "long"), most).toArrow()
     order = np.argsort(top["shingle"].to_numpy())
     return top["shingle"].to_numpy()[order], top["n"].to_numpy()[order]
 
