@@ -3,7 +3,7 @@
 Base findings: e-mail addresses, IPv4 addresses, card numbers (Luhn) and phone
 numbers, by one pattern each, leftmost and without overlap within a kind.
 
-The corpus says how strongly a term (a run of letters, lower-cased) reveals that
+The corpus says how strongly a term (a run of three letters or more, lower-cased) reveals that
 a document holds a protected entity: with document counts over the whole corpus,
 PMI(term; kind) = log2 p(kind | term) / p(kind), against the information
 IC(kind) = -log2 p(kind) that knowing it gives away. A term whose PMI / IC reaches
@@ -24,6 +24,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .workspace import store
+
 #: The patterns, written so that the engine never tries a start or a repetition twice: same matches, linear time.
 #: A start inside a run is only tried right after a match.
 KINDS = ("email", "ip", "card", "phone")
@@ -40,7 +42,7 @@ HINTS = {
     "card": lambda text: text.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"),
     "phone": lambda text: text.contains("+"),
 }
-TERM = r"(\p{L}++)"
+TERM = r"(\p{L}{3,}+)"
 #: Documents that a term must occur in before its counts are believed.
 MIN_DOCUMENTS = 20
 GENERALISE_AT = 0.7
@@ -81,13 +83,19 @@ def valid(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
-def offsets(sizes: Column) -> Column:
-    """Sum of the entries before each entry, by blocks so that long arrays stay cheap."""
-    blocks = F.when(F.size(sizes) == 0, F.array().cast("array<long>")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / BLOCK).cast("int")), lambda b: F.aggregate(F.slice(sizes, b * BLOCK + 1, F.lit(BLOCK)), F.lit(0).cast("long"), lambda a, x: a + x))
+def before(values: Column, join) -> Column:
+    """For each entry, what the entries before it join to (from 0), by blocks so that long arrays stay cheap."""
+    zero = F.lit(0).cast("long")
+    block = lambda i: F.floor(i / BLOCK).cast("int")
+    blocks = F.when(F.size(values) == 0, F.array().cast("array<long>")).otherwise(
+        F.transform(F.sequence(F.lit(0), block(F.size(values) - 1)), lambda b: F.aggregate(F.slice(values, b * BLOCK + 1, F.lit(BLOCK)), zero, lambda a, x: join(a, x)))
     )
-    before = F.aggregate(blocks, F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-    return F.transform(sizes, lambda x, i: F.get(before, F.floor(i / BLOCK).cast("int")) + F.aggregate(F.slice(sizes, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK), F.lit(0).cast("long"), lambda a, y: a + y))
+    so_far = F.aggregate(blocks, F.array(zero), lambda a, x: F.concat(a, F.array(join(F.element_at(a, -1), x))))
+    return F.transform(values, lambda x, i: F.aggregate(F.slice(values, block(i) * BLOCK + 1, i % BLOCK), F.get(so_far, block(i)), lambda a, y: join(a, y)))
+
+
+def offsets(sizes: Column) -> Column:
+    return before(sizes, lambda a, x: a + x)
 
 
 def locate(df: DataFrame, name: str, text: Column, pattern: Column, when: Column) -> DataFrame:
@@ -146,7 +154,7 @@ def find(docs: DataFrame) -> DataFrame:
 
 def with_terms(docs: DataFrame) -> DataFrame:
     """All columns of docs, plus _spans (base) and _terms (spans of disclosing terms)."""
-    found = find(docs)
+    found = store(find(docs), "pii")  # the patterns run once; what follows reads the columns it needs
     flat = found.select(F.col("_text").alias("text"), *[F.col(f"_has_{k}").alias(f"has_{k}") for k in KINDS])
     telling = disclosing_terms(flat)
     none = F.array().cast(_SPAN)
@@ -163,7 +171,8 @@ def with_terms(docs: DataFrame) -> DataFrame:
     names = F.array_sort(F.map_keys("_actions"))
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(names, "|"), F.lit(r")(?!\p{L})"))
     held = locate(held.withColumn("_pattern", pattern), "_hits", F.col("_text"), F.col("_pattern"), F.col("_actions").isNotNull())
-    spans = F.transform("_hits", lambda h: span(F.coalesce(F.try_element_at("_actions", F.lower(h["match"])), F.lit("generalise")), h))
+    known = F.filter("_hits", lambda h: F.map_contains_key("_actions", F.lower(h["match"])))
+    spans = F.transform(known, lambda h: span(F.try_element_at("_actions", F.lower(h["match"])), h))
     inside = F.filter(spans, lambda t: ~F.exists("_spans", lambda s: (t["start"] < s["stop"]) & (s["start"] < t["stop"])))
     held = held.withColumn("_terms", F.when(F.col("_actions").isNull(), none).otherwise(inside)).drop("_key", "_actions", "_pattern", "_hits")
     return clean.unionByName(held)
@@ -178,12 +187,12 @@ def sanitise(docs: DataFrame) -> DataFrame:
     found = with_terms(docs)
     spans = F.array_sort(F.transform(F.concat("_spans", "_terms"), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
     # reach: how far the spans before each one extend (overlapping spans are masked once)
-    reach = F.transform(spans, lambda s, i: F.coalesce(F.array_max(F.transform(F.slice(spans, F.greatest(i - BLOCK, F.lit(0)) + 1, F.least(i, F.lit(BLOCK))), lambda x: x["stop"])), F.lit(0).cast("long")))
     mark = lambda s: F.when(s["kind"].startswith("remove-"), "").when(s["kind"].startswith("generalise-"), F.concat(F.lit("["), F.substring_index(s["kind"], "-", -1), F.lit("]"))).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
     cut = lambda a, b: F.substring(F.col("_text"), (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
-    parts = F.zip_with(spans, reach, lambda s, r: F.concat(cut(r, s["start"]), F.when(s["start"] >= r, mark(s)).otherwise("")))
+    parts = F.zip_with("_all", "_reach", lambda s, r: F.concat(cut(r, s["start"]), F.when(s["start"] >= r, mark(s)).otherwise("")))
     last = F.array_max(F.transform("_all", lambda s: s["stop"]))
     found = found.withColumn("_all", spans)
+    found = found.withColumn("_reach", before(F.transform("_all", lambda s: s["stop"]), F.greatest))
     text = F.when(F.size("_all") == 0, F.col("text")).otherwise(F.concat(F.array_join(parts, ""), cut(last, F.length("_text").cast("long"))))
     return found.withColumn("text", text).select(*docs.columns)
 
