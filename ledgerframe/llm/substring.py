@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textops as T
+from .workspace import store
 
 WINDOW = 20
 SEED = 8
@@ -127,7 +128,7 @@ def windows_of(joined: DataFrame) -> DataFrame:
                 own, position, run = _items(lists[lo:hi])
                 starts, ends, first = T.words(buf, offs)
                 total = prefix_sums(T.span_hashes(buf, starts, ends))
-                own, start, length = _checked(total, first, own, position, run)
+                own, start, length = _checked(total, first, own, position, None)  # any real window may be compared
                 doc = np.repeat(own, length)
                 at = np.repeat(start, length) + np.arange(len(doc)) - np.repeat(np.cumsum(length) - length, length)
                 window = content(total, at, np.full(len(at), WINDOW))
@@ -144,10 +145,13 @@ def _items(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _checked(total, first, own, position, run):
-    """Entries whose words are really there: row, first word in the chunk, windows."""
+    """Entries that fit the text, and whose words are those of the run: row, first word in the chunk, windows."""
     start, length = first[own] + (position >> 7), (position >> 1) & MOST
     fits = start + length + WINDOW - 1 <= first[own + 1]
-    own, start, length, run = own[fits], start[fits], length[fits], run[fits]
+    own, start, length = own[fits], start[fits], length[fits]
+    if run is None:
+        return own, start, length
+    run = run[fits]
     same = content(total, start, length + WINDOW - 1) == run
     return own[same], start[same], length[same]
 
@@ -157,7 +161,7 @@ def _by_document(entries: DataFrame) -> DataFrame:
 
 
 def _with_text(docs: DataFrame, entries: DataFrame, how: str) -> DataFrame:
-    """Documents with the entries listed for them; both uses deal the texts out alike, so Spark does it once."""
+    """Documents with the entries listed for them."""
     return docs.alias("d").join(_by_document(entries).alias("e"), F.expr("d.doc <=> e.own"), how)
 
 
@@ -166,15 +170,16 @@ def repeats(docs: DataFrame) -> DataFrame:
     found = found_runs(docs)
     seen = F.array_sort(F.collect_list(F.struct("doc", "position"))).alias("seen")  # one entry for each task at most
     by_run = found.where("not repeated").select("anchor", "run", "doc", "position").repartition("run").groupBy("run").agg(F.min("anchor").alias("anchor"), seen)
-    first = F.element_at("seen", 1)
-    later = by_run.where("size(seen) > 1").select("run", first.alias("first"), F.explode("seen").alias("s")).where("s <> first").select("s.doc", "s.position", "run")
+    by_run = store(by_run.select("run", "anchor", F.element_at("seen", 1).alias("first"), F.when(F.size("seen") > 1, F.slice("seen", F.lit(2), F.size("seen") - 1)).alias("others")), "runs")
+    later = by_run.select("run", "first", F.explode("others").alias("s")).where("s <> first").select("s.doc", "s.position", "run")
     here = found.where("repeated").select("doc", "position", "run")
-    firsts = by_run.select("anchor", "run", first.alias("s")).select("anchor", "run", "s.doc", "s.position")
+    firsts = by_run.select("anchor", "first.doc", "first.position")
     ends = firsts.groupBy("anchor").agg(F.count("*").alias("n"), F.max(F.col("position").bitwiseAND(F.lit(1))).alias("again")).where("n > 1 or again = 1").select("anchor")
-    single = windows_of(_with_text(docs, firsts.join(ends, "anchor", "left_semi").select("doc", "position", "run"), "inner").select("d.doc", "d.text", "e.items"))
+    edges = store(firsts.join(ends, "anchor", "left_semi").select("doc", "position"), "run-ends")
+    single = store(windows_of(_with_text(docs, edges.withColumn("run", F.lit(None).cast("long")), "inner").select("d.doc", "d.text", "e.items")), "windows")
     least = single.groupBy("window").agg(F.min(F.struct("doc", "position")).alias("first"), F.count("*").alias("n")).where("n > 1")
     inside = single.join(least, "window").where("struct(doc, position) <> first").select("doc", "position", F.col("window").alias("run"))
-    return here.union(later).union(inside)
+    return store(here.union(later).union(inside), "repeats")
 
 
 def apply(docs: DataFrame, make, schema: str) -> DataFrame:

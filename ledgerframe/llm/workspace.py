@@ -21,9 +21,16 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: later steps start from files that all executors see."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files that no plan refers to any more: its cleaner acts when the JVM collects garbage."""
+    if hasattr(spark, "_jvm"):
+        spark._jvm.System.gc()
+
+
 def most_frequent(counts: DataFrame, most: int, n: str = "n") -> DataFrame:
     """The rows with the largest counts, at most `most`; rows whose counts are about equal come together or not at all.
 
