@@ -42,6 +42,7 @@ LONG_SHINGLES = 1 << 18
 #: Lists up to this length give all their pairs.
 ALL_PAIRS = 24
 SALTS = 64
+NO_ID = -(1 << 63)
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,36 +165,52 @@ def pair(x: str, y: str) -> list:
 
 
 def verified(docs: DataFrame, named: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs of digests whose whole sets link. named: digest, doc_id of one document of each class."""
-    pairs = store(pairs.distinct(), "pairs")
-    need = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct().join(named, "digest").select("doc_id", "digest")
+    """The pairs of digests whose whole sets link. named: digest, doc of one document of each class.
 
-    wanted = docs.alias("d").join(need.select(F.col("doc_id").alias("id"), F.col("digest").alias("_want")), F.expr("d.doc_id <=> id")).select("_want", "d.text")
+    One text of each pair travels to the other; sets are made of both where they meet.
+    """
+    x, y = named.select(F.col("digest").alias("a"), F.col("doc").alias("doc_a")), named.select(F.col("digest").alias("b"), F.col("doc").alias("doc_b"))
+    pairs = store(pairs.distinct().join(x, "a").join(y, "b"), "pairs")
+    texts = docs.select("doc", "text")
+    half = pairs.join(texts.select(F.col("doc").alias("doc_b"), F.col("text").alias("text_b")), "doc_b")
+    both = half.join(texts.select(F.col("doc").alias("doc_a"), F.col("text").alias("text_a")), "doc_a").select("a", "b", "text_a", "text_b")
 
-    def checked(batches):
-        # rows of one doc_id with different texts: only the text of the digest asked for counts
+    def decide(batches):
         for batch in batches:
-            want = batch.column(0).to_numpy()
-            for lo, hi, buf, offs in T.documents(batch.column(1)):
-                h, bounds = shingle_sets(buf, offs)
-                own = digests(h, bounds)
-                items = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(h))
-                ok = pa.array(own == want[lo:hi])
-                yield pa.RecordBatch.from_arrays([pa.array(own), items], names=["digest", "items"]).filter(ok)
-
-    held = wanted.mapInArrow(checked, "digest long, items array<long>").dropDuplicates(["digest"])
-    held = store(held, "sets")
-    both = pairs.join(held.select(F.col("digest").alias("a"), F.col("items").alias("x")), "a").join(held.select(F.col("digest").alias("b"), F.col("items").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared * 100 >= (F.size("x") + F.size("y") - shared) * PERCENT).select("a", "b")
+            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            # a leader's text comes with many pairs: equal ones are cut into shingles once
+            known = {d: np.zeros(0, np.int64) for d in (*a.tolist(), *b.tolist())}
+            for want, column in ((a, batch.column(2)), (b, batch.column(3))):
+                once = np.sort(np.unique(np.stack([want, _text_keys(column)]), axis=1, return_index=True)[1])
+                for lo, hi, buf, offs in T.documents(column.take(pa.array(once, pa.int64()))):
+                    h, bounds = shingle_sets(buf, offs)
+                    for i, d in enumerate(digests(h, bounds).tolist()):
+                        # rows that share a doc_id with another text do not have the digest asked for
+                        if d == want[once[lo + i]]:
+                            known[d] = h[bounds[i] : bounds[i + 1]]
+            ok = np.zeros(len(a), dtype=bool)
+            for i, (p, q) in enumerate(zip(a.tolist(), b.tolist())):
+                s, t = known[p], known[q]
+                if len(s) and len(t):
+                    shared = len(np.intersect1d(s, t, assume_unique=True))
+                    ok[i] = 100 * shared >= PERCENT * (len(s) + len(t) - shared)
+            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
+
+    return both.mapInArrow(decide, "a long, b long").distinct()
+
+
+def _text_keys(column: pa.Array) -> np.ndarray:
+    """Hash of each whole text."""
+    keys = [T.span_hashes(buf, offs[:-1], offs[1:]).view(np.int64) for _, _, buf, offs in T.documents(column)]
+    return np.concatenate(keys) if keys else np.zeros(0, np.int64)
 
 
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n_shingles, digest) and links between digests (a, b) enough for all components."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"))
     spark = docs.sparkSession
     rows = store(classes(docs), "classes")
-    named = rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    named = rows.where("n_shingles > 0").groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("doc"))
     long_lists = spark.sparkContext.broadcast(long_shingles(docs))
     entries = prefixes(docs, long_lists)
     # one exchange: a list (or one salt of a long list) meets in one place
