@@ -6,13 +6,14 @@ Vectors of one label link when their cosine (double precision) is 0.98 or more.
 2. First graph: every label is cut into blocks of bounded size by random
    hyperplanes (as many planes as the label needs), a few times over; inside a
    block each node finds its nearest ones.
-3. NN-descent: a node's neighbours (both ways) meet at that node and are compared
-   with each other; each keeps its best. Nodes whose list is full of links are
-   saturated: their list doubles before the next round, so that every linked
-   neighbour fits in the end. Rounds go on until hardly any list changes.
-4. Edges at the threshold stay; linked neighbours' lists are closed under one
-   more exchange. Recall is audited against brute force for a bounded sample of
-   nodes, each compared with all nodes of its label in blocks.
+3. NN-descent: a node's neighbours (a draw of them, both ways) meet at that node
+   and are compared with each other; each keeps its best. Rounds go on until they
+   find no new link, or hardly any list changes.
+4. Edges at the threshold stay and make components. A node whose list is full of
+   links is saturated: its list is enlarged to its whole component, compared block
+   by block, of which only the number of links leaves a task, never the pairs.
+5. Recall can be audited against brute force for a bounded sample of nodes, each
+   compared with all nodes of its label in blocks (`audit`).
 
 Defined results: rows with a null label or vector, a zero vector, or components
 that are null or not finite link with nothing. Vectors of different lengths are
@@ -35,11 +36,14 @@ NEIGHBOURS = 12
 #: Nodes of a block are all compared with each other.
 BLOCK = 256
 TREES = 3
-MOST_ROUNDS = 12
+MOST_ROUNDS = 8
+#: Neighbours of a node, both ways, that meet there in one round.
+MEETING = 24
+#: Nodes whose meetings one task call holds.
+CALL = 256
 #: A round that changes a smaller share of the lists is the last one.
 SETTLED = 0.002
 AUDITED = 256
-SALTS = 16
 
 
 def unit_rows(vectors: DataFrame) -> DataFrame:
@@ -72,33 +76,21 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float64).reshape(len(column), -1)
 
 
-def best(node: np.ndarray, other: np.ndarray, sim: np.ndarray, k: np.ndarray):
-    """The k[i] best others of each node (k by entry), each once."""
-    order = np.lexsort((other, -sim, node))
-    node, other, sim, k = node[order], other[order], sim[order], k[order]
-    _, once = np.unique(np.stack([node, other]), axis=1, return_index=True)
-    once.sort()
-    node, other, sim, k = node[once], other[once], sim[once], k[once]
-    begin = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else np.zeros(0, np.int64)
-    rank = np.arange(len(node)) - np.repeat(begin, np.diff(np.append(begin, len(node))))
-    keep = rank < k
-    return node[keep], other[keep], sim[keep]
-
-
 def within(ids: np.ndarray, x: np.ndarray, k: int):
-    """Edges from each row of a block to its k nearest ones, and to all that link with it."""
-    sim = x @ x.T
-    np.fill_diagonal(sim, -2.0)
+    """Edges from each row of a block to its k nearest ones, and to the first one that links with it."""
     n = len(ids)
     if n < 2:
         none = np.zeros(0)
         return none.astype(np.int64), none.astype(np.int64), none
+    sim = x @ x.T
+    np.fill_diagonal(sim, -2.0)
     take = min(k, n - 1)
     near = np.argpartition(-sim, take - 1, axis=1)[:, :take]
-    rows = np.repeat(np.arange(n), take)
     mask = np.zeros((n, n), dtype=bool)
-    mask[rows, near.ravel()] = True
-    mask |= sim >= THRESHOLD
+    mask[np.repeat(np.arange(n), take), near.ravel()] = True
+    linked = sim >= THRESHOLD
+    some = np.flatnonzero(linked.any(axis=1))
+    mask[some, linked[some].argmax(axis=1)] = True
     i, j = np.nonzero(mask)
     return ids[i], ids[j], sim[i, j]
 
@@ -148,57 +140,75 @@ def first_graph(nodes: DataFrame, sizes: dict[int, int], k: int) -> DataFrame:
     return out
 
 
-def keep_best(edges: DataFrame, lists: DataFrame | None, k: int) -> DataFrame:
-    """Each node's best neighbours: k, or as many as its list has room for."""
-    ranked = edges.dropDuplicates(["node", "other"])
-    room = F.lit(k)
-    if lists is not None:
-        ranked = ranked.join(lists, "node", "left")
-        room = F.coalesce("room", room)
+def keep_best(edges: DataFrame, k: int) -> DataFrame:
+    """Each node's k best neighbours."""
     nr = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("sim"), "other"))
-    return ranked.withColumn("nr", nr).where(F.col("nr") <= room).select("node", "other", "sim")
+    return edges.dropDuplicates(["node", "other"]).withColumn("nr", nr).where(F.col("nr") <= k).select("node", "other", "sim")
 
 
-def local_join(nodes: DataFrame, graph: DataFrame) -> DataFrame:
+def local_join(nodes: DataFrame, graph: DataFrame, total: int, nth: int) -> DataFrame:
     """Neighbours of every node, both ways, compared with each other: edges better than what either end has."""
-    both = graph.select("node", "other", "sim").union(graph.select("other", "node", "sim")).toDF("at", "node", "sim").dropDuplicates(["at", "node"])
-    worst = graph.groupBy("node").agg(F.min("sim").alias("worst"), F.count("*").alias("held"))
-    # a node with very many neighbours is dealt into parts that overlap in pairs: parts p and q meet once
-    degree = both.groupBy("at").agg(F.count("*").alias("degree"))
-    parts = F.ceil(F.col("degree") / BLOCK).cast("int")
-    dealt = both.join(degree, "at").withColumn("parts", parts).withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("at", "node", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"))
+    both = graph.select("node", "other").union(graph.select("other", "node")).toDF("at", "node").distinct()
+    drawn = F.row_number().over(Window.partitionBy("at").orderBy(F.xxhash64("node", F.lit(nth)), "node"))
+    both = both.withColumn("nr", drawn).where(F.col("nr") <= MEETING).select("at", "node")
+    worst = graph.groupBy("node").agg(F.min("sim").alias("worst"))
     info = nodes.join(worst, "node", "left").select("node", "unit", F.coalesce("worst", F.lit(-2.0)).alias("worst"))
-    filled = dealt.join(info, "node")
+    calls = max(1, total // CALL)
+    filled = both.join(info, "node").withColumn("call", F.pmod(F.xxhash64("at"), F.lit(calls)))
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, least, x = table["node"].to_numpy(), table["worst"].to_numpy(), matrix(table["unit"].combine_chunks())
-        sim = x @ x.T
-        np.fill_diagonal(sim, -2.0)
-        i, j = np.nonzero((sim > least[:, None]) | (sim >= THRESHOLD))
-        return pa.Table.from_batches([_edges(ids[i], ids[j], sim[i, j])])
-
-    return filled.groupBy("at", "lo", "hi").applyInArrow(compare, EDGE)
-
-
-def descend(nodes: DataFrame, sizes: dict[int, int], k: int = NEIGHBOURS, most_rounds: int = MOST_ROUNDS) -> DataFrame:
-    """The neighbour graph: node, other, sim."""
-    graph = store(keep_best(first_graph(nodes, sizes, k), None, k), "graph")
-    lists = None
+        at, ids, least, x = table["at"].to_numpy(), table["node"].to_numpy(), table["worst"].to_numpy(), table["unit"].combine_chunks().to_pylist()
+        order = np.argsort(at, kind="stable")
+        cuts = np.flatnonzero(np.append(True, at[order][1:] != at[order][:-1])) if len(at) else np.zeros(0, np.int64)
+        out = []
+        for own in np.split(order, cuts[1:]):
+            v = np.frombuffer(b"".join([x[i] for i in own]), dtype=np.float64).reshape(len(own), -1)
+            sim = v @ v.T
+            np.fill_diagonal(sim, -2.0)
+            i, j = np.nonzero(sim > least[own][:, None])
+            out.append((ids[own[i]], ids[own[j]], sim[i, j]))
+        if not out:
+            return pa.Table.from_batches([_edges([], [], [])])
+        node, other, sim = (np.concatenate(c) for c in zip(*out))
+        _, once = np.unique(np.stack([node, other]), axis=1, return_index=True)
+        return pa.Table.from_batches([_edges(node[once], other[once], sim[once])])
+
+    return filled.groupBy("call").applyInArrow(compare, EDGE)
+
+
+def descend(nodes: DataFrame, sizes: dict[int, int], k: int = NEIGHBOURS, most_rounds: int = MOST_ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """The neighbour graph (node, other, sim), and the links seen in the first blocks."""
+    first = store(first_graph(nodes, sizes, k), "blocks")
+    graph = store(keep_best(first, k), "graph")
     total = sum(sizes.values())
-    for _ in range(most_rounds):
-        # saturated: the list is full and its worst neighbour still links
-        fill = graph.groupBy("node").agg(F.count("*").alias("held"), F.min("sim").alias("worst"))
-        held = fill if lists is None else fill.join(lists, "node", "left")
-        room = F.lit(k) if lists is None else F.coalesce("room", F.lit(k))
-        lists = store(held.withColumn("has", room).select("node", F.when((F.col("held") >= F.col("has")) & (F.col("worst") >= THRESHOLD), F.col("has") * 2).otherwise(F.col("has")).alias("room")), "rooms")
-        grown = store(keep_best(graph.union(local_join(nodes, graph)), lists, k), "graph")
-        changed = grown.join(graph, ["node", "other"], "left_anti").count()
+    for nth in range(most_rounds):
+        grown = store(keep_best(graph.union(local_join(nodes, graph, total, nth)), k), "graph")
+        new = grown.join(graph, ["node", "other"], "left_anti").agg(F.count("*"), F.sum((F.col("sim") >= THRESHOLD).cast("long"))).first()
         graph = grown
-        if changed <= SETTLED * total * k:
+        if not new[1] or new[0] <= SETTLED * total * k:
             break
-    return graph
+    return graph, first.where(F.col("sim") >= THRESHOLD)
+
+
+def enlarged(members: DataFrame) -> DataFrame:
+    """node, near (copies of all nodes it links with) for every node of whole components.
+
+    members: component, node, unit, copies. Parts of bounded size meet in pairs; a task returns counts only.
+    """
+    size = members.groupBy("component").agg(F.count("*").alias("m"))
+    rows = members.join(size, "component").withColumn("parts", F.ceil(F.col("m") / (2 * BLOCK)).cast("int"))
+    rows = rows.withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("component", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), "p", "node", "unit", "copies")
+
+    def count(table: pa.Table) -> pa.Table:
+        ids, part, copies, x = table["node"].to_numpy(), table["p"].to_numpy(), table["copies"].to_numpy(), matrix(table["unit"].combine_chunks())
+        linked = x @ x.T >= THRESHOLD
+        np.fill_diagonal(linked, False)
+        if table["lo"][0].as_py() != table["hi"][0].as_py():
+            linked &= part[:, None] != part[None, :]  # pairs inside a part are counted where it meets itself
+        return pa.table({"node": ids, "near": linked @ copies})
+
+    return rows.groupBy("component", "lo", "hi").applyInArrow(count, "node long, near long").groupBy("node").agg(F.sum("near").alias("near"))
 
 
 def audit(nodes: DataFrame, links: DataFrame, sample: int = AUDITED) -> tuple[int, int]:
@@ -231,14 +241,20 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     good = rows.where("space is not null")
     nodes = store(good.groupBy("space", "unit").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")).withColumn("node", F.xxhash64("space", "unit")), "nodes")
     sizes = {r["space"]: r["n"] for r in nodes.groupBy("space").agg(F.count("*").alias("n")).collect()}
-    graph = descend(nodes, sizes) if sizes else None
-    if graph is None:
+    if not sizes:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    half = graph.where(F.col("sim") >= THRESHOLD).select("node", "other")
+    graph, seen = descend(nodes, sizes)
+    half = graph.where(F.col("sim") >= THRESHOLD).union(seen).select("node", "other")
     links = store(half.union(half.select("other", "node")).distinct(), "links")
+    comp = store(components(links.where("node > other").select(F.col("node").alias("a"), F.col("other").alias("b"))), "components")
+    # saturated: a list full of links
+    full = graph.groupBy("node").agg(F.count("*").alias("held"), F.min("sim").alias("worst")).where((F.col("held") >= NEIGHBOURS) & (F.col("worst") >= THRESHOLD))
+    large = comp.join(full, "node", "left_semi").select("component").distinct()
+    members = comp.join(large, "component", "left_semi").join(nodes.select("node", "unit", "copies"), "node")
+    counted = store(enlarged(members), "enlarged")
     copies = nodes.select(F.col("node").alias("other"), "copies")
-    degree = links.join(copies, "other").groupBy("node").agg(F.sum("copies").alias("near"))
-    comp = components(links.where("node > other").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    listed = links.join(counted, "node", "left_anti").join(copies, "other").groupBy("node").agg(F.sum("copies").alias("near"))
+    degree = listed.union(counted.select("node", "near"))
     named = nodes.join(degree, "node", "left").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(smallest, "component").select("node", (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
