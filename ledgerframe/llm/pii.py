@@ -154,7 +154,8 @@ def find(docs: DataFrame) -> DataFrame:
 
 def with_terms(docs: DataFrame) -> DataFrame:
     """All columns of docs, plus _spans (base) and _terms (spans of disclosing terms)."""
-    found = store(find(docs), "pii")  # the patterns run once; what follows reads the columns it needs
+    # the patterns run once; what follows reads the columns it needs
+    found = store(find(docs).drop("_text"), "pii").withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     flat = found.select(F.col("_text").alias("text"), *[F.col(f"_has_{k}").alias(f"has_{k}") for k in KINDS])
     telling = disclosing_terms(flat)
     none = F.array().cast(_SPAN)
