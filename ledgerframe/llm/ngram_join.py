@@ -13,8 +13,9 @@ only with documents that share T = ceil(0.75 n) of them or more.
    each document one pair, with a leader; whatever is not connected by then is
    paired in a second round, between different components only. So all links
    that components depend on are found, without all pairs of a large group.
-4. A pair stands if the size and position of the shared shingle allow T, and is
-   then decided by intersecting the two whole sets.
+4. A pair stands if the size and position of the shared shingle allow T and
+   bitmaps of both sets do not rule it out; it is then decided by intersecting the
+   two whole sets.
 
 Defined results: null and empty texts, and texts without words, have no shingles
 and link with nothing. Texts of fewer than five words are one shingle. Equal
@@ -42,6 +43,8 @@ LONG_SHINGLES = 1 << 18
 #: Lists up to this length give all their pairs.
 ALL_PAIRS = 24
 SALTS = 64
+#: Bits that stand for a set before whole texts are compared.
+BITS = 4096
 NO_ID = -(1 << 63)
 
 
@@ -109,16 +112,41 @@ def long_shingles(docs: DataFrame, most: int = LONG_SHINGLES) -> tuple[np.ndarra
     return top["shingle"].to_numpy()[order], top["n"].to_numpy()[order]
 
 
+def bitmaps(h: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """BITS bits for each set, one for each value that the low bits of its shingles take."""
+    out: list[bytes] = []
+    for lo in range(0, len(bounds) - 1, 1024):
+        hi = min(len(bounds) - 1, lo + 1024)
+        flags = np.zeros((hi - lo, BITS), dtype=bool)
+        part = slice(bounds[lo], bounds[hi])
+        flags[np.repeat(np.arange(hi - lo), np.diff(bounds[lo : hi + 1])), h[part] & (BITS - 1)] = True
+        out += [x.tobytes() for x in np.packbits(flags, axis=1)]
+    return out
+
+
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest of every row."""
+    """doc_id, n_shingles, digest, bits of every row."""
 
     def describe(batches):
         for batch in batches:
             for lo, hi, buf, offs in T.documents(batch.column(1)):
                 h, bounds = shingle_sets(buf, offs)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(np.diff(bounds)), pa.array(digests(h, bounds))], names=["doc_id", "n_shingles", "digest"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(np.diff(bounds)), pa.array(digests(h, bounds)), pa.array(bitmaps(h, bounds), pa.binary())], names=["doc_id", "n_shingles", "digest", "bits"])
+
+    return docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, n_shingles long, digest long, bits binary")
 
-    return docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, n_shingles long, digest long")
+
+def close_enough(batches):
+    """Pairs (a, b, doc_a, doc_b) whose bitmaps do not rule a link out.
+
+    Every bit that differs is a shingle that only one set has, and a linked pair has at most (n_a + n_b) / 7 of these.
+    """
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for i in (6, 7))
+        differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        n = batch.column(4).to_numpy() + batch.column(5).to_numpy()
+        # difference d = n - 2 i, and 100 i >= 75 (i + d)
+        yield batch.select([0, 1, 2, 3]).filter(pa.array(differ * (100 + PERCENT) <= n * (100 - PERCENT)))
 
 
 def prefixes(docs: DataFrame, long_lists) -> DataFrame:
@@ -165,12 +193,13 @@ def pair(x: str, y: str) -> list:
 
 
 def verified(docs: DataFrame, named: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs of digests whose whole sets link. named: digest, doc of one document of each class.
+    """The pairs of digests whose whole sets link. named: digest, doc, n, bits of one document of each class.
 
     One text of each pair travels to the other; sets are made of both where they meet.
     """
-    x, y = named.select(F.col("digest").alias("a"), F.col("doc").alias("doc_a")), named.select(F.col("digest").alias("b"), F.col("doc").alias("doc_b"))
-    pairs = store(pairs.distinct().join(x, "a").join(y, "b"), "pairs")
+    x, y = (named.select(F.col("digest").alias(c), F.col("doc").alias(f"doc_{c}"), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
+    both = pairs.distinct().join(x, "a").join(y, "b").select("a", "b", "doc_a", "doc_b", "n_a", "n_b", "bits_a", "bits_b")
+    pairs = store(both.mapInArrow(close_enough, "a long, b long, doc_a long, doc_b long"), "pairs")
     texts = docs.select("doc", "text")
     half = pairs.join(texts.select(F.col("doc").alias("doc_b"), F.col("text").alias("text_b")), "doc_b")
     both = half.join(texts.select(F.col("doc").alias("doc_a"), F.col("text").alias("text_a")), "doc_a").select("a", "b", "text_a", "text_b")
@@ -210,7 +239,7 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"))
     spark = docs.sparkSession
     rows = store(classes(docs), "classes")
-    named = rows.where("n_shingles > 0").groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("doc"))
+    named = rows.where("n_shingles > 0").groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("doc"), F.min("n_shingles").alias("n"), F.min("bits").alias("bits"))
     long_lists = spark.sparkContext.broadcast(long_shingles(docs))
     entries = prefixes(docs, long_lists)
     # one exchange: a list (or one salt of a long list) meets in one place
