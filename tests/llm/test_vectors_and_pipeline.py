@@ -93,3 +93,32 @@ def test_pipeline(spark):
         before = after
     packed = C.pack_sequences(spark, docs, sf).toPandas()
     assert set(packed.doc_id) == set(before) and packed.groupby("sequence_id").length.sum().max() <= 1024
+
+
+def turned(rng, centre, cosine, n, noise):
+    """n unit vectors about one that has the given cosine with centre."""
+    side = rng.standard_normal(len(centre))
+    side -= (side @ centre) * centre
+    at = cosine * centre + np.sqrt(1 - cosine**2) * side / np.linalg.norm(side)
+    x = at + noise * rng.standard_normal((n, len(centre)))
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def test_tight_clusters_of_full_lists_join(spark, monkeypatch):
+    """Two clusters of 20, inside over 0.999, across 0.98 to 0.99, often in no common block: one component, all links."""
+    monkeypatch.setattr(embed_dedup, "TREES", 1)
+    monkeypatch.setattr(embed_dedup, "BLOCK", 32)
+    rng = np.random.default_rng(11)
+    parts = [rng.standard_normal((500, 32))]
+    for _ in range(16):
+        centre = rng.standard_normal(32)
+        centre /= np.linalg.norm(centre)
+        parts += [turned(rng, centre, 1.0, 20, 0.001), turned(rng, centre, 0.985, 20, 0.001)]
+    x = np.concatenate(parts)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    linked = x @ x.T >= 0.98
+    np.fill_diagonal(linked, False)
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in embed_dedup.near_duplicates(table).collect()}
+    assert [got[i]["n_links"] for i in range(len(x))] == linked.sum(axis=1).tolist()
+    assert [got[i]["component_id"] for i in range(len(x))] == union(len(x), np.argwhere(np.triu(linked)).tolist())
