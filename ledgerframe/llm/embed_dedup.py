@@ -16,8 +16,8 @@ Vectors of one label link when their cosine (double precision) is 0.98 or more.
 5. Saturated nodes (lists full of links) see nothing beyond their own cluster.
    They are searched again for neighbours outside their component, with new
    hyperplanes, until that joins no more components.
-6. Recall can be audited against brute force for a bounded sample of nodes, each
-   compared with all nodes of its label in blocks (`audit`).
+6. Recall is audited against brute force for a bounded sample of nodes, each
+   compared with all nodes of its label in blocks; while it is short, trees are added.
 7. Links are counted by comparing components as a whole, block by block, of which
    only the number of links leaves a task, never the pairs.
 
@@ -49,6 +49,8 @@ CALL = 256
 #: Draws without a change after which a node with more neighbours than that is settled.
 DRAWS = 3
 AUDITED = 256
+#: Share of the links of the audited nodes that must be found.
+RECALL = 0.99
 
 
 def unit_rows(vectors: DataFrame) -> DataFrame:
@@ -310,6 +312,14 @@ def audit(nodes: DataFrame, links: DataFrame, sample: int = AUDITED) -> tuple[in
     return found.count(), true.count()
 
 
+def audit_components(nodes: DataFrame, comp: DataFrame, sample: int = AUDITED, seed: int = 7) -> tuple[int, int]:
+    """Links of a bounded sample of nodes: how many lie inside a component, and how many there are."""
+    name = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+    true = true_links(nodes, sample, seed).join(name("node"), "node", "left").join(name("other"), "other", "left")
+    found, every = true.agg(F.coalesce(F.sum((F.col("node_in") == F.col("other_in")).cast("long")), F.lit(0)), F.count("*")).first()
+    return found, every
+
+
 def near_duplicates(vectors: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
     rows = store(unit_rows(vectors), "units")
@@ -319,7 +329,14 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     if not sizes:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     graph, links = descend(nodes, sizes)
-    links, comp, _ = connect(nodes, graph, links, TREES)
+    tree = TREES
+    while True:
+        links, comp, tree = connect(nodes, graph, links, tree)
+        found, every = audit_components(nodes, comp, seed=tree)
+        if found >= RECALL * every:
+            break
+        graph, more = descend(nodes, sizes, first_tree=tree, start=graph)
+        links, tree = links.union(more), tree + TREES
     links = links.select("node", "other")
     links = store(links.union(links.select("other", "node")).distinct(), "links")
     # pairs are what their one link says; larger components are compared as a whole

@@ -122,3 +122,21 @@ def test_tight_clusters_of_full_lists_join(spark, monkeypatch):
     got = {r["vec_id"]: r for r in embed_dedup.near_duplicates(table).collect()}
     assert [got[i]["n_links"] for i in range(len(x))] == linked.sum(axis=1).tolist()
     assert [got[i]["component_id"] for i in range(len(x))] == union(len(x), np.argwhere(np.triu(linked)).tolist())
+
+
+def test_short_recall_is_searched_again(spark, monkeypatch):
+    """The first search finds nothing: the audit inside the query notices, and the result is whole all the same."""
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal((60, 16))
+    x = np.concatenate([base, base + 0.01 * rng.standard_normal((60, 16))])
+    search, calls = embed_dedup.descend, []
+
+    def first_finds_nothing(*args, **options):
+        graph, links = search(*args, **options)
+        calls.append(1)
+        return (graph, links) if len(calls) > 1 else (graph.where("sim < 0.98"), links.where("false"))
+
+    monkeypatch.setattr(embed_dedup, "descend", first_finds_nothing)
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["component_id"] for r in embed_dedup.near_duplicates(table).collect()}
+    assert got == {i: i % 60 for i in range(120)}
