@@ -5,8 +5,10 @@ toxic but of low quality, 2 toxic. P(grade > k) = sigmoid(w.x - t_k) with one we
 vector for all thresholds t_0 <= t_1; the output is the expected severity.
 Features are the distinct lower-cased words of a text, hashed.
 
-The model is fitted on a bounded sample of labelled rows (`PER_CLASS` toxic and
-as many other documents expected, whole texts); every document is scored.
+Which words tell is judged by their counts over the distinct texts of all labelled
+rows. The weights start at the log-odds of these counts and are fitted on a bounded
+sample of labelled rows (`PER_CLASS` toxic and as many other documents expected,
+whole texts); words that are not in the sample keep them. Every document is scored.
 
 Defined results: a null or empty text has no features, severity is that of the
 thresholds alone. Documents with conflicting label rows count once per row.
@@ -28,9 +30,8 @@ BUCKETS = 1 << 18
 #: Bound of the training sample: expected documents of each class.
 PER_CLASS = 3000
 GRADES = 3
-#: Words carry weight only if their share of toxic and of other documents differs by this much and by so many
-#: standard errors: labels are noisy, and rarer words would only memorise that noise.
-MIN_DIFFERENCE = 0.05
+#: Words carry weight only if their share of toxic and of other documents differs by so many standard errors:
+#: labels are noisy, and other words would only memorise that noise.
 MIN_ERRORS = 5.0
 RIDGE = 1e-5
 
@@ -60,27 +61,30 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1.0 + np.tanh(0.5 * x))
 
 
-def telling(index: np.ndarray, toxic_entry: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Buckets whose words differ enough between toxic and other documents."""
-    n = max(1, toxic.sum()), max(1, (~toxic).sum())
-    hits = np.bincount(index[toxic_entry], minlength=BUCKETS), np.bincount(index[~toxic_entry], minlength=BUCKETS)
-    gap = np.abs(hits[0] / n[0] - hits[1] / n[1])
-    pooled = (hits[0] + hits[1]) / (n[0] + n[1])
-    error = np.sqrt(pooled * (1 - pooled) * (1 / n[0] + 1 / n[1]))
-    return (gap >= MIN_DIFFERENCE) & (gap >= MIN_ERRORS * error)
+def telling(hits: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets whose words differ significantly between toxic and other documents, and the log-odds of all buckets.
 
+    hits: documents with each bucket, of others and toxic ones (2 rows); n: documents of either.
+    """
+    n = np.maximum(1, n)
+    gap = np.abs(hits[1] / n[1] - hits[0] / n[0])
+    pooled = hits.sum(axis=0) / n.sum()
+    error = np.sqrt(pooled * (1 - pooled) * (1 / n).sum())
+    return (gap > 0) & (gap >= MIN_ERRORS * error), np.log((hits[1] + 0.5) / (n[1] + 1)) - np.log((hits[0] + 0.5) / (n[0] + 1))
 
-def fit(index: np.ndarray, bounds: np.ndarray, grade: np.ndarray, rounds: int = 1500, rate: float = 0.05, ridge: float = RIDGE) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ascending thresholds by Adam on the cumulative-link likelihood, classes weighing the same."""
+
+def fit(index: np.ndarray, bounds: np.ndarray, grade: np.ndarray, use: np.ndarray, odds: np.ndarray, rounds: int = 1500, rate: float = 0.05, ridge: float = RIDGE) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the buckets in use and ascending thresholds by Adam on the cumulative-link likelihood, classes weighing
+    the same; ridge pulls weights to the log-odds of all labelled rows."""
     toxic = grade == GRADES - 1
     owner = np.repeat(np.arange(len(grade)), np.diff(bounds))
-    use = telling(index, toxic[owner], toxic)
     keep = use[index]
     columns, index = np.unique(index[keep], return_inverse=True)
     owner = owner[keep]
     bounds = np.searchsorted(owner, np.arange(len(grade) + 1))
     weight = np.where(toxic, 0.5 / max(1, toxic.sum()), 0.5 / max(1, (~toxic).sum()))
-    w, t = np.zeros(len(columns)), np.array([0.0, np.log(4.0)])  # first threshold and log of the step to the next
+    prior = odds[columns]
+    w, t = prior.copy(), np.array([0.0, np.log(4.0)])  # first threshold and log of the step to the next
     m, v = np.zeros(len(w) + 2), np.zeros(len(w) + 2)
     for i in range(1, rounds + 1):
         s = sums(w[index], bounds)
@@ -93,15 +97,39 @@ def fit(index: np.ndarray, bounds: np.ndarray, grade: np.ndarray, rounds: int =
         up, down = d[rows, grade] / like, d[rows, grade + 1] / like
         g_s = weight * (down - up)
         g_cut = np.array([(weight * (up * (grade == k + 1) - down * (grade == k))).sum() for k in range(GRADES - 1)])
-        g = np.concatenate([np.bincount(index, weights=g_s[owner], minlength=len(w)) + ridge * w, [g_cut.sum(), g_cut[1] * np.exp(t[1])]])
+        g = np.concatenate([np.bincount(index, weights=g_s[owner], minlength=len(w)) + ridge * (w - prior), [g_cut.sum(), g_cut[1] * np.exp(t[1])]])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.999**i)) + 1e-8)
         w, t = w - step[:-2], t - step[-2:]
-    full = np.zeros(BUCKETS)
+    full = np.where(use, odds, 0.0)
     full[columns] = w
     return full, np.array([t[0], t[0] + np.exp(t[1])])
 
 
+def word_counts(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct labelled texts with each bucket, and their number, of others and toxic ones; a row a bucket leaves Spark."""
+    rows = labels.select(F.col("doc_id").cast("long"), (F.col("toxic").cast("int") != 0).cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(rows, "doc_id").select("text", "toxic").distinct()
+
+    def count(batches):
+        hits = np.zeros((2, BUCKETS + 1), dtype=np.int64)  # the last one counts texts
+        for batch in batches:
+            for lo, hi, buf, offs in T.documents(batch.column(0)):
+                toxic = batch.column(1)[lo:hi].to_numpy()
+                index, bounds = features(buf, offs)
+                of = np.repeat(toxic, np.diff(bounds))
+                for k in (0, 1):
+                    hits[k, :-1] += np.bincount(index[of == k], minlength=BUCKETS)
+                    hits[k, -1] += (toxic == k).sum()
+        at = np.flatnonzero(hits.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(hits[0, at]), pa.array(hits[1, at])], names=["bucket", "other", "toxic"])
+
+    found = texts.mapInArrow(count, "bucket long, other long, toxic long").groupBy("bucket").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).toArrow()
+    hits = np.zeros((2, BUCKETS + 1))
+    hits[:, found["bucket"].to_numpy()] = found["other"].to_numpy(), found["toxic"].to_numpy()
+    return hits[:, :-1], hits[:, -1]
+
+
 def labelled(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """Distinct text and grade of the bounded sample; only the sampled labels are broadcast."""
     rows = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"), F.col("quality").cast("int")).where("doc_id is not null and toxic is not null")
@@ -127,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     if not len(grade):
         return np.zeros(BUCKETS), np.full(GRADES - 1, np.inf)
     bounds = np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
-    return fit(lists.flatten().to_numpy().astype(np.int64), bounds.astype(np.int64), grade.astype(np.int64))
+    return fit(lists.flatten().to_numpy().astype(np.int64), bounds.astype(np.int64), grade.astype(np.int64), *telling(*word_counts(docs, labels)))
 
 
 def score(docs: DataFrame, weights: np.ndarray, cuts: np.ndarray, threshold: float = 0.5) -> DataFrame:

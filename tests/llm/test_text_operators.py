@@ -175,6 +175,18 @@ def test_toxicity(spark):
     assert toxicity.score(docs, *none).agg(F.max("severity")).first()[0] == 0
 
 
+def test_toxicity_by_many_rare_words(spark):
+    """Forty insults, each in 2.5 % of the toxic documents and in no other; half of the labelled rows are in the sample."""
+    rnd = random.Random(5)
+    words = [f"w{a}{b}" for a in "abcdefghij" for b in "abcdefghij"]
+    insults = [f"vile{a}{b}" for a in "abcd" for b in "abcdefghij"]
+    texts = [" ".join(rnd.choice(words) for _ in range(12)) + (" " + insults[i // 2 % 40] if i % 2 else "") for i in range(5000)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(4800)], "doc_id long, quality int, toxic int")
+    docs = table(spark, texts)
+    got = {r["doc_id"]: r["toxic"] for r in toxicity.score(docs, *toxicity.train(docs, labels, 1200)).collect()}
+    assert all(got[i] == (i % 2 == 1) for i in range(4800, 5000))
+
+
 # --- 5 ------------------------------------------------------------------------------------------------------------
 
 
