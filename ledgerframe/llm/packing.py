@@ -51,8 +51,8 @@ class ByteEncoder:
     """
 
     SPECIAL = b"<|endoftext|>"
-    #: Bytes of text whose words are made distinct together.
-    CHUNK = 12 << 20
+    #: Bytes of text whose words are made distinct together; a longer document is cut between words.
+    CHUNK = 2 << 20
 
     def __init__(self, path: str):
         self.path = path
@@ -70,6 +70,13 @@ class ByteEncoder:
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids (little-endian unsigned 32-bit) and each document's place in them (one entry more)."""
+        if len(offsets) == 2 and len(buf) > self.CHUNK and self.SPECIAL not in buf.tobytes():
+            cuts = safe_cuts(buf, self.CHUNK)
+            ids = np.concatenate([self._encode(buf[a:b], np.array([0, b - a]))[0] for a, b in zip(cuts, cuts[1:])])
+            return ids, np.array([0, len(ids)])
+        return self._encode(buf, offsets)
+
+    def _encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw = buf.tobytes()
         texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets, offsets[1:])]
         codes = pieces_of.code_points("".join(texts))
@@ -89,6 +96,21 @@ class ByteEncoder:
         return ids, bounds
 
 
+def safe_cuts(buf: np.ndarray, limit: int) -> list[int]:
+    """Places that cut one text into parts of about `limit` bytes: before a space between two ASCII letters, where a word always ends."""
+    letter = (buf | 32 >= 97) & (buf | 32 <= 122)
+    ok = np.flatnonzero((buf[1:-1] == 32) & letter[:-2] & letter[2:]) + 1
+    cuts = [0]
+    while cuts[-1] + limit < len(buf):
+        at = np.searchsorted(ok, cuts[-1] + limit, side="right") - 1
+        if at < 0 or ok[at] <= cuts[-1]:
+            at += 1  # no such place within the limit: the next one
+        if at >= len(ok):
+            break
+        cuts.append(int(ok[at]))
+    return [*cuts, len(buf)]
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece of at most `capacity` tokens."""
 
@@ -134,35 +156,31 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
             continue
         use((longest, gap))
         for exact in (pairs, triples):
-            while have[longest]:
-                before = int(have[longest])
-                for rest in exact(have, gap, longest):
-                    use((longest, *rest))
-                    if not have[longest]:
-                        break
-                if int(have[longest]) == before:
+            for rest in exact(have, gap, longest):
+                use((longest, *rest))
+                if not have[longest]:
                     break
+            if not have[longest]:
+                break
     return done + best_fit(have, capacity)
 
 
 def pairs(have: np.ndarray, gap: int, longest: int):
-    """Available (a, b) with a >= b and a + b = gap."""
-    a = np.arange((gap + 1) // 2, gap)
-    a = a[(a <= longest) & (have[a] > 0) & (have[gap - a] > 0)]
-    return [(int(x), int(gap - x)) for x in a[::-1]]
+    """(a, b) with a >= b and a + b = gap that are available when they come up; what is used up meanwhile is left out."""
+    a = np.arange((gap + 1) // 2, min(gap - 1, longest) + 1)
+    for x in a[(have[a] > 0) & (have[gap - a] > 0)][::-1].tolist():
+        if have[x] and have[gap - x]:
+            yield x, gap - x
 
 
 def triples(have: np.ndarray, gap: int, longest: int):
-    """Available (a, b, c) with a >= b >= c and a + b + c = gap, for each a the longest b."""
-    out = []
+    """(a, b, c) with a >= b >= c and a + b + c = gap, in the same way: all b for every a."""
     for a in range(min(longest, gap - 2), (gap - 1) // 3, -1):
         if have[a]:
-            rest = gap - a
-            b = np.arange((rest + 1) // 2, min(a, rest - 1) + 1)
-            b = b[(have[b] > 0) & (have[rest - b] > 0)]
-            if len(b):
-                out.append((a, int(b[-1]), int(rest - b[-1])))
-    return out
+            for b, c in pairs(have, gap - a, a):
+                yield a, b, c
+                if not have[a]:
+                    break
 
 
 def best_fit(have: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:

@@ -313,6 +313,30 @@ def test_byte_encoder_equals_library():
             assert ids[a:b].tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def test_long_document_in_parts(monkeypatch):
+    """Documents over the chunk size are cut before spaces and give the same ids; also where no such place exists."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing.ByteEncoder, "CHUNK", 64)
+    library, coder = Tokenizer.from_file(packing.tokenizer_path()), packing.ByteEncoder(packing.tokenizer_path())
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choice([*PIECES, " the", " a b", " it's"]) for _ in range(200)) for _ in range(60)] + ["x" * 300, "a b " * 90, "  a  b" * 40, "é " * 90]
+    for t in texts:
+        raw = np.frombuffer(t.encode(), dtype=np.uint8)
+        ids, bounds = coder.encode(raw, np.array([0, len(raw)]))
+        assert ids.tolist() == library.encode(t, add_special_tokens=False).ids and bounds.tolist() == [0, len(ids)]
+
+
+@pytest.mark.parametrize("have,most", [({500: 3, 262: 5, 524: 1, 238: 1}, 4), ({424: 1, 300: 4}, 2), ({400: 2, 312: 1, 311: 2, 313: 1}, 2)])
+def test_triples_with_equal_lengths(have, most):
+    plan = packing.plan(have)
+    used = collections.Counter()
+    for lengths, times in plan:
+        for x in lengths:
+            used[x] += times
+    assert used == have and sum(t for _, t in plan) <= most
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
