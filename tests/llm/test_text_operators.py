@@ -175,6 +175,59 @@ def test_toxicity(spark):
     assert toxicity.score(docs, *none).agg(F.max("severity")).first()[0] == 0
 
 
+def test_toxicity_likelihood_by_brute_force():
+    """Likelihood against the definition, its gradient against differences, and the fit against small moves of every parameter."""
+    rng = np.random.default_rng(4)
+    s, grade, weight, cuts = rng.normal(size=40), rng.integers(0, 3, 40), rng.random(40), np.array([-0.3, 0.9])
+    above = lambda k, x, t: 1.0 if k == 0 else 0.0 if k == 3 else 1 / (1 + math.exp(t[k - 1] - x))
+    direct = lambda x, t: sum(w * math.log(above(g, v, t) - above(g + 1, v, t)) for v, g, w in zip(x, grade, weight))
+    assert toxicity.log_likelihood(s, cuts, grade, weight) == pytest.approx(direct(s, cuts), rel=1e-12)
+    by_s, by_cut = toxicity.gradient(s, cuts, grade, weight)
+    for i in range(40):
+        step = np.eye(40)[i] * 1e-6
+        assert -by_s[i] == pytest.approx((direct(s + step, cuts) - direct(s - step, cuts)) / 2e-6, rel=1e-4, abs=1e-7)
+    for k in range(2):
+        step = np.eye(2)[k] * 1e-6
+        assert -by_cut[k] == pytest.approx((direct(s, cuts + step) - direct(s, cuts - step)) / 2e-6, rel=1e-4, abs=1e-7)
+
+
+def test_toxicity_fit_is_a_maximum():
+    rng = np.random.default_rng(6)
+    grade = np.repeat([0, 1, 2], 400)
+    lists = [[j for j in range(6) if rng.random() < 0.15 + 0.3 * g * (j < 3)] for g in grade]
+    index, bounds = np.array([j for x in lists for j in x]), np.append(0, np.cumsum([len(x) for x in lists]))
+    use, odds = toxicity.telling(index, bounds, grade)
+    assert use[:3].all() and not use[3:].any()
+    w, cuts = toxicity.fit(index, bounds, grade)
+
+    def value(w, cuts):
+        s = np.array([sum(w[j] for j in x) for x in lists])
+        return toxicity.log_likelihood(s, cuts, grade, np.full(1200, 1 / 1200)) - toxicity.RIDGE / 2 * ((w - odds)[:3] ** 2).sum()
+
+    best = value(w, cuts)
+    for i in range(5):
+        for d in (-0.05, 0.05):
+            moved_w, moved_c = w.copy(), cuts.copy()
+            (moved_w if i < 3 else moved_c)[i if i < 3 else i - 3] += d
+            assert value(moved_w, moved_c) < best
+
+
+def test_toxicity_grades_held_out(spark):
+    """Three grades: prose, prose with an insult, and repeated or symbol-laden junk; 8 % of the labels are wrong."""
+    rnd = random.Random(11)
+    words = [f"w{a}{b}" for a in "abcdefghij" for b in "abcdefghij"]
+    made = {0: lambda: " ".join(rnd.sample(words, 40)), 1: lambda: rnd.choice([" ".join([rnd.choice(words)] * 60), "# $ % & " * 20 + rnd.choice(words)]), 2: lambda: " ".join([*rnd.sample(words, 40), rnd.choice(["vile", "nasty"])])}
+    grade = [rnd.choice([0, 0, 0, 1, 2]) for _ in range(1500)]
+    told = [rnd.randint(0, 2) if rnd.random() < 0.08 else g for g in grade]
+    labels = spark.createDataFrame([(i, int(g != 1), int(g == 2)) for i, g in enumerate(told[:1000])] + [(1, None, 1), (1200, 0, None)], "doc_id long, quality int, toxic int")
+    docs = table(spark, [made[g]() for g in grade])
+    docs = docs.union(docs.where("doc_id = 1499"))
+    got = toxicity.score(docs, *toxicity.train(docs, labels)).where("doc_id >= 1000").collect()
+    right = [r["grade"] == grade[r["doc_id"]] for r in got]
+    assert len(got) == 501 and sum(right) / len(right) > 0.97
+    assert {r["grade"] for r in got} == {0, 1, 2} and all(r["toxic"] == (grade[r["doc_id"]] == 2) for r in got)
+
+
 def test_toxicity_by_many_rare_words(spark):
     """Forty insults, each in 2.5 % of the toxic documents and in no other; half of the labelled rows are in the sample."""
     rnd = random.Random(5)
