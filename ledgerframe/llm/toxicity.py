@@ -35,7 +35,8 @@ WIDTH = BUCKETS + 3 * STEPS
 PER_GRADE = 6000
 GRADES = 3
 #: Features carry weight only if their share of documents above and below a threshold differs by so many standard
-#: errors: labels are noisy, and other features would only memorise that noise.
+#: errors (root of the likelihood ratio, which holds for rare words too): labels are noisy, and other features would
+#: only memorise that noise.
 MIN_ERRORS = 5.0
 RIDGE = 1e-5
 
@@ -72,6 +73,13 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1.0 + np.tanh(0.5 * x))
 
 
+def _gain(above: np.ndarray, below: np.ndarray, n_above: float, n_below: float) -> np.ndarray:
+    """Log-likelihood that two shares instead of one pooled share explain these counts with."""
+    both = np.maximum(above + below, 1e-9) / (n_above + n_below)
+    part = lambda x, n: np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / (n * both)), 0.0)
+    return part(above, n_above) + part(below, n_below)
+
+
 def telling(index: np.ndarray, bounds: np.ndarray, grade: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Features whose share of documents differs significantly across a threshold, and the log-odds at the one that they tell most."""
     owner = np.repeat(grade, np.diff(bounds))
@@ -80,9 +88,7 @@ def telling(index: np.ndarray, bounds: np.ndarray, grade: np.ndarray) -> tuple[n
     best, odds = np.zeros(WIDTH), np.zeros(WIDTH)
     for k in range(1, GRADES):
         above, below, n_above, n_below = hits[k:].sum(axis=0), hits[:k].sum(axis=0), max(1.0, sizes[k:].sum()), max(1.0, sizes[:k].sum())
-        pooled = (above + below) / (n_above + n_below)
-        error = np.sqrt(pooled * (1 - pooled) * (1 / n_above + 1 / n_below))
-        z = np.divide(np.abs(above / n_above - below / n_below), error, out=np.zeros(WIDTH), where=error > 0)
+        z = np.sqrt(2 * np.maximum(0.0, _gain(above, below, n_above, n_below) + _gain(n_above - above, n_below - below, n_above, n_below)))
         own = np.log((above + 0.5) / (n_above + 1)) - np.log((below + 0.5) / (n_below + 1))
         best, odds = np.maximum(best, z), np.where(z > best, own, odds)
     # a word tells by its presence; that junk lacks the words of prose is left to the marks of style
