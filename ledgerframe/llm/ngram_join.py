@@ -1,21 +1,21 @@
 """N-gram Jaccard join (operator 7): documents whose 5-word shingle sets have Jaccard similarity >= 0.75.
 
-T-occurrence search in the manner of DivideSkip. A document with n shingles links
-only with documents that share T = ceil(0.75 n) of them or more.
+T-occurrence search with DivideSkip. A document with n shingles links only with
+documents that stand in T = ceil(0.75 n) of its n inverted lists, or more.
 
 1. Equal sets are one class (a digest); copies are never compared.
-2. The inverted lists of shingles are divided: lists found long (by counts over
-   all documents) go last in the order of shingles, the rest is ordered by hash.
-   A linked pair shares one of the first n - T + 1 shingles of both, so only
-   these are merged; a long list is merged only for documents made of long
-   lists, which otherwise could not reach T.
-3. Short lists give all their pairs. A long list is dealt over salts and gives
-   each document one pair, with a leader; whatever is not connected by then is
-   paired in a second round, between different components only. So all links
-   that components depend on are found, without all pairs of a large group.
-4. A pair stands if the size and position of the shared shingle allow T and
-   bitmaps of both sets do not rule it out; it is then decided by intersecting the
-   two whole sets.
+2. The lists are divided. Lengths are counted over all documents; in the order of
+   shingles long lists come last. Of a document's lists the last L = T - k (the
+   longest ones) are set aside, the first n - T + k are merged: a partner stands in
+   at least k of these, in its own order as well.
+3. The merge is a sort of (list, document) entries over all machines; a list of one
+   document ends there. Long lists are dealt over parts by their length.
+4. Documents that reach the merge threshold k together are probed in the lists set
+   aside: every shingle of the smaller set is looked up by binary search in the
+   other one. The link is decided on the exact overlap.
+5. Only components are asked for, so a document is first probed against the leader
+   of most of its lists (one pair a document, twice); the merge by pairs is for
+   lists whose documents are in different components then, and only across these.
 
 Defined results: null and empty texts, and texts without words, have no shingles
 and link with nothing. Texts of fewer than five words are one shingle. Equal
@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import textops as T
 from .graph import components
@@ -37,17 +37,17 @@ from .workspace import most_frequent, store
 WORDS = 5
 #: Similarity as a ratio of whole numbers: 100 * intersection >= 75 * union.
 PERCENT = 75
-#: A list this long in a part of the table is long; its shingles are broadcast, the longest first.
-LONG_IN_PART = 24
+#: Lists of so many documents are long: their shingles are broadcast (the longest first, so many at most).
+LONG = 16
 LONG_SHINGLES = 1 << 18
-#: Lists up to this length give all their pairs.
-ALL_PAIRS = 24
-SALTS = 64
-#: Bits that stand for a set before whole texts are compared.
-BITS = 4096
+#: The share of T that documents must reach together in the merged lists is one in so many (and one list more).
+MERGED = 32
+#: Entries of a list that meet in one place.
+PART = 1024
+#: Shingles counted together.
+FLUSH = 1 << 21
 NO_ID = -(1 << 63)
 
-
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes (signed, ascending within a document), and each document's place in them."""
     low = T.LOWER[buf]
@@ -76,195 +76,224 @@ def digests(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return T.mix(total[bounds[1:]] - total[bounds[:-1]] + np.diff(bounds).astype(T.U64)).view(np.int64)
 
 
-def required(n: int) -> int:
-    """Shingles that a partner of a document with n must share."""
-    return -(-PERCENT * n // 100)
-
-
-def long_shingles(docs: DataFrame, most: int = LONG_SHINGLES) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles (ascending) of the longest lists and their lengths; only the order of shingles depends on them."""
+def first_of_each(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sets of a chunk, each once: shingles, their bounds, digests (empty sets left out)."""
+    own = digests(h, bounds)
+    full = np.flatnonzero(np.diff(bounds))
+    rows = full[np.sort(np.unique(own[full], return_index=True)[1])]
+    n = np.diff(bounds)[rows]
+    ends = np.cumsum(n)
+    at = np.repeat(bounds[rows] - (ends - n), n) + np.arange(int(n.sum()))
+    return h[at], np.append(0, ends), own[rows]
 
-    def count(batches):
-        keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        waiting: list[np.ndarray] = []
 
-        def merged(keys, n):
-            found, times = np.unique(np.concatenate(waiting), return_counts=True)
-            both = np.concatenate([keys, found])
-            keys, inverse = np.unique(both, return_inverse=True)
-            n = np.bincount(inverse, weights=np.concatenate([n, times]), minlength=len(keys)).astype(np.int64)
-            return keys, n
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, digest of every row."""
 
+    def describe(batches):
         for batch in batches:
-            for _, _, buf, offs in T.documents(batch.column(0)):
-                waiting.append(shingle_sets(buf, offs)[0])
-                if sum(map(len, waiting)) > 1 << 21:
-                    keys, n = merged(keys, n)
-                    waiting.clear()
-        if waiting:
-            keys, n = merged(keys, n)
-        ok = n >= LONG_IN_PART
-        yield pa.RecordBatch.from_arrays([pa.array(keys[ok]), pa.array(n[ok])], names=["shingle", "n"])
+            for lo, hi, buf, offs in T.documents(batch.column(1)):
+                h, bounds = shingle_sets(buf, offs)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(np.diff(bounds)), pa.array(digests(h, bounds))], names=["doc_id", "n_shingles", "digest"])
+
+    return docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, n_shingles long, digest long")
 
-    found = docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = most_frequent(store(found, "long"), most).toArrow()
-    order = np.argsort(top["shingle"].to_numpy())
-    return top["shingle"].to_numpy()[order], top["n"].to_numpy()[order]
 
+def list_lengths(docs: DataFrame, total: int, least: int) -> DataFrame:
+    """shingle, n of the lists of `least` documents or more, over all documents.
 
-def bitmaps(h: np.ndarray, bounds: np.ndarray) -> list[bytes]:
-    """BITS bits for each set, one for each value that the low bits of its shingles take."""
-    out: list[bytes] = []
-    for lo in range(0, len(bounds) - 1, 1024):
-        hi = min(len(bounds) - 1, lo + 1024)
-        flags = np.zeros((hi - lo, BITS), dtype=bool)
-        part = slice(bounds[lo], bounds[hi])
-        flags[np.repeat(np.arange(hi - lo), np.diff(bounds[lo : hi + 1])), h[part] & (BITS - 1)] = True
-        out += [x.tobytes() for x in np.packbits(flags, axis=1)]
-    return out
+    Tasks count in flushes of bounded size and send sorted runs of shingles to range buckets of bounded size, so a
+    shingle, however frequent, reaches its bucket once a flush.
+    """
+    bits = max(4, int(total // FLUSH).bit_length())
 
+    def rows(keys: np.ndarray, times: np.ndarray | None) -> pa.RecordBatch:
+        bucket = ((keys.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(64 - bits)).astype(np.int64)
+        begin = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(keys) else np.zeros(0, np.int64)
+        cuts = np.append(begin, len(keys)).astype(np.int32)
+        counts = pa.ListArray.from_arrays(pa.array(np.zeros_like(cuts) if times is None else cuts), pa.array([] if times is None else times, pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(bucket[begin]), pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys)), counts], names=["bucket", "keys", "times"])
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest, bits of every row."""
+    def flushed(waiting: list[np.ndarray]):
+        keys, times = np.unique(np.concatenate(waiting), return_counts=True)
+        yield rows(keys[times == 1], None)
+        yield rows(keys[times > 1], times[times > 1])
 
-    def describe(batches):
+    def send(batches):
+        waiting: list[np.ndarray] = []
         for batch in batches:
-            for lo, hi, buf, offs in T.documents(batch.column(1)):
-                h, bounds = shingle_sets(buf, offs)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(np.diff(bounds)), pa.array(digests(h, bounds)), pa.array(bitmaps(h, bounds), pa.binary())], names=["doc_id", "n_shingles", "digest", "bits"])
+            for _, _, buf, offs in T.documents(batch.column(0)):
+                waiting.append(first_of_each(*shingle_sets(buf, offs))[0])
+                if sum(map(len, waiting)) >= FLUSH:
+                    yield from flushed(waiting)
+                    waiting = []
+        if waiting:
+            yield from flushed(waiting)
 
-    return docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, n_shingles long, digest long, bits binary")
+    def count(table: pa.Table) -> pa.Table:
+        once = table.filter(pa.array(table["times"].combine_chunks().value_lengths().to_numpy() == 0))
+        more = table.filter(pa.array(table["times"].combine_chunks().value_lengths().to_numpy() > 0))
+        flat = lambda t, c: t[c].combine_chunks().flatten().to_numpy()
+        keys, n = np.unique(np.concatenate([flat(once, "keys"), flat(more, "keys")]), return_inverse=True)
+        n = np.bincount(n, weights=np.concatenate([np.ones(len(flat(once, "keys"))), flat(more, "times")]), minlength=len(keys)).astype(np.int64)
+        return pa.table({"shingle": keys[n >= least], "n": n[n >= least]})
 
+    sent = docs.select("text").mapInArrow(send, "bucket long, keys array<long>, times array<long>")
+    return sent.groupBy("bucket").applyInArrow(count, "shingle long, n long")
 
-def close_enough(batches):
-    """Pairs (a, b, doc_a, doc_b) whose bitmaps do not rule a link out.
 
-    Every bit that differs is a shingle that only one set has, and a linked pair has at most (n_a + n_b) / 7 of these.
-    """
-    for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for i in (6, 7))
-        differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-        n = batch.column(4).to_numpy() + batch.column(5).to_numpy()
-        # difference d = n - 2 i, and 100 i >= 75 (i + d)
-        yield batch.select([0, 1, 2, 3]).filter(pa.array(differ * (100 + PERCENT) <= n * (100 - PERCENT)))
+def long_shingles(docs: DataFrame, total: int, most: int = LONG_SHINGLES) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (ascending) of the longest lists and their lengths; only the order of shingles depends on them."""
+    top = most_frequent(store(list_lengths(docs, total, LONG), "long"), most).toArrow()
+    order = np.argsort(top["shingle"].to_numpy())
+    return top["shingle"].to_numpy()[order], top["n"].to_numpy()[order]
+
+
+def merge_threshold(n, merged: int):
+    """k of a document with n shingles (an array or a column): one, and one more for every `merged` lists of its T."""
+    if isinstance(n, Column):
+        return F.floor(F.ceil(n * PERCENT / 100) / merged) + 1
+    return (PERCENT * n + 99) // 100 // merged + 1
 
 
-def prefixes(docs: DataFrame, long_lists) -> DataFrame:
-    """shingle, salt, digest, n, pos, reach for the first n - T + 1 shingles of every document.
+def merged_lists(docs: DataFrame, long_lists) -> DataFrame:
+    """shingle, salt, digest, n for the lists that are merged: the first n - T + k of every document.
 
-    salt is -1 for short lists; reach is how well the document's shingles are spread (the best has the longest lists).
+    salt is the part of a list over PART documents, -1 for other lists.
     """
-    schema = "shingle long, salt int, digest long, n int, pos int, reach long"
 
     def first(batches):
         long_key, long_n = long_lists.value
         for batch in batches:
             for _, _, buf, offs in T.documents(batch.column(0)):
-                h, bounds = shingle_sets(buf, offs)
+                h, bounds, own = first_of_each(*shingle_sets(buf, offs))
                 if not len(h):
                     continue
-                own, n = digests(h, bounds), np.diff(bounds)
+                n = np.diff(bounds)
                 doc = np.repeat(np.arange(len(n)), n)
                 weight = np.zeros(len(h), np.int64)
                 if len(long_key):
                     at = np.minimum(np.searchsorted(long_key, h), len(long_key) - 1)
                     weight = np.where(long_key[at] == h, long_n[at], 0)
-                reach = np.bincount(doc, weights=weight, minlength=len(n)).astype(np.int64)
-                order = np.lexsort((h, weight, doc))
-                pos = np.arange(len(h)) - np.repeat(bounds[:-1], n)
-                keep = pos < (n - (PERCENT * n + 99) // 100 + 1)[doc]
-                h, weight, doc, pos = h[order][keep], weight[order][keep], doc[keep], pos[keep]
-                salt = np.where(weight > 0, (own[doc] % SALTS), -1)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(salt, pa.int32()), pa.array(own[doc]), pa.array(n[doc], pa.int32()), pa.array(pos, pa.int32()), pa.array(reach[doc])], names=["shingle", "salt", "digest", "n", "pos", "reach"])
+                # short lists keep the order of their hashes, long ones follow by length
+                long = np.flatnonzero(weight)
+                short = np.flatnonzero(weight == 0)
+                long = long[np.lexsort((h[long], weight[long], doc[long]))]
+                order = np.concatenate([short, long])
+                order = order[np.argsort(doc[order], kind="stable")]
+                keep = np.arange(len(h)) - np.repeat(bounds[:-1], n) < (n - (PERCENT * n + 99) // 100 + merge_threshold(n, MERGED))[doc]
+                h, weight, doc = h[order][keep], weight[order][keep], doc[keep]
+                parts = 1 << np.ceil(np.log2(np.maximum(1, weight / PART))).astype(np.int64)
+                salt = np.where(parts > 1, own[doc] & (parts - 1), -1)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(salt, pa.int32()), pa.array(own[doc]), pa.array(n[doc], pa.int32())], names=["shingle", "salt", "digest", "n"])
+
+    def runs(batches):
+        names = ["shingle", "salt", "digest", "n"]
+        held = [np.zeros(0, np.int64)] * 4
+
+        def lists(shingle, salt, digest, n):
+            if not len(shingle):
+                return
+            new = np.append(True, (shingle[1:] != shingle[:-1]) | (salt[1:] != salt[:-1]))
+            once = new | np.append(True, digest[1:] != digest[:-1])
+            shingle, salt, digest, n, new = (x[once] for x in (shingle, salt, digest, n, new))
+            begin = np.flatnonzero(new)
+            size = np.diff(np.append(begin, len(new)))
+            last = np.repeat(begin + size - 1, size)
+            keep = (np.repeat(size, size) > 1) | (salt >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (shingle, digest, n, digest[last], n[last])], names=["shingle", "digest", "n", "lead", "lead_n"])
 
-    return docs.select("text").mapInArrow(first, schema)
+        for batch in batches:
+            now = [np.concatenate([x, batch.column(c).to_numpy().astype(np.int64)]) for x, c in zip(held, names)]
+            # the last list may go on in the next batch
+            same = (now[0] == now[0][-1]) & (now[1] == now[1][-1]) if len(now[0]) else np.zeros(0, bool)
+            cut = int(same.argmax()) if len(same) else 0
+            yield from lists(*(x[:cut] for x in now))
+            held = [x[cut:] for x in now]
+        yield from lists(*held)
 
+    entries = docs.select("text").mapInArrow(first, "shingle long, salt int, digest long, n int")
+    dealt = entries.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "digest")
+    return dealt.mapInArrow(runs, "shingle long, digest long, n long, lead long, lead_n long")
 
-def plausible(x: str, y: str):
-    """Whether two documents may link at a shared shingle, by their sizes and by what follows it in the order."""
-    small, large = F.least(f"{x}.n", f"{y}.n"), F.greatest(f"{x}.n", f"{y}.n")
-    rest = F.least(F.col(f"{x}.n") - F.col(f"{x}.pos"), F.col(f"{y}.n") - F.col(f"{y}.pos"))
-    # intersection i: 100 i >= 75 (n_x + n_y - i)
-    return (small * 100 >= large * PERCENT) & (rest * (100 + PERCENT) >= (F.col(f"{x}.n") + F.col(f"{y}.n")) * PERCENT)
 
+def sizes_allow(n, m) -> Column:
+    """Whether sets of n and m shingles can reach the similarity."""
+    return F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
 
-def pair(x: str, y: str) -> list:
-    return [F.least(f"{x}.digest", f"{y}.digest").alias("a"), F.greatest(f"{x}.digest", f"{y}.digest").alias("b")]
 
+def probed(docs: DataFrame, named: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of digests whose whole sets link. named: digest and doc of one document of each class."""
+    pairs = store(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    need = store(pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct().join(named.select("digest", "doc"), "digest"), "needed")
 
-def verified(docs: DataFrame, named: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs of digests whose whole sets link. named: digest, doc, n, bits of one document of each class.
+    def cut(batches):
+        for batch in batches:
+            want = batch.column(0).to_numpy()
+            for lo, hi, buf, offs in T.documents(batch.column(1)):
+                h, bounds = shingle_sets(buf, offs)
+                # rows that share a doc_id with another text do not have the digest asked for
+                ok = np.flatnonzero(digests(h, bounds) == want[lo:hi])
+                yield pa.RecordBatch.from_arrays([pa.array(want[lo:hi][ok]), pa.array([h[bounds[i] : bounds[i + 1]].tobytes() for i in ok], pa.binary())], names=["digest", "shingles"])
 
-    One text of each pair travels to the other; sets are made of both where they meet.
-    """
-    x, y = (named.select(F.col("digest").alias(c), F.col("doc").alias(f"doc_{c}"), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
-    both = pairs.distinct().join(x, "a").join(y, "b").select("a", "b", "doc_a", "doc_b", "n_a", "n_b", "bits_a", "bits_b")
-    pairs = store(both.mapInArrow(close_enough, "a long, b long, doc_a long, doc_b long"), "pairs")
-    texts = docs.select("doc", "text")
-    half = pairs.join(texts.select(F.col("doc").alias("doc_b"), F.col("text").alias("text_b")), "doc_b")
-    both = half.join(texts.select(F.col("doc").alias("doc_a"), F.col("text").alias("text_a")), "doc_a").select("a", "b", "text_a", "text_b")
-
-    def decide(batches):
+    sets = store(docs.join(need, "doc").select("digest", "text").mapInArrow(cut, "digest long, shingles binary"), "sets").dropDuplicates(["digest"])
+    both = pairs.join(sets.select(F.col("digest").alias("b"), F.col("shingles").alias("of_b")), "b").join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("of_a")), "a")
+
+    def probe(batches):
         for batch in batches:
-            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            # a leader's text comes with many pairs: equal ones are cut into shingles once
-            known = {d: np.zeros(0, np.int64) for d in (*a.tolist(), *b.tolist())}
-            for want, column in ((a, batch.column(2)), (b, batch.column(3))):
-                once = np.sort(np.unique(np.stack([want, _text_keys(column)]), axis=1, return_index=True)[1])
-                for lo, hi, buf, offs in T.documents(column.take(pa.array(once, pa.int64()))):
-                    h, bounds = shingle_sets(buf, offs)
-                    for i, d in enumerate(digests(h, bounds).tolist()):
-                        # rows that share a doc_id with another text do not have the digest asked for
-                        if d == want[once[lo + i]]:
-                            known[d] = h[bounds[i] : bounds[i + 1]]
-            ok = np.zeros(len(a), dtype=bool)
-            for i, (p, q) in enumerate(zip(a.tolist(), b.tolist())):
-                s, t = known[p], known[q]
-                if len(s) and len(t):
-                    shared = len(np.intersect1d(s, t, assume_unique=True))
-                    ok[i] = 100 * shared >= PERCENT * (len(s) + len(t) - shared)
-            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
-
-    return both.mapInArrow(decide, "a long, b long").distinct()
-
-
-def _text_keys(column: pa.Array) -> np.ndarray:
-    """Hash of each whole text."""
-    keys = [T.span_hashes(buf, offs[:-1], offs[1:]).view(np.int64) for _, _, buf, offs in T.documents(column)]
-    return np.concatenate(keys) if keys else np.zeros(0, np.int64)
+            ok = np.zeros(batch.num_rows, dtype=bool)
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
+                short, large = sorted((np.frombuffer(v.as_buffer(), dtype=np.int64) for v in (x, y)), key=len)
+                shared = int((large[np.minimum(np.searchsorted(large, short), len(large) - 1)] == short).sum())
+                ok[i] = 100 * shared >= PERCENT * (len(short) + len(large) - shared)
+            yield batch.select([0, 1]).filter(pa.array(ok))
+
+    return store(both.select("a", "b", "of_a", "of_b").mapInArrow(probe, "a long, b long"), "links")
+
+
+def with_best_leader(entries: DataFrame) -> DataFrame:
+    """Each document with the leader of most of its lists, if these are half of what the merge asks for. entries: digest, n, lead, lead_n."""
+    votes = entries.where("digest <> lead").where(sizes_allow(F.col("n"), F.col("lead_n"))).groupBy("digest", "lead").agg(F.count("*").alias("lists"), F.min("n").alias("n"))
+    best = votes.groupBy("digest").agg(F.max(F.struct("lists", "lead")).alias("best"), F.min("n").alias("n"))
+    return best.where(F.col("best.lists") * 2 >= merge_threshold(F.col("n"), MERGED)).select(F.col("digest").alias("a"), F.col("best.lead").alias("b"))
+
+
+def unsettled(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """shingle, digest, n, component of the lists whose documents are in several components; size is that of the list."""
+    comp = components(links).withColumnRenamed("node", "digest")
+    placed = lists.select("shingle", "digest", "n").join(comp, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    several = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("shingle", "size")
+    return store(placed.join(several, "shingle"), "unsettled")
+
+
+def across(rest: DataFrame) -> DataFrame:
+    """Pairs of documents of different components that share k merged lists or more; a list is dealt over parts of bounded size."""
+    parts = F.ceil(F.col("size") / PART)
+    x = rest.select("shingle", F.pmod(F.xxhash64("digest"), parts).alias("part"), F.col("digest").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
+    y = rest.select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("digest").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
+    met = x.join(y, ["shingle", "part"]).where("c_a < c_b").where(sizes_allow(F.col("n_a"), F.col("n_b")))
+    counted = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(F.least("n_a", "n_b")).alias("n"))
+    return counted.where(F.col("shared") >= merge_threshold(F.col("n"), MERGED)).select("a", "b")
 
 
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n_shingles, digest) and links between digests (a, b) enough for all components."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"))
-    spark = docs.sparkSession
     rows = store(classes(docs), "classes")
-    named = rows.where("n_shingles > 0").groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("doc"), F.min("n_shingles").alias("n"), F.min("bits").alias("bits"))
-    long_lists = spark.sparkContext.broadcast(long_shingles(docs))
-    entries = prefixes(docs, long_lists)
-    # one exchange: a list (or one salt of a long list) meets in one place
-    dealt = entries.repartition("shingle", "salt").dropDuplicates(["shingle", "salt", "digest"])
-    best = F.max(F.struct("reach", "digest", "n", "pos")).alias("lead")
-    lists = dealt.groupBy("shingle", "salt").agg(F.count("*").alias("m"), best).where("m > 1 or salt >= 0")
-    listed = store(dealt.join(lists, ["shingle", "salt"]), "lists")
-    lead = listed.select("shingle", "salt", "m", F.struct("digest", "n", "pos").alias("x"), F.col("lead").alias("y"))
-    star = lead.where(F.col("x.digest") != F.col("y.digest")).where(plausible("x", "y")).select(*pair("x", "y"))
-    # the leaders of the salts of one long list meet the best of them
-    heads = listed.where("salt >= 0").select("shingle", "salt", "lead").distinct()
-    top = heads.groupBy("shingle").agg(F.max("lead").alias("y"))
-    over = heads.join(top, "shingle").select(F.col("lead").alias("x"), "y").where(F.col("x.digest") != F.col("y.digest")).where(plausible("x", "y")).select(*pair("x", "y"))
-    short = listed.where(f"salt < 0 and m > 2 and m <= {ALL_PAIRS}")
-    small = short.alias("x").join(short.alias("y"), F.expr("x.shingle = y.shingle and x.digest < y.digest")).where(plausible("x", "y")).select(*pair("x", "y"))
-    links = store(verified(docs, named, star.union(over).union(small)), "links")
-    # second round: lists whose documents are not all connected, pairs between components only
-    comp = components(links)
-    rest = listed.where(f"salt >= 0 or m > {ALL_PAIRS}").join(comp.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    several = rest.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
-    rest = store(rest.join(several, "shingle", "left_semi").select("shingle", "digest", "n", "pos", "component"), "rest")
-    if rest.isEmpty():
-        return rows, links
-    more = rest.alias("x").join(rest.alias("y"), F.expr("x.shingle = y.shingle and x.component < y.component")).where(plausible("x", "y")).select(*pair("x", "y"))
-    return rows, links.union(store(verified(docs, named, more), "links"))
+    named = rows.where("n_shingles > 0").groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("doc"))
+    total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    long_lists = docs.sparkSession.sparkContext.broadcast(long_shingles(docs, total))
+    lists = store(merged_lists(docs, long_lists), "lists")
+    links = probed(docs, named, with_best_leader(lists))
+    rest = unsettled(lists, links)
+    if not rest.isEmpty():
+        head = rest.groupBy("shingle").agg(F.min(F.struct("component", "digest", "n")).alias("head"))
+        led = rest.join(head, "shingle").where("component <> head.component").select("digest", "n", F.col("head.digest").alias("lead"), F.col("head.n").alias("lead_n"))
+        links = links.union(probed(docs, named, with_best_leader(led)))
+        rest = unsettled(rest, links)
+    if not rest.isEmpty():
+        links = links.union(probed(docs, named, across(rest)))
+    return rows, links
 
 
 def groups(docs: DataFrame) -> DataFrame:

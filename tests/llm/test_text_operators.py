@@ -295,17 +295,60 @@ def jaccard_components(texts):
     return {i: (len(sets[i]), top(i)) for i in sets}
 
 
-@pytest.mark.parametrize("all_pairs,long_in_part", [(24, 24), (2, 2)])
-def test_ngram_join(spark, monkeypatch, all_pairs, long_in_part):
-    """The second case makes almost every list long, so leaders, salts and the second round do the work."""
-    monkeypatch.setattr(ngram_join, "ALL_PAIRS", all_pairs)
-    monkeypatch.setattr(ngram_join, "LONG_IN_PART", long_in_part)
-    monkeypatch.setattr(ngram_join, "SALTS", 3)
+@pytest.mark.parametrize("long,part,merged", [(16, 1024, 32), (2, 2, 4), (2, 3, 1000)])
+def test_ngram_join(spark, monkeypatch, long, part, merged):
+    """The other cases make almost every list long, so leaders, parts and the merge across components do the work."""
+    monkeypatch.setattr(ngram_join, "LONG", long)
+    monkeypatch.setattr(ngram_join, "PART", part)
+    monkeypatch.setattr(ngram_join, "MERGED", merged)
     texts = made_texts(120)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.groups(table(spark, texts)).collect()}
     assert got == jaccard_components(texts)
 
 
+@pytest.mark.parametrize("leaders", [True, False])
+def test_ngram_join_of_a_common_passage(spark, monkeypatch, leaders):
+    """One passage in every document, chains of near copies, and unlike documents that consist mostly of the passage; the merge
+    across components alone gives the same."""
+    if not leaders:
+        monkeypatch.setattr(ngram_join, "with_best_leader", lambda entries: entries.select(F.col("digest").alias("a"), F.col("lead").alias("b")).where("false"))
+    monkeypatch.setattr(ngram_join, "PART", 4)
+    rnd = random.Random(12)
+    passage = [f"p{i}" for i in range(40)]
+    texts = []
+    for share in (4, 8, 10, 60):
+        texts += [" ".join([*passage, *(f"u{rnd.randint(0, 10**6)}" for _ in range(share))]) for _ in range(12)]
+    chain = [f"c{i}" for i in range(60)]
+    for i in range(25):
+        chain[rnd.randrange(60)] = f"n{i}"
+        texts.append(" ".join([*passage, *chain]))
+    want = jaccard_components(texts)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.groups(table(spark, texts)).collect()}
+    assert got == want and 1 < len({c for _, c in want.values()}) < len(texts)
+
+
+def test_ngram_join_list_lengths(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FLUSH", 64)
+    texts = made_texts(60)
+    sets = {}
+    for i, t in enumerate(texts):
+        w = WORD.findall(lower(t or ""))
+        own = frozenset([tuple(w[k : k + 5]) for k in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)] if w else [])
+        sets[own] = i
+    want = collections.Counter(sum(1 for s in sets if x in s) for x in set().union(*sets))
+    one = table(spark, texts).coalesce(1)  # one chunk: equal sets are counted once
+    got = collections.Counter(r["n"] for r in ngram_join.list_lengths(one, 10_000, 2).collect())
+    assert got == {n: c for n, c in want.items() if n > 1}
+
+
+def test_ngram_join_null_ids_and_repeated_rows(spark):
+    text = " ".join(f"a{i}" for i in range(60))
+    rows = [(3, text, 1), (3, text, 2), (5, text + " more", 3), (None, text, 4), (7, None, 5), (7, None, 6), (None, "", 7), (9, "x", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest long")
+    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_shingles"], r["component_id"]) for r in ngram_join.groups(docs).collect())
+    assert got == [(-1, 0, None), (-1, 56, 3), (3, 56, 3), (3, 56, 3), (5, 57, 3), (7, 0, 7), (7, 0, 7), (9, 1, 9)]
+
+
 def test_ngram_join_empty(spark):
     assert ngram_join.groups(empty(spark)).count() == 0
 
