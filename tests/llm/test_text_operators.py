@@ -88,17 +88,111 @@ def test_pii_base_spans(spark):
     assert [got[i] for i in range(len(texts))] == [base_spans(t) for t in texts]
 
 
-def test_pii_sanitise(spark, monkeypatch):
-    monkeypatch.setattr(pii.disclosing_terms, "__defaults__", (3, 0.5, 0.9))
-    texts = ["call kontakt now a@b.com bye", "kontakt x@y.org +49 123 456 789.foo@bar.com", "kontakt 4111 1111 1111 1111 é", "KONTAKT z@z.de end", "nothing here", None, ""] + ["plain words only"] * 13
+def brute_terms(texts):
+    """Spans of disclosing terms of every text, by the definition: PMI against IC with the module's own thresholds."""
+    import regex
+
+    word = regex.compile(r"[\p{L}\p{N}]+")
+    texts = [t or "" for t in texts]
+
+    def terms(t):
+        return {w.lower() for w in word.findall(re.sub(PATTERNS["email"], " ", t))}
+
+    def side(piece, left):
+        if len(piece) <= pii.CONTEXT:
+            return piece
+        return regex.sub(r"^[\p{L}\p{N}]+", "", piece[-pii.CONTEXT :]) if left else regex.sub(r"[\p{L}\p{N}]+$", "", piece[: pii.CONTEXT])
+
+    def key(kind, m):
+        return (kind, m.lower() if kind == "email" else m if kind == "ip" else re.sub("[^0-9]", "", m))
+
+    n, n_term, n_thing, n_both = len(texts), collections.Counter(), collections.Counter(), collections.Counter()
+    near_of, kinds_of, terms_in = [], [], []
+    for t in texts:
+        near, kinds, own = set(), set(), terms(t)
+        for kind, p in PATTERNS.items():
+            found = list(re.finditer(p, t))
+            edges = [0, *(x for m in found for x in m.span()), len(t)]
+            for i, m in enumerate(found):
+                if counts(kind, m[0]):
+                    kinds.add(kind)
+                    near |= {(key(kind, m[0]), w) for w in own & terms(side(t[edges[2 * i] : edges[2 * i + 1]], True) + " " + side(t[edges[2 * i + 2] : edges[2 * i + 3]], False))}
+                    near.add((key(kind, m[0]), None))
+        n_term.update(own)
+        n_thing.update(kinds | {e for e, _ in near})
+        n_both.update({(k, w) for k in kinds for w in own} | {(e, w) for e, w in near if w is not None})
+        near_of.append(near)
+        kinds_of.append(kinds)
+        terms_in.append(own)
+    action = {}
+    for is_kind in (True, False):
+        pairs = {p: c for p, c in n_both.items() if isinstance(p[0], str) == is_kind and n_thing[p[0]] < n}
+        for (thing, w), c in pairs.items():
+            pmi, ic = math.log2((c / n_term[w]) / (n_thing[thing] / n)), -math.log2(n_thing[thing] / n)
+            if pmi / ic >= pii.GENERALISE_AT and c * pmi >= math.log2(max(1, len(pairs))) + pii.EVIDENCE_BITS:
+                action[thing, w] = ("remove" if pmi / ic >= pii.REMOVE_AT else "generalise", pmi / ic, thing if is_kind else thing[0])
+    out = []
+    for t, near, kinds, own in zip(texts, near_of, kinds_of, terms_in):
+        acts = collections.defaultdict(list)
+        for thing, w in [(k, w) for k in kinds for w in own] + [x for x in near if x[1] is not None]:
+            if (thing, w) in action:
+                acts[w].append(action[thing, w])
+        base = [(m.start(), m.end()) for k, p in PATTERNS.items() for m in re.finditer(p, t) if counts(k, m[0])]
+        spans = [(max(acts[m[0].lower()])[0] + "-" + max(acts[m[0].lower()])[2], m.start(), m.end()) for m in word.finditer(t) if m[0].lower() in acts]
+        out.append([x for x in spans if not any(x[1] < e and s < x[2] for s, e in base)])
+    return out
+
+
+def pii_texts():
+    rnd = random.Random(21)
+    filler = [f"w{i}" for i in range(60)] + ["É", "ñu", "x1", "中文"]
+    some = lambda n: " ".join(rnd.choice(filler) for _ in range(n))
+    texts = [some(rnd.randint(5, 60)) for _ in range(260)]
+    for i in range(6):  # a name and an account that always stand with one address; a word that stands with any address
+        for _ in range(rnd.randint(3, 4)):
+            texts.append(f"{some(30)} Name{i} contact{rnd.choice(['', ' é'])} u{i}@mail.example.com id{i}x {some(rnd.choice([3, 90]))}")
+    for i in range(12):
+        texts.append(f"{some(9)} Telefon +49 123 456 78{i:02d} {some(40)} TELEFON")
+    return texts + ["rare once q@r.st", "4111 1111 1111 1111 kartè " + some(9), "9999.1.1.1 999 a@b", None, "", "w1 " * 400]
+
+
+def test_pii_terms_by_brute_force(spark):
+    """The defaults find names of one entity that occur in three documents, and words that tell a kind; both lists are not empty."""
+    texts = pii_texts()
     docs = table(spark, texts)
-    out = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
-    assert out[0] == "call [email] now [EMAIL] bye" and out[1] == "[email] [EMAIL] [PHONE]" and out[2] == "[card] [CARD] é"
-    assert out[3] == "[email] [EMAIL] end" and out[4] == "nothing here" and out[5] is None and out[6] == ""
-    assert pii.sanitise(docs).columns == docs.columns
+    got = {r["doc_id"]: r for r in pii.with_terms(docs.select("doc_id", "text")).select("doc_id", F.col("_terms").alias("t")).collect()}
+    want = brute_terms(texts)
+    assert [sorted(map(tuple, got[i]["t"]), key=lambda x: x[1]) for i in range(len(texts))] == want
+    found = {texts[i][a:b].lower() for i, spans in enumerate(want) for _, a, b in spans}
+    assert {"name0", "id0x", "contact", "telefon"} <= found and not any(re.fullmatch(r"w\d+", w) for w in found)
+
+
+def test_pii_sanitise(spark):
+    texts = pii_texts()
+    docs = table(spark, texts).select("*", F.lit("mine").alias("_text"), F.lit("own").alias("_spans"), F.lit(7).alias("_row"), F.lit("c").alias("carried"))
+    rows = pii.sanitise(docs).collect()
+    assert pii.sanitise(docs).columns == docs.columns and all((r["_text"], r["_spans"], r["_row"], r["carried"]) == ("mine", "own", 7, "c") for r in rows)
+    for r in rows:
+        t = texts[r["doc_id"]]
+        if t is None:
+            assert r["text"] is None
+            continue
+        marks = [(int(a), int(b), f"[{k.upper()}]") for k, a, b in (x.split(":") for x in base_spans(t).split(",") if x)]
+        marks += [(a, b, "" if k.startswith("remove") else f"[{k.split('-')[1]}]") for k, a, b in brute_terms(texts)[r["doc_id"]]] if marks else []
+        out, at = "", 0
+        for a, b, mark in sorted(marks):
+            out, at = out + t[at:a] + mark if a >= at else out, max(at, b)
+        assert r["text"] == out + t[at:]
     assert pii.sanitise(empty(spark)).count() == 0
 
 
+def test_pii_repeated_rows_and_null_ids(spark):
+    rows = [(1, "mail a@b.cd"), (1, "mail a@b.cd"), (1, "other 1.2.3.4"), (None, "x@y.zz"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["s"]) for r in pii.with_terms(docs).select("doc_id", pii.joined(F.col("_spans")).alias("s")).collect())
+    assert got == [(0, ""), (0, "email:0:6"), (1, "email:5:11"), (1, "email:5:11"), (1, "ip:6:13")]
+
+
 # --- 2 ------------------------------------------------------------------------------------------------------------
 
 PIECES = ["'s", "'t", "'re", "'ll", "'", "''", " ", "  ", "\n", "\t", "a", "Ab", "é", "ß", "9", "12", "!", "#$", "\x1c", "\x85", "\xa0", "中文", "🙂", "\x00", "<|endoftext|>", "<|startoftext|>", "²", "'d", "'ve", "'S", "ΑΣ", "Σ", "İ", "<|", "hello", "THE", "the "]
