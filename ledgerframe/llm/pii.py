@@ -94,15 +94,19 @@ def valid(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
+def bound(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def before(values: Column, join) -> Column:
     """For each entry, what the entries before it join to (from 0), by blocks so that long arrays stay cheap."""
     zero = F.lit(0).cast("long")
-    block = lambda i: F.floor(i / BLOCK).cast("int")
-    blocks = F.when(F.size(values) == 0, F.array().cast("array<long>")).otherwise(
-        F.transform(F.sequence(F.lit(0), block(F.size(values) - 1)), lambda b: F.aggregate(F.slice(values, b * BLOCK + 1, F.lit(BLOCK)), zero, lambda a, x: join(a, x)))
-    )
-    so_far = F.aggregate(blocks, F.array(zero), lambda a, x: F.concat(a, F.array(join(F.element_at(a, -1), x))))
-    return F.transform(values, lambda x, i: F.aggregate(F.slice(values, block(i) * BLOCK + 1, i % BLOCK), F.get(so_far, block(i)), lambda a, y: join(a, y)))
+    blocks = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda b: F.slice(v, b * BLOCK + 1, F.lit(BLOCK)))
+    so_far = lambda bs: F.aggregate(bs, F.array(zero), lambda a, b: F.concat(a, F.array(F.aggregate(b, F.element_at(a, -1), join))))
+    inside = lambda b, start: F.transform(b, lambda x, i: F.aggregate(F.slice(b, F.lit(1), i), start, join))
+    whole = lambda bs: F.flatten(F.zip_with(bs, F.slice(so_far(bs), F.lit(1), F.size(bs)), inside))
+    return bound(values, lambda v: F.when(F.size(v) == 0, F.array().cast("array<long>")).otherwise(bound(blocks(v), whole)))
 
 
 def offsets(sizes: Column) -> Column:
@@ -119,9 +123,12 @@ def locate(df: DataFrame, name: str, text: Column, pattern: str, when: Column, c
     df = df.withColumn("_p", F.when(F.size("_m") > 0, F.split(text, pattern, -1)).otherwise(none))
     df = df.withColumn("_o", offsets(F.zip_with(F.slice("_p", F.lit(1), F.size("_m")), "_m", lambda p, m: (F.length(p) + F.length(m)).cast("long"))))
     starts = F.zip_with("_o", F.slice("_p", F.lit(1), F.size("_m")), lambda o, p: o + F.length(p))
-    around = lambda i: F.concat_ws(" ", nearby(F.get("_p", i), F.right, "^"), nearby(F.get("_p", i + 1), F.left, "$")) if context else F.lit(None).cast("string")
-    df = df.withColumn("_s", starts)
-    return df.withColumn(name, F.transform("_m", lambda m, i: F.struct(m.alias("match"), F.get("_s", i).alias("start"), around(i).alias("context")))).drop("_m", "_p", "_o", "_s")
+    # no column is read by place inside a function of elements: the optimiser would compute it anew for each of them
+    hits = F.zip_with("_m", starts, lambda m, s: F.struct(m.alias("match"), s.alias("start")))
+    if context:
+        around = F.zip_with(F.slice("_p", F.lit(1), F.size("_m")), F.slice("_p", F.lit(2), F.size("_m")), lambda a, b: F.concat_ws(" ", nearby(a, F.right, "^"), nearby(b, F.left, "$")))
+        hits = F.zip_with(hits, around, lambda h, c: F.struct(h["match"].alias("match"), h["start"].alias("start"), c.alias("context")))
+    return df.withColumn(name, hits).drop("_m", "_p", "_o")
 
 
 def nearby(piece: Column, side, edge: str) -> Column:
