@@ -13,7 +13,10 @@ documents that stand in T = ceil(0.75 n) of its n inverted lists, or more.
 4. Documents that reach the merge threshold k together are probed in the lists set
    aside: every shingle of the smaller set is looked up by binary search in the
    other one. The link is decided on the exact overlap.
-5. Only components are asked for, so a document is first probed against the leader
+5. Lists of one document also bound the overlap a document can reach with any other.
+   Documents that cannot reach T are out, and others are only paired with sizes for
+   which they can reach the overlap needed.
+6. Only components are asked for, so a document is first probed against the leader
    of most of its lists (one pair a document, twice); the merge by pairs is for
    lists whose documents are in different components then, and only across these.
 
@@ -28,7 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import textops as T
 from .graph import components
@@ -217,9 +220,25 @@ def merged_lists(docs: DataFrame, long_lists) -> DataFrame:
     return dealt.mapInArrow(runs, "shingle long, digest long, n long, lead long, lead_n long")
 
 
-def sizes_allow(n, m) -> Column:
-    """Whether sets of n and m shingles can reach the similarity."""
-    return F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
+def needed(n, m) -> Column:
+    """Overlap that sets of n and m shingles link at: the least i with 100 i >= 75 (n + m - i)."""
+    return F.ceil((F.col(n) + F.col(m)) * PERCENT / (100 + PERCENT))
+
+
+def shared_at_least(n, m) -> Column:
+    """How many merged lists a linked pair has in common at least.
+
+    Common shingles that are not in the merged lists of both are in what one of them set aside.
+    """
+    aside = lambda x: F.ceil(F.col(x) * PERCENT / 100) - merge_threshold(F.col(x), MERGED)
+    return F.greatest(F.lit(1), needed(n, m) - F.greatest(aside(n), aside(m)))
+
+
+def reachable(lists: DataFrame) -> DataFrame:
+    """The lists with reach, the overlap that a document can have at most; documents that cannot reach their T are out."""
+    merged = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + merge_threshold(F.col("n"), MERGED)
+    alone = merged - F.count("*").over(Window.partitionBy("digest"))
+    return lists.withColumn("reach", F.col("n") - alone).where(F.col("reach") * 100 >= F.col("n") * PERCENT)
 
 
 def probed(docs: DataFrame, named: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -236,7 +255,7 @@ def probed(docs: DataFrame, named: DataFrame, pairs: DataFrame) -> DataFrame:
                 ok = np.flatnonzero(digests(h, bounds) == want[lo:hi])
                 yield pa.RecordBatch.from_arrays([pa.array(want[lo:hi][ok]), pa.array([h[bounds[i] : bounds[i + 1]].tobytes() for i in ok], pa.binary())], names=["digest", "shingles"])
 
-    sets = store(docs.join(need, "doc").select("digest", "text").mapInArrow(cut, "digest long, shingles binary"), "sets").dropDuplicates(["digest"])
+    sets = store(docs.join(need, "doc").select("digest", "text").mapInArrow(cut, "digest long, shingles binary"), "sets")
     both = pairs.join(sets.select(F.col("digest").alias("b"), F.col("shingles").alias("of_b")), "b").join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("of_a")), "a")
 
     def probe(batches):
@@ -248,32 +267,46 @@ def probed(docs: DataFrame, named: DataFrame, pairs: DataFrame) -> DataFrame:
                 ok[i] = 100 * shared >= PERCENT * (len(short) + len(large) - shared)
             yield batch.select([0, 1]).filter(pa.array(ok))
 
-    return store(both.select("a", "b", "of_a", "of_b").mapInArrow(probe, "a long, b long"), "links")
+    # a doc_id that stands twice brings its set twice
+    return store(both.select("a", "b", "of_a", "of_b").mapInArrow(probe, "a long, b long").distinct(), "links")
 
 
 def with_best_leader(entries: DataFrame) -> DataFrame:
-    """Each document with the leader of most of its lists, if these are half of what the merge asks for. entries: digest, n, lead, lead_n."""
-    votes = entries.where("digest <> lead").where(sizes_allow(F.col("n"), F.col("lead_n"))).groupBy("digest", "lead").agg(F.count("*").alias("lists"), F.min("n").alias("n"))
-    best = votes.groupBy("digest").agg(F.max(F.struct("lists", "lead")).alias("best"), F.min("n").alias("n"))
-    return best.where(F.col("best.lists") * 2 >= merge_threshold(F.col("n"), MERGED)).select(F.col("digest").alias("a"), F.col("best.lead").alias("b"))
+    """Each document with the leader of most of its lists, if these are half of what a link needs. entries: digest, n, reach, lead, lead_n."""
+    able = entries.where("digest <> lead").where(F.col("reach") >= needed("n", "lead_n"))
+    votes = able.groupBy("digest", "lead").agg(F.count("*").alias("lists"), F.min(shared_at_least("n", "lead_n")).alias("least"))
+    best = votes.where(F.col("lists") * 2 >= F.col("least")).groupBy("digest").agg(F.max(F.struct("lists", "lead")).alias("best"))
+    return best.select(F.col("digest").alias("a"), F.col("best.lead").alias("b"))
 
 
 def unsettled(lists: DataFrame, links: DataFrame) -> DataFrame:
-    """shingle, digest, n, component of the lists whose documents are in several components; size is that of the list."""
+    """shingle, digest, n, reach, component of the lists whose documents are in several components; size is that of the list."""
     comp = components(links).withColumnRenamed("node", "digest")
-    placed = lists.select("shingle", "digest", "n").join(comp, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    placed = lists.select("shingle", "digest", "n", "reach").join(comp, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     several = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("shingle", "size")
     return store(placed.join(several, "shingle"), "unsettled")
 
 
+def size_class(n: Column) -> Column:
+    """Sizes in steps of a third: linked documents are in one class or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / float(np.log(100 / PERCENT)))
+
+
 def across(rest: DataFrame) -> DataFrame:
-    """Pairs of documents of different components that share k merged lists or more; a list is dealt over parts of bounded size."""
-    parts = F.ceil(F.col("size") / PART)
-    x = rest.select("shingle", F.pmod(F.xxhash64("digest"), parts).alias("part"), F.col("digest").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    y = rest.select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("digest").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    met = x.join(y, ["shingle", "part"]).where("c_a < c_b").where(sizes_allow(F.col("n_a"), F.col("n_b")))
-    counted = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(F.least("n_a", "n_b")).alias("n"))
-    return counted.where(F.col("shared") >= merge_threshold(F.col("n"), MERGED)).select("a", "b")
+    """Pairs of documents of different components that share enough merged lists.
+
+    A document is listed under its own size and looks under the sizes of which it can reach the overlap needed; a
+    list is dealt over parts of bounded size.
+    """
+    parts, (n, reach) = F.ceil(F.col("size") / PART), (F.col("n"), F.col("reach"))
+    x = rest.select("shingle", size_class(n).alias("class"), F.pmod(F.xxhash64("digest"), parts).alias("part"), F.col("digest").alias("a"), F.col("n").alias("n_a"), F.col("reach").alias("reach_a"), F.col("component").alias("c_a"))
+    # the largest partner m: reach (100 + 75) >= 75 (n + m), and 100 n >= 75 m
+    most = F.least(F.floor(reach * (100 + PERCENT) / PERCENT) - n, F.floor(n * 100 / PERCENT))
+    able = rest.where(most * 100 >= n * PERCENT).select("*", F.explode(F.sequence(size_class(n) - 1, size_class(n) + 1)).alias("class")).where(F.col("class") <= size_class(most))
+    y = able.select("shingle", "class", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("digest").alias("b"), F.col("n").alias("n_b"), F.col("reach").alias("reach_b"), F.col("component").alias("c_b"))
+    met = x.join(y, ["shingle", "class", "part"]).where("c_a < c_b").where(F.least("reach_a", "reach_b") >= needed("n_a", "n_b"))
+    counted = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(shared_at_least("n_a", "n_b")).alias("least"))
+    return counted.where("shared >= least").select("a", "b")
 
 
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -283,12 +316,12 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = rows.where("n_shingles > 0").groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("doc"))
     total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     long_lists = docs.sparkSession.sparkContext.broadcast(long_shingles(docs, total))
-    lists = store(merged_lists(docs, long_lists), "lists")
+    lists = store(reachable(merged_lists(docs, long_lists)), "lists")
     links = probed(docs, named, with_best_leader(lists))
     rest = unsettled(lists, links)
     if not rest.isEmpty():
         head = rest.groupBy("shingle").agg(F.min(F.struct("component", "digest", "n")).alias("head"))
-        led = rest.join(head, "shingle").where("component <> head.component").select("digest", "n", F.col("head.digest").alias("lead"), F.col("head.n").alias("lead_n"))
+        led = rest.join(head, "shingle").where("component <> head.component").select("digest", "n", "reach", F.col("head.digest").alias("lead"), F.col("head.n").alias("lead_n"))
         links = links.union(probed(docs, named, with_best_leader(led)))
         rest = unsettled(rest, links)
     if not rest.isEmpty():

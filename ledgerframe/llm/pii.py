@@ -101,10 +101,11 @@ def bound(value: Column, body) -> Column:
 
 def before(values: Column, join) -> Column:
     """For each entry, what the entries before it join to (from 0), by blocks so that long arrays stay cheap."""
+    fold = lambda values, start: F.aggregate(values, start, lambda a, x: join(a, x))
     zero = F.lit(0).cast("long")
     blocks = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda b: F.slice(v, b * BLOCK + 1, F.lit(BLOCK)))
-    so_far = lambda bs: F.aggregate(bs, F.array(zero), lambda a, b: F.concat(a, F.array(F.aggregate(b, F.element_at(a, -1), join))))
-    inside = lambda b, start: F.transform(b, lambda x, i: F.aggregate(F.slice(b, F.lit(1), i), start, join))
+    so_far = lambda bs: F.aggregate(bs, F.array(zero), lambda a, b: F.concat(a, F.array(fold(b, F.element_at(a, -1)))))
+    inside = lambda b, start: F.transform(b, lambda x, i: fold(F.slice(b, F.lit(1), i), start))
     whole = lambda bs: F.flatten(F.zip_with(bs, F.slice(so_far(bs), F.lit(1), F.size(bs)), inside))
     return bound(values, lambda v: F.when(F.size(v) == 0, F.array().cast("array<long>")).otherwise(bound(blocks(v), whole)))
 
