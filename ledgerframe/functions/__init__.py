@@ -1 +1 @@
-"""Spark-first portfolio analytics: functions."""
+"""Column expressions that the operators share."""

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from . import var as V
+from . import returns as R, stats as S, var as V
 
 #: 5 % points of the chi-square distribution with one and two degrees of freedom (fixed values).
 CHI2_1, CHI2_2 = 3.841, 5.991
@@ -23,47 +22,68 @@ def xlogy(x: Column, y: Column) -> Column:
     return F.when(x == 0, 0.0).otherwise(x * F.ln(y))
 
 
-def lr_uc(n: Column, t: Column, alpha: float) -> Column:
+def lr_uc(n: Column, t: Column, alpha: Column) -> Column:
     """Kupiec's likelihood ratio of n breaches in t days."""
-    null = xlogy(t - n, F.lit(1 - alpha)) + xlogy(n, F.lit(alpha))
+    null = xlogy(t - n, 1 - alpha) + xlogy(n, alpha)
     rate = n / t
     return -2 * (null - (xlogy(t - n, 1 - rate) + xlogy(n, rate)))
 
 
+def upper_tail_chi2_1(x: Column) -> Column:
+    """P(chi-square with one degree of freedom > x): 1 - erf(y), y = sqrt(x / 2), by the series of positive terms."""
+    y2 = F.least(F.greatest(x, F.lit(0.0)), F.lit(80.0)) / 2
+    terms = F.aggregate(
+        F.sequence(F.lit(1), F.lit(200)), F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum")),
+        lambda a, i: F.struct((a["term"] * 2 * y2 / (2 * i + 1)).alias("term"), (a["sum"] + a["term"] * 2 * y2 / (2 * i + 1)).alias("sum")),
+    )["sum"]
+    return F.greatest(1 - 2 / math.sqrt(math.pi) * F.sqrt(y2) * F.exp(-y2) * terms, F.lit(0.0))
+
+
+def backtest(tested: DataFrame, alpha: float | str, by: Sequence[str] = ("book",)) -> DataFrame:
+    """All tests of each series from one window and one aggregate: Kupiec, Christoffersen, Z2, ES and loss on breach days.
+
+    alpha: the level, or the name of the column in `by` that holds it. Without an es column what needs it is left out.
+    """
+    level = F.col(alpha) if isinstance(alpha, str) else F.lit(float(alpha))
+    before = F.lag("breach").over(Window.partitionBy(*by).orderBy("date"))
+    t, hit = tested.withColumn("_before", before), F.col("breach") == 1
+    sums = [F.sum("breach").alias("breaches"), F.count("*").alias("days"), *(F.sum(((F.col("_before") == a) & (F.col("breach") == b)).cast("int")).alias(f"n{a}{b}") for a in (0, 1) for b in (0, 1))]
+    if "es" in tested.columns:
+        sums += [F.sum(F.when(hit, F.col("r") / (level * F.col("es")))).alias("_s"), F.avg(F.when(hit, F.col("es"))).alias("mean_es"), F.avg(F.when(hit, -F.col("r"))).alias("mean_loss")]
+    g = t.groupBy(*by).agg(*sums)
+    lr = lr_uc(F.col("breaches"), F.col("days"), level)
+    g = g.withColumn("lr_uc", lr).withColumn("p_uc", upper_tail_chi2_1(F.col("lr_uc"))).withColumn("rate", F.col("breaches") / F.col("days")).withColumn("expected_rate", level).withColumn("reject_uc", F.col("lr_uc") > CHI2_1)
+    # the pooled rate is that of the day before, as the method's source has it; a series of one day has no transition
+    n00, n01, n10, n11 = (F.coalesce(F.col(f"n{a}{b}").cast("double"), F.lit(0.0)) for a in (0, 1) for b in (0, 1))
+    share = lambda x, y: F.coalesce(F.try_divide(x, y), F.lit(0.0))
+    p01, p11, pi = share(n01, n00 + n01), share(n11, n10 + n11), share(n10 + n11, n00 + n01 + n10 + n11)
+    term = lambda n, p: F.when((n > 0) & (p > 0), n * F.ln(p)).otherwise(0.0)
+    null = term(n00 + n10, 1 - pi) + term(n01 + n11, pi)
+    free = term(n00, 1 - p01) + term(n01, p01) + term(n10, 1 - p11) + term(n11, p11)
+    g = g.withColumn("pi01", p01).withColumn("pi11", p11).withColumn("lr_ind", -2 * (null - free))
+    g = g.withColumn("lr_cc", F.col("lr_uc") + F.col("lr_ind")).withColumn("p_cc", F.exp(-F.col("lr_cc") / 2)).withColumn("reject_cc", F.col("lr_cc") > CHI2_2)
+    if "es" not in tested.columns:
+        return g
+    z2 = F.when(F.col("breaches") > 0, F.col("_s") / F.col("days") + 1).otherwise(0.0)
+    return g.withColumn("z2", z2).withColumn("es_ratio", F.try_divide("mean_loss", "mean_es")).drop("_s")
+
+
+UC = ("breaches", "days", "lr_uc", "p_uc", "rate", "expected_rate", "reject_uc")
+CC = ("n00", "n01", "n10", "n11", "pi01", "pi11", "lr_ind", "lr_cc", "p_cc", "reject_cc")
+
+
 def kupiec(tested: DataFrame, alpha: float, by: Sequence[str] = ("book",)) -> DataFrame:
-    g = tested.groupBy(*by).agg(F.sum("breach").alias("breaches"), F.count("*").alias("days"))
-    lr = lr_uc(F.col("breaches"), F.col("days"), alpha)
-    return g.withColumn("lr_uc", lr).withColumn("rate", F.col("breaches") / F.col("days")).withColumn("expected_rate", F.lit(alpha)).withColumn("reject_uc", F.col("lr_uc") > CHI2_1)
+    return backtest(tested, alpha, by).select(*by, *UC)
 
 
 def christoffersen(tested: DataFrame, alpha: float, by: Sequence[str] = ("book",)) -> DataFrame:
-    """Independence and conditional coverage; the pooled rate is that of the day before, as the method's source has it."""
-    order = Window.partitionBy(*by).orderBy("date")
-    t = tested.withColumn("before", F.lag("breach").over(order))
-    n = lambda a, b: F.sum(((F.col("before") == a) & (F.col("breach") == b)).cast("int")).alias(f"n{a}{b}")
-    g = kupiec(tested, alpha, by).join(t.groupBy(*by).agg(n(0, 0), n(0, 1), n(1, 0), n(1, 1)), list(by))
-    n00, n01, n10, n11 = (F.col(f"n{a}{b}").cast("double") for a in (0, 1) for b in (0, 1))
-    pi01, pi11 = F.try_divide(n01, n00 + n01), F.try_divide(n11, n10 + n11)
-    pi = (n10 + n11) / (n00 + n01 + n10 + n11)
-    zero = F.lit(0.0)
-    p01, p11 = F.coalesce(pi01, zero), F.coalesce(pi11, zero)
-    null = xlogy(n00 + n10, 1 - pi) + xlogy(n01 + n11, pi)
-    free = xlogy(n00, 1 - p01) + xlogy(n01, p01) + xlogy(n10, 1 - p11) + xlogy(n11, p11)
-    # with no breach on a day before, or breaches only there, the pooled rate is 0 or 1 and nothing is tested
-    lr_ind = F.when((pi > 0) & (pi < 1), -2 * (null - free)).otherwise(0.0)
-    g = g.withColumn("pi01", p01).withColumn("pi11", p11).withColumn("lr_ind", lr_ind)
-    return g.withColumn("lr_cc", F.col("lr_uc") + F.col("lr_ind")).withColumn("p_cc", F.exp(-F.col("lr_cc") / 2)).withColumn("reject_cc", F.col("lr_cc") > CHI2_2)
+    """Independence and conditional coverage."""
+    return backtest(tested, alpha, by).select(*by, *UC, *CC)
 
 
 def acerbi_z2(tested: DataFrame, alpha: float, by: Sequence[str] = ("book",)) -> DataFrame:
     """Z2 = sum over breaches of r / (alpha ES) / T + 1, 0 without a breach; mean ES and loss on breach days."""
-    hit = F.col("breach") == 1
-    g = tested.groupBy(*by).agg(
-        F.sum(F.when(hit, F.col("r") / (alpha * F.col("es")))).alias("s"), F.count("*").alias("days"), F.sum("breach").alias("breaches"),
-        F.avg(F.when(hit, F.col("es"))).alias("mean_es"), F.avg(F.when(hit, -F.col("r"))).alias("mean_loss"),
-    )
-    z2 = F.when(F.col("breaches") > 0, F.col("s") / F.col("days") + 1).otherwise(0.0)
-    return g.withColumn("z2", z2).withColumn("es_ratio", F.try_divide("mean_loss", "mean_es")).drop("s")
+    return backtest(tested, alpha, by).select(*by, "days", "breaches", "mean_es", "mean_loss", "z2", "es_ratio")
 
 
 def acerbi_p_value(tested: DataFrame, alpha: float, n_boot: int = 1000, seed: int = 42, by: Sequence[str] = ("book",)) -> DataFrame:
@@ -94,17 +114,29 @@ def acerbi_p_value(tested: DataFrame, alpha: float, n_boot: int = 1000, seed: in
     return tested.select(*by, "date", "r", "var", "es").groupBy(*by).applyInPandas(simulate, schema)
 
 
-def p_value_uc(lr: float) -> float:
-    """Upper tail of the chi-square distribution with one degree of freedom."""
-    return math.erfc(math.sqrt(max(lr, 0.0) / 2))
+def full_grid(returns: DataFrame, window: int, alphas: Sequence[float] = (0.01, 0.05), methods: Sequence[str] = V.METHODS, by: Sequence[str] = ("book",)) -> DataFrame:
+    """One row for each series, method and level with all tests; forecasts and tests each take one pass."""
+    tested = breaches(V.forecast_grid(returns, window, alphas, methods, by))
+    return backtest(tested, "alpha", [*by, "method", "alpha"]).withColumn("expected_breaches", F.col("days") * F.col("alpha"))
 
 
-def full_grid(returns: DataFrame, window: int, alphas: Sequence[float] = (0.01, 0.05), methods: Sequence[str] = V.METHODS, by: Sequence[str] = ("book",)) -> DataFrame:
-    """One row for each series, method and level: coverage tests, Z2, ES summary."""
-    cells = []
-    for method in methods:
-        for alpha in alphas:
-            tested = breaches(V.rolling_var_es(returns, window, alpha, method, by))
-            cell = christoffersen(tested, alpha, by).join(acerbi_z2(tested, alpha, by).drop("days", "breaches"), list(by))
-            cells.append(cell.withColumn("method", F.lit(method)).withColumn("alpha", F.lit(alpha)).withColumn("expected_breaches", F.col("days") * alpha))
-    return reduce(DataFrame.unionByName, cells)
+def cell_summary(grid: DataFrame, by: Sequence[str] = ("book",)) -> DataFrame:
+    """The figures of each cell that are shown: breach rate and number, verdicts, consecutive breaches, ES against loss, Z2."""
+    return grid.select(
+        *by, "method", "alpha", F.col("rate").alias("breach_rate"), F.col("breaches").alias("breach_n"), F.col("reject_uc").alias("kupiec_reject"), F.col("reject_cc").alias("christ_reject"),
+        "n11", F.col("mean_loss").alias("es_real"), F.col("mean_es").alias("es_pred"), "es_ratio", F.col("z2").alias("acerbi_z2"),
+    )
+
+
+def multi_backtest(prices: DataFrame, weights: DataFrame, market: str, window: int, alphas: Sequence[float] = (0.05, 0.01), methods: Sequence[str] = ("parametric", "historic"), shared_dates: bool = False) -> DataFrame:
+    """Many books over one price panel: a row for each book, method and level with the book's period, exposures and beta.
+
+    Each book's returns come from its own tickers; with shared_dates only dates that all books have are used.
+    """
+    r = R.book_returns(prices, weights)
+    r = R.common_window(r) if shared_dates else r
+    of_market = R.simple_returns(prices.where(F.col("ticker") == market)).select("date", F.col("r").alias("m"))
+    beta = S.realized_beta(r.join(of_market, "date", "left"), "r", "m").withColumnRenamed("n", "beta_n").withColumnRenamed("alpha", "beta_alpha")
+    period = r.groupBy("book").agg(F.min("date").alias("period_start"), F.max("date").alias("period_end"), F.count("*").alias("obs"))
+    cells = cell_summary(full_grid(r, window, alphas, methods))
+    return cells.join(period, "book").join(R.exposures(weights), "book").join(beta, "book", "left")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.checks import require_known
+
 
 def sample_covariance(returns: DataFrame, scale: float = 1.0) -> DataFrame:
     """Both triangles of the sample covariance over the dates of (ticker, date, r)."""
@@ -26,9 +28,10 @@ def factor_model_covariance(betas: DataFrame, factor_cov: DataFrame, resid: Data
 
 
 def tracking_error(weights: DataFrame, reference: DataFrame, cov: DataFrame) -> DataFrame:
-    """sqrt(d' cov d) of the weight differences over the tickers of either side."""
+    """sqrt(d' cov d) of the weight differences over the tickers of either side; one without a covariance is an error."""
     d = weights.select("ticker", F.col("weight").alias("w")).join(reference.select("ticker", F.col("weight").alias("v")), "ticker", "full")
     d = d.select("ticker", (F.coalesce("w", F.lit(0.0)) - F.coalesce("v", F.lit(0.0))).alias("d"))
+    d = require_known(d, cov.select(F.col("ticker_i").alias("ticker")), "ticker", "d", "no covariance for")
     q = cov.join(d.select(F.col("ticker").alias("ticker_i"), F.col("d").alias("di")), "ticker_i").join(d.select(F.col("ticker").alias("ticker_j"), F.col("d").alias("dj")), "ticker_j")
     return q.agg(F.sqrt(F.greatest(F.sum(F.col("di") * F.col("cov") * F.col("dj")), F.lit(0.0))).alias("te"))
 

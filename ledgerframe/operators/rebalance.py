@@ -1,17 +1,26 @@
 """Model rebalancing of many accounts: validation, drift, whole-share orders, reconciliation.
 
 One row for each account holds its tickers as an array in ticker order, so sums run in that order and
-floors do not depend on partitioning; only the one-share-at-a-time top-up leaves the JVM.
+floors do not depend on partitioning. Every account takes one path without branches, so the tables
+behind it are read once.
+
+Fixed values, as results must have them: the statuses TRADED, SKIPPED_IN_BAND, EXC_INPUT, EXC_TOO_SMALL,
+EXC_INVARIANT; OK, ABORTED, FAILED_RECONCILIATION; the reasons UNKNOWN_MODEL, BAD_HOLDINGS,
+PRICE_MISSING, ABORTED_PRICE_MISSING, ABORTED_TOO_MANY_EXCLUDED; the flags CASH_SHORT, STILL_OUT_OF_BAND.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.arrays import bound
+from ..functions.checks import good_price
+
 EPSILON, VALUE_TOLERANCE = 1e-9, 0.01
+#: Share of excluded accounts over which a run is aborted (fixed value).
+MOST_EXCLUDED = 0.05
 
 
 @dataclass(frozen=True)
@@ -29,7 +38,7 @@ def validate(accounts: DataFrame, holdings: DataFrame, models: DataFrame, prices
     bad = q.isNull() | F.isnan(q) | (q < 0) | (F.abs(q) == float("inf"))
     if not fractional:
         bad = bad | (q != F.floor(q))
-    priced = prices.select("ticker", F.lit(True).alias("_priced"))
+    priced = prices.where(good_price(F.col("price"))).select("ticker", F.lit(True).alias("_priced"))
     held = holdings.join(priced, "ticker", "left").groupBy("account_id").agg(F.bool_or(bad).alias("_bad"), F.bool_or((q != 0) & F.col("_priced").isNull()).alias("_unpriced"))
     cash = F.col("cash")
     reason = (
@@ -40,17 +49,28 @@ def validate(accounts: DataFrame, holdings: DataFrame, models: DataFrame, prices
     return accounts.join(known, "model_id", "left").join(held, "account_id", "left").withColumn("reason", reason).drop("_known", "_bad", "_unpriced")
 
 
-def require_few_excluded(validated: DataFrame, most: float = 0.05) -> None:
-    share = validated.agg(F.avg(F.col("reason").isNotNull().cast("int")).alias("s")).first()["s"] or 0.0
-    if share > most:
-        raise ValueError(f"{share:.1%} of the accounts are excluded; the limit is {most:.1%}")
+def abort_reason(validated: DataFrame, models: DataFrame, prices: DataFrame, most_excluded: float = MOST_EXCLUDED) -> DataFrame:
+    """One row with abort_reason: a model ticker has no usable price, or too many accounts are excluded; null if the run may go on."""
+    good = prices.where(good_price(F.col("price"))).select("ticker")
+    bad = models.select("ticker").distinct().join(good, "ticker", "left_anti").agg(F.array_join(F.array_sort(F.collect_list("ticker")), ",").alias("bad"))
+    out = validated.agg(F.count("reason").alias("n_out"), F.count("*").alias("n_all"))
+    many = F.concat(F.lit("ABORTED_TOO_MANY_EXCLUDED: "), F.col("n_out").cast("string"), F.lit("/"), F.col("n_all").cast("string"))
+    reason = F.when(F.col("bad") != "", F.concat(F.lit("ABORTED_PRICE_MISSING: "), F.col("bad"))).when(F.col("n_out") > F.col("n_all") * F.lit(float(most_excluded)), many)
+    return bad.crossJoin(out).select(reason.alias("abort_reason"))  # one row each
+
+
+def require_fresh(prices: DataFrame, asof, most_days: int = 5) -> DataFrame:
+    """The prices (ticker, date, price); one whose date is more than most_days before asof is an error when its price is read."""
+    stale = F.datediff(F.lit(asof).cast("date"), "date") > most_days
+    return prices.withColumn("price", F.when(stale, F.raise_error(F.concat(F.lit("stale price of "), F.col("ticker")))).otherwise(F.col("price")))
 
 
 def positions(accounts: DataFrame, holdings: DataFrame, models: DataFrame, prices: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """account columns and p: array of (ticker, held, price, target) over model and held tickers."""
+    """account columns and p: array of (ticker, held, price, target) over model and held tickers; one without a usable price is an error."""
     held = holdings.where("shares <> 0").select("account_id", "ticker", F.col("shares").alias("held"))
     target = accounts.select("account_id", "model_id").join(models, "model_id").select("account_id", "ticker", (F.col("weight") * (1 - rules.cash_buffer)).alias("target"))
-    rows = held.join(accounts.select("account_id"), "account_id", "left_semi").join(target, ["account_id", "ticker"], "full").join(prices.select("ticker", "price"), "ticker")
+    rows = held.join(accounts.select("account_id"), "account_id", "left_semi").join(target, ["account_id", "ticker"], "full").join(prices.select("ticker", "price"), "ticker", "left")
+    rows = rows.withColumn("price", F.when(good_price(F.col("price")), F.col("price")).otherwise(F.raise_error(F.concat(F.lit("no usable price for "), F.col("ticker")))))
     rows = rows.fillna(0.0, ["held", "target"])
     arrays = rows.groupBy("account_id").agg(F.array_sort(F.collect_list(F.struct("ticker", "held", "price", "target"))).alias("p"))
     return accounts.join(arrays, "account_id")
@@ -76,10 +96,10 @@ def drift_band(pos: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def raw_orders(valued: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Adds o: array of (ticker, held, price, target, cap, trade), orders before the cash check."""
+    """Adds o: array of (ticker, held, price, target, cap, trade), orders before the cash check; none for accounts in their band."""
     raw = lambda x: (x["target"] * F.col("total_value") - x["held"] * x["price"]) / x["price"]
     want = lambda x: F.when(x["target"] == 0, -x["held"]).otherwise(raw(x) if rules.fractional else toward_zero(raw(x)))
-    keep = lambda x: F.when(F.abs(want(x) * x["price"]) < rules.min_trade, 0.0).otherwise(want(x))
+    keep = lambda x: F.when(F.col("in_band") | (F.abs(want(x) * x["price"]) < rules.min_trade), 0.0).otherwise(want(x))
     order = lambda x: F.struct(x["ticker"].alias("ticker"), x["held"].alias("held"), x["price"].alias("price"), x["target"].alias("target"), keep(x).alias("cap"), keep(x).alias("trade"))
     return valued.withColumn("o", F.transform("p", order)).drop("p")
 
@@ -97,29 +117,23 @@ def cash_scaled(orders: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return rows.withColumn("left", F.col("_available") - total_of(F.filter("o", lambda x: x["trade"] > 0), lambda x: x["trade"] * x["price"])).drop("_available", "_buys", "_scale")
 
 
-def _buy_one_by_one(o: list[dict], total: float, left: float) -> list[dict]:
-    """Share after share to the ticker furthest below its target that cash and its order allow."""
-    while True:
-        open_ = [x for x in o if x["trade"] < x["cap"] and x["price"] <= left]
-        if not open_:
-            return o
-        best = max(open_, key=lambda x: x["target"] * total - (x["held"] + x["trade"]) * x["price"])
-        best["trade"] += 1
-        left -= best["price"]
-
-
 def top_up(scaled: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Accounts short of cash spend what flooring left; the others pass by."""
+    """Accounts short of cash spend what flooring left: share after share to the ticker furthest below its target that cash and its order allow."""
     if rules.fractional:
         return scaled
+    open_ = F.filter("o", lambda x: x["trade"] < x["cap"])
+    most = F.least(F.floor(F.col("left") / F.array_min(F.transform(open_, lambda x: x["price"]))), total_of(open_, lambda x: x["cap"] - x["trade"]))
+    steps = F.when(F.col("cash_short") & (most > 0), F.sequence(F.lit(1), most.cast("int"))).otherwise(F.array().cast("array<int>"))
 
-    def fill(frames: Iterator) -> Iterator:
-        for pdf in frames:
-            pdf["o"] = [_buy_one_by_one([dict(x) for x in o], total, left) for o, total, left in zip(pdf["o"], pdf["total_value"], pdf["left"])]
-            yield pdf
+    def buy(state: Column, _: Column) -> Column:
+        gap = lambda x: x["target"] * F.col("total_value") - (x["held"] + x["trade"]) * x["price"]
+        allowed = lambda x: (x["trade"] < x["cap"]) & (x["price"] <= state["left"])
+        best = F.array_max(F.transform(state["o"], lambda x, i: F.when(allowed(x), F.struct(gap(x).alias("gap"), (-i).alias("i"), x["price"].alias("price")))))
+        more = lambda b: F.transform(state["o"], lambda x, i: x.withField("trade", x["trade"] + F.when(i == -b["i"], 1.0).otherwise(0.0)))
+        return bound(best, lambda b: F.when(b.isNull(), state).otherwise(F.struct(more(b).alias("o"), (state["left"] - b["price"]).alias("left"))))
 
-    short = scaled.where("cash_short").mapInPandas(fill, scaled.schema)
-    return scaled.where("not cash_short").unionByName(short)
+    done = F.aggregate(steps, F.struct(F.col("o").alias("o"), F.col("left").alias("left")), buy)["o"]
+    return scaled.withColumn("o", F.when(F.size(steps) > 0, done).otherwise(F.col("o")))
 
 
 def settle(traded: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -138,33 +152,66 @@ def settle(traded: DataFrame, rules: Rules = Rules()) -> DataFrame:
     ]
     if not rules.fractional:
         wrong.append(F.when(F.exists("o", lambda x: post(x) != F.floor(post(x))), "fractional shares"))
+    wrong = [F.when(~F.col("in_band"), w) for w in wrong]
     t = t.withColumn("violations", F.array_compact(F.array(*wrong)))
-    flags = F.array_compact(F.array(F.when(F.col("cash_short"), "CASH_SHORT"), F.when(F.col("drift_after") > rules.band, "STILL_OUT_OF_BAND")))
-    status = F.when(F.size("violations") > 0, "EXC_INVARIANT").when(F.col("n_orders") > 0, "TRADED").otherwise("EXC_TOO_SMALL")
+    flags = F.array_compact(F.array(F.when(F.col("cash_short"), "CASH_SHORT"), F.when(~F.col("in_band") & (F.col("drift_after") > rules.band), "STILL_OUT_OF_BAND")))
+    status = F.when(F.col("in_band"), "SKIPPED_IN_BAND").when(F.size("violations") > 0, "EXC_INVARIANT").when(F.col("n_orders") > 0, "TRADED").otherwise("EXC_TOO_SMALL")
     return t.withColumn("flags", flags).withColumn("status", status).drop("_post", "left", "cash_short")
 
 
 def rebalance(accounts: DataFrame, holdings: DataFrame, models: DataFrame, prices: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """One row for each valid account with its orders o, values and status."""
+    """One row for each valid account with its orders o, values and status; accounts in their band pass through without orders."""
     valued = drift_band(positions(accounts, holdings, models, prices, rules), rules)
-    out = settle(top_up(cash_scaled(raw_orders(valued.where("not in_band"), rules), rules), rules), rules)
-    idle = F.transform("p", lambda x: F.struct(x["ticker"].alias("ticker"), x["held"].alias("held"), x["price"].alias("price"), x["target"].alias("target"), F.lit(0.0).alias("cap"), F.lit(0.0).alias("trade")))
-    none = F.array().cast("array<string>")
-    skipped = valued.where("in_band").select(
-        *[c for c in valued.columns if c != "p"], idle.alias("o"), F.col("cash").alias("post_cash"), F.col("drift_before").alias("drift_after"), F.lit(0.0).alias("turnover"),
-        F.lit(0).cast("long").alias("n_orders"), none.alias("violations"), none.alias("flags"), F.lit("SKIPPED_IN_BAND").alias("status"),
-    )
-    return out.unionByName(skipped)
+    return settle(top_up(cash_scaled(raw_orders(valued, rules), rules), rules), rules)
+
 
+def run(accounts: DataFrame, holdings: DataFrame, models: DataFrame, prices: DataFrame, rules: Rules = Rules(), most_excluded: float = MOST_EXCLUDED) -> DataFrame:
+    """Every account once, excluded ones with their reason as status EXC_INPUT; no account at all if the run is aborted."""
+    checked = validate(accounts, holdings, models, prices, rules.fractional)
+    go_on = abort_reason(checked, models, prices, most_excluded).where("abort_reason is null")
+    checked = checked.crossJoin(F.broadcast(go_on)).drop("abort_reason")  # one row
+    done = rebalance(checked.where("reason is null").drop("reason"), holdings, models, prices, rules).drop("model_id", "cash")
+    out = checked.join(done, "account_id", "left")
+    return out.withColumn("status", F.when(F.col("reason").isNotNull(), "EXC_INPUT").otherwise(F.col("status")))
+
+
+def run_id(accounts: DataFrame, holdings: DataFrame, models: DataFrame, prices: DataFrame, asof, rules: Rules = Rules(), version: str = "1") -> DataFrame:
+    """One row, run_id: changes with anything that can change the orders. Rows are digested where they are, their digests added up."""
+
+    def digest(rows: DataFrame, columns: list[str]) -> DataFrame:
+        both = [F.xxhash64(F.lit(salt), *[F.col(c).cast("string") for c in columns]).cast("decimal(38,0)") for salt in (1, 2)]
+        return rows.agg(*[F.coalesce(F.sum(h), F.lit(0)).cast("string").alias(f"h{i}") for i, h in enumerate(both)], F.count("*").cast("string").alias("n")).select(F.concat_ws(":", "h0", "h1", "n").alias("d"))
 
-def run(accounts: DataFrame, holdings: DataFrame, models: DataFrame, prices: DataFrame, rules: Rules = Rules(), most_excluded: float = 1.0) -> DataFrame:
-    """Every account once: excluded ones with their reason as status EXC_VALIDATION."""
+    parts = [digest(accounts, ["account_id", "model_id", "cash"]), digest(holdings.where("shares <> 0"), ["account_id", "ticker", "shares"]), digest(models, ["model_id", "ticker", "weight"]), digest(prices, ["ticker", "price"])]
+    joined = parts[0].select(F.col("d").alias("d0"))
+    for i, part in enumerate(parts[1:], 1):
+        joined = joined.crossJoin(part.select(F.col("d").alias(f"d{i}")))  # one row each
+    settings = F.lit(f"{asof}|{rules}|{version}")
+    return joined.select(F.substring(F.sha2(F.concat_ws("|", settings, *[f"d{i}" for i in range(len(parts))]), 256), 1, 12).alias("run_id"))
+
+
+def run_summary(accounts: DataFrame, holdings: DataFrame, models: DataFrame, prices: DataFrame, rules: Rules = Rules(), most_excluded: float = MOST_EXCLUDED) -> DataFrame:
+    """One row: status (OK, ABORTED, FAILED_RECONCILIATION), abort_reason and the counts."""
     checked = validate(accounts, holdings, models, prices, rules.fractional)
-    if most_excluded < 1:
-        require_few_excluded(checked, most_excluded)
-    done = rebalance(checked.where("reason is null"), holdings, models, prices, rules)
-    out = checked.where("reason is not null").withColumn("status", F.lit("EXC_VALIDATION"))
-    return done.unionByName(out, allowMissingColumns=True)
+    reason = abort_reason(checked, models, prices, most_excluded)
+    counted = reconcile(run(accounts, holdings, models, prices, rules, most_excluded)).drop("target", "reconciled")
+    target = accounts.agg(F.count("*").alias("target"))
+    out = reason.crossJoin(counted).crossJoin(target)  # one row each
+    whole = F.col("processed") + F.col("exceptions") + F.col("skipped") == F.col("target")
+    status = F.when(F.col("abort_reason").isNotNull(), "ABORTED").when(whole, "OK").otherwise("FAILED_RECONCILIATION")
+    return out.select(status.alias("status"), "abort_reason", "target", "processed", "exceptions", "skipped")
+
+
+def account_detail(result: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """Per account a row for each ticker and one for CASH: shares, weights and drift before and after the orders."""
+    base = result.where("o is not null").select("account_id", "cash", "post_cash", "total_value", "o")
+    x = lambda c: F.col(f"x.{c}")
+    held = base.select("*", F.explode("o").alias("x")).select("account_id", "total_value", x("ticker").alias("ticker"), x("price").alias("price"), x("held").alias("shares_before"), x("trade").alias("order"), (x("held") + x("trade")).alias("shares_after"), x("target").alias("target"))
+    cash = base.select("account_id", "total_value", F.lit("CASH").alias("ticker"), F.lit(1.0).alias("price"), F.col("cash").alias("shares_before"), (F.col("post_cash") - F.col("cash")).alias("order"), F.col("post_cash").alias("shares_after"), F.lit(rules.cash_buffer).alias("target"))
+    rows = held.unionByName(cash)
+    weight = lambda c: F.col(c) * F.col("price") / F.col("total_value")
+    rows = rows.withColumn("weight_before", weight("shares_before")).withColumn("weight_after", weight("shares_after"))
+    return rows.withColumn("drift_before", F.col("weight_before") - F.col("target")).withColumn("drift_after", F.col("weight_after") - F.col("target")).drop("total_value")
 
 
 def orders_of(result: DataFrame) -> DataFrame:
@@ -188,15 +235,12 @@ def reconcile(result: DataFrame) -> DataFrame:
 
 
 def band_table(accounts: DataFrame, holdings: DataFrame, models: DataFrame, prices: DataFrame, bands, rules: Rules = Rules()) -> DataFrame:
-    """For each band: accounts, triggered, traded, too small, orders, turnover of the book, median drift after."""
-    out = None
-    for band in bands:
-        own = Rules(band, rules.cash_buffer, rules.min_trade, rules.fractional)
-        r = rebalance(accounts, holdings, models, prices, own)
-        g = r.agg(
-            F.count("*").alias("accounts"), F.sum((F.col("status") != "SKIPPED_IN_BAND").cast("long")).alias("triggered"), F.sum((F.col("status") == "TRADED").cast("long")).alias("traded"),
-            F.sum((F.col("status") == "EXC_TOO_SMALL").cast("long")).alias("too_small"), F.sum("n_orders").alias("orders"),
-            (F.sum(F.col("turnover") * F.col("total_value")) / F.sum("total_value")).alias("book_turnover"), F.percentile("drift_after", F.lit(0.5)).alias("median_drift"),
-        ).withColumn("band", F.lit(float(band)))
-        out = g if out is None else out.unionByName(g)
-    return out
+    """For each band: accounts, triggered, traded, too small, orders, turnover of the book, median drift after. Positions are made once."""
+    priced = positions(accounts, holdings, models, prices, rules).withColumn("band", F.explode(F.array(*[F.lit(float(b)) for b in bands])))
+    valued = drift_band(priced, rules).withColumn("in_band", F.col("drift_before") <= F.col("band"))
+    r = settle(top_up(cash_scaled(raw_orders(valued, rules), rules), rules), rules)
+    n = lambda c: F.sum(c.cast("long"))
+    return r.groupBy("band").agg(
+        F.count("*").alias("accounts"), n(~F.col("in_band")).alias("triggered"), n(F.col("status") == "TRADED").alias("traded"), n(F.col("status") == "EXC_TOO_SMALL").alias("too_small"), F.sum("n_orders").alias("orders"),
+        (F.sum(F.col("turnover") * F.col("total_value")) / F.sum("total_value")).alias("book_turnover"), F.percentile("drift_after", F.lit(0.5)).alias("median_drift"),
+    )

@@ -11,6 +11,9 @@ from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.arrays import linear_quantile, mean_of, states_before
+from ..functions.checks import require_known
+
 _NORMAL = NormalDist()
 METHODS = ("parametric", "historic", "fhs")
 
@@ -42,12 +45,14 @@ def rolling_parametric(returns: DataFrame, window: int, alpha: float, by: Sequen
 def rolling_historic(returns: DataFrame, window: int, alpha: float, by: Sequence[str] = ("book",)) -> DataFrame:
     """Exact quantile and the mean strictly below it (the quantile itself if nothing is)."""
     check_alpha(alpha)
-    frame = _before(window, by)
-    rows = returns.withColumn("_q", F.percentile("r", F.lit(alpha)).over(frame)).withColumn("_pool", F.collect_list("r").over(frame))
-    tail = F.filter("_pool", lambda x: x < F.col("_q"))
-    mean = F.aggregate(tail, F.lit(0.0), lambda a, x: a + x) / F.size(tail)
-    out = _forecast(rows, window, by, -F.col("_q"), F.when(F.size(tail) > 0, -mean).otherwise(-F.col("_q")))
-    return out
+    rows = returns.withColumn("_pool", F.array_sort(F.collect_list("r").over(_before(window, by))))
+    q = linear_quantile(F.col("_pool"), alpha)
+    return _forecast(rows, window, by, -q, -historic_tail(F.col("_pool"), q))
+
+
+def historic_tail(pool: Column, q: Column) -> Column:
+    """Mean strictly below the quantile, the quantile itself if nothing is."""
+    return F.coalesce(mean_of(F.filter(pool, lambda x: x < q)), q)
 
 
 def ewma_filter(returns: DataFrame, lam: float, seed: Column, by: Sequence[str] = ("book",)) -> DataFrame:
@@ -56,9 +61,7 @@ def ewma_filter(returns: DataFrame, lam: float, seed: Column, by: Sequence[str]
     seed: an expression over the columns _r (array of a series' returns in date order). One fold for each series.
     """
     lists = returns.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("date", "r"))).alias("_p")).withColumn("_r", F.col("_p.r"))
-    start = F.struct(F.array(seed.cast("double")).alias("out"), seed.cast("double").alias("s"))
-    step = lambda a, x: F.struct(F.concat(a["out"], F.array(a["s"] * lam + x * x * (1 - lam))).alias("out"), (a["s"] * lam + x * x * (1 - lam)).alias("s"))
-    sigma2 = F.aggregate(F.slice("_r", F.lit(1), F.size("_r") - 1), start, step)["out"]
+    sigma2 = states_before(F.col("_r"), seed.cast("double"), lambda a, x: a * lam + x * x * (1 - lam))
     rows = lists.withColumn("_s", sigma2).select(*by, F.explode(F.arrays_zip("_p", "_s")).alias("e"))
     return rows.select(*by, F.col("e._p.date").alias("date"), F.col("e._p.r").alias("r"), F.col("e._s").alias("sigma2"), F.try_divide(F.col("e._p.r"), F.sqrt("e._s")).alias("z"))
 
@@ -74,12 +77,37 @@ def rolling_fhs(returns: DataFrame, window: int, alpha: float, lam: float = 0.94
     """Filtered historical simulation: quantile and tail mean (up to the quantile) of standardised returns, times sigma."""
     check_alpha(alpha)
     z = ewma_filter(returns, lam, var_pop_of(window), by)
+    rows = z.withColumn("_pool", F.array_sort(F.collect_list("z").over(_before(window, by))))
+    q, sigma = linear_quantile(F.col("_pool"), alpha), F.sqrt("sigma2")
+    return _forecast(rows, window, by, -q * sigma, -mean_of(F.filter("_pool", lambda x: x <= q)) * sigma)
+
+
+def forecast_grid(returns: DataFrame, window: int, alphas: Sequence[float], methods: Sequence[str], by: Sequence[str] = ("book",), lam: float = 0.94) -> DataFrame:
+    """Forecasts of all methods and levels in one pass: by, method, alpha, date, r, var, es. Each day's pools are sorted once."""
+    for alpha in alphas:
+        check_alpha(alpha)
+    if unknown := set(methods) - set(METHODS):
+        raise KeyError(*unknown)
     frame = _before(window, by)
-    rows = z.withColumn("_q", F.percentile("z", F.lit(alpha)).over(frame)).withColumn("_pool", F.collect_list("z").over(frame))
-    tail = F.filter("_pool", lambda x: x <= F.col("_q"))
-    mean = F.aggregate(tail, F.lit(0.0), lambda a, x: a + x) / F.size(tail)
-    sigma = F.sqrt("sigma2")
-    return _forecast(rows, window, by, -F.col("_q") * sigma, F.when(F.size(tail) > 0, -mean * sigma))
+    rows = ewma_filter(returns, lam, var_pop_of(window), by) if "fhs" in methods else returns
+    rows = rows.withColumn("_nr", F.row_number().over(Window.partitionBy(*by).orderBy("date"))).withColumns({"_mu": F.avg("r").over(frame), "_sd": F.stddev_samp("r").over(frame), "_rs": F.collect_list("r").over(frame)})
+    rows = (rows.withColumn("_zs", F.collect_list("z").over(frame)) if "fhs" in methods else rows).where(F.col("_nr") > window)
+    rows = rows.withColumns({c: F.array_sort(c) for c in ("_rs", "_zs") if c in rows.columns})
+
+    def cell(method: str, alpha: float) -> Column:
+        if method == "parametric":
+            z = _NORMAL.inv_cdf(alpha)
+            var, es = -(F.col("_mu") + z * F.col("_sd")), -(F.col("_mu") - F.col("_sd") * (_NORMAL.pdf(z) / alpha))
+        elif method == "historic":
+            q = linear_quantile(F.col("_rs"), alpha)
+            var, es = -q, -historic_tail(F.col("_rs"), q)
+        else:
+            q = linear_quantile(F.col("_zs"), alpha)
+            var, es = -q * F.sqrt("sigma2"), -mean_of(F.filter("_zs", lambda x: x <= q)) * F.sqrt("sigma2")
+        return F.struct(F.lit(method).alias("method"), F.lit(float(alpha)).alias("alpha"), var.alias("var"), es.alias("es"))
+
+    cells = F.explode(F.array(*[cell(m, a) for m in methods for a in alphas]))
+    return rows.select(*by, "date", "r", cells.alias("_c")).select(*by, "_c.method", "_c.alpha", "date", "r", "_c.var", "_c.es")
 
 
 def rolling_var_es(returns: DataFrame, window: int, alpha: float, method: str, by: Sequence[str] = ("book",)) -> DataFrame:
@@ -117,7 +145,8 @@ def rolling_confidence(returns: DataFrame, confidence: float, window: int, vol_m
 
 
 def portfolio_sigma(weights: DataFrame, cov: DataFrame, by: Sequence[str] = ("book",)) -> DataFrame:
-    """sqrt(w' cov w) for each book; cov is (ticker_i, ticker_j, cov)."""
+    """sqrt(w' cov w) for each book; cov is (ticker_i, ticker_j, cov). A ticker without a covariance is an error."""
+    weights = require_known(weights, cov.select(F.col("ticker_i").alias("ticker")), "ticker", "weight", "no covariance for")
     i = weights.select(*by, F.col("ticker").alias("ticker_i"), F.col("weight").alias("wi"))
     j = weights.select(*by, F.col("ticker").alias("ticker_j"), F.col("weight").alias("wj"))
     both = i.join(cov, "ticker_i").join(j, [*by, "ticker_j"])

@@ -109,17 +109,21 @@ def _(spark, sf):
     return kept.select(F.col("l_orderkey").alias("ticker"), F.col("l_linenumber").alias("line"), F.col("l_extendedprice").alias("price"))
 
 
-@query("prices_on_trading_days", f"WITH {PANEL} SELECT ticker, date, {r8('price', 'price')} FROM panel WHERE ticker IN ('ECONOMY', 'LARGE') AND date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31' AND isodow(date) <= 5")
+@query("prices_on_trading_days", f"WITH {PANEL} SELECT ticker, date, {r8('price', 'price')} FROM panel WHERE isodow(date) <= 5")
 def _(spark, sf):
     p = T.price_panel(spark, sf)
     source = p.select("ticker", F.col("date").cast("timestamp").alias("price_date"), F.col("price").alias("adj_close_price"), F.col("price").alias("close_price"), F.lit("etf").alias("instrument_type"))
     calendar = p.select(F.col("date").alias("cal_date")).distinct().withColumn("is_trading_day", (F.weekday("cal_date") < 5).cast("int"))
-    return L.get_prices(source, calendar, ["ECONOMY", "LARGE"], "1996-01-01", "2000-12-31")
+    return L.get_prices(source, calendar, list(TICKERS), "1900-01-01", "2100-12-31")
 
 
-@query("wide_pivot", f"WITH {PANEL} SELECT date, " + ", ".join(r8(f"max(CASE WHEN ticker = '{t}' THEN price END)", t) for t in ("ECONOMY", "LARGE", "SMALL")) + " FROM panel GROUP BY date")
+TICKERS = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+
+
+@query("wide_pivot", f"WITH {PANEL}, twice AS (SELECT ticker, date, price * 2 AS price, 0 AS loaded FROM panel UNION ALL SELECT ticker, date, price, 1 FROM panel UNION ALL SELECT ticker, date, -price, -1 FROM panel) SELECT date, " + ", ".join(r8(f"arg_max(price, loaded) FILTER (WHERE ticker = '{t}')", t) for t in TICKERS) + " FROM twice GROUP BY date")
 def _(spark, sf):
-    return L.to_wide(T.price_panel(spark, sf), ["ECONOMY", "LARGE", "SMALL"])
+    p = T.price_panel(spark, sf).withColumn("version", F.explode(F.array(*[F.struct(F.lit(k).alias("loaded"), F.lit(by).alias("by")) for k, by in ((0, 2.0), (1, 1.0), (-1, -1.0))])))
+    return L.to_wide(p.select("ticker", "date", (F.col("price") * F.col("version.by")).alias("price"), F.col("version.loaded").alias("loaded")), TICKERS, order=["loaded"])
 
 
 @query("returns_simple_pad", f"WITH {GRID} SELECT ticker, date, {r8('r', 'r')} FROM ret")
@@ -137,11 +141,15 @@ def _(spark, sf):
     return R.log_returns(T.price_panel(spark, sf))
 
 
-@query("suspect_moves", f"""WITH {GRID}, f AS (SELECT unnest([{', '.join(f'CAST({x} AS DOUBLE)' for k in R.SPLIT_FACTORS for x in (k, 1.0 / k))}]) AS f),
-hit AS (SELECT ticker, date, r, bool_or(abs((1 + r) / f - 1) <= 0.6) AS split FROM ret CROSS JOIN f GROUP BY 1, 2, 3)
-SELECT ticker, date, {r8('r', 'r')}, CASE WHEN split THEN 'split' ELSE 'extreme' END AS reason FROM hit WHERE split OR abs(r) >= 0.02""")
+SPLIT = "CASE WHEN date >= DATE '1995-06-01' AND ticker = 'LARGE' THEN price / 4 WHEN date >= DATE '1996-06-01' AND ticker = 'SMALL' THEN price * 10 WHEN date >= DATE '1997-06-01' AND ticker = 'PROMO' THEN price * 1.8 ELSE price END"
+
+
+@query("suspect_moves", f"""WITH {GRID.replace("panel AS (SELECT", "panel0 AS (SELECT", 1).replace("grid AS (", f"panel AS (SELECT ticker, date, {SPLIT} AS price FROM panel0)," + chr(10) + "grid AS (", 1)}, f AS (SELECT unnest([{', '.join(f'CAST({x} AS DOUBLE)' for k in R.SPLIT_FACTORS for x in (k, 1.0 / k))}]) AS f),
+hit AS (SELECT ticker, date, r, bool_or(abs((1 + r) / f - 1) <= 0.1) AS split FROM ret CROSS JOIN f GROUP BY 1, 2, 3)
+SELECT ticker, date, {r8('r', 'r')}, CASE WHEN split THEN 'split' ELSE 'extreme' END AS reason FROM hit WHERE split OR abs(r) >= 0.75""")
 def _(spark, sf):
-    return R.flag_suspect_moves(R.simple_returns(T.price_panel(spark, sf)), tolerance=0.6, extreme=0.02)
+    """The panel with two splits and a jump that is none planted in it."""
+    return R.flag_suspect_moves(R.simple_returns(T.price_panel(spark, sf).withColumn("price", F.expr(SPLIT))))
 
 
 @query("exposures", f"SELECT book, {r8('sum(abs(weight))', 'gross')}, {r8('sum(weight)', 'net')} FROM {values(BOOKS, 'book, ticker, weight')} GROUP BY book")
@@ -267,27 +275,34 @@ def _(spark, sf):
 
 # --- VaR, ES, backtests -------------------------------------------------------------------------------------------
 
-Z = V._NORMAL.inv_cdf(ALPHA)
-PDF = V._NORMAL.pdf(Z)
 FRAME = f"(PARTITION BY book ORDER BY date ROWS BETWEEN {W} PRECEDING AND 1 PRECEDING)"
-PARAM = BOOKRET + f""",
-fc AS (SELECT * FROM (SELECT book, date, r, -(avg(r) OVER {FRAME} + ({Z}) * stddev_samp(r) OVER {FRAME}) AS var, -(avg(r) OVER {FRAME} - stddev_samp(r) OVER {FRAME} * {PDF / ALPHA}) AS es, row_number() OVER (PARTITION BY book ORDER BY date) AS nr FROM bret) WHERE nr > {W})"""
-HIST = BOOKRET + f""",
-pool AS (SELECT book, date, r, quantile_cont(r, {ALPHA}) OVER {FRAME} AS q, list(r) OVER {FRAME} AS xs, row_number() OVER (PARTITION BY book ORDER BY date) AS nr FROM bret),
+
+
+def param(alpha: float) -> str:
+    z = V._NORMAL.inv_cdf(alpha)
+    return BOOKRET + f""",
+fc AS (SELECT * FROM (SELECT book, date, r, -(avg(r) OVER {FRAME} + ({z}) * stddev_samp(r) OVER {FRAME}) AS var, -(avg(r) OVER {FRAME} - stddev_samp(r) OVER {FRAME} * {V._NORMAL.pdf(z) / alpha}) AS es, row_number() OVER (PARTITION BY book ORDER BY date) AS nr FROM bret) WHERE nr > {W})"""
+
+
+def hist(alpha: float) -> str:
+    return BOOKRET + f""",
+pool AS (SELECT book, date, r, quantile_cont(r, {alpha}) OVER {FRAME} AS q, list(r) OVER {FRAME} AS xs, row_number() OVER (PARTITION BY book ORDER BY date) AS nr FROM bret),
 fc AS (SELECT book, date, r, -q AS var, coalesce(-list_avg(list_filter(xs, lambda x: x < q)), -q) AS es FROM pool WHERE nr > {W})"""
-FOLD = BOOKRET + f""",
-seeded AS (SELECT book, list(date ORDER BY date) AS ds, list(r ORDER BY date) AS rs FROM bret GROUP BY book),
-seed AS (SELECT book, ds, rs, list_var_pop(rs[1:{W}]) AS s0 FROM seeded),
-ix AS (SELECT book, ds, rs, s0, unnest(generate_series(1, len(rs))) AS i FROM seed),
-sig AS (SELECT book, ds[i] AS date, rs[i] AS r, CASE WHEN i = 1 THEN s0 ELSE list_reduce(rs[1:i - 1], lambda a, x: a * 0.94 + x * x * 0.06, s0) END AS sigma2 FROM ix)"""
+
+
+PARAM, HIST = param(ALPHA), hist(ALPHA)
 EWMA = BOOKRET.replace("WITH ", "") + f""",
 n AS (SELECT book, date, r, row_number() OVER (PARTITION BY book ORDER BY date) AS i FROM bret),
 seed AS (SELECT book, var_pop(r) AS s0 FROM n WHERE i <= {W} GROUP BY book),
 sig AS (SELECT n.book, n.date, n.r, n.i, pow(0.94, n.i - 1) * s0 + coalesce(0.06 * pow(0.94, n.i - 1) * sum(n.r * n.r / pow(0.94, n.i)) OVER (PARTITION BY n.book ORDER BY n.date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sigma2 FROM n JOIN seed USING (book))"""
-FHS = EWMA + f""",
+def fhs(alpha: float) -> str:
+    return EWMA + f""",
 z AS (SELECT *, r / sqrt(sigma2) AS z FROM sig),
-pool AS (SELECT book, date, r, i, sigma2, quantile_cont(z, {ALPHA}) OVER {FRAME} AS q, list(z) OVER {FRAME} AS xs FROM z),
+pool AS (SELECT book, date, r, i, sigma2, quantile_cont(z, {alpha}) OVER {FRAME} AS q, list(z) OVER {FRAME} AS xs FROM z),
 fc AS (SELECT book, date, r, -q * sqrt(sigma2) AS var, -list_avg(list_filter(xs, lambda x: x <= q)) * sqrt(sigma2) AS es FROM pool WHERE i > {W})"""
+
+
+FHS = fhs(ALPHA)
 FC = f"SELECT book, date, {r8('r', 'r')}, {r8('var', 'var')}, {r8('es', 'es')} FROM fc"
 
 
@@ -337,34 +352,47 @@ def tested(fc: str) -> str:
     return fc + ", hit AS (SELECT *, CASE WHEN r < -var THEN 1 ELSE 0 END AS breach FROM fc)"
 
 
-def lr_sql(n: str = "b", t: str = "t") -> str:
-    return f"(-2 * ({XL(f'({t} - {n})', str(1 - ALPHA))} + {XL(n, str(ALPHA))} - {XL(f'({t} - {n})', f'(1 - {n} / {t})')} - {XL(n, f'({n} / {t})')}))"
+def lr_sql(alpha: float, n: str = "b", t: str = "t") -> str:
+    return f"(-2 * ({XL(f'({t} - {n})', str(1 - alpha))} + {XL(n, str(alpha))} - {XL(f'({t} - {n})', f'(1 - {n} / {t})')} - {XL(n, f'({n} / {t})')}))"
+
 
+def coverage(alpha: float) -> str:
+    """u: breaches, days, ratio and its upper tail (series of the error function with log-gamma terms)."""
+    y = "sqrt(greatest(lr, 0) / 2)"
+    tail = f"CASE WHEN lr <= 1e-300 THEN 1.0 ELSE greatest(0, 1 - 2 / sqrt(pi()) * exp(-greatest(lr, 0) / 2) * list_sum(list_transform(generate_series(0, 200), lambda n: exp(2 * n * ln(2) + (2 * n + 1) * ln({y}) + lgamma(n + 1) - lgamma(2 * n + 2))))) END"
+    return f"k AS (SELECT book, CAST(sum(breach) AS DOUBLE) AS b, CAST(count(*) AS DOUBLE) AS t FROM hit GROUP BY book), u0 AS (SELECT book, b, t, {lr_sql(alpha)} AS lr FROM k), u AS (SELECT *, {tail} AS pu FROM u0)"
 
-KUPIEC = f"k AS (SELECT book, CAST(sum(breach) AS DOUBLE) AS b, CAST(count(*) AS DOUBLE) AS t FROM hit GROUP BY book), u AS (SELECT book, b, t, {lr_sql()} AS lr FROM k)"
 
+def uc_columns(alpha: float) -> str:
+    return f"CAST(b AS BIGINT) AS breaches, CAST(t AS BIGINT) AS days, {r8('lr', 'lr_uc')}, {r8('pu', 'p_uc')}, {r8('b / t', 'rate')}, CAST({alpha} AS DOUBLE) AS expected_rate, lr > 3.841 AS reject_uc"
 
-@query("kupiec", f"WITH {tested(HIST)}, {KUPIEC} SELECT book, CAST(b AS BIGINT) AS breaches, CAST(t AS BIGINT) AS days, {r8('lr', 'lr_uc')}, {r8('b / t', 'rate')}, CAST({ALPHA} AS DOUBLE) AS expected_rate, lr > 3.841 AS reject_uc FROM u")
+
+@query("kupiec", f"WITH {tested(HIST)}, {coverage(ALPHA)} SELECT book, {uc_columns(ALPHA)} FROM u")
 def _(spark, sf):
     return B.kupiec(B.breaches(V.rolling_historic(book_ret(spark, sf), W, ALPHA)), ALPHA)
 
 
+XP = lambda n, p: f"(CASE WHEN {n} > 0 AND {p} > 0 THEN {n} * ln({p}) ELSE 0.0 END)"
 CHRIS = """tr AS (SELECT book, breach, lag(breach) OVER (PARTITION BY book ORDER BY date) AS before FROM hit),
 c AS (SELECT book, """ + ", ".join(f"CAST(sum(CASE WHEN before = {a} AND breach = {b} THEN 1 ELSE 0 END) AS DOUBLE) AS n{a}{b}" for a in (0, 1) for b in (0, 1)) + """ FROM tr GROUP BY book),
-p AS (SELECT *, coalesce(n01 / nullif(n00 + n01, 0), 0) AS p01, coalesce(n11 / nullif(n10 + n11, 0), 0) AS p11, (n10 + n11) / (n00 + n01 + n10 + n11) AS pi FROM c),
-i AS (SELECT *, CASE WHEN pi > 0 AND pi < 1 THEN -2 * (""" + XL("(n00 + n10)", "(1 - pi)") + " + " + XL("(n01 + n11)", "pi") + " - " + XL("n00", "(1 - p01)") + " - " + XL("n01", "p01") + " - " + XL("n10", "(1 - p11)") + " - " + XL("n11", "p11") + ") ELSE 0.0 END AS li FROM p)"
+p AS (SELECT *, coalesce(n01 / nullif(n00 + n01, 0), 0) AS p01, coalesce(n11 / nullif(n10 + n11, 0), 0) AS p11, coalesce((n10 + n11) / nullif(n00 + n01 + n10 + n11, 0), 0) AS pi FROM c),
+i AS (SELECT *, -2 * (""" + XP("(n00 + n10)", "(1 - pi)") + " + " + XP("(n01 + n11)", "pi") + " - " + XP("n00", "(1 - p01)") + " - " + XP("n01", "p01") + " - " + XP("n10", "(1 - p11)") + " - " + XP("n11", "p11") + ") AS li FROM p)"
+CC_COLUMNS = f"CAST(n00 AS BIGINT) AS n00, CAST(n01 AS BIGINT) AS n01, CAST(n10 AS BIGINT) AS n10, CAST(n11 AS BIGINT) AS n11, {r8('p01', 'pi01')}, {r8('p11', 'pi11')}, {r8('li', 'lr_ind')}, {r8('lr + li', 'lr_cc')}, {r8('exp(-(lr + li) / 2)', 'p_cc')}, lr + li > 5.991 AS reject_cc"
 
 
-@query("christoffersen", f"""WITH {tested(PARAM)}, {KUPIEC}, {CHRIS} SELECT book, CAST(b AS BIGINT) AS breaches, CAST(t AS BIGINT) AS days, {r8('lr', 'lr_uc')}, {r8('b / t', 'rate')}, CAST({ALPHA} AS DOUBLE) AS expected_rate, lr > 3.841 AS reject_uc,
-CAST(n00 AS BIGINT) AS n00, CAST(n01 AS BIGINT) AS n01, CAST(n10 AS BIGINT) AS n10, CAST(n11 AS BIGINT) AS n11, {r8('p01', 'pi01')}, {r8('p11', 'pi11')}, {r8('li', 'lr_ind')}, {r8('lr + li', 'lr_cc')}, {r8('exp(-(lr + li) / 2)', 'p_cc')}, lr + li > 5.991 AS reject_cc FROM u JOIN i USING (book)""")
+@query("christoffersen", f"WITH {tested(PARAM)}, {coverage(ALPHA)}, {CHRIS} SELECT book, {uc_columns(ALPHA)}, {CC_COLUMNS} FROM u JOIN i USING (book)")
 def _(spark, sf):
     return B.christoffersen(B.breaches(V.rolling_parametric(book_ret(spark, sf), W, ALPHA)), ALPHA)
 
 
-ACERBI = f"SELECT book, count(*) AS days, sum(breach) AS b, sum(CASE WHEN breach = 1 THEN r / ({ALPHA} * es) END) AS s, avg(CASE WHEN breach = 1 THEN es END) AS me, avg(CASE WHEN breach = 1 THEN -r END) AS ml FROM hit GROUP BY book"
+def acerbi(alpha: float) -> str:
+    return f"a AS (SELECT book, count(*) AS n_days, sum(CASE WHEN breach = 1 THEN r / ({alpha} * es) END) AS s, avg(CASE WHEN breach = 1 THEN es END) AS me, avg(CASE WHEN breach = 1 THEN -r END) AS ml FROM hit GROUP BY book)"
+
 
+Z2_COLUMNS = f"{r8('me', 'mean_es')}, {r8('ml', 'mean_loss')}, {r8('CASE WHEN b > 0 THEN s / n_days + 1 ELSE 0.0 END', 'z2')}, {r8('ml / me', 'es_ratio')}"
 
-@query("acerbi_z2", f"WITH {tested(HIST)}, a AS ({ACERBI}) SELECT book, days, CAST(b AS BIGINT) AS breaches, {r8('me', 'mean_es')}, {r8('ml', 'mean_loss')}, {r8('CASE WHEN b > 0 THEN s / days + 1 ELSE 0.0 END', 'z2')}, {r8('ml / me', 'es_ratio')} FROM a")
+
+@query("acerbi_z2", f"WITH {tested(HIST)}, {coverage(ALPHA)}, {acerbi(ALPHA)} SELECT book, CAST(t AS BIGINT) AS days, CAST(b AS BIGINT) AS breaches, {Z2_COLUMNS} FROM a JOIN u USING (book)")
 def _(spark, sf):
     return B.acerbi_z2(B.breaches(V.rolling_historic(book_ret(spark, sf), W, ALPHA)), ALPHA)
 
@@ -374,11 +402,27 @@ def _(spark, sf):
     return P.rolling_breaches(B.breaches(V.rolling_parametric(book_ret(spark, sf), W, ALPHA)), ALPHA).select("book", "date", "breaches", "expected")
 
 
-@query("full_grid")
+FORECASTS = {"parametric": param, "historic": hist, "fhs": fhs}
+GRID_CELLS = " UNION ALL ".join(
+    f"(WITH {tested(FORECASTS[m](a))}, {coverage(a)}, {CHRIS}, {acerbi(a)} SELECT book, '{m}' AS method, CAST({a} AS DOUBLE) AS alpha, b, t, {uc_columns(a)}, {CC_COLUMNS}, {Z2_COLUMNS}, {r8(f't * {a}', 'expected_breaches')} FROM u JOIN i USING (book) JOIN a USING (book))"
+    for m in FORECASTS for a in (0.01, 0.05)
+)
+
+
+@query("full_grid", f"SELECT * EXCLUDE (b, t) FROM ({GRID_CELLS})")
 def _(spark, sf):
     return B.full_grid(book_ret(spark, sf), W)
 
 
+@query("multi_backtest", f"""SELECT book, method, alpha, rate AS breach_rate, breaches AS breach_n, reject_uc AS kupiec_reject, reject_cc AS christ_reject, n11, mean_loss AS es_real, mean_es AS es_pred, es_ratio, z2 AS acerbi_z2, period_start, period_end, obs, gross, net, beta, beta_alpha, r2, beta_n
+FROM ({GRID_CELLS}) JOIN (WITH {BOOKRET} SELECT book, min(date) AS period_start, max(date) AS period_end, count(*) AS obs FROM bret GROUP BY book) USING (book)
+JOIN (SELECT book, {r8('sum(abs(weight))', 'gross')}, {r8('sum(weight)', 'net')} FROM {values(BOOKS, 'book, ticker, weight')} GROUP BY book) USING (book)
+JOIN (WITH {BOOKRET}, m AS (SELECT date, r AS m FROM (SELECT date, price / lag(price) OVER (ORDER BY date) - 1 AS r FROM panel WHERE ticker = 'STANDARD') WHERE r IS NOT NULL) SELECT book, {r8('regr_slope(r, m)', 'beta')}, {r8('regr_intercept(r, m)', 'beta_alpha')}, {r8('regr_r2(r, m)', 'r2')}, count(*) AS beta_n FROM bret JOIN m USING (date) GROUP BY book) USING (book)
+WHERE method <> 'fhs'""")
+def _(spark, sf):
+    return B.multi_backtest(T.price_panel(spark, sf), books(spark), "STANDARD", W)
+
+
 @query("bootstrap_ci")
 def _(spark, sf):
     return V.bootstrap_quantile(book_ret(spark, sf), ALPHA, 200)
@@ -530,6 +574,13 @@ pos AS (SELECT coalesce(h.account_id, t.account_id) AS account_id, coalesce(h.ti
 pp AS (SELECT pos.*, px.price FROM pos JOIN px USING (ticker)),
 tot AS (SELECT account_id, ok.cash + list_reduce(list_prepend(0.0, list(held * price ORDER BY ticker)), lambda a, x: a + x) AS total_value FROM pp JOIN ok USING (account_id) GROUP BY account_id, ok.cash),
 dr AS (SELECT account_id, max(abs(held * price / total_value - target)) AS drift FROM pp JOIN tot USING (account_id) GROUP BY account_id)"""
+
+
+def fold(items: str) -> str:
+    """Sum of a list in its order."""
+    return f"list_reduce(list_prepend(0.0, {items}), lambda a, x: a + x)"
+
+
 RAW = DRIFT + """,
 want AS (SELECT pp.account_id, ticker, held, price, target, total_value, CASE WHEN target = 0 THEN -held WHEN (target * total_value - held * price) / price > 0 THEN floor((target * total_value - held * price) / price + 1e-9) ELSE ceil((target * total_value - held * price) / price - 1e-9) END AS cap FROM pp JOIN tot USING (account_id) JOIN dr USING (account_id) WHERE drift > 0.05)"""
 SCALED = RAW + """,
@@ -563,43 +614,86 @@ def _(spark, sf):
 
 @query("raw_orders", f"WITH {RAW} SELECT account_id, ticker, {r8('price', 'price')}, CAST(cap AS BIGINT) AS shares FROM want WHERE cap <> 0")
 def _(spark, sf):
-    rows = M.raw_orders(valued(spark, sf).where("not in_band")).select("account_id", F.explode("o").alias("x"))
+    rows = M.raw_orders(valued(spark, sf)).select("account_id", F.explode("o").alias("x"))
     return rows.select("account_id", "x.ticker", "x.price", F.col("x.cap").cast("long").alias("shares")).where("shares <> 0")
 
 
 @query("cash_scaled_orders", f"WITH {SCALED} SELECT account_id, ticker, cash_short, CAST(trade AS BIGINT) AS shares FROM scaled WHERE trade <> 0")
 def _(spark, sf):
-    rows = M.cash_scaled(M.raw_orders(valued(spark, sf).where("not in_band"))).select("account_id", "cash_short", F.explode("o").alias("x"))
+    rows = M.cash_scaled(M.raw_orders(valued(spark, sf))).select("account_id", "cash_short", F.explode("o").alias("x"))
     return rows.select("account_id", "x.ticker", "cash_short", F.col("x.trade").cast("long").alias("shares")).where("shares <> 0")
 
 
-@query("rebalance_orders")
+TOPPED = SCALED + """,
+st0 AS (SELECT s.account_id, w.total_value, av.available, list(struct_pack(ticker := s.ticker, held := w.held, price := s.price, target := w.target, cap := s.cap, trade := s.trade) ORDER BY s.ticker) AS o FROM scaled s JOIN want w USING (account_id, ticker) JOIN av USING (account_id) WHERE s.cash_short GROUP BY 1, 2, 3),
+tu AS (SELECT account_id, total_value, 0 AS step, available - """ + fold("list_transform(o, lambda x: CASE WHEN x.trade > 0 THEN x.trade * x.price ELSE 0.0 END)") + """ AS l, o FROM st0
+ UNION ALL SELECT account_id, total_value, step + 1, l - o[best].price, list_transform(o, lambda x, i: struct_pack(ticker := x.ticker, held := x.held, price := x.price, target := x.target, cap := x.cap, trade := x.trade + CASE WHEN i = best THEN 1.0 ELSE 0.0 END))
+ FROM (SELECT *, list_position(gaps, list_max(gaps)) AS best FROM (SELECT *, list_transform(o, lambda x: CASE WHEN x.trade < x.cap AND x.price <= l THEN x.target * total_value - (x.held + x.trade) * x.price END) AS gaps FROM tu) WHERE list_max(gaps) IS NOT NULL)),
+fin AS (SELECT account_id, x.ticker AS ticker, x.held AS held, x.price AS price, x.target AS target, x.trade AS trade FROM (SELECT account_id, unnest(o) AS x FROM (SELECT * FROM tu QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY step DESC) = 1))
+ UNION ALL SELECT account_id, ticker, held, price, target, cap FROM want SEMI JOIN (SELECT account_id FROM scaled WHERE NOT cash_short) USING (account_id)),
+sp AS (SELECT account_id, """ + fold("list(trade * price ORDER BY ticker)") + " AS spent, " + fold("list(abs(trade * price) ORDER BY ticker)") + " AS moved, " + fold("list((held + trade) * price ORDER BY ticker)") + """ AS after, count(*) FILTER (WHERE trade <> 0) AS n_orders FROM fin GROUP BY 1),
+da AS (SELECT account_id, max(abs((held + trade) * price / (ok.cash - spent + after) - target)) AS drift_after FROM fin JOIN sp USING (account_id) JOIN ok USING (account_id) GROUP BY 1),
+short AS (SELECT account_id, bool_or(cash_short) AS cash_short FROM scaled GROUP BY 1),
+done AS (SELECT ok.account_id, ok.model_id, total_value, drift AS drift_before, coalesce(drift_after, drift) AS drift_after, coalesce(moved / 2 / total_value, 0.0) AS turnover, ok.cash - coalesce(spent, 0) AS post_cash, coalesce(n_orders, 0) AS n_orders, coalesce(cash_short, false) AS cash_short,
+ CASE WHEN sp.account_id IS NULL THEN 'SKIPPED_IN_BAND' WHEN n_orders > 0 THEN 'TRADED' ELSE 'EXC_TOO_SMALL' END AS status
+ FROM ok JOIN tot USING (account_id) JOIN dr USING (account_id) LEFT JOIN sp USING (account_id) LEFT JOIN da USING (account_id) LEFT JOIN short USING (account_id))"""
+
+
+@query("rebalance_orders", f"WITH RECURSIVE {TOPPED} SELECT account_id, ticker, {r8('abs(trade)', 'shares')}, CASE WHEN trade > 0 THEN 'BUY' ELSE 'SELL' END AS side, {r8('price', 'price')}, {r8('abs(trade) * price', 'notional')} FROM fin WHERE trade <> 0")
 def _(spark, sf):
     return M.orders_of(M.rebalance(*valid_book(spark, sf)))
 
 
-@query("rebalance_accounts")
+@query("rebalance_accounts", f"""WITH RECURSIVE {TOPPED} SELECT val.account_id, val.model_id, coalesce(status, 'EXC_INPUT') AS status, reason, CASE WHEN status IS NULL THEN NULL WHEN status = 'SKIPPED_IN_BAND' THEN '' ELSE concat_ws(';', CASE WHEN cash_short THEN 'CASH_SHORT' END, CASE WHEN drift_after > 0.05 THEN 'STILL_OUT_OF_BAND' END) END AS flags,
+{r8('total_value', 'total_value')}, {r8('drift_before', 'drift_before')}, {r8('drift_after', 'drift_after')}, {r8('turnover', 'turnover')}, {r8('post_cash', 'post_cash')}, n_orders FROM val LEFT JOIN done USING (account_id)""")
 def _(spark, sf):
-    r = M.run(*book(spark, sf))
+    r = M.run(*book(spark, sf), most_excluded=1.0)
     return r.select("account_id", "model_id", "status", "reason", F.array_join("flags", ";").alias("flags"), "total_value", "drift_before", "drift_after", "turnover", "post_cash", "n_orders")
 
 
-@query("run_reconcile")
+COUNTS_SQL = "count(*) AS target, count(*) FILTER (WHERE status = 'TRADED') AS processed, count(*) FILTER (WHERE status = 'EXC_TOO_SMALL' OR reason IS NOT NULL) AS exceptions, count(*) FILTER (WHERE status = 'SKIPPED_IN_BAND') AS skipped"
+
+
+@query("run_reconcile", f"WITH RECURSIVE {TOPPED}, n AS (SELECT {COUNTS_SQL} FROM val LEFT JOIN done USING (account_id)) SELECT *, target = processed + exceptions + skipped AS reconciled FROM n")
+def _(spark, sf):
+    return M.reconcile(M.run(*book(spark, sf), most_excluded=1.0))
+
+
+@query("run_summary", f"WITH RECURSIVE {TOPPED}, n AS (SELECT {COUNTS_SQL} FROM val LEFT JOIN done USING (account_id)) SELECT CASE WHEN target = processed + exceptions + skipped THEN 'OK' ELSE 'FAILED_RECONCILIATION' END AS status, CAST(NULL AS VARCHAR) AS abort_reason, target, processed, exceptions, skipped FROM n")
+def _(spark, sf):
+    return M.run_summary(*book(spark, sf), most_excluded=1.0)
+
+
+@query("run_aborted", f"WITH {BOOK} SELECT 'ABORTED' AS status, 'ABORTED_TOO_MANY_EXCLUDED: ' || count(reason) || '/' || count(*) AS abort_reason, count(*) AS target, CAST(0 AS BIGINT) AS processed, CAST(0 AS BIGINT) AS exceptions, CAST(0 AS BIGINT) AS skipped FROM val")
 def _(spark, sf):
-    return M.reconcile(M.run(*book(spark, sf)))
+    """At the limit of 5 % the accounts of a model that is not listed abort the run."""
+    return M.run_summary(*book(spark, sf)).fillna(0, ["processed", "exceptions", "skipped"])
 
 
-@query("rerun_noop")
+@query("account_detail", f"""WITH RECURSIVE {TOPPED}, every AS (SELECT account_id, ticker, held, price, target, trade FROM fin UNION ALL SELECT account_id, ticker, held, price, target, 0.0 FROM pp ANTI JOIN sp USING (account_id)),
+rw AS (SELECT account_id, ticker, price, held AS b, trade AS t, held + trade AS a, target FROM every UNION ALL SELECT account_id, 'CASH', 1.0, ok.cash, post_cash - ok.cash, post_cash, 0.02 FROM done JOIN ok USING (account_id))
+SELECT account_id, ticker, {r8('price', 'price')}, {r8('b', 'shares_before')}, {r8('t', '"order"')}, {r8('a', 'shares_after')}, {r8('target', 'target')}, {r8('b * price / total_value', 'weight_before')}, {r8('a * price / total_value', 'weight_after')}, {r8('b * price / total_value - target', 'drift_before')}, {r8('a * price / total_value - target', 'drift_after')} FROM rw JOIN tot USING (account_id)""")
 def _(spark, sf):
+    return M.account_detail(M.rebalance(*valid_book(spark, sf)))
+
+
+@query("rerun_noop", f"""WITH RECURSIVE {TOPPED}, again AS (SELECT f.account_id, max(abs((held + trade) * price / (ok.cash - spent + after) - target)) AS drift FROM (SELECT account_id, ticker, held, price, target, trade FROM fin UNION ALL SELECT account_id, ticker, held, price, target, 0.0 FROM pp ANTI JOIN sp USING (account_id)) f
+JOIN ok USING (account_id) LEFT JOIN (SELECT account_id, spent, after FROM sp UNION ALL SELECT account_id, 0.0, {fold('list(held * price ORDER BY ticker)')} FROM pp ANTI JOIN sp USING (account_id) GROUP BY 1) USING (account_id) GROUP BY 1)
+SELECT count(*) AS accounts, count(*) FILTER (WHERE drift <= 0.05) AS skipped FROM again""")
+def _(spark, sf):
+    """A second run on what the first one left: how many accounts are within their band now."""
     a, h, m, p = valid_book(spark, sf)
-    first = M.rebalance(a, h, m, p).where("status <> 'EXC_INVARIANT'").persist()  # keeps the second plan small
-    again = M.rebalance(first.select("account_id", "model_id", F.col("post_cash").alias("cash")), M.post_holdings(first), m, p)
-    return again.groupBy("status").agg(F.count("*").alias("n"), F.sum("n_orders").alias("orders"))
+    first = M.rebalance(a, h, m, p)
+    again = M.drift_band(M.positions(first.select("account_id", "model_id", F.col("post_cash").alias("cash")), M.post_holdings(first), m, p))
+    return again.agg(F.count("*").alias("accounts"), F.sum(F.col("in_band").cast("long")).alias("skipped"))
+
+
+BANDS = (0.02, 0.05, 0.1)
 
 
-@query("band_table")
+@query("band_table", " UNION ALL ".join(f"(WITH RECURSIVE {TOPPED.replace('drift > 0.05', f'drift > {b}')} SELECT CAST({b} AS DOUBLE) AS band, count(*) AS accounts, count(*) FILTER (WHERE status <> 'SKIPPED_IN_BAND') AS triggered, count(*) FILTER (WHERE status = 'TRADED') AS traded, count(*) FILTER (WHERE status = 'EXC_TOO_SMALL') AS too_small, CAST(sum(n_orders) AS BIGINT) AS orders, {r8('sum(turnover * total_value) / sum(total_value)', 'book_turnover')}, {r8('quantile_cont(drift_after, 0.5)', 'median_drift')} FROM done)" for b in BANDS))
 def _(spark, sf):
-    return M.band_table(*valid_book(spark, sf), [0.02, 0.05, 0.1])
+    return M.band_table(*valid_book(spark, sf), BANDS)
 
 
 # --- attribution --------------------------------------------------------------------------------------------------

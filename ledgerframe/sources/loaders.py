@@ -38,9 +38,13 @@ def get_prices(prices: DataFrame, calendar: DataFrame, tickers: Sequence[str], s
     return keep_last(rows, ["ticker", "date"], ["price_date", column]).select("ticker", "date", F.col(column).alias("price"))
 
 
-def to_wide(prices: DataFrame, tickers: Sequence[str], value: str = "price") -> DataFrame:
-    """date and one column for each ticker."""
-    return prices.groupBy("date").pivot("ticker", list(tickers)).agg(F.max(value))
+def to_wide(prices: DataFrame, tickers: Sequence[str], value: str = "price", order: Sequence[str] = ()) -> DataFrame:
+    """date and one column for each ticker, by date. Of rows for one ticker and date the last in `order` stands; without an order they are an error."""
+    if order:
+        cell = F.max_by(value, F.struct(*order))
+    else:
+        cell = F.when(F.count("*") > 1, F.raise_error(F.lit("rows for one ticker and date need an order"))).otherwise(F.max(value))
+    return prices.groupBy("date").pivot("ticker", list(tickers)).agg(cell).orderBy("date")
 
 
 def list_portfolios(weights: DataFrame) -> DataFrame:
