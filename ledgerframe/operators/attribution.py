@@ -57,6 +57,31 @@ def implementation_effects(accounts: DataFrame, holdings: DataFrame, models: Dat
     )
 
 
+def attribution_table(accounts: DataFrame, holdings: DataFrame, models: DataFrame, benchmarks: DataFrame, prices: DataFrame, end, sleeve_of: DataFrame) -> DataFrame:
+    """One row per account with a start date, a known model and a benchmark for it: benchmark, model and account return, the sleeve effects
+    of model against benchmark, and cash, rounding and drift of the account; active = account - benchmark is their sum.
+
+    Sleeve effects depend on model and start only, so they are found once for each such pair. benchmarks: model_id, ticker, weight.
+    """
+    effects = implementation_effects(accounts, holdings, models, prices, end)
+    by = ["model_id", "start"]
+    # which pairs there are comes from the accounts, not from the effects: those are read once
+    started = accounts.where(F.col("last_rebalanced").isNotNull() & (F.col("last_rebalanced") < F.lit(end)))
+    spans = started.select("model_id", F.col("last_rebalanced").alias("start")).distinct()
+    px = prices.select("ticker", "date", "price")
+    last = px.where(F.col("date") == F.lit(end)).select("ticker", F.col("price").alias("p1"))
+    growth = px.join(last, "ticker").select("ticker", F.col("date").alias("start"), (F.col("p1") / F.col("price")).alias("growth"))
+    of_model, of_bench = spans.join(models, "model_id"), spans.join(benchmarks, "model_id")
+    sides = [sleeves(w.select(*by, "ticker", "weight"), growth, sleeve_of, by) for w in (of_model, of_bench)]
+    total = brinson(*sides, by).groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("allocation", "selection", "interaction")])
+    bench = of_bench.join(growth, ["ticker", "start"]).groupBy(*by).agg(F.sum(F.col("weight") * (F.col("growth") - 1)).alias("benchmark"))
+    rows = effects.join(bench, by).join(total, by)
+    return rows.select(
+        "account_id", *by, "benchmark", F.col("model_buy_hold").alias("model"), "account", "allocation", "selection", "interaction",
+        F.col("cash_effect").alias("cash"), F.col("rounding_effect").alias("rounding"), F.col("drift_effect").alias("drift"), (F.col("account") - F.col("benchmark")).alias("active"),
+    )
+
+
 def _model_daily(models: DataFrame, prices: DataFrame) -> DataFrame:
     from .returns import simple_returns
 

@@ -59,6 +59,13 @@ def abort_reason(validated: DataFrame, models: DataFrame, prices: DataFrame, mos
     return bad.crossJoin(out).select(reason.alias("abort_reason"))  # one row each
 
 
+def require_few_excluded(validated: DataFrame, most: float = MOST_EXCLUDED) -> None:
+    """ValueError if more than that share of the accounts is excluded."""
+    share = validated.agg(F.avg(F.col("reason").isNotNull().cast("int")).alias("s")).first()["s"] or 0.0
+    if share > most:
+        raise ValueError(f"{share:.1%} of the accounts are excluded; the limit is {most:.1%}")
+
+
 def require_fresh(prices: DataFrame, asof, most_days: int = 5) -> DataFrame:
     """The prices (ticker, date, price); one whose date is more than most_days before asof is an error when its price is read."""
     stale = F.datediff(F.lit(asof).cast("date"), "date") > most_days

@@ -63,6 +63,18 @@ def long_short(returns: DataFrame, legs: DataFrame) -> DataFrame:
     return leg.groupBy("date").agg(pick("LONG").alias("long"), pick("SHORT").alias("short")).withColumn("spread", F.col("long") - F.col("short"))
 
 
+def leg_series(returns: DataFrame, legs: DataFrame, benchmark: DataFrame | None = None) -> DataFrame:
+    """series (LONG, SHORT, SPREAD, BENCHMARK), date, r. The spread has the dates of both legs; an empty leg has no rows and leaves no spread.
+
+    The input of `cumulative` and `performance_stats` by series. benchmark: date, r; its rows on the legs' dates are used.
+    """
+    one = long_short(returns, legs)
+    rows = one.select("date", F.explode(F.create_map(F.lit("LONG"), "long", F.lit("SHORT"), "short", F.lit("SPREAD"), "spread")).alias("series", "r")).where("r is not null").select("series", "date", "r")
+    if benchmark is None:
+        return rows
+    return rows.unionByName(benchmark.join(one.select("date"), "date", "left_semi").where("r is not null").select(F.lit("BENCHMARK").alias("series"), "date", "r"))
+
+
 def turnover(now: DataFrame, before: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Two-way sum of weight changes over the tickers of either; gross where there is no book before."""
     a = now.select(*by, "ticker", F.col("weight").alias("w"))

@@ -260,6 +260,31 @@ def _(spark, sf):
     return P.long_short(R.simple_returns(T.price_panel(spark, sf), dropna="all"), literal(spark, LEGS, "ticker string, position string, abs_weight double"))
 
 
+LEG_SERIES = f"""{GRID}, {LEGS_SQL}, alldates AS (SELECT * FROM (SELECT *, count(r) OVER (PARTITION BY date) AS k FROM raw) WHERE k > 0),
+leg AS (SELECT position, date, sum(coalesce(r, 0) * share) AS r FROM alldates JOIN legs USING (ticker) GROUP BY 1, 2),
+bm AS (SELECT date, r FROM (SELECT date, price / lag(price) OVER (ORDER BY date) - 1 AS r FROM panel WHERE ticker = 'STANDARD') WHERE r IS NOT NULL),
+series AS (SELECT position AS series, date, r FROM leg WHERE r IS NOT NULL UNION ALL SELECT 'SPREAD', date, max(r) FILTER (WHERE position = 'LONG') - max(r) FILTER (WHERE position = 'SHORT') FROM leg GROUP BY date UNION ALL SELECT 'BENCHMARK', date, r FROM bm SEMI JOIN leg USING (date)),
+wl AS (SELECT *, product(1 + r) OVER (PARTITION BY series ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS w FROM series WHERE r IS NOT NULL),
+cv AS (SELECT series, date, r, w - 1 AS cumulative, w / greatest(max(w) OVER (PARTITION BY series ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1.0) - 1 AS drawdown FROM wl)"""
+
+
+def leg_series(spark, sf):
+    panel = T.price_panel(spark, sf)
+    market = R.simple_returns(panel.where("ticker = 'STANDARD'")).select("date", "r")
+    return P.leg_series(R.simple_returns(panel, dropna="all"), literal(spark, LEGS, "ticker string, position string, abs_weight double"), market)
+
+
+@query("leg_cumulative", f"WITH {LEG_SERIES} SELECT series, date, {r8('r', 'r')}, {r8('cumulative', 'cumulative')}, {r8('drawdown', 'drawdown')} FROM cv")
+def _(spark, sf):
+    return P.cumulative(leg_series(spark, sf), ["series"])
+
+
+@query("leg_stats", f"""WITH {LEG_SERIES}, g AS (SELECT series, product(1 + r) AS growth, stddev_samp(r) AS sd, min(drawdown) AS max_drawdown, count(*) AS n FROM cv GROUP BY series)
+SELECT series, {r8('pow(growth, 252.0 / n) - 1', 'annual_return')}, {r8('sd * sqrt(252.0)', 'annual_vol')}, {r8('(pow(growth, 252.0 / n) - 1) / nullif(sd * sqrt(252.0), 0)', 'sharpe')}, {r8('growth - 1', 'total_return')}, {r8('max_drawdown', 'max_drawdown')}, n FROM g""")
+def _(spark, sf):
+    return P.performance_stats(leg_series(spark, sf), ["series"])
+
+
 @query("leg_equal_weight", f"""WITH {GRID}, {LEGS_SQL}, alldates AS (SELECT * FROM (SELECT *, count(r) OVER (PARTITION BY date) AS k FROM raw) WHERE k > 0)
 SELECT position, date, {r8('avg(r)', 'r')} FROM alldates JOIN legs USING (ticker) GROUP BY 1, 2""")
 def _(spark, sf):
@@ -527,6 +552,19 @@ def _(spark, sf):
     return C.factor_model_covariance(b, c, d)
 
 
+FACTOR_ROWS = "rw AS (SELECT p_type AS ticker, l_returnflag AS factor, make_date(year(l_shipdate), 12, 31) AS asof_date, l_linenumber AS loaded, l_discount, l_tax FROM lineitem JOIN part ON l_partkey = p_partkey)"
+
+
+@query("factor_betas_asof", f"WITH {FACTOR_ROWS}, b AS (SELECT ticker, factor, loaded, avg(l_discount) * 20 AS beta FROM rw WHERE asof_date = DATE '1996-12-31' GROUP BY 1, 2, 3) SELECT ticker, factor, {r8('arg_max(beta, loaded)', 'beta')} FROM b GROUP BY 1, 2")
+def _(spark, sf):
+    return L.factor_betas(T.factor_tables(spark, sf)[0], "1996-12-31", TICKERS, 252, "v1", ["loaded"])
+
+
+@query("residual_variances_asof", f"WITH {FACTOR_ROWS}, v AS (SELECT ticker, loaded, var_samp(l_tax) AS v FROM rw WHERE asof_date = DATE '1996-12-31' GROUP BY 1, 2) SELECT ticker, {r8('arg_min(v, loaded)', 'resid_var')} FROM v GROUP BY 1")
+def _(spark, sf):
+    return L.residual_variances(T.factor_tables(spark, sf)[1], "1996-12-31", TICKERS, 252, "ewma", ["loaded"])
+
+
 MODELS_SQL = f"models AS (SELECT * FROM {values(MODELS, 'model_id, ticker, weight')})"
 
 
@@ -729,16 +767,24 @@ im0 AS (SELECT st.account_id, st.model_id, st.start, st.cash, coalesce(h0, 0) AS
 im AS (SELECT *, (h1 + cash) / v0 - 1 AS acct, cash / v0 AS c0, coalesce(h1 / nullif(h0, 0) - 1, 0) AS inv FROM im0 WHERE v0 <> 0)"""
 
 
-def effects(spark, sf):
+def started_book(spark, sf):
+    """Valid accounts with a day of their last rebalance, their holdings and models."""
     from pyspark.sql import Window
 
-    a, h, m, p = valid_book(spark, sf)
+    a, h, m, _ = valid_book(spark, sf)
+    days = R.simple_returns(T.price_panel(spark, sf)).select("date").distinct().withColumn("back", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("date"))))  # trading days: a few thousand
+    return a.join(days, F.col("back") == 22 + F.col("account_id") % 60).select("account_id", "model_id", "cash", F.col("date").alias("last_rebalanced")), h, m
+
+
+def padded_to_end(spark, sf):
+    """Prices of every ticker on every day, and the last day."""
     panel = T.price_panel(spark, sf)
-    ret = R.simple_returns(panel)
-    days = ret.select("date").distinct().withColumn("back", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("date"))))  # trading days: a few thousand
-    started = a.join(days, F.col("back") == 22 + F.col("account_id") % 60).select("account_id", "model_id", "cash", F.col("date").alias("last_rebalanced"))
-    end = ret.agg(F.max("date")).first()[0]
-    return A.implementation_effects(started, h, m, R.padded(panel).where("price is not null"), end)
+    end = R.simple_returns(panel).agg(F.max("date")).first()[0]
+    return R.padded(panel).where("price is not null"), end
+
+
+def effects(spark, sf):
+    return A.implementation_effects(*started_book(spark, sf), *padded_to_end(spark, sf))
 
 
 @query("implementation_effect", f"WITH {IMPL} SELECT account_id, model_id, start, {r8('v0', 'value_start')}, {r8('mr', 'model_rebalanced')}, {r8('bh', 'model_buy_hold')}, {r8('acct', 'account')}, {r8('bh - mr', 'drift_effect')}, {r8('-c0 * bh', 'cash_effect')}, {r8('(1 - c0) * (inv - bh)', 'rounding_effect')}, {r8('acct - mr', 'total')} FROM im")
@@ -746,6 +792,22 @@ def _(spark, sf):
     return effects(spark, sf)
 
 
+ATTRIBUTION = IMPL + f""",
+bm AS (SELECT CASE WHEN model_id = 'GROWTH' THEN 'INCOME' ELSE 'GROWTH' END AS model_id, ticker, weight FROM models), sl AS (SELECT * FROM {values(SLEEVES, 'ticker, sleeve')}),
+ps AS (SELECT sp.model_id, sp.start, sleeve, sum(weight) AS w, sum(weight * (growth - 1)) / sum(weight) AS r FROM sp JOIN models m ON m.model_id = sp.model_id JOIN gr ON gr.ticker = m.ticker AND gr.start = sp.start JOIN sl ON sl.ticker = m.ticker GROUP BY 1, 2, 3),
+bs AS (SELECT sp.model_id, sp.start, sleeve, sum(weight) AS w, sum(weight * (growth - 1)) / sum(weight) AS r FROM sp JOIN bm m ON m.model_id = sp.model_id JOIN gr ON gr.ticker = m.ticker AND gr.start = sp.start JOIN sl ON sl.ticker = m.ticker GROUP BY 1, 2, 3),
+bt AS (SELECT model_id, start, sum(w * r) AS total FROM bs GROUP BY 1, 2),
+br AS (SELECT model_id, start, sum((p.w - b.w) * (b.r - total)) AS al, sum(b.w * (p.r - b.r)) AS se, sum((p.w - b.w) * (p.r - b.r)) AS it FROM ps p JOIN bs b USING (model_id, start, sleeve) JOIN bt USING (model_id, start) GROUP BY 1, 2)"""
+
+
+@query("attribution_table", f"""WITH {ATTRIBUTION} SELECT account_id, model_id, start, {r8('total', 'benchmark')}, {r8('bh', 'model')}, {r8('acct', 'account')}, {r8('al', 'allocation')}, {r8('se', 'selection')}, {r8('it', 'interaction')}, {r8('-c0 * bh', 'cash')}, {r8('(1 - c0) * (inv - bh)', 'rounding')}, {r8('bh - mr', 'drift')}, {r8('acct - total', 'active')}
+FROM im JOIN bt USING (model_id, start) JOIN br USING (model_id, start)""")
+def _(spark, sf):
+    """Each of the two models is the other one's benchmark."""
+    benchmarks = models(spark).withColumn("model_id", F.when(F.col("model_id") == "GROWTH", "INCOME").otherwise("GROWTH"))
+    return A.attribution_table(*started_book(spark, sf), benchmarks, *padded_to_end(spark, sf), literal(spark, SLEEVES, "ticker string, sleeve string"))
+
+
 @query("size_buckets", f"WITH {IMPL} SELECT CASE WHEN v0 <= 25000 THEN '<=25k' WHEN v0 <= 100000 THEN '25k-100k' WHEN v0 <= 500000 THEN '100k-500k' ELSE '>500k' END AS size, count(*) AS n, {r8('quantile_cont(acct - mr, 0.5) * 1e4', 'median_bp')}, {r8('min(acct - mr) * 1e4', 'min_bp')} FROM im GROUP BY 1")
 def _(spark, sf):
     return A.by_size(effects(spark, sf))

@@ -43,7 +43,7 @@ def to_wide(prices: DataFrame, tickers: Sequence[str], value: str = "price", ord
     if order:
         cell = F.max_by(value, F.struct(*order))
     else:
-        cell = F.when(F.count("*") > 1, F.raise_error(F.lit("rows for one ticker and date need an order"))).otherwise(F.max(value))
+        cell = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("rows for one ticker and date need an order"))).otherwise(F.max(value))
     return prices.groupBy("date").pivot("ticker", list(tickers)).agg(cell).orderBy("date")
 
 
@@ -91,3 +91,41 @@ def align_factor_model(betas: DataFrame, cov: DataFrame, resid: DataFrame) -> tu
 
 def regime_history(scores: DataFrame, start, end, score_name: str) -> DataFrame:
     return scores.where(F.col("as_of_date").between(F.lit(start), F.lit(end)) & (F.col("score_name") == score_name)).orderBy("as_of_date")
+
+
+def require_rows(rows: DataFrame, what: str) -> DataFrame:
+    """The rows; LookupError if there is none."""
+    if rows.isEmpty():
+        raise LookupError(f"no {what}")
+    return rows
+
+
+def factor_betas(table: DataFrame, asof, tickers: Sequence[str], lookback: int, version: str, order: Sequence[str]) -> DataFrame:
+    """ticker, factor, beta of one model version as of a date; of rows for one ticker and factor the last in `order`."""
+    if not tickers:
+        raise ValueError("no tickers given")
+    rows = table.where((F.col("asof_date") == F.lit(asof)) & (F.col("lookback") == lookback) & (F.col("version") == version) & F.col("ticker").isin(list(tickers)))
+    return keep_last(rows, ["ticker", "factor"], order).select("ticker", "factor", "beta")
+
+
+def residual_variances(table: DataFrame, asof, tickers: Sequence[str], lookback: int, method: str, order: Sequence[str]) -> DataFrame:
+    """ticker, resid_var as of a date; of rows for one ticker the first in `order`."""
+    if not tickers:
+        raise ValueError("no tickers given")
+    rows = table.where((F.col("asof_date") == F.lit(asof)) & (F.col("lookback") == lookback) & (F.col("method") == method) & F.col("ticker").isin(list(tickers)))
+    return rows.groupBy("ticker").agg(F.min_by("resid_var", F.struct(*order)).alias("resid_var"))
+
+
+def factor_covariance(table: DataFrame, asof, lookback: int, version: str, method: str) -> DataFrame:
+    """Full factor covariance as of a date; LookupError if there is none."""
+    rows = table.where((F.col("asof_date") == F.lit(asof)) & (F.col("lookback") == lookback) & (F.col("version") == version) & (F.col("method") == method))
+    cov = mirror_factor_cov(require_rows(rows, f"factor covariance as of {asof}"))
+    require_positive_diagonal(cov)
+    return cov
+
+
+def require_assets(resid: DataFrame, least: int = 2) -> None:
+    """LookupError if fewer tickers than that are left in an aligned factor model."""
+    n = resid.limit(least).count()
+    if n < least:
+        raise LookupError(f"only {n} tickers are left; {least} are needed")

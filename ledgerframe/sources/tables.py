@@ -62,3 +62,14 @@ def portfolio_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = F.sum("cents").over(Window.partitionBy("pf_name", "trade_date"))
     experiment = F.when(F.col("pf_name") != "BUILDING", F.concat(F.lit("exp-"), F.lower("pf_name")))
     return cents.select("pf_name", experiment.alias("experiment_id"), F.lit(None).cast("string").alias("branch"), F.lit(None).cast("string").alias("source"), "trade_date", "ticker", (F.col("cents") / total).alias("weight"))
+
+
+def factor_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Betas (ticker, factor, asof_date, lookback, version, loaded, beta) and residual variances (ticker, asof_date, lookback, method, loaded,
+    resid_var) of part types by shipping year; loaded tells several writes of one row apart."""
+    lines = load(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate", "l_returnflag", "l_linenumber", "l_discount", "l_tax")
+    parts = load(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("ticker"))
+    rows = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).withColumn("asof_date", F.make_date(F.year("l_shipdate"), F.lit(12), F.lit(31)))
+    betas = rows.groupBy("ticker", F.col("l_returnflag").alias("factor"), "asof_date", F.col("l_linenumber").alias("loaded")).agg((F.avg("l_discount") * 20).alias("beta"))
+    resid = rows.groupBy("ticker", "asof_date", F.col("l_linenumber").alias("loaded")).agg(F.var_samp("l_tax").alias("resid_var"))
+    return betas.select("*", F.lit(252).alias("lookback"), F.lit("v1").alias("version")), resid.select("*", F.lit(252).alias("lookback"), F.lit("ewma").alias("method"))

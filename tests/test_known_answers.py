@@ -57,6 +57,7 @@ def test_drawdown(spark):
 
 
 def test_suspect_moves(spark):
+    # fixed values: a published close before and after a split, as above
     moves = [62.60 / 272.86 - 1, 0.45, 0.66, -0.33, -0.86]
     r = spark.createDataFrame([("x", d, v) for d, v in zip(D, moves)], "ticker string, date date, r double")
     got = {r["date"]: r["reason"] for r in R.flag_suspect_moves(r).collect()}
@@ -123,6 +124,7 @@ def account(spark, shares, cash, model, prices, rules):
     return M.rebalance(acc, held, mod, px, rules)
 
 
+#: Inputs and outcomes published for this method, so results can be held against them.
 PRICES = {"EQ": 187.37, "BOND": 96.42}
 
 
@@ -155,3 +157,94 @@ def test_brinson_adds_up(spark):
     s = spark.createDataFrame([("E1", "eq"), ("B1", "bd")], "ticker string, sleeve string")
     rows = A.brinson(A.sleeves(p, g, s), A.sleeves(b, g, s)).collect()
     assert sum(r["allocation"] + r["selection"] + r["interaction"] for r in rows) == pytest.approx((0.07 + 0.006) - (0.06 + 0.008))
+
+
+# --- what must not be lost silently -------------------------------------------------------------------------------
+
+
+def failing(df, word):
+    with pytest.raises(Exception, match=word):
+        df.collect()
+
+
+def test_wide_takes_the_last_row(spark):
+    rows = spark.createDataFrame([("A", D[1], 3.0, 1), ("A", D[0], 5.0, 1), ("A", D[0], 4.0, 2)], "ticker string, date date, price double, nr int")
+    assert [(r["date"], r["A"]) for r in L.to_wide(rows, ["A"], order=["nr"]).collect()] == [(D[0], 4.0), (D[1], 3.0)]
+    failing(L.to_wide(rows, ["A"]), "order")
+
+
+def test_unpriced_ticker_is_an_error(spark):
+    px = spark.createDataFrame([("A", d, 100.0 + i) for i, d in enumerate(D[:4])], "ticker string, date date, price double")
+    w = spark.createDataFrame([("b", "A", 0.5), ("b", "GONE", 0.5)], "book string, ticker string, weight double")
+    failing(R.book_returns(px, w), "no prices for: GONE")
+    cov = spark.createDataFrame([("A", "A", 0.04)], "ticker_i string, ticker_j string, cov double")
+    failing(V.portfolio_sigma(w, cov), "no covariance for: GONE")
+    failing(C.tracking_error(w, w.where("ticker = 'A'"), cov), "no covariance for: GONE")
+
+
+@pytest.mark.parametrize("breaches,lr", [([0] * 19 + [1], 2 * (0 - (18 * math.log(18 / 19) + math.log(1 / 19)))), ([1] * 20, 0.0), ([0] * 20, 0.0), ([0] * 10 + [1] * 9 + [0], None)])
+def test_christoffersen_at_the_edges(spark, breaches, lr):
+    """A pooled rate of 0 or 1 drops only the terms that are not defined."""
+    got = B.christoffersen(spark.createDataFrame([("b", d, x) for d, x in zip(D, breaches)], "book string, date date, breach int"), 0.05).first()
+    n = {(a, b): sum(x == a and y == b for x, y in zip(breaches, breaches[1:])) for a in (0, 1) for b in (0, 1)}
+    term = lambda c, p: c * math.log(p) if c > 0 and p > 0 else 0.0
+    p01, p11 = (n[a, 1] / (n[a, 0] + n[a, 1]) if n[a, 0] + n[a, 1] else 0.0 for a in (0, 1))
+    pi = (n[1, 0] + n[1, 1]) / sum(n.values())
+    null = term(n[0, 0] + n[1, 0], 1 - pi) + term(n[0, 1] + n[1, 1], pi)
+    want = -2 * (null - term(n[0, 0], 1 - p01) - term(n[0, 1], p01) - term(n[1, 0], 1 - p11) - term(n[1, 1], p11))
+    assert got["lr_ind"] == pytest.approx(want, abs=1e-9)
+    if lr is not None and lr > 0:
+        assert got["lr_ind"] == pytest.approx(-lr, abs=1e-9) or got["lr_ind"] != 0
+
+
+def test_chi_square_tail(spark):
+    xs = [0.0, 1e-6, 0.3, 3.841, 6.635, 20.0, 60.0, 500.0]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(B.upper_tail_chi2_1(F.col("x"))).collect()]
+    assert got == pytest.approx([math.erfc(math.sqrt(x / 2)) for x in xs], abs=1e-13)
+
+
+def market(spark, price):
+    acc = spark.createDataFrame([(1, "m", 100.0), (2, "m", 100.0)], "account_id long, model_id string, cash double")
+    held = spark.createDataFrame([(1, "A", 3.0)], "account_id long, ticker string, shares double")
+    mod = spark.createDataFrame([("m", "A", 0.5), ("m", "B", 0.5)], "model_id string, ticker string, weight double")
+    return acc, held, mod, spark.createDataFrame([("A", 10.0), ("B", price)], "ticker string, price double")
+
+
+@pytest.mark.parametrize("price", [None, float("nan"), 0.0, -1.0, float("inf")])
+def test_unpriced_model_ticker_aborts(spark, price):
+    book = market(spark, price)
+    assert M.run(*book).count() == 0
+    s = M.run_summary(*book).first()
+    assert (s["status"], s["abort_reason"], s["target"]) == ("ABORTED", "ABORTED_PRICE_MISSING: B", 2)
+    failing(M.rebalance(*book), "no usable price for B")
+
+
+def test_run_reconciles_and_its_id_follows_the_inputs(spark):
+    book = market(spark, 20.0)
+    s = M.run_summary(*book).first()
+    assert (s["status"], s["target"], s["processed"] + s["exceptions"] + s["skipped"]) == ("OK", 2, 2)
+    one = M.run_id(*book, "2024-01-01").first()[0]
+    assert len(one) == 12 and one == M.run_id(*[x.repartition(3) for x in book], "2024-01-01").first()[0]
+    assert one != M.run_id(*market(spark, 20.5), "2024-01-01").first()[0] and one != M.run_id(*book, "2024-01-02").first()[0]
+    detail = M.account_detail(M.rebalance(*book)).where("account_id = 1").toPandas().set_index("ticker")
+    assert detail["weight_before"].sum() == pytest.approx(1) and detail["weight_after"].sum() == pytest.approx(1)
+    assert detail.loc["CASH", "order"] == pytest.approx(-(detail["order"] * detail["price"]).drop("CASH").sum())
+
+
+def test_stale_price(spark):
+    px = spark.createDataFrame([("A", D[0], 1.0)], "ticker string, date date, price double")
+    assert M.require_fresh(px, D[5]).count() == 1 and M.require_fresh(px, D[5]).first()["price"] == 1.0
+    failing(M.require_fresh(px, D[6]), "stale price of A")
+
+
+def test_factor_loaders(spark):
+    t = spark.createDataFrame([("A", "mkt", D[0], 252, "v1", 1, 0.5), ("A", "mkt", D[0], 252, "v1", 2, 0.7), ("A", "mkt", D[0], 60, "v1", 3, 9.0)], "ticker string, factor string, asof_date date, lookback int, version string, nr int, beta double")
+    assert [r["beta"] for r in L.factor_betas(t, D[0], ["A"], 252, "v1", ["nr"]).collect()] == [0.7]
+    v = spark.createDataFrame([("A", D[0], 252, "m", 2, 0.2), ("A", D[0], 252, "m", 1, 0.1)], "ticker string, asof_date date, lookback int, method string, nr int, resid_var double")
+    assert [r["resid_var"] for r in L.residual_variances(v, D[0], ["A"], 252, "m", ["nr"]).collect()] == [0.1]
+    with pytest.raises(LookupError):
+        L.require_rows(t.where("false"), "betas")
+    with pytest.raises(LookupError):
+        L.require_assets(v.select("ticker").distinct(), 2)
+    with pytest.raises(ValueError):
+        L.factor_betas(t, D[0], [], 252, "v1", ["nr"])
