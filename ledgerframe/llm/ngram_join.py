@@ -16,6 +16,7 @@ documents that stand in T = ceil(0.75 n) of its n inverted lists, or more.
 5. Lists of one document also bound the overlap a document can reach with any other.
    Documents that cannot reach T are out, and others are only paired with sizes for
    which they can reach the overlap needed.
+   The larger that overlap is, the fewer lists (the rarest ones first) need be looked at.
 6. Only components are asked for, so a document is first probed against the leader
    of most of its lists (one pair a document, twice); the merge by pairs is for
    lists whose documents are in different components then, and only across these.
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import textops as T
 from .graph import components
-from .workspace import most_frequent, store
+from .workspace import broadcast_if_small, most_frequent, store
 
 WORDS = 5
 #: Similarity as a ratio of whole numbers: 100 * intersection >= 75 * union.
@@ -160,9 +161,9 @@ def merge_threshold(n, merged: int):
 
 
 def merged_lists(docs: DataFrame, long_lists) -> DataFrame:
-    """shingle, salt, digest, n for the lists that are merged: the first n - T + k of every document.
+    """shingle, digest, n, pos (place in the document's order), lead, lead_n for the lists that are merged: the first n - T + k of every document.
 
-    salt is the part of a list over PART documents, -1 for other lists.
+    A list over PART documents is dealt over parts (salt), each with its own leader; salt is -1 for other lists.
     """
 
     def first(batches):
@@ -184,27 +185,28 @@ def merged_lists(docs: DataFrame, long_lists) -> DataFrame:
                 long = long[np.lexsort((h[long], weight[long], doc[long]))]
                 order = np.concatenate([short, long])
                 order = order[np.argsort(doc[order], kind="stable")]
-                keep = np.arange(len(h)) - np.repeat(bounds[:-1], n) < (n - (PERCENT * n + 99) // 100 + merge_threshold(n, MERGED))[doc]
-                h, weight, doc = h[order][keep], weight[order][keep], doc[keep]
+                pos = np.arange(len(h)) - np.repeat(bounds[:-1], n) + 1
+                keep = pos <= (n - (PERCENT * n + 99) // 100 + merge_threshold(n, MERGED))[doc]
+                h, weight, doc, pos = h[order][keep], weight[order][keep], doc[keep], pos[keep]
                 parts = 1 << np.ceil(np.log2(np.maximum(1, weight / PART))).astype(np.int64)
                 salt = np.where(parts > 1, own[doc] & (parts - 1), -1)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(salt, pa.int32()), pa.array(own[doc]), pa.array(n[doc], pa.int32())], names=["shingle", "salt", "digest", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(salt, pa.int32()), pa.array(own[doc]), pa.array(n[doc], pa.int32()), pa.array(pos, pa.int32())], names=["shingle", "salt", "digest", "n", "pos"])
 
     def runs(batches):
-        names = ["shingle", "salt", "digest", "n"]
-        held = [np.zeros(0, np.int64)] * 4
+        names = ["shingle", "salt", "digest", "n", "pos"]
+        held = [np.zeros(0, np.int64)] * 5
 
-        def lists(shingle, salt, digest, n):
+        def lists(shingle, salt, digest, n, pos):
             if not len(shingle):
                 return
             new = np.append(True, (shingle[1:] != shingle[:-1]) | (salt[1:] != salt[:-1]))
             once = new | np.append(True, digest[1:] != digest[:-1])
-            shingle, salt, digest, n, new = (x[once] for x in (shingle, salt, digest, n, new))
+            shingle, salt, digest, n, pos, new = (x[once] for x in (shingle, salt, digest, n, pos, new))
             begin = np.flatnonzero(new)
             size = np.diff(np.append(begin, len(new)))
             last = np.repeat(begin + size - 1, size)
             keep = (np.repeat(size, size) > 1) | (salt >= 0)
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (shingle, digest, n, digest[last], n[last])], names=["shingle", "digest", "n", "lead", "lead_n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (shingle, digest, n, pos, digest[last], n[last])], names=["shingle", "digest", "n", "pos", "lead", "lead_n"])
 
         for batch in batches:
             now = [np.concatenate([x, batch.column(c).to_numpy().astype(np.int64)]) for x, c in zip(held, names)]
@@ -215,9 +217,9 @@ def merged_lists(docs: DataFrame, long_lists) -> DataFrame:
             held = [x[cut:] for x in now]
         yield from lists(*held)
 
-    entries = docs.select("text").mapInArrow(first, "shingle long, salt int, digest long, n int")
+    entries = docs.select("text").mapInArrow(first, "shingle long, salt int, digest long, n int, pos int")
     dealt = entries.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "digest")
-    return dealt.mapInArrow(runs, "shingle long, digest long, n long, lead long, lead_n long")
+    return dealt.mapInArrow(runs, "shingle long, digest long, n long, pos long, lead long, lead_n long")
 
 
 def needed(n, m) -> Column:
@@ -255,8 +257,11 @@ def probed(docs: DataFrame, named: DataFrame, pairs: DataFrame) -> DataFrame:
                 ok = np.flatnonzero(digests(h, bounds) == want[lo:hi])
                 yield pa.RecordBatch.from_arrays([pa.array(want[lo:hi][ok]), pa.array([h[bounds[i] : bounds[i + 1]].tobytes() for i in ok], pa.binary())], names=["digest", "shingles"])
 
-    sets = store(docs.join(need, "doc").select("digest", "text").mapInArrow(cut, "digest long, shingles binary"), "sets")
-    both = pairs.join(sets.select(F.col("digest").alias("b"), F.col("shingles").alias("of_b")), "b").join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("of_a")), "a")
+    sets = store(docs.join(broadcast_if_small(need), "doc").select("digest", "text").mapInArrow(cut, "digest long, shingles binary"), "sets")
+    few = broadcast_if_small(pairs)
+    of_b = sets.select(F.col("digest").alias("b"), F.col("shingles").alias("of_b")).join(few, "b")
+    of_a = sets.select(F.col("digest").alias("a"), F.col("shingles").alias("of_a")).join(broadcast_if_small(pairs.select("a").distinct()), "a", "left_semi")
+    both = of_b.join(of_a, "a")
 
     def probe(batches):
         for batch in batches:
@@ -280,33 +285,42 @@ def with_best_leader(entries: DataFrame) -> DataFrame:
 
 
 def unsettled(lists: DataFrame, links: DataFrame) -> DataFrame:
-    """shingle, digest, n, reach, component of the lists whose documents are in several components; size is that of the list."""
+    """shingle, digest, n, pos, reach, component of the lists whose documents are in several components; size is that of the list."""
     comp = components(links).withColumnRenamed("node", "digest")
-    placed = lists.select("shingle", "digest", "n", "reach").join(comp, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    placed = lists.select("shingle", "digest", "n", "pos", "reach").join(comp, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     several = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("shingle", "size")
     return store(placed.join(several, "shingle"), "unsettled")
 
 
+#: Classes of size: linked documents are at most STEPS classes apart (and one for rounding).
+STEPS = 4
+_RATIO = float((100 / PERCENT) ** (1 / STEPS))
+
+
 def size_class(n: Column) -> Column:
-    """Sizes in steps of a third: linked documents are in one class or in neighbouring ones."""
-    return F.floor(F.log(n.cast("double")) / float(np.log(100 / PERCENT)))
+    return F.floor(F.log(n.cast("double")) / float(np.log(_RATIO)))
 
 
 def across(rest: DataFrame) -> DataFrame:
-    """Pairs of documents of different components that share enough merged lists.
+    """Pairs of documents of different components that share enough of the lists that matter for their sizes.
 
-    A document is listed under its own size and looks under the sizes of which it can reach the overlap needed; a
-    list is dealt over parts of bounded size.
+    A pair of sizes n and m needs an overlap O, so it has k lists in common among the first n - O + k of the one and
+    the first m - O + k of the other. Documents meet by (list, class of one, class of the other): for sizes like its
+    own a document need only be listed under its rarest lists. A list is dealt over parts of bounded size.
     """
-    parts, (n, reach) = F.ceil(F.col("size") / PART), (F.col("n"), F.col("reach"))
-    x = rest.select("shingle", size_class(n).alias("class"), F.pmod(F.xxhash64("digest"), parts).alias("part"), F.col("digest").alias("a"), F.col("n").alias("n_a"), F.col("reach").alias("reach_a"), F.col("component").alias("c_a"))
-    # the largest partner m: reach (100 + 75) >= 75 (n + m), and 100 n >= 75 m
-    most = F.least(F.floor(reach * (100 + PERCENT) / PERCENT) - n, F.floor(n * 100 / PERCENT))
-    able = rest.where(most * 100 >= n * PERCENT).select("*", F.explode(F.sequence(size_class(n) - 1, size_class(n) + 1)).alias("class")).where(F.col("class") <= size_class(most))
-    y = able.select("shingle", "class", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("digest").alias("b"), F.col("n").alias("n_b"), F.col("reach").alias("reach_b"), F.col("component").alias("c_b"))
-    met = x.join(y, ["shingle", "class", "part"]).where("c_a < c_b").where(F.least("reach_a", "reach_b") >= needed("n_a", "n_b"))
-    counted = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(shared_at_least("n_a", "n_b")).alias("least"))
-    return counted.where("shared >= least").select("a", "b")
+    n, pos, own = F.col("n"), F.col("pos"), size_class(F.col("n"))
+    partner = F.explode(F.sequence(own - STEPS - 1, own + STEPS + 1)).alias("partner")
+    least = F.greatest(F.floor(F.pow(F.lit(_RATIO), F.col("partner").cast("double"))), F.ceil(n * PERCENT / 100))
+    overlap = F.ceil((n + least) * PERCENT / (100 + PERCENT))
+    able = rest.withColumn("own", own).select("*", partner).where(pos <= n - overlap + merge_threshold(n, MERGED)).where(F.col("reach") >= overlap)
+    parts = F.ceil(F.col("size") / PART)
+    x = able.select("shingle", F.col("own").alias("c1"), F.col("partner").alias("c2"), F.pmod(F.xxhash64("digest"), parts).alias("part"), *[F.col(c).alias(f"{c}_a") for c in ("digest", "n", "pos", "reach", "component")])
+    y = able.select("shingle", F.col("partner").alias("c1"), F.col("own").alias("c2"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), *[F.col(c).alias(f"{c}_b") for c in ("digest", "n", "pos", "reach", "component")])
+    k, o = merge_threshold(F.least("n_a", "n_b"), MERGED), needed("n_a", "n_b")
+    met = x.join(y, ["shingle", "c1", "c2", "part"]).where("component_a < component_b").where(F.least("reach_a", "reach_b") >= o)
+    met = met.where(F.col("pos_a") <= F.col("n_a") - o + k).where(F.col("pos_b") <= F.col("n_b") - o + k)
+    counted = met.groupBy(F.col("digest_a").alias("a"), F.col("digest_b").alias("b")).agg(F.count("*").alias("shared"), F.min(k).alias("k"))
+    return counted.where("shared >= k").select("a", "b")
 
 
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -31,6 +31,11 @@ def release(spark: SparkSession) -> None:
         spark._jvm.System.gc()
 
 
+def broadcast_if_small(rows: DataFrame, most: int = 1 << 21) -> DataFrame:
+    """The rows marked for a broadcast join if there are at most so many; beyond that Spark shuffles both sides. For narrow, stored rows."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def most_frequent(counts: DataFrame, most: int, n: str = "n") -> DataFrame:
     """The rows with the largest counts, at most `most`; rows whose counts are about equal come together or not at all.
 
