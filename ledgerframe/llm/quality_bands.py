@@ -5,6 +5,12 @@ Text that compresses far better repeats itself; text that barely compresses is
 noise. Each document is compressed with zstandard as a whole and in fixed
 chunks; a ratio outside the band of its length rejects the document.
 
+The bands are those of the corpus: for each length class (a quarter of an octave)
+the median of the ratios of all documents that pass the base rules, and `FENCE`
+times the distance to the quartile on either side. Equal lengths with equal ratios
+count once, so that a group of copies does not make the band its own. Classes of
+fewer than `MIN_VALUES` such ratios take the fixed, wide bands below.
+
 Defined results: null or empty text has no words, fails the base rules
 (fewer than 50 words) and has null ratios. Rows are judged one by one, so
 repeated rows give repeated results and an empty table gives an empty result.
@@ -18,9 +24,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import textops as T
+from .workspace import store
 
 
 @dataclass(frozen=True)
@@ -46,12 +53,15 @@ CHUNK_SIZE = 4096
 CHUNK_BANDS = (Band(0, 0.0, float("inf")), Band(2048, 1.4, 12.0))
 #: A document is rejected if more than this share of its chunks lies outside their band.
 MAX_BAD_CHUNKS = 0.25
+#: Classes of length to an octave, quartile distances from the median to the fence, and how many ratios a class needs.
+CLASSES = 4
+FENCE = 5.0
+MIN_VALUES = 30
+#: Least quartile distance, as a share of the median.
+LEAST_SPREAD = 0.01
 
-SCHEMA = (
-    "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "base_failed boolean, ratio double, min_chunk_ratio double, max_chunk_ratio double, bad_chunks long, "
-    "n_chunks long, band string, kept boolean"
-)
+SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, size long, ratio double, chunks array<struct<size:long,ratio:double>>"
+_CHUNKS = pa.list_(pa.struct([("size", pa.int64()), ("ratio", pa.float64())]))
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -95,10 +105,10 @@ def repeat_words(word_hash: np.ndarray, first_word: np.ndarray) -> np.ndarray:
     return T.per_document(covered, first_word)
 
 
-def quality(docs: DataFrame, whole: tuple[Band, ...] = WHOLE_BANDS, chunks: tuple[Band, ...] = CHUNK_BANDS, chunk_size: int = CHUNK_SIZE, max_bad: float = MAX_BAD_CHUNKS, level: int = 3) -> DataFrame:
-    """One row per document with its counts, its compression ratios and the verdict."""
+def ratios(docs: DataFrame, chunk_size: int = CHUNK_SIZE, level: int = 3) -> DataFrame:
+    """One row per document with its counts, its compression ratio and those of its chunks."""
 
-    def judge(batches):
+    def measure(batches):
         packer = zstandard.ZstdCompressor(level=level, write_content_size=False, write_checksum=False)
 
         def ratio(raw: bytes) -> float:
@@ -110,31 +120,70 @@ def quality(docs: DataFrame, whole: tuple[Band, ...] = WHOLE_BANDS, chunks: tupl
                 n_words = np.diff(first)
                 inside = ~T.SEPARATOR[buf] & ((buf & 0xC0) != 0x80)
                 rep = repeat_words(T.span_hashes(buf, starts, ends), first)
-                failed = (n_words < 50) | (100 * rep > 50 * n_words)
                 raw_all = buf.tobytes()
-                rows = []
-                for i, bad_base in enumerate(failed.tolist()):
+                dup, whole, chunks = [], [], []
+                for i in range(hi - lo):
                     raw = raw_all[offs[i] : offs[i + 1]]
-                    if not raw:
-                        rows.append((0, None, None, None, 0, 0, "none", False))
-                        continue
-                    b, r = band_of(whole, len(raw)), ratio(raw)
                     edges = chunk_edges(len(raw), chunk_size)
-                    parts = [r] if len(edges) == 2 else [ratio(raw[x:y]) for x, y in zip(edges, edges[1:])]
-                    limits = [band_of(chunks, y - x) for x, y in zip(edges, edges[1:])]
-                    bad = sum(not c.lowest <= p <= c.highest for c, p in zip(limits, parts))
-                    verdict = "repetitive" if r > b.highest else "incompressible" if r < b.lowest else "chunks" if bad > max_bad * len(parts) else "inside"
-                    rows.append((dup_lines(raw), r, min(parts), max(parts), bad, len(parts), verdict, not bad_base and verdict == "inside"))
-                dup, whole_r, least, most, bad, n_chunks, verdict, kept = zip(*rows)
+                    dup.append(dup_lines(raw))
+                    whole.append(ratio(raw) if raw else None)
+                    chunks.append([{"size": y - x, "ratio": whole[-1] if len(edges) == 2 else ratio(raw[x:y])} for x, y in zip(edges, edges[1:])] if raw else [])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0)[lo:hi], pa.array(n_words), pa.array(T.per_document(inside, offs)), pa.array(T.per_document(_SYMBOL[buf], offs)), pa.array(dup, pa.int64()), pa.array(rep),
-                        pa.array(failed), pa.array(whole_r, pa.float64()), pa.array(least, pa.float64()), pa.array(most, pa.float64()), pa.array(bad, pa.int64()), pa.array(n_chunks, pa.int64()), pa.array(verdict, pa.string()), pa.array(kept, pa.bool_()),
+                        pa.array((n_words < 50) | (100 * rep > 50 * n_words)), pa.array(np.diff(offs)), pa.array(whole, pa.float64()), pa.array(chunks, _CHUNKS),
                     ],
-                    names=[x.split()[0] for x in SCHEMA.split(", ")],
+                    names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "size", "ratio", "chunks"],
                 )
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(judge, SCHEMA)
+    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(measure, SCHEMA)
+
+
+def length_class(size: Column) -> Column:
+    return F.floor(F.log2(size.cast("double")) * CLASSES).cast("int")
+
+
+def limits(values: DataFrame, fence: float = FENCE) -> dict[int, tuple[float, float]]:
+    """Lowest and highest ratio of each length class with enough values; one row a class reaches the driver. values: size, ratio."""
+    once = values.distinct().groupBy(length_class(F.col("size")).alias("class")).agg(F.count("*").alias("n"), F.percentile_approx("ratio", [0.25, 0.5, 0.75], 10_000).alias("q"))
+    out = {}
+    for row in once.where(F.col("n") >= MIN_VALUES).collect():
+        low, mid, high = row["q"]
+        out[row["class"]] = (mid - fence * max(mid - low, LEAST_SPREAD * mid), mid + fence * max(high - mid, LEAST_SPREAD * mid))
+    return out
+
+
+def bounds(found: dict[int, tuple[float, float]], fixed: tuple[Band, ...], size: Column) -> tuple[Column, Column]:
+    """Lowest and highest ratio for a size: of its class, or of the fixed band."""
+    low, high = (F.lit(v) for v in (fixed[0].lowest, fixed[0].highest))
+    for band in fixed[1:]:
+        low, high = F.when(size >= band.min_bytes, band.lowest).otherwise(low), F.when(size >= band.min_bytes, band.highest).otherwise(high)
+    if not found:
+        return low, high
+    pairs = [F.create_map(*[F.lit(x) for k, v in sorted(found.items()) for x in (k, float(v[i]))]) for i in (0, 1)]
+    return F.coalesce(F.try_element_at(pairs[0], length_class(size)), low), F.coalesce(F.try_element_at(pairs[1], length_class(size)), high)
+
+
+def quality(docs: DataFrame, whole: tuple[Band, ...] = WHOLE_BANDS, chunks: tuple[Band, ...] = CHUNK_BANDS, chunk_size: int = CHUNK_SIZE, max_bad: float = MAX_BAD_CHUNKS, fence: float = FENCE) -> DataFrame:
+    """One row per document with its counts, its compression ratios and the verdict."""
+    rows = store(ratios(docs, chunk_size), "ratios")
+    passed = rows.where("not base_failed")
+    of_whole = limits(passed.select("size", "ratio"), fence)
+    of_chunks = limits(passed.select(F.explode("chunks").alias("c")).select("c.size", "c.ratio"), fence)
+    low, high = bounds(of_whole, whole, F.col("size"))
+
+    def outside(c: Column) -> Column:
+        least, most = bounds(of_chunks, chunks, c["size"])
+        return (c["ratio"] < least) | (c["ratio"] > most)
+
+    bad = F.size(F.filter("chunks", outside)).cast("long")
+    n = F.size("chunks").cast("long")
+    band = F.when(F.col("ratio").isNull(), "none").when(F.col("ratio") > high, "repetitive").when(F.col("ratio") < low, "incompressible").when((n > 1) & (bad > max_bad * n), "chunks").otherwise("inside")
+    out = rows.withColumn("band", band)
+    return out.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", F.array_min("chunks.ratio").alias("min_chunk_ratio"), F.array_max("chunks.ratio").alias("max_chunk_ratio"),
+        bad.alias("bad_chunks"), n.alias("n_chunks"), "band", (~F.col("base_failed") & (F.col("band") == "inside")).alias("kept"),
+    )
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:

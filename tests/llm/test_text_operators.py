@@ -592,3 +592,53 @@ def test_quality(spark):
     n = len(texts)
     assert all(got[i]["kept"] for i in range(n - 12, n - 2)) and not got[n - 2]["kept"] and got[n - 2]["band"] in ("incompressible", "chunks")
     assert quality_bands.quality(empty(spark)).count() == 0
+
+
+def test_quality_bands_by_brute_force(spark):
+    """The verdict with the module's own numbers: fitted limits in full classes, fixed ones elsewhere; copies do not move them."""
+    import zstandard
+
+    rnd = random.Random(31)
+    vocab = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 8))) for _ in range(400)]
+    texts = [" ".join(rnd.choice(vocab) for _ in range(rnd.randint(150, 1500))) for _ in range(500)]
+    few = [" ".join(rnd.choice(vocab[:40]) for _ in range(rnd.randint(600, 1400))) for _ in range(12)]  # passes the base rules, repeats itself
+    odd = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789 ") for _ in range(4000)) for _ in range(8)]
+    texts += few + odd + [texts[0]] * 300 + [None, ""]
+    packer = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
+    ratio = lambda raw: len(raw) / len(packer.compress(raw))
+    rows = []
+    for t in texts:
+        raw, w = (t or "").encode(), WORD.findall(t or "")
+        grams = collections.Counter(zip(w, w[1:], w[2:]))
+        rep = {k + j for k in range(len(w) - 2) if grams[w[k], w[k + 1], w[k + 2]] > 1 for j in range(3)}
+        edges = [*range(0, len(raw), 4096), len(raw)]
+        if len(edges) > 2 and edges[-1] - edges[-2] < 2048:
+            del edges[-2]
+        parts = [(y - x, ratio(raw[x:y])) for x, y in zip(edges, edges[1:])] if raw else []
+        rows.append((len(w) < 50 or 100 * len(rep) > 50 * len(w), len(raw), ratio(raw) if raw else None, parts))
+
+    def limits(values, fixed):
+        by = collections.defaultdict(list)
+        for size, r in set(values):
+            by[math.floor(math.log2(size) * 4)].append(r)
+        found = {}
+        for k, v in by.items():
+            if len(v) >= 30:
+                v.sort()
+                low, mid, high = (v[max(0, math.ceil(p * len(v)) - 1)] for p in (0.25, 0.5, 0.75))
+                found[k] = (mid - 5 * max(mid - low, 0.01 * mid), mid + 5 * max(high - mid, 0.01 * mid))
+        return lambda size: found.get(math.floor(math.log2(size) * 4)) or [(b.lowest, b.highest) for b in fixed if size >= b.min_bytes][-1]
+
+    whole = limits([(n, r) for bad, n, r, _ in rows if not bad], quality_bands.WHOLE_BANDS)
+    chunk = limits([c for bad, _, _, parts in rows if not bad for c in parts], quality_bands.CHUNK_BANDS)
+    got = {r["doc_id"]: r for r in quality_bands.quality(table(spark, texts)).collect()}
+    for i, (bad, n, r, parts) in enumerate(rows):
+        if r is None:
+            want = "none"
+        else:
+            lo, hi = whole(n)
+            out = sum(not chunk(s)[0] <= x <= chunk(s)[1] for s, x in parts)
+            want = "repetitive" if r > hi else "incompressible" if r < lo else "chunks" if len(parts) > 1 and out > 0.25 * len(parts) else "inside"
+        assert (got[i]["band"], got[i]["kept"]) == (want, not bad and want == "inside")
+    assert not any(got[i]["kept"] for i in range(500, 512)) and any(not rows[i][0] for i in range(500, 512))
+    assert sum(got[i]["kept"] for i in range(500)) > 480
