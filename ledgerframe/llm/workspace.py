@@ -37,16 +37,24 @@ def broadcast_if_small(rows: DataFrame, most: int = 1 << 21) -> DataFrame:
 
 
 def most_frequent(counts: DataFrame, most: int, n: str = "n") -> DataFrame:
-    """The rows with the largest counts, at most `most`; rows whose counts are about equal come together or not at all.
-
-    The cut is found on a histogram of the counts (a row for each step of about 2 %), so no sort and no top list
-    of each partition goes through one task or the driver.
+    """The rows with the largest counts, at most `most`. The cut is found on a histogram of the counts (a row for each
+    step of about 2 %), so no sort and no top list of each partition goes through one task or the driver; of the step
+    at the cut, rows are taken by their hash as far as there is room.
     """
     step = F.floor(F.log2(F.col(n)) * 32).cast("int")
     left, cut = most, None
     for row in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).collect(), key=lambda r: -r["step"]):
+        if row["rows"] > left:
+            cut = row["step"]
+            break
+        left -= row["rows"]
+    if cut is None:
+        return counts
+    share = F.pmod(F.xxhash64(*counts.columns), F.lit(1 << 12))
+    part = 0
+    for row in sorted(counts.where(step == cut).groupBy(share.alias("share")).agg(F.count("*").alias("rows")).collect(), key=lambda r: r["share"]):
         left -= row["rows"]
         if left < 0:
             break
-        cut = row["step"]
-    return counts.where(F.lit(False) if cut is None else step >= cut)
+        part = row["share"] + 1
+    return counts.where((step > cut) | ((step == cut) & (share < part)))

@@ -450,7 +450,7 @@ def test_ngram_join_empty(spark):
 # --- 8 ------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("head", [1 << 20, 30])
+@pytest.mark.parametrize("head", [1 << 20, 30, 4, 0])
 def test_context_tree_scoring(spark, head):
     texts = made_texts(80)
     tokens = {i: WORD.findall(lower(t or "")) + [None] for i, t in enumerate(texts)}
@@ -477,6 +477,69 @@ def test_context_tree_is_a_distribution():
     assert p.sum(axis=1) == pytest.approx(np.ones(4), rel=1e-4)
 
 
+def test_context_tree_by_brute_force(spark):
+    """P(byte | context) is the ratio of two weighted block probabilities of the whole tree: with that byte added and without it."""
+    rnd = random.Random(17)
+    texts = ["".join(rnd.choice("aab b") for _ in range(rnd.randint(0, 30))) for _ in range(40)]
+    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+
+    def symbols(t):
+        raw = b"\0\0\0" + t.encode() + b"\xff"
+        return [(raw[i - 3 : i], raw[i]) for i in range(3, len(raw))]
+
+    seen = [x for t in train for x in symbols(t)]
+    known = {c for c, _ in seen}
+
+    def log_kt(a, b):
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - 2 * math.lgamma(0.5)
+
+    def block(rows, depth, suffix):
+        """log P_w of the bits of one decision whose contexts end in suffix. rows: (context, bit) -> number."""
+        own = {k: v for k, v in rows.items() if k[0].endswith(suffix)}
+        a, b = (sum(v for (_, bit), v in own.items() if bit == x) for x in (0, 1))
+        if depth == 3:
+            return log_kt(a, b)
+        kids = sum(block(own, depth + 1, c) for c in {k[0][2 - depth :] for k in own})
+        return np.logaddexp(log_kt(a, b), kids) - math.log(2)
+
+    def log10_p(context, byte):
+        total = 0.0
+        for bit in range(8):
+            rows = collections.Counter((c, (s >> (7 - bit)) & 1) for c, s in seen if s >> (8 - bit) == byte >> (8 - bit))
+            before = block(rows, 0, b"")
+            rows[context, (byte >> (7 - bit)) & 1] += 1
+            total += block(rows, 0, b"") - before
+        return total / math.log(10)
+
+    got = {r["doc_id"]: r for r in ctw.score(table(spark, texts)).collect()}
+    cache, checked = {}, 0
+    for i, t in enumerate(texts):
+        if all(c in known for c, _ in symbols(t)):
+            for x in symbols(t):
+                cache.setdefault(x, log10_p(*x) if x not in cache else 0.0)
+            want = sum(cache[x] for x in symbols(t))
+            assert got[i]["score"] == pytest.approx(want, rel=1e-5)
+            assert got[i]["bits_per_byte"] == pytest.approx(-want / math.log10(2) / (len(t) + 1), rel=1e-5)
+            checked += 1
+    assert checked > 30
+
+
+def test_most_frequent_takes_part_of_a_step(spark):
+    from ledgerframe.llm.workspace import most_frequent
+
+    rows = spark.range(3000).select(F.col("id").alias("key"), F.when(F.col("id") < 100, 50).otherwise(7).alias("n"))
+    for most in (0, 60, 100, 1500, 3000, 9000):
+        kept = most_frequent(rows, most).collect()
+        assert min(most, 3000) * 0.9 - 10 <= len(kept) <= most and (most < 100 or sum(r["n"] == 50 for r in kept) == 100)
+
+
+def test_context_tree_repeated_rows_and_null_ids(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "zz"), (3, None), (3, "")], "doc_id long, text string")
+    rows = ctw.score(docs.withColumn("rest", F.lit(1)).withColumn("name", F.lit("x"))).collect()
+    assert len(rows) == 5 and {r["train_tokens"] for r in rows} == {sum({1: 3, 3: 1}[i] * k for i, k in ((1, 2), (3, 2)) if zlib.crc32(str(i).encode()) % 7 != 2)}
+    assert len({r["score"] for r in rows if r["doc_id"] == 1}) == 1
+
+
 def test_kt_by_hand():
     """One context, no children: the estimate of the next bit is (n1 + 1/2) / (n + 1)."""
     counts = np.zeros((1, 256))
