@@ -35,3 +35,19 @@ def masked_base(text):
             out += f"[{kind.upper()}]"
         at = max(at, stop)
     return out + text[at:]
+
+
+def sanitised(texts: dict) -> dict:
+    """Base findings masked and disclosing terms generalised or removed, by the definition over all these texts."""
+    from test_text_operators import base_spans, brute_terms
+
+    out, ids = {}, list(texts)
+    for i, terms in zip(ids, brute_terms([texts[i] for i in ids])):
+        t = texts[i]
+        base = [(int(a), int(b), f"[{k.upper()}]") for k, a, b in (x.split(":") for x in base_spans(t).split(",") if x)]
+        marks = base + [(a, b, "" if k.startswith("remove") else f"[{k.split('-')[1]}]") for k, a, b in terms] if base else []
+        text, at = "", 0
+        for a, b, mark in sorted(marks):
+            text, at = text + t[at:a] + mark if a >= at else text, max(at, b)
+        out[i] = text + t[at:]
+    return out
