@@ -48,8 +48,9 @@ LONG_SHINGLES = 1 << 18
 MERGED = 32
 #: Entries of a list that meet in one place.
 PART = 1024
-#: Shingles counted together.
-FLUSH = 1 << 21
+#: Shingles counted together, and bytes of text cut into shingles together.
+FLUSH = 1 << 20
+CHUNK = 1 << 20
 NO_ID = -(1 << 63)
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +97,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
     def describe(batches):
         for batch in batches:
-            for lo, hi, buf, offs in T.documents(batch.column(1)):
+            for lo, hi, buf, offs in T.documents(batch.column(1), CHUNK):
                 h, bounds = shingle_sets(buf, offs)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(np.diff(bounds)), pa.array(digests(h, bounds))], names=["doc_id", "n_shingles", "digest"])
 
@@ -126,7 +127,7 @@ def list_lengths(docs: DataFrame, total: int, least: int) -> DataFrame:
     def send(batches):
         waiting: list[np.ndarray] = []
         for batch in batches:
-            for _, _, buf, offs in T.documents(batch.column(0)):
+            for _, _, buf, offs in T.documents(batch.column(0), CHUNK):
                 waiting.append(first_of_each(*shingle_sets(buf, offs))[0])
                 if sum(map(len, waiting)) >= FLUSH:
                     yield from flushed(waiting)
@@ -169,7 +170,7 @@ def merged_lists(docs: DataFrame, long_lists) -> DataFrame:
     def first(batches):
         long_key, long_n = long_lists.value
         for batch in batches:
-            for _, _, buf, offs in T.documents(batch.column(0)):
+            for _, _, buf, offs in T.documents(batch.column(0), CHUNK):
                 h, bounds, own = first_of_each(*shingle_sets(buf, offs))
                 if not len(h):
                     continue
@@ -251,7 +252,7 @@ def probed(docs: DataFrame, named: DataFrame, pairs: DataFrame) -> DataFrame:
     def cut(batches):
         for batch in batches:
             want = batch.column(0).to_numpy()
-            for lo, hi, buf, offs in T.documents(batch.column(1)):
+            for lo, hi, buf, offs in T.documents(batch.column(1), CHUNK):
                 h, bounds = shingle_sets(buf, offs)
                 # rows that share a doc_id with another text do not have the digest asked for
                 ok = np.flatnonzero(digests(h, bounds) == want[lo:hi])
