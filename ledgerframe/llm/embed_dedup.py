@@ -122,6 +122,7 @@ def blocks(nodes: DataFrame, sizes: dict[int, int], tree: int) -> DataFrame:
     planes = {s: max(0, int(np.ceil(np.log2(max(1, n) / BLOCK))) + 1) for s, n in sizes.items() if n > BLOCK}
 
     def cut(batches):
+        normals: dict[int, np.ndarray] = {}  # by length, drawn once a task
         for batch in batches:
             units, spaces = batch.column(2).to_pylist(), batch.column(0).to_pylist()
             codes = []
@@ -129,8 +130,9 @@ def blocks(nodes: DataFrame, sizes: dict[int, int], tree: int) -> DataFrame:
                 code, n = 0, planes.get(space, 0)
                 if n:
                     x = np.frombuffer(unit, dtype=np.float64)
-                    normal = np.random.default_rng([tree, len(x)]).standard_normal((64, len(x)))[:n]
-                    code = int(((normal @ x) > 0) @ (1 << np.arange(n)))
+                    if len(x) not in normals:
+                        normals[len(x)] = np.random.default_rng([tree, len(x)]).standard_normal((64, len(x)))
+                    code = int(((normals[len(x)][:n] @ x) > 0) @ (1 << np.arange(n)))
                 codes.append(code)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.int64()), batch.column(1), batch.column(2), batch.column(3)], names=["space", "block", "node", "unit", "group"])
 
