@@ -16,6 +16,9 @@ _WHERE = {
     "op8_context_tree_scoring": "ctw",
     "op9_best_fit_packing": "packing",
     "op10_quality_rules": "quality_bands",
+    "op11_hard_negatives": "hard_negatives",
+    "op12_source_divergence": "source_audit",
+    "op13_quality_classifier": "quality_svm",
 }
 
 
@@ -56,6 +59,32 @@ links AS (SELECT x, y FROM met JOIN size p ON p.doc_id = x JOIN size q ON q.doc_
 {_REACH}
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(least, d.doc_id) AS component_id FROM documents d LEFT JOIN size s ON s.doc_id = d.doc_id LEFT JOIN comp c ON c.x = d.doc_id"""
 
+OP11 = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+pos AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) QUALIFY row_number() OVER w <= 10"""
+
+#: share of a count n among total occurrences of kept terms, in parts of 10**9
+_SHARE = "1 + (1000000000::HUGEINT * ({n} + 2)) // ({total} + 2 * {kept})"
+_APART = "(({p} - {q}) * ({p} - {q})) // ({p} + {q})"
+
+OP12 = rf"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+t AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS n FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+size AS (SELECT lang, count(*)::HUGEINT AS kept, sum(n) AS whole FROM kept GROUP BY lang),
+total AS (SELECT g.lang, g.source, coalesce(sum(n), 0)::HUGEINT AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT lang, source, term, coalesce(c.n, 0) AS n, {_SHARE.format(n='coalesce(c.n, 0)', total='total', kept='size.kept')} AS p, {_SHARE.format(n='kept.n', total='whole', kept='size.kept')} AS q FROM total JOIN size USING (lang) JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+diff AS (SELECT a.lang, a.source, b.source AS item, sum({_APART.format(p='a.p', q='b.p')}) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN diff ON diff.lang = a.lang AND diff.source = a.source AND diff.item = b.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, ({_APART.format(p='p', q='q')})::BIGINT AS value FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_near_dedup": OP3, "op5_substring_dedup": OP5, "op7_ngram_jaccard_join": OP7}
+    return {"op3_embedding_near_dedup": OP3, "op5_substring_dedup": OP5, "op7_ngram_jaccard_join": OP7, "op11_hard_negatives": OP11, "op12_source_divergence": OP12}
