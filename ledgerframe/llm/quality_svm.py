@@ -10,7 +10,7 @@ characters, and whether the token was just repeated).
    that was never seen has r = 0, whatever the share of the classes.
 3. A linear hinge-loss model over r-scaled indicators, rows of length 1, is fitted by dual
    coordinate descent on a bounded sample (about `PER_CLASS` documents of each class, whole
-   texts, equal texts once); its features are all that reaches the driver. Weights are then
+   texts, equal texts once); the sampled labels are broadcast, and the sample's features reach the driver. Weights are then
    drawn half-way to their mean magnitude, as NBSVM has it: naive Bayes, unless the hinge is sure.
 4. Margins become probabilities by a logistic curve fitted to margins of documents that
    the model had not seen (two folds of the sample), classes weighing as in the corpus.
@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import textops as T
 from .language_id import held_out
+from .workspace import broadcast_if_small
 
 BUCKETS = 1 << 18
 #: Bound of the sample that the hinge-loss model is fitted on: expected documents of each class.
@@ -196,8 +197,8 @@ def _class_counts(batches):
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[np.ndarray, np.ndarray, float, float]:
     """r, weights, slope and offset, from the documents that have label rows (doc_id, quality)."""
     known = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long"), (F.col("quality").cast("int") != 0).cast("int").alias("label"))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(known, "doc_id")
-    counted = rows.select("text", "label").mapInArrow(_class_counts, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    counted = rows.join(broadcast_if_small(known), "doc_id").select("text", "label").mapInArrow(_class_counts, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
     counts = np.zeros((2, BUCKETS + 1))
     for c in (0, 1):
         counts[c, counted["bucket"].to_numpy() + 1] = counted[f"n{c}"].to_numpy()
@@ -208,7 +209,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     r = ratios(counts[:, 1:], sizes)
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
     share = [min(1 << 20, -(-per_class * (1 << 20) // int(n))) for n in sizes]
-    table = rows.where(draw < F.when(F.col("label") == 1, share[1]).otherwise(share[0])).select("text", "label").mapInArrow(_lists, "name long, f array<int>, label int").toArrow()
+    sample = known.where(draw < F.when(F.col("label") == 1, share[1]).otherwise(share[0]))
+    table = rows.join(F.broadcast(sample), "doc_id").select("text", "label").mapInArrow(_lists, "name long, f array<int>, label int").toArrow()
     # equal texts once, in the order of their hash: the result does not hang on how rows are dealt
     once = np.unique(np.stack([table["name"].to_numpy(), table["label"].to_numpy().astype(np.int64)]), axis=1, return_index=True)[1]
     table = table.take(pa.array(once))
