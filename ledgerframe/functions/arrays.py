@@ -37,3 +37,15 @@ def linear_quantile(ordered: Column, p: float) -> Column:
 def mean_of(values: Column) -> Column:
     """Mean of an array, null where it is empty."""
     return F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), F.size(values))
+
+
+def mean_up_to_quantile(ordered: Column, p: float, strict: bool) -> Column:
+    """Mean of the entries of an ascending array below its quantile (strict) or up to it; null where there is none.
+
+    Only the entries up to the quantile's place are looked at; all of them where equal values reach beyond it.
+    """
+    q, at = linear_quantile(ordered, p), F.ceil((F.size(ordered) - 1) * F.lit(p)).cast("int")
+    head = F.slice(ordered, F.lit(1), at + 1)
+    if strict:
+        return mean_of(F.filter(head, lambda x: x < q))
+    return mean_of(F.filter(F.when(F.get(ordered, at + 1) <= q, ordered).otherwise(head), lambda x: x <= q))

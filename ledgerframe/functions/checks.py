@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def require_known(rows: DataFrame, known: DataFrame, key: str, value: str, what: str) -> DataFrame:
-    """The rows; one whose key is not among `known` raises an error when its value is read."""
-    have = known.select(F.col(key)).distinct().withColumn("_known", F.lit(True))
-    guarded = F.when(F.col("_known"), F.col(value)).otherwise(F.raise_error(F.concat(F.lit(f"{what}: "), F.col(key).cast("string"))))
-    return rows.join(have, key, "left").withColumn(value, guarded).select(*rows.columns)
+def require_known(rows: DataFrame, known: DataFrame, key: str | Sequence[str], what: str) -> DataFrame:
+    """The rows; one whose key (a column, or several) is not among `known` raises an error, whichever columns are read: the guard is a filter."""
+    keys = [key] if isinstance(key, str) else list(key)
+    have = known.select(*keys).distinct().withColumn("_known", F.lit(True))
+    named = F.concat_ws(" ", F.lit(f"{what}:"), *[F.col(k).cast("string") for k in keys])
+    return rows.join(have, keys, "left").where(F.when(F.col("_known"), True).otherwise(F.raise_error(named).cast("boolean"))).select(*rows.columns)
 
 
 def good_price(price: Column) -> Column:

@@ -6,14 +6,20 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.checks import require_known
+
 #: Upper bounds of the size buckets, right-closed (fixed values).
 SIZE_BUCKETS = ((25_000.0, "<=25k"), (100_000.0, "25k-100k"), (500_000.0, "100k-500k"))
 LARGEST = ">500k"
 
 
 def sleeves(weights: DataFrame, growth: DataFrame, sleeve_of: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Weight and return of each sleeve with a weight: weights (ticker, weight), growth (ticker, growth), sleeve_of (ticker, sleeve)."""
-    rows = weights.join(growth, [*(c for c in by if c in growth.columns), "ticker"]).join(sleeve_of, "ticker")
+    """Weight and return of each sleeve with a weight: weights (ticker, weight), growth (ticker, growth), sleeve_of (ticker, sleeve).
+
+    A ticker without growth or without a sleeve is an error.
+    """
+    at = [*(c for c in by if c in growth.columns), "ticker"]
+    rows = require_known(require_known(weights, growth, at, "no growth for"), sleeve_of, "ticker", "no sleeve for").join(growth, at).join(sleeve_of, "ticker")
     g = rows.groupBy(*by, "sleeve").agg(F.sum("weight").alias("w"), F.sum(F.col("weight") * (F.col("growth") - 1)).alias("gain"))
     return g.where("w > 0").select(*by, "sleeve", "w", (F.col("gain") / F.col("w")).alias("r"))
 
@@ -30,29 +36,37 @@ def brinson(portfolio: DataFrame, benchmark: DataFrame, by: Sequence[str] = ())
     return both.select(*by, "sleeve", (active * (F.col("rb_") - F.col("total"))).alias("allocation"), (F.col("wb") * (F.col("rp_") - F.col("rb_"))).alias("selection"), (active * (F.col("rp_") - F.col("rb_"))).alias("interaction"))
 
 
+def started(accounts: DataFrame, models: DataFrame, end) -> DataFrame:
+    """account_id, model_id, cash, start of the accounts with a start date and a listed model; a start at or after `end` is an error."""
+    rows = accounts.where("last_rebalanced is not null").join(models.select("model_id").distinct(), "model_id", "left_semi").select("account_id", "model_id", "cash", F.col("last_rebalanced").alias("start"))
+    late = F.raise_error(F.concat(F.col("account_id").cast("string"), F.lit(": starts at "), F.col("start").cast("string"), F.lit(f", not before {end}")))
+    return rows.where(F.when(F.col("start") < F.lit(end), True).otherwise(late.cast("boolean")))
+
+
 def implementation_effects(accounts: DataFrame, holdings: DataFrame, models: DataFrame, prices: DataFrame, end) -> DataFrame:
     """What each account's return owes to drift, cash and rounding between its last rebalance and `end`.
 
-    accounts: account_id, model_id, cash, last_rebalanced; prices: ticker, date, price with a row on every date used.
+    accounts: account_id, model_id, cash, last_rebalanced; prices: ticker, date, price. Accounts without a start date or with a model
+    that is not listed are left out. A start that is not before `end`, and a held or model ticker without a price at either, is an error.
     """
     px = prices.select("ticker", "date", "price")
     last = px.where(F.col("date") == F.lit(end)).select("ticker", F.col("price").alias("p1"))
-    starts = accounts.where(F.col("last_rebalanced").isNotNull() & (F.col("last_rebalanced") < F.lit(end))).select("account_id", "model_id", "cash", F.col("last_rebalanced").alias("start"))
+    starts = started(accounts, models, end)
     growth = px.withColumnRenamed("price", "p0").withColumnRenamed("date", "start").join(last, "ticker").withColumn("growth", F.col("p1") / F.col("p0"))
     # the model's own path depends on the start date only: one row for each model and date
     spans = starts.select("model_id", "start").distinct()
     daily = _model_daily(models, px)
     mixed = spans.join(daily, "model_id").where((F.col("date") > F.col("start")) & (F.col("date") <= F.lit(end))).groupBy("model_id", "start").agg((F.product(1 + F.col("r")) - 1).alias("model_rebalanced"))
-    hold = spans.join(models, "model_id").join(growth, ["ticker", "start"]).groupBy("model_id", "start").agg((F.sum(F.col("weight") * F.col("growth")) - 1).alias("model_buy_hold"))
-    own = starts.join(holdings.where("shares <> 0"), "account_id").join(growth, ["ticker", "start"]).groupBy("account_id").agg(F.sum(F.col("shares") * F.col("p0")).alias("held0"), F.sum(F.col("shares") * F.col("p0") * F.col("growth")).alias("held1"))
-    rows = starts.join(mixed, ["model_id", "start"]).join(hold, ["model_id", "start"]).join(own, "account_id", "left").fillna(0.0, ["held0", "held1"])
+    hold = require_known(spans.join(models, "model_id"), growth, ["ticker", "start"], "no price at start or end for").join(growth, ["ticker", "start"]).groupBy("model_id", "start").agg((F.sum(F.col("weight") * F.col("growth")) - 1).alias("model_buy_hold"))
+    own = require_known(starts.join(holdings.where("shares <> 0"), "account_id"), growth, ["ticker", "start"], "no price at start or end for").join(growth, ["ticker", "start"]).groupBy("account_id").agg(F.sum(F.col("shares") * F.col("p0")).alias("held0"), F.sum(F.col("shares") * F.col("p0") * F.col("growth")).alias("held1"))
+    rows = starts.join(mixed, ["model_id", "start"], "left").fillna(0.0, ["model_rebalanced"]).join(hold, ["model_id", "start"]).join(own, "account_id", "left").fillna(0.0, ["held0", "held1"])
     rows = rows.withColumn("value_start", F.col("held0") + F.col("cash")).where("value_start <> 0")
     c0 = F.col("cash") / F.col("value_start")
     invested = F.coalesce(F.try_divide(F.col("held1"), F.col("held0")) - 1, F.lit(0.0))
     rows = rows.withColumn("account", (F.col("held1") + F.col("cash")) / F.col("value_start") - 1)
     bh = F.col("model_buy_hold")
     return rows.select(
-        "account_id", "model_id", "start", "value_start", "model_rebalanced", "model_buy_hold", "account", (bh - F.col("model_rebalanced")).alias("drift_effect"),
+        "account_id", "model_id", "start", "value_start", c0.alias("cash_start"), "model_rebalanced", "model_buy_hold", "account", (bh - F.col("model_rebalanced")).alias("drift_effect"),
         (-c0 * bh).alias("cash_effect"), ((1 - c0) * (invested - bh)).alias("rounding_effect"), (F.col("account") - F.col("model_rebalanced")).alias("total"),
     )
 
@@ -66,8 +80,7 @@ def attribution_table(accounts: DataFrame, holdings: DataFrame, models: DataFram
     effects = implementation_effects(accounts, holdings, models, prices, end)
     by = ["model_id", "start"]
     # which pairs there are comes from the accounts, not from the effects: those are read once
-    started = accounts.where(F.col("last_rebalanced").isNotNull() & (F.col("last_rebalanced") < F.lit(end)))
-    spans = started.select("model_id", F.col("last_rebalanced").alias("start")).distinct()
+    spans = started(accounts, models, end).select("model_id", "start").distinct()
     px = prices.select("ticker", "date", "price")
     last = px.where(F.col("date") == F.lit(end)).select("ticker", F.col("price").alias("p1"))
     growth = px.join(last, "ticker").select("ticker", F.col("date").alias("start"), (F.col("p1") / F.col("price")).alias("growth"))
@@ -91,11 +104,16 @@ def _model_daily(models: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def by_size(effects: DataFrame) -> DataFrame:
-    """Number, median and worst total (basis points) by account size; a value on a bound belongs below it."""
+    """By account size (a value on a bound belongs below it; values of 0 and less have no size): number of accounts, median share of cash
+    at the start, medians of all effects and of the total, and the worst total, in basis points."""
     size = F.lit(LARGEST)
     for bound, name in reversed(SIZE_BUCKETS):
         size = F.when(F.col("value_start") <= bound, name).otherwise(size)
-    return effects.groupBy(size.alias("size")).agg(F.count("*").alias("n"), (F.percentile("total", F.lit(0.5)) * 1e4).alias("median_bp"), (F.min("total") * 1e4).alias("min_bp"))
+    median = lambda c: (F.percentile(c, F.lit(0.5)) * 1e4).alias
+    return effects.where("value_start > 0").groupBy(size.alias("size")).agg(
+        F.count("*").alias("n"), F.percentile("cash_start", F.lit(0.5)).alias("cash_start"), median("drift_effect")("drift_bp"), median("cash_effect")("cash_bp"), median("rounding_effect")("rounding_bp"),
+        median("total")("median_bp"), (F.min("total") * 1e4).alias("min_bp"),
+    )
 
 
 def by_model(effects: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.draws import with_uniform
 from . import returns as R, stats as S, var as V
 
 #: 5 % points of the chi-square distribution with one and two degrees of freedom (fixed values).
@@ -39,10 +40,36 @@ def upper_tail_chi2_1(x: Column) -> Column:
     return F.greatest(1 - 2 / math.sqrt(math.pi) * F.sqrt(y2) * F.exp(-y2) * terms, F.lit(0.0))
 
 
-def backtest(tested: DataFrame, alpha: float | str, by: Sequence[str] = ("book",)) -> DataFrame:
+#: Level of the simulated test of Z2 (fixed value).
+Z2_LEVEL = 0.05
+
+
+def simulated_z2(tested: DataFrame, level: Column, most: float, observed: DataFrame, n_boot: int, seed: int, by: Sequence[str]) -> DataFrame:
+    """by, p_value, boot_mean: the share of n_boot simulated Z2 at or below the observed one (by, days, z2), and their mean.
+
+    Breaches come at rate `level`, their losses are VaR + Exp(ES - VaR); other days add nothing. Numbers depend on seed, draw and
+    day only (all series share them), so just days drawn below the largest level `most` become rows.
+    """
+    rows = tested.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy("date"))).select(*by, "_i", "var", "es", level.alias("_level"))
+    draws = rows.select("_i").distinct().withColumn("_d", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
+    drawn = with_uniform(with_uniform(draws, "_u", ["_d", "_i", 1], seed).where(F.col("_u") < most), "_e", ["_d", "_i", 2], seed)
+    loss = F.col("var") - F.ln("_e") * F.greatest(F.col("es") - F.col("var"), F.lit(1e-12))
+    sums = rows.join(drawn, "_i").where("_u < _level").groupBy(*by, "_d").agg(F.sum(-loss / (F.col("_level") * F.col("es"))).alias("_s"))
+    z = sums.join(observed, list(by)).withColumn("_z", F.col("_s") / F.col("days") + 1)
+    found = z.groupBy(*by).agg(F.sum((F.col("_z") <= F.col("z2")).cast("long")).alias("_below"), F.count("*").alias("_drawn"), F.sum("_z").alias("_sum"))
+    # a draw without a breach has Z2 = 0, as a series has; a negative VaR is breached by any return
+    calm = rows.groupBy(*by).agg(F.when(F.bool_or(F.col("var") < 0), 1.0).otherwise(0.0).alias("_calm"))
+    all_ = observed.join(calm, list(by)).join(found, list(by), "left").fillna(0, ["_below", "_drawn", "_sum"])
+    rest = F.lit(n_boot) - F.col("_drawn")
+    below = F.col("_below") + F.when(F.col("_calm") <= F.col("z2"), rest).otherwise(0)
+    return all_.select(*by, (below / F.lit(n_boot)).alias("p_value"), ((F.col("_sum") + rest * F.col("_calm")) / F.lit(n_boot)).alias("boot_mean"))
+
+
+def backtest(tested: DataFrame, alpha: float | str, by: Sequence[str] = ("book",), n_boot: int = 0, most_alpha: float | None = None, seed: int = 42) -> DataFrame:
     """All tests of each series from one window and one aggregate: Kupiec, Christoffersen, Z2, ES and loss on breach days.
 
-    alpha: the level, or the name of the column in `by` that holds it. Without an es column what needs it is left out.
+    alpha: the level, or the name of the column in `by` that holds it (most_alpha: the largest one, 1 if not given). Without an es
+    column what needs it is left out. n_boot: number of simulated Z2 for p_value, boot_mean and reject_z2; none without it.
     """
     level = F.col(alpha) if isinstance(alpha, str) else F.lit(float(alpha))
     before = F.lag("breach").over(Window.partitionBy(*by).orderBy("date"))
@@ -65,7 +92,12 @@ def backtest(tested: DataFrame, alpha: float | str, by: Sequence[str] = ("book",
     if "es" not in tested.columns:
         return g
     z2 = F.when(F.col("breaches") > 0, F.col("_s") / F.col("days") + 1).otherwise(0.0)
-    return g.withColumn("z2", z2).withColumn("es_ratio", F.try_divide("mean_loss", "mean_es")).drop("_s")
+    g = g.withColumn("z2", z2).withColumn("es_ratio", F.try_divide("mean_loss", "mean_es")).drop("_s")
+    if not n_boot:
+        return g
+    most = most_alpha or (1.0 if isinstance(alpha, str) else float(alpha))
+    p = simulated_z2(tested, level, most, g.select(*by, "days", "z2"), n_boot, seed, by)
+    return g.join(p, list(by)).withColumn("reject_z2", F.col("p_value") < Z2_LEVEL)
 
 
 UC = ("breaches", "days", "lr_uc", "p_uc", "rate", "expected_rate", "reject_uc")
@@ -86,45 +118,22 @@ def acerbi_z2(tested: DataFrame, alpha: float, by: Sequence[str] = ("book",)) ->
     return backtest(tested, alpha, by).select(*by, "days", "breaches", "mean_es", "mean_loss", "z2", "es_ratio")
 
 
-def acerbi_p_value(tested: DataFrame, alpha: float, n_boot: int = 1000, seed: int = 42, by: Sequence[str] = ("book",)) -> DataFrame:
-    """Left-tail share of simulated Z2 below the observed one: breaches at rate alpha, losses VaR + Exp(ES - VaR)."""
-    import numpy as np
-    import pandas as pd
-
-    kinds = {f.name: f.dataType.simpleString() for f in tested.schema.fields}
-
-    def z2(r, es, hit) -> float:
-        return float((r[hit] / (alpha * es[hit])).sum() / len(r) + 1) if hit.any() else 0.0
-
-    def simulate(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        r, v, es = (pdf[c].to_numpy() for c in ("r", "var", "es"))
-        rng = np.random.default_rng(seed)
-        seen = z2(r, es, r < -v)
-        below = 0
-        for _ in range(n_boot):
-            hit = rng.random(len(r)) < alpha
-            loss = v[hit] + rng.exponential(1.0, int(hit.sum())) * np.maximum(es[hit] - v[hit], 0)
-            fake = np.zeros(len(r))
-            fake[hit] = -loss
-            below += z2(fake, es, hit) <= seen
-        return pd.DataFrame([[*key, seen, below / n_boot]], columns=[*by, "z2", "p_value"])
-
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "z2 double", "p_value double"])
-    return tested.select(*by, "date", "r", "var", "es").groupBy(*by).applyInPandas(simulate, schema)
+def acerbi_p_value(tested: DataFrame, alpha: float, n_boot: int = 10_000, seed: int = 42, by: Sequence[str] = ("book",)) -> DataFrame:
+    """Z2 with the left-tail share of simulated Z2 below it, their mean and the verdict."""
+    return backtest(tested, alpha, by, n_boot, seed=seed).select(*by, "breaches", "z2", "p_value", "boot_mean", "reject_z2")
 
 
-def full_grid(returns: DataFrame, window: int, alphas: Sequence[float] = (0.01, 0.05), methods: Sequence[str] = V.METHODS, by: Sequence[str] = ("book",)) -> DataFrame:
+def full_grid(returns: DataFrame, window: int, alphas: Sequence[float] = (0.01, 0.05), methods: Sequence[str] = V.METHODS, by: Sequence[str] = ("book",), n_boot: int = 3000) -> DataFrame:
     """One row for each series, method and level with all tests; forecasts and tests each take one pass."""
     tested = breaches(V.forecast_grid(returns, window, alphas, methods, by))
-    return backtest(tested, "alpha", [*by, "method", "alpha"]).withColumn("expected_breaches", F.col("days") * F.col("alpha"))
+    return backtest(tested, "alpha", [*by, "method", "alpha"], n_boot, max(alphas)).withColumn("expected_breaches", F.col("days") * F.col("alpha"))
 
 
 def cell_summary(grid: DataFrame, by: Sequence[str] = ("book",)) -> DataFrame:
     """The figures of each cell that are shown: breach rate and number, verdicts, consecutive breaches, ES against loss, Z2."""
     return grid.select(
         *by, "method", "alpha", F.col("rate").alias("breach_rate"), F.col("breaches").alias("breach_n"), F.col("reject_uc").alias("kupiec_reject"), F.col("reject_cc").alias("christ_reject"),
-        "n11", F.col("mean_loss").alias("es_real"), F.col("mean_es").alias("es_pred"), "es_ratio", F.col("z2").alias("acerbi_z2"),
+        "n11", F.col("mean_loss").alias("es_real"), F.col("mean_es").alias("es_pred"), "es_ratio", F.col("z2").alias("acerbi_z2"), F.col("p_value").alias("acerbi_p"), F.col("reject_z2").alias("acerbi_reject"),
     )
 
 

@@ -31,7 +31,7 @@ def tracking_error(weights: DataFrame, reference: DataFrame, cov: DataFrame) ->
     """sqrt(d' cov d) of the weight differences over the tickers of either side; one without a covariance is an error."""
     d = weights.select("ticker", F.col("weight").alias("w")).join(reference.select("ticker", F.col("weight").alias("v")), "ticker", "full")
     d = d.select("ticker", (F.coalesce("w", F.lit(0.0)) - F.coalesce("v", F.lit(0.0))).alias("d"))
-    d = require_known(d, cov.select(F.col("ticker_i").alias("ticker")), "ticker", "d", "no covariance for")
+    d = require_known(d, cov.select(F.col("ticker_i").alias("ticker")), "ticker", "no covariance for")
     q = cov.join(d.select(F.col("ticker").alias("ticker_i"), F.col("d").alias("di")), "ticker_i").join(d.select(F.col("ticker").alias("ticker_j"), F.col("d").alias("dj")), "ticker_j")
     return q.agg(F.sqrt(F.greatest(F.sum(F.col("di") * F.col("cov") * F.col("dj")), F.lit(0.0))).alias("te"))
 
@@ -50,16 +50,23 @@ def model_change(comparison: DataFrame, aum: float) -> DataFrame:
 
 
 def round_to_grid(weights: DataFrame, step: float, by: Sequence[str] = ("model_id",)) -> DataFrame:
-    """Largest remainder: whole steps, the missing ones to the largest remainders, ties in ticker order."""
+    """Largest remainder: whole steps of the weights (negative ones count as 0), the missing ones to the largest remainders, ties in ticker order.
+
+    1 / step must be a whole number, and weights of a group that do not sum to 1 (within 1e-6) are an error.
+    """
     units = round(1 / step)
     if abs(units * step - 1) > 1e-9:
         raise ValueError(f"1 / {step} is not a whole number")
-    scaled = F.col("weight") / F.lit(step)
-    rows = weights.withColumn("_f", F.floor(scaled + F.lit(1e-9))).withColumn("_rem", scaled - F.col("_f"))
-    left = F.lit(units) - F.sum("_f").over(Window.partitionBy(*by))
-    nr = F.row_number().over(Window.partitionBy(*by).orderBy(F.round("_rem", 9).desc(), "ticker"))
+    group = Window.partitionBy(*by)
+    total = F.sum("weight").over(group)
+    off = F.raise_error(F.concat_ws(" ", F.lit("weights do not sum to 1:"), *[F.col(c).cast("string") for c in by], F.col("_total").cast("string")))
+    rows = weights.withColumn("_total", total).where(F.when(F.abs(F.col("_total") - 1) <= 1e-6, True).otherwise(off.cast("boolean")))
+    scaled = F.greatest(F.col("weight"), F.lit(0.0)) * units
+    rows = rows.withColumn("_f", F.floor(scaled + F.lit(1e-9))).withColumn("_rem", scaled - F.col("_f"))
+    left = F.lit(units) - F.sum("_f").over(group)
+    nr = F.row_number().over(group.orderBy(F.desc("_rem"), "ticker"))
     rows = rows.withColumn("_left", left).withColumn("_nr", nr)
-    return rows.withColumn("rounded", (F.col("_f") + (F.col("_nr") <= F.col("_left")).cast("int")) * F.lit(step)).drop("_f", "_rem", "_left", "_nr")
+    return rows.withColumn("rounded", (F.col("_f") + (F.col("_nr") <= F.col("_left")).cast("int")) / F.lit(units)).drop("_total", "_f", "_rem", "_left", "_nr")
 
 
 def ensure_psd(cov: np.ndarray, floor: float = 1e-10) -> np.ndarray:

@@ -66,10 +66,12 @@ def require_few_excluded(validated: DataFrame, most: float = MOST_EXCLUDED) -> N
         raise ValueError(f"{share:.1%} of the accounts are excluded; the limit is {most:.1%}")
 
 
-def require_fresh(prices: DataFrame, asof, most_days: int = 5) -> DataFrame:
-    """The prices (ticker, date, price); one whose date is more than most_days before asof is an error when its price is read."""
-    stale = F.datediff(F.lit(asof).cast("date"), "date") > most_days
-    return prices.withColumn("price", F.when(stale, F.raise_error(F.concat(F.lit("stale price of "), F.col("ticker")))).otherwise(F.col("price")))
+def require_fresh(prices: DataFrame, asof) -> DataFrame:
+    """The prices of `asof` out of (ticker, date, price) rows; an error unless the last date that has prices is asof."""
+    stale = F.raise_error(F.concat(F.lit("last prices are of "), F.coalesce(F.col("_last").cast("string"), F.lit("no date")), F.lit(f", not of {asof}")))
+    last = prices.agg(F.max("date").alias("_last")).where(F.when(F.col("_last") == F.lit(asof).cast("date"), True).otherwise(stale.cast("boolean")))
+    # not joined on the date: Spark would apply the guard to every date then
+    return prices.where(F.col("date") == F.lit(asof).cast("date")).crossJoin(F.broadcast(last)).drop("_last")  # one row
 
 
 def positions(accounts: DataFrame, holdings: DataFrame, models: DataFrame, prices: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -222,15 +224,27 @@ def account_detail(result: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def orders_of(result: DataFrame) -> DataFrame:
-    """account_id, ticker, shares (positive), side, price, notional."""
+    """account_id, ticker, shares and notional (negative for sales), side, price."""
     rows = result.select("account_id", F.explode("o").alias("x")).where("x.trade <> 0")
-    return rows.select("account_id", "x.ticker", F.abs("x.trade").alias("shares"), F.when(F.col("x.trade") > 0, "BUY").otherwise("SELL").alias("side"), "x.price", (F.abs("x.trade") * F.col("x.price")).alias("notional"))
+    return rows.select("account_id", "x.ticker", F.col("x.trade").alias("shares"), F.when(F.col("x.trade") > 0, "BUY").otherwise("SELL").alias("side"), "x.price", (F.col("x.trade") * F.col("x.price")).alias("notional"))
 
 
-def post_holdings(result: DataFrame) -> DataFrame:
-    """Holdings after the orders, positions of zero left out."""
-    rows = result.where("o is not null").select("account_id", F.explode("o").alias("x"))
-    return rows.select("account_id", "x.ticker", (F.col("x.held") + F.col("x.trade")).alias("shares")).where("shares <> 0")
+def post_holdings(result: DataFrame, holdings: DataFrame | None = None) -> DataFrame:
+    """Holdings after the run: accounts that TRADED have their positions after the orders, all others (in their band, excluded, with a
+    violation) keep what they hold; positions of zero are left out. holdings: those before the run, needed where accounts are excluded.
+    """
+    rows = result.where("o is not null").select("account_id", F.col("status") == "TRADED", F.explode("o").alias("x")).toDF("account_id", "_traded", "x")
+    shares = F.col("x.held") + F.when(F.col("_traded"), F.col("x.trade")).otherwise(0.0)
+    after = rows.select("account_id", "x.ticker", shares.alias("shares"))
+    if holdings is not None:
+        after = after.unionByName(holdings.select("account_id", "ticker", "shares").join(result.where("o is not null").select("account_id"), "account_id", "left_anti"))
+    return after.where("shares <> 0")
+
+
+def post_accounts(result: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Accounts with their cash after the run; only those that TRADED have spent or raised any."""
+    cash = result.where("status = 'TRADED'").select("account_id", "post_cash")
+    return accounts.join(cash, "account_id", "left").withColumn("cash", F.coalesce("post_cash", "cash")).select(*accounts.columns)
 
 
 def reconcile(result: DataFrame) -> DataFrame:
@@ -247,7 +261,9 @@ def band_table(accounts: DataFrame, holdings: DataFrame, models: DataFrame, pric
     valued = drift_band(priced, rules).withColumn("in_band", F.col("drift_before") <= F.col("band"))
     r = settle(top_up(cash_scaled(raw_orders(valued, rules), rules), rules), rules)
     n = lambda c: F.sum(c.cast("long"))
+    traded = F.col("status") == "TRADED"
+    # what an account with a violation would have done is not done: only TRADED accounts count towards orders, turnover and drift
     return r.groupBy("band").agg(
-        F.count("*").alias("accounts"), n(~F.col("in_band")).alias("triggered"), n(F.col("status") == "TRADED").alias("traded"), n(F.col("status") == "EXC_TOO_SMALL").alias("too_small"), F.sum("n_orders").alias("orders"),
-        (F.sum(F.col("turnover") * F.col("total_value")) / F.sum("total_value")).alias("book_turnover"), F.percentile("drift_after", F.lit(0.5)).alias("median_drift"),
+        F.count("*").alias("accounts"), n(F.col("status").isin("TRADED", "EXC_TOO_SMALL")).alias("triggered"), n(traded).alias("traded"), n(F.col("status") == "EXC_TOO_SMALL").alias("too_small"), F.sum(F.when(traded, F.col("n_orders")).otherwise(0)).alias("orders"),
+        F.coalesce(F.try_divide(F.sum(F.when(traded, F.col("turnover") * F.col("total_value")).otherwise(0.0)), F.sum("total_value")), F.lit(0.0)).alias("book_turnover"), F.coalesce(F.percentile(F.when(traded, F.col("drift_after")), F.lit(0.5)), F.lit(0.0)).alias("median_drift"),
     )

@@ -62,7 +62,7 @@ def exposures(weights: DataFrame, by: Sequence[str] = ("book",)) -> DataFrame:
 
 def book_returns(prices: DataFrame, weights: DataFrame) -> DataFrame:
     """book, date, r: weighted returns of each book's own tickers, dates with all of them only; a ticker without prices is an error."""
-    weights = require_known(weights, prices, "ticker", "weight", "no prices for")
+    weights = require_known(weights, prices, "ticker", "no prices for")
     own = prices.join(weights.select("book", "ticker"), "ticker")
     r = simple_returns(own, ["book"], "any").join(weights, ["book", "ticker"])
     return r.groupBy("book", "date").agg(F.sum(F.col("weight") * F.col("r")).alias("r"))

@@ -11,8 +11,9 @@ from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.arrays import linear_quantile, mean_of, states_before
+from ..functions.arrays import linear_quantile, mean_of, mean_up_to_quantile, states_before
 from ..functions.checks import require_known
+from ..functions.draws import quantile_ranks, resampled_ranks, with_uniforms
 
 _NORMAL = NormalDist()
 METHODS = ("parametric", "historic", "fhs")
@@ -45,14 +46,14 @@ def rolling_parametric(returns: DataFrame, window: int, alpha: float, by: Sequen
 def rolling_historic(returns: DataFrame, window: int, alpha: float, by: Sequence[str] = ("book",)) -> DataFrame:
     """Exact quantile and the mean strictly below it (the quantile itself if nothing is)."""
     check_alpha(alpha)
-    rows = returns.withColumn("_pool", F.array_sort(F.collect_list("r").over(_before(window, by))))
+    rows = returns.withColumn("_pool", F.sort_array(F.collect_list("r").over(_before(window, by))))
     q = linear_quantile(F.col("_pool"), alpha)
-    return _forecast(rows, window, by, -q, -historic_tail(F.col("_pool"), q))
+    return _forecast(rows, window, by, -q, -historic_tail(F.col("_pool"), alpha))
 
 
-def historic_tail(pool: Column, q: Column) -> Column:
-    """Mean strictly below the quantile, the quantile itself if nothing is."""
-    return F.coalesce(mean_of(F.filter(pool, lambda x: x < q)), q)
+def historic_tail(pool: Column, alpha: float) -> Column:
+    """Mean strictly below the quantile of an ascending pool, the quantile itself if nothing is."""
+    return F.coalesce(mean_up_to_quantile(pool, alpha, strict=True), linear_quantile(pool, alpha))
 
 
 def ewma_filter(returns: DataFrame, lam: float, seed: Column, by: Sequence[str] = ("book",)) -> DataFrame:
@@ -60,7 +61,7 @@ def ewma_filter(returns: DataFrame, lam: float, seed: Column, by: Sequence[str]
 
     seed: an expression over the columns _r (array of a series' returns in date order). One fold for each series.
     """
-    lists = returns.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("date", "r"))).alias("_p")).withColumn("_r", F.col("_p.r"))
+    lists = returns.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("date", "r"))).alias("_p")).withColumn("_r", F.col("_p.r"))
     sigma2 = states_before(F.col("_r"), seed.cast("double"), lambda a, x: a * lam + x * x * (1 - lam))
     rows = lists.withColumn("_s", sigma2).select(*by, F.explode(F.arrays_zip("_p", "_s")).alias("e"))
     return rows.select(*by, F.col("e._p.date").alias("date"), F.col("e._p.r").alias("r"), F.col("e._s").alias("sigma2"), F.try_divide(F.col("e._p.r"), F.sqrt("e._s")).alias("z"))
@@ -77,9 +78,30 @@ def rolling_fhs(returns: DataFrame, window: int, alpha: float, lam: float = 0.94
     """Filtered historical simulation: quantile and tail mean (up to the quantile) of standardised returns, times sigma."""
     check_alpha(alpha)
     z = ewma_filter(returns, lam, var_pop_of(window), by)
-    rows = z.withColumn("_pool", F.array_sort(F.collect_list("z").over(_before(window, by))))
+    rows = z.withColumn("_pool", F.sort_array(F.collect_list("z").over(_before(window, by))))
     q, sigma = linear_quantile(F.col("_pool"), alpha), F.sqrt("sigma2")
-    return _forecast(rows, window, by, -q * sigma, -mean_of(F.filter("_pool", lambda x: x <= q)) * sigma)
+    return _forecast(rows, window, by, -q * sigma, -mean_up_to_quantile(F.col("_pool"), alpha, strict=False) * sigma)
+
+
+def rolling_fhs_bootstrap(returns: DataFrame, window: int, alpha: float, n_boot: int = 1000, lam: float = 0.94, seed: int = 42, by: Sequence[str] = ("book",)) -> DataFrame:
+    """rolling_fhs with resampled quantiles: VaR from the mean quantile of n_boot resamples of a day's pool, ES from its tail up to the quantile
+    of one draw of n_boot values (null with an empty tail); n_tail is the number of values in it.
+
+    Resamples are drawn as places in the sorted pool, the same for every day and series: the mean over resampled quantiles
+    is a weighted sum over the pool, whose weights (one for each place at most) are worked out once.
+    """
+    check_alpha(alpha)
+    spark, (_, _, part) = returns.sparkSession, quantile_ranks(window, alpha)
+    ends = F.explode(F.array(F.struct(F.col("low").alias("place"), F.lit(1 - part).alias("w")), F.struct(F.col("high").alias("place"), F.lit(part).alias("w"))))
+    weights = resampled_ranks(spark, window, window, n_boot, alpha, seed).select(ends.alias("e")).groupBy("e.place").agg((F.sum("e.w") / n_boot).alias("w"))
+    bag = weights.agg(F.sort_array(F.collect_list(F.struct("place", "w"))).alias("_bag"))
+    one = resampled_ranks(spark, window, n_boot, 1, alpha, seed + 1).select(F.col("low").alias("_low"), F.col("high").alias("_high"))
+    rows = ewma_filter(returns, lam, var_pop_of(window), by).withColumn("_pool", F.sort_array(F.collect_list("z").over(_before(window, by))))
+    rows = rows.withColumn("_nr", F.row_number().over(Window.partitionBy(*by).orderBy("date"))).where(F.col("_nr") > window).crossJoin(F.broadcast(bag)).crossJoin(F.broadcast(one))  # one row each
+    q = F.aggregate("_bag", F.lit(0.0), lambda s, x: s + x["w"] * F.get("_pool", x["place"]))
+    edge = F.get("_pool", F.col("_low")) + (F.get("_pool", F.col("_high")) - F.get("_pool", F.col("_low"))) * quantile_ranks(n_boot, alpha)[2]
+    rows = rows.withColumn("_edge", edge).withColumn("_tail", F.filter("_pool", lambda x: x <= F.col("_edge")))
+    return rows.select(*by, "date", "r", (-q * F.sqrt("sigma2")).alias("var"), (-mean_of(F.col("_tail")) * F.sqrt("sigma2")).alias("es"), F.size("_tail").alias("n_tail"))
 
 
 def forecast_grid(returns: DataFrame, window: int, alphas: Sequence[float], methods: Sequence[str], by: Sequence[str] = ("book",), lam: float = 0.94) -> DataFrame:
@@ -92,7 +114,7 @@ def forecast_grid(returns: DataFrame, window: int, alphas: Sequence[float], meth
     rows = ewma_filter(returns, lam, var_pop_of(window), by) if "fhs" in methods else returns
     rows = rows.withColumn("_nr", F.row_number().over(Window.partitionBy(*by).orderBy("date"))).withColumns({"_mu": F.avg("r").over(frame), "_sd": F.stddev_samp("r").over(frame), "_rs": F.collect_list("r").over(frame)})
     rows = (rows.withColumn("_zs", F.collect_list("z").over(frame)) if "fhs" in methods else rows).where(F.col("_nr") > window)
-    rows = rows.withColumns({c: F.array_sort(c) for c in ("_rs", "_zs") if c in rows.columns})
+    rows = rows.withColumns({c: F.sort_array(c) for c in ("_rs", "_zs") if c in rows.columns})
 
     def cell(method: str, alpha: float) -> Column:
         if method == "parametric":
@@ -100,10 +122,10 @@ def forecast_grid(returns: DataFrame, window: int, alphas: Sequence[float], meth
             var, es = -(F.col("_mu") + z * F.col("_sd")), -(F.col("_mu") - F.col("_sd") * (_NORMAL.pdf(z) / alpha))
         elif method == "historic":
             q = linear_quantile(F.col("_rs"), alpha)
-            var, es = -q, -historic_tail(F.col("_rs"), q)
+            var, es = -q, -historic_tail(F.col("_rs"), alpha)
         else:
             q = linear_quantile(F.col("_zs"), alpha)
-            var, es = -q * F.sqrt("sigma2"), -mean_of(F.filter("_zs", lambda x: x <= q)) * F.sqrt("sigma2")
+            var, es = -q * F.sqrt("sigma2"), -mean_up_to_quantile(F.col("_zs"), alpha, strict=False) * F.sqrt("sigma2")
         return F.struct(F.lit(method).alias("method"), F.lit(float(alpha)).alias("alpha"), var.alias("var"), es.alias("es"))
 
     cells = F.explode(F.array(*[cell(m, a) for m in methods for a in alphas]))
@@ -146,27 +168,28 @@ def rolling_confidence(returns: DataFrame, confidence: float, window: int, vol_m
 
 def portfolio_sigma(weights: DataFrame, cov: DataFrame, by: Sequence[str] = ("book",)) -> DataFrame:
     """sqrt(w' cov w) for each book; cov is (ticker_i, ticker_j, cov). A ticker without a covariance is an error."""
-    weights = require_known(weights, cov.select(F.col("ticker_i").alias("ticker")), "ticker", "weight", "no covariance for")
+    weights = require_known(weights, cov.select(F.col("ticker_i").alias("ticker")), "ticker", "no covariance for")
     i = weights.select(*by, F.col("ticker").alias("ticker_i"), F.col("weight").alias("wi"))
     j = weights.select(*by, F.col("ticker").alias("ticker_j"), F.col("weight").alias("wj"))
     both = i.join(cov, "ticker_i").join(j, [*by, "ticker_j"])
     return both.groupBy(*by).agg(F.sqrt(F.sum(F.col("wi") * F.col("cov") * F.col("wj"))).alias("sigma"))
 
 
-def bootstrap_quantile(returns: DataFrame, alpha: float, n_boot: int = 1000, ci: float = 0.95, seed: int = 42, by: Sequence[str] = ("book",)) -> DataFrame:
-    """Point quantile, its standard error (population) and a percentile interval from resamples of each series."""
-    import numpy as np
-    import pandas as pd
+def bootstrap_quantile(returns: DataFrame, alpha: float, n_boot: int = 5000, ci: float = 0.95, seed: int = 42, by: Sequence[str] = ("book",)) -> DataFrame:
+    """Point quantile, its standard error (population) and a percentile interval from n_boot resamples of each series.
 
+    A resample is drawn as places in the sorted series, once for each length of series.
+    """
     check_alpha(alpha)
-    kinds = {f.name: f.dataType.simpleString() for f in returns.schema.fields}
-
-    def draw(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pool = pdf.sort_values("date")["r"].to_numpy()
-        rng = np.random.default_rng(seed)
-        q = np.quantile(pool[rng.integers(0, len(pool), (n_boot, len(pool)))], alpha, axis=1)
-        lo, hi = np.quantile(q, [(1 - ci) / 2, (1 + ci) / 2])
-        return pd.DataFrame([[*key, float(np.quantile(pool, alpha)), float(q.std()), float(lo), float(hi)]], columns=[*by, "point", "se", "lo", "hi"])
-
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "point double", "se double", "lo double", "hi double"])
-    return returns.select(*by, "date", "r").groupBy(*by).applyInPandas(draw, schema)
+    pools = returns.groupBy(*by).agg(F.sort_array(F.collect_list("r")).alias("_pool")).withColumn("_n", F.size("_pool"))
+    draws = pools.select("_n").distinct().withColumn("_d", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).repartition(returns.sparkSession.sparkContext.defaultParallelism, "_n", "_d")  # few small rows, but much work for each
+    places = with_uniforms(draws, "_u", ["_d"], F.col("_n"), seed)
+    ordered = places.select("_n", F.sort_array(F.transform("_u", lambda u: F.floor(u * F.col("_n")).cast("int"))).alias("_a"))
+    at = (F.col("_n") - 1) * F.lit(alpha)
+    of = lambda place: F.get("_a", F.least(F.col("_n") - 1, place.cast("int")))
+    ends = ordered.select("_n", of(F.floor(at)).alias("_low"), of(F.floor(at) + 1).alias("_high"), (at - F.floor(at)).alias("_part"))
+    pick = lambda c: F.get("_pool", F.col(c))
+    q = pools.join(ends, "_n").select(*by, (pick("_low") + (pick("_high") - pick("_low")) * F.col("_part")).alias("_q"))
+    tail = (1 - ci) / 2
+    spread = q.groupBy(*by).agg(F.stddev_pop("_q").alias("se"), F.percentile("_q", F.lit(tail)).alias("lo"), F.percentile("_q", F.lit(1 - tail)).alias("hi"))
+    return pools.select(*by, linear_quantile(F.col("_pool"), alpha).alias("point")).join(spread, list(by))

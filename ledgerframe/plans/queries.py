@@ -9,13 +9,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.draws import quantile_ranks, resampled_ranks_sql, with_uniform_sql
 from ..operators import attribution as A, backtest as B, covariance as C, rebalance as M, regime as G, returns as R, stats as P, var as V
 from ..sources import loaders as L, tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-W = 120
+W = 252
 ALPHA = 0.05
 BOOKS = [("core", "ECONOMY", 0.4), ("core", "MEDIUM", 0.35), ("core", "LARGE", 0.25), ("hedged", "PROMO", 0.8), ("hedged", "SMALL", -0.5), ("wide", "ECONOMY", 0.2), ("wide", "LARGE", 0.2), ("wide", "MEDIUM", 0.1), ("wide", "PROMO", 0.2), ("wide", "SMALL", 0.1), ("wide", "STANDARD", 0.2)]
 MODELS = [("GROWTH", "ECONOMY", 0.25), ("GROWTH", "LARGE", 0.2), ("GROWTH", "MEDIUM", 0.15), ("GROWTH", "PROMO", 0.15), ("GROWTH", "SMALL", 0.15), ("GROWTH", "STANDARD", 0.1), ("INCOME", "ECONOMY", 0.1), ("INCOME", "LARGE", 0.15), ("INCOME", "MEDIUM", 0.2), ("INCOME", "PROMO", 0.15), ("INCOME", "SMALL", 0.15), ("INCOME", "STANDARD", 0.25)]
@@ -427,9 +428,23 @@ def _(spark, sf):
     return P.rolling_breaches(B.breaches(V.rolling_parametric(book_ret(spark, sf), W, ALPHA)), ALPHA).select("book", "date", "breaches", "expected")
 
 
+N_BOOT = 3000
+
+
+def simulated(alpha: float, n_boot: int = N_BOOT, seed: int = 42) -> str:
+    """zp: p-value and mean of the simulated Z2, from hit, a and u; every draw and day a row, written down from the test's definition."""
+    draws = f"(SELECT i, unnest(generate_series(1, {n_boot})) AS d FROM (SELECT DISTINCT i FROM hn))"
+    drawn = with_uniform_sql(f"(SELECT * FROM ({with_uniform_sql(draws, 'u', ['d', 'i', 1], seed)}) WHERE u < {alpha})", "e", ["d", "i", 2], seed)
+    return f"""hn AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY date) AS i FROM hit), dr AS ({drawn}),
+ob AS (SELECT book, b, n_days, CASE WHEN b > 0 THEN s / n_days + 1 ELSE 0.0 END AS z2 FROM a JOIN u USING (book)),
+zs AS (SELECT book, d, sum(-(var - ln(e) * greatest(es - var, 1e-12)) / ({alpha} * es)) / any_value(n_days) + 1 AS z FROM hn JOIN dr USING (i) JOIN ob USING (book) GROUP BY 1, 2),
+za AS (SELECT ob.book, unnest(generate_series(1, {n_boot})) AS d, z2, CASE WHEN (SELECT bool_or(var < 0) FROM hit h WHERE h.book = ob.book) THEN 1.0 ELSE 0.0 END AS calm FROM ob),
+zp AS (SELECT book, avg(CASE WHEN coalesce(z, calm) <= z2 THEN 1.0 ELSE 0.0 END) AS p_value, avg(coalesce(z, calm)) AS boot_mean FROM za LEFT JOIN zs USING (book, d) GROUP BY book)"""
+
+
 FORECASTS = {"parametric": param, "historic": hist, "fhs": fhs}
 GRID_CELLS = " UNION ALL ".join(
-    f"(WITH {tested(FORECASTS[m](a))}, {coverage(a)}, {CHRIS}, {acerbi(a)} SELECT book, '{m}' AS method, CAST({a} AS DOUBLE) AS alpha, b, t, {uc_columns(a)}, {CC_COLUMNS}, {Z2_COLUMNS}, {r8(f't * {a}', 'expected_breaches')} FROM u JOIN i USING (book) JOIN a USING (book))"
+    f"(WITH {tested(FORECASTS[m](a))}, {coverage(a)}, {CHRIS}, {acerbi(a)}, {simulated(a)} SELECT book, '{m}' AS method, CAST({a} AS DOUBLE) AS alpha, b, t, {uc_columns(a)}, {CC_COLUMNS}, {Z2_COLUMNS}, {r8(f't * {a}', 'expected_breaches')}, {r8('p_value', 'p_value')}, {r8('boot_mean', 'boot_mean')}, p_value < 0.05 AS reject_z2 FROM u JOIN i USING (book) JOIN a USING (book) JOIN zp USING (book))"
     for m in FORECASTS for a in (0.01, 0.05)
 )
 
@@ -439,7 +454,7 @@ def _(spark, sf):
     return B.full_grid(book_ret(spark, sf), W)
 
 
-@query("multi_backtest", f"""SELECT book, method, alpha, rate AS breach_rate, breaches AS breach_n, reject_uc AS kupiec_reject, reject_cc AS christ_reject, n11, mean_loss AS es_real, mean_es AS es_pred, es_ratio, z2 AS acerbi_z2, period_start, period_end, obs, gross, net, beta, beta_alpha, r2, beta_n
+@query("multi_backtest", f"""SELECT book, method, alpha, rate AS breach_rate, breaches AS breach_n, reject_uc AS kupiec_reject, reject_cc AS christ_reject, n11, mean_loss AS es_real, mean_es AS es_pred, es_ratio, z2 AS acerbi_z2, p_value AS acerbi_p, reject_z2 AS acerbi_reject, period_start, period_end, obs, gross, net, beta, beta_alpha, r2, beta_n
 FROM ({GRID_CELLS}) JOIN (WITH {BOOKRET} SELECT book, min(date) AS period_start, max(date) AS period_end, count(*) AS obs FROM bret GROUP BY book) USING (book)
 JOIN (SELECT book, {r8('sum(abs(weight))', 'gross')}, {r8('sum(weight)', 'net')} FROM {values(BOOKS, 'book, ticker, weight')} GROUP BY book) USING (book)
 JOIN (WITH {BOOKRET}, m AS (SELECT date, r AS m FROM (SELECT date, price / lag(price) OVER (ORDER BY date) - 1 AS r FROM panel WHERE ticker = 'STANDARD') WHERE r IS NOT NULL) SELECT book, {r8('regr_slope(r, m)', 'beta')}, {r8('regr_intercept(r, m)', 'beta_alpha')}, {r8('regr_r2(r, m)', 'r2')}, count(*) AS beta_n FROM bret JOIN m USING (date) GROUP BY book) USING (book)
@@ -448,14 +463,32 @@ def _(spark, sf):
     return B.multi_backtest(T.price_panel(spark, sf), books(spark), "STANDARD", W)
 
 
-@query("bootstrap_ci")
+@query("bootstrap_ci", f"""WITH {BOOKRET}, pool AS (SELECT book, list_sort(list(r)) AS xs, count(*) AS n FROM bret GROUP BY book),
+pl AS ({with_uniform_sql("(SELECT n, d, unnest(generate_series(1, n)) AS j FROM (SELECT DISTINCT n, d FROM pool, (SELECT unnest(generate_series(1, 5000)) AS d)))", "u", ["d", "j"], 42)}),
+od AS (SELECT n, d, list_sort(list(CAST(floor(u * n) AS BIGINT))) AS a FROM pl GROUP BY n, d),
+en AS (SELECT n, d, a[CAST(floor((n - 1) * {ALPHA}) AS BIGINT) + 1] AS lo, a[CAST(floor((n - 1) * {ALPHA}) AS BIGINT) + 2] AS hi, (n - 1) * {ALPHA} - floor((n - 1) * {ALPHA}) AS part FROM od),
+qs AS (SELECT book, xs[lo + 1] + (xs[hi + 1] - xs[lo + 1]) * part AS q FROM pool JOIN en USING (n)), sp AS (SELECT book, stddev_pop(q) AS se, quantile_cont(q, 0.025) AS lo, quantile_cont(q, 0.975) AS hi FROM qs GROUP BY book)
+SELECT book, (SELECT round(quantile_cont(r, {ALPHA}), 8) FROM bret b WHERE b.book = sp.book) AS point, {r8('se', 'se')}, {r8('lo', 'lo')}, {r8('hi', 'hi')} FROM sp""")
+def _(spark, sf):
+    return V.bootstrap_quantile(book_ret(spark, sf), ALPHA)
+
+
+_PART, _PART_ONE = quantile_ranks(W, ALPHA)[2], quantile_ranks(1000, ALPHA)[2]
+
+
+@query("fhs_bootstrap", f"""WITH {EWMA}, z AS (SELECT *, r / sqrt(sigma2) AS z FROM sig), ordered AS (SELECT book, date, r, i, sigma2, list_sort(list(z) OVER {FRAME}) AS xs FROM z),
+rk AS ({resampled_ranks_sql(W, W, 1000, ALPHA, 42)}), one AS ({resampled_ranks_sql(W, 1000, 1, ALPHA, 43)}),
+bag AS (SELECT place, sum(w) / 1000 AS w FROM (SELECT low AS place, {1 - _PART} AS w FROM rk UNION ALL SELECT high, {_PART} FROM rk) GROUP BY place),
+qq AS (SELECT book, date, sum(w * xs[place + 1]) AS q FROM (SELECT * FROM ordered WHERE i > {W}) CROSS JOIN bag GROUP BY 1, 2),
+tl AS (SELECT o.*, q, list_filter(xs, lambda x: x <= xs[low + 1] + (xs[high + 1] - xs[low + 1]) * {_PART_ONE}) AS tail FROM ordered o JOIN qq USING (book, date) CROSS JOIN one)
+SELECT book, date, {r8('r', 'r')}, {r8('-q * sqrt(sigma2)', 'var')}, {r8('-list_avg(tail) * sqrt(sigma2)', 'es')}, CAST(len(tail) AS BIGINT) AS n_tail FROM tl""")
 def _(spark, sf):
-    return V.bootstrap_quantile(book_ret(spark, sf), ALPHA, 200)
+    return V.rolling_fhs_bootstrap(book_ret(spark, sf), W, ALPHA)
 
 
-@query("acerbi_p_value")
+@query("acerbi_p_value", f"WITH {tested(HIST)}, {coverage(ALPHA)}, {acerbi(ALPHA)}, {simulated(ALPHA, 10_000)} SELECT book, CAST(b AS BIGINT) AS breaches, {r8('z2', 'z2')}, {r8('p_value', 'p_value')}, {r8('boot_mean', 'boot_mean')}, p_value < 0.05 AS reject_z2 FROM ob JOIN zp USING (book)")
 def _(spark, sf):
-    return B.acerbi_p_value(B.breaches(V.rolling_historic(book_ret(spark, sf), W, ALPHA)), ALPHA, 200)
+    return B.acerbi_p_value(B.breaches(V.rolling_historic(book_ret(spark, sf), W, ALPHA)), ALPHA)
 
 
 # --- regime -------------------------------------------------------------------------------------------------------
@@ -585,10 +618,10 @@ def _(spark, sf):
     return C.model_change(C.compare_models(one_model(spark, "GROWTH"), one_model(spark, "INCOME")), 1000.0)
 
 
-@query("round_to_grid", f"""WITH {MODELS_SQL}, f AS (SELECT model_id, ticker, weight, floor(weight / 0.2 + 1e-9) AS f, weight / 0.2 - floor(weight / 0.2 + 1e-9) AS rem FROM models), k AS (SELECT *, 5 - sum(f) OVER (PARTITION BY model_id) AS rest, row_number() OVER (PARTITION BY model_id ORDER BY round(rem, 9) DESC, ticker) AS nr FROM f)
-SELECT model_id, ticker, {r8('weight', 'weight')}, {r8('(f + CASE WHEN nr <= rest THEN 1 ELSE 0 END) * 0.2', 'rounded')} FROM k""")
+@query("round_to_grid", f"""WITH {WEIGHTS}, f AS (SELECT pf_name, trade_date, ticker, weight, greatest(weight, 0) * 200 AS u FROM pw), k AS (SELECT *, 200 - sum(floor(u + 1e-9)) OVER (PARTITION BY pf_name, trade_date) AS rest, row_number() OVER (PARTITION BY pf_name, trade_date ORDER BY u - floor(u + 1e-9) DESC, ticker) AS nr FROM f)
+SELECT pf_name, trade_date, ticker, {r8('weight', 'weight')}, {r8('(floor(u + 1e-9) + CASE WHEN nr <= rest THEN 1 ELSE 0 END) / 200', 'rounded')} FROM k""")
 def _(spark, sf):
-    return C.round_to_grid(models(spark), 0.2)
+    return C.round_to_grid(T.portfolio_weights(spark, sf).select("pf_name", "trade_date", "ticker", "weight"), 0.005, ("pf_name", "trade_date"))
 
 
 @query("min_variance")
@@ -677,7 +710,7 @@ done AS (SELECT ok.account_id, ok.model_id, total_value, drift AS drift_before,
  FROM ok JOIN tot USING (account_id) JOIN dr USING (account_id) LEFT JOIN sp USING (account_id) LEFT JOIN da USING (account_id) LEFT JOIN short USING (account_id))"""
 
 
-@query("rebalance_orders", f"WITH RECURSIVE {TOPPED} SELECT account_id, ticker, {r8('abs(trade)', 'shares')}, CASE WHEN trade > 0 THEN 'BUY' ELSE 'SELL' END AS side, {r8('price', 'price')}, {r8('abs(trade) * price', 'notional')} FROM fin WHERE trade <> 0")
+@query("rebalance_orders", f"WITH RECURSIVE {TOPPED} SELECT account_id, ticker, {r8('trade', 'shares')}, CASE WHEN trade > 0 THEN 'BUY' ELSE 'SELL' END AS side, {r8('price', 'price')}, {r8('trade * price', 'notional')} FROM fin WHERE trade <> 0")
 def _(spark, sf):
     return M.orders_of(M.rebalance(*valid_book(spark, sf)))
 
@@ -722,14 +755,14 @@ def _(spark, sf):
     """A second run on what the first one left: how many accounts are within their band now."""
     a, h, m, p = valid_book(spark, sf)
     first = M.rebalance(a, h, m, p)
-    again = M.drift_band(M.positions(first.select("account_id", "model_id", F.col("post_cash").alias("cash")), M.post_holdings(first), m, p))
+    again = M.drift_band(M.positions(first.select("account_id", "model_id", F.when(F.col("status") == "TRADED", F.col("post_cash")).otherwise(F.col("cash")).alias("cash")), M.post_holdings(first), m, p))
     return again.agg(F.count("*").alias("accounts"), F.sum(F.col("in_band").cast("long")).alias("skipped"))
 
 
-BANDS = (0.02, 0.05, 0.1)
+BANDS = (0.01, 0.02, 0.03, 0.05)
 
 
-@query("band_table", " UNION ALL ".join(f"(WITH RECURSIVE {TOPPED.replace('drift > 0.05', f'drift > {b}')} SELECT CAST({b} AS DOUBLE) AS band, count(*) AS accounts, count(*) FILTER (WHERE status <> 'SKIPPED_IN_BAND') AS triggered, count(*) FILTER (WHERE status = 'TRADED') AS traded, count(*) FILTER (WHERE status = 'EXC_TOO_SMALL') AS too_small, CAST(sum(n_orders) AS BIGINT) AS orders, {r8('sum(turnover * total_value) / sum(total_value)', 'book_turnover')}, {r8('quantile_cont(drift_after, 0.5)', 'median_drift')} FROM done)" for b in BANDS))
+@query("band_table", " UNION ALL ".join(f"(WITH RECURSIVE {TOPPED.replace('drift > 0.05', f'drift > {b}')} SELECT CAST({b} AS DOUBLE) AS band, count(*) AS accounts, count(*) FILTER (WHERE status IN ('TRADED', 'EXC_TOO_SMALL')) AS triggered, count(*) FILTER (WHERE status = 'TRADED') AS traded, count(*) FILTER (WHERE status = 'EXC_TOO_SMALL') AS too_small, CAST(coalesce(sum(n_orders) FILTER (WHERE status = 'TRADED'), 0) AS BIGINT) AS orders, {r8("coalesce(sum(turnover * total_value) FILTER (WHERE status = 'TRADED'), 0) / sum(total_value)", 'book_turnover')}, {r8("coalesce(quantile_cont(drift_after, 0.5) FILTER (WHERE status = 'TRADED'), 0)", 'median_drift')} FROM done)" for b in BANDS))
 def _(spark, sf):
     return M.band_table(*valid_book(spark, sf), BANDS)
 
@@ -787,7 +820,7 @@ def effects(spark, sf):
     return A.implementation_effects(*started_book(spark, sf), *padded_to_end(spark, sf))
 
 
-@query("implementation_effect", f"WITH {IMPL} SELECT account_id, model_id, start, {r8('v0', 'value_start')}, {r8('mr', 'model_rebalanced')}, {r8('bh', 'model_buy_hold')}, {r8('acct', 'account')}, {r8('bh - mr', 'drift_effect')}, {r8('-c0 * bh', 'cash_effect')}, {r8('(1 - c0) * (inv - bh)', 'rounding_effect')}, {r8('acct - mr', 'total')} FROM im")
+@query("implementation_effect", f"WITH {IMPL} SELECT account_id, model_id, start, {r8('v0', 'value_start')}, {r8('c0', 'cash_start')}, {r8('mr', 'model_rebalanced')}, {r8('bh', 'model_buy_hold')}, {r8('acct', 'account')}, {r8('bh - mr', 'drift_effect')}, {r8('-c0 * bh', 'cash_effect')}, {r8('(1 - c0) * (inv - bh)', 'rounding_effect')}, {r8('acct - mr', 'total')} FROM im")
 def _(spark, sf):
     return effects(spark, sf)
 
@@ -808,7 +841,7 @@ def _(spark, sf):
     return A.attribution_table(*started_book(spark, sf), benchmarks, *padded_to_end(spark, sf), literal(spark, SLEEVES, "ticker string, sleeve string"))
 
 
-@query("size_buckets", f"WITH {IMPL} SELECT CASE WHEN v0 <= 25000 THEN '<=25k' WHEN v0 <= 100000 THEN '25k-100k' WHEN v0 <= 500000 THEN '100k-500k' ELSE '>500k' END AS size, count(*) AS n, {r8('quantile_cont(acct - mr, 0.5) * 1e4', 'median_bp')}, {r8('min(acct - mr) * 1e4', 'min_bp')} FROM im GROUP BY 1")
+@query("size_buckets", f"WITH {IMPL} SELECT CASE WHEN v0 <= 25000 THEN '<=25k' WHEN v0 <= 100000 THEN '25k-100k' WHEN v0 <= 500000 THEN '100k-500k' ELSE '>500k' END AS size, count(*) AS n, {r8('quantile_cont(c0, 0.5)', 'cash_start')}, {r8('quantile_cont(bh - mr, 0.5) * 1e4', 'drift_bp')}, {r8('quantile_cont(-c0 * bh, 0.5) * 1e4', 'cash_bp')}, {r8('quantile_cont((1 - c0) * (inv - bh), 0.5) * 1e4', 'rounding_bp')}, {r8('quantile_cont(acct - mr, 0.5) * 1e4', 'median_bp')}, {r8('min(acct - mr) * 1e4', 'min_bp')} FROM im WHERE v0 > 0 GROUP BY 1")
 def _(spark, sf):
     return A.by_size(effects(spark, sf))
 

@@ -232,9 +232,76 @@ def test_run_reconciles_and_its_id_follows_the_inputs(spark):
 
 
 def test_stale_price(spark):
-    px = spark.createDataFrame([("A", D[0], 1.0)], "ticker string, date date, price double")
-    assert M.require_fresh(px, D[5]).count() == 1 and M.require_fresh(px, D[5]).first()["price"] == 1.0
-    failing(M.require_fresh(px, D[6]), "stale price of A")
+    px = spark.createDataFrame([("A", D[0], 1.0), ("A", D[1], 2.0), ("B", D[1], 3.0)], "ticker string, date date, price double")
+    assert sorted(tuple(r) for r in M.require_fresh(px, D[1]).select("ticker", "price").collect()) == [("A", 2.0), ("B", 3.0)]
+    for asof in (D[0], D[2]):  # the last date that has prices must be asof
+        with pytest.raises(Exception, match=f"last prices are of {D[1]}"):
+            M.require_fresh(px, asof).count()
+
+
+def test_guards_hold_whichever_columns_are_read(spark):
+    px = spark.createDataFrame([(t, d, 1.0 + k) for t in "AB" for k, d in enumerate(D[:4])], "ticker string, date date, price double")
+    w = spark.createDataFrame([("b", "A", 0.5), ("b", "GHOST", 0.5)], "book string, ticker string, weight double")
+    for read in (lambda df: df.count(), lambda df: df.select("date").collect()):
+        with pytest.raises(Exception, match="no prices for: GHOST"):
+            read(R.book_returns(px, w))
+
+
+def test_grid_refuses_and_clips(spark):
+    schema = "model_id string, ticker string, weight double"
+    with pytest.raises(Exception, match="do not sum to 1"):
+        C.round_to_grid(spark.createDataFrame([("m", "a", 0.7), ("m", "b", 0.7)], schema), 0.1).count()
+    with pytest.raises(ValueError):
+        C.round_to_grid(spark.createDataFrame([], schema), 0.3)
+    w = spark.createDataFrame([("m", "a", -0.2), ("m", "b", 0.6), ("m", "c", 0.6)], schema)
+    assert [r["rounded"] for r in C.round_to_grid(w, 0.5).orderBy("ticker").collect()] == [0.0, 0.5, 0.5]
+
+
+def test_unpriced_holdings_and_late_starts_are_errors(spark):
+    px = spark.createDataFrame([("A", d, 10.0 + k) for k, d in enumerate(D[:4])] + [("G", D[3], 1.0)], "ticker string, date date, price double")
+    mod = spark.createDataFrame([("m", "A", 1.0)], "model_id string, ticker string, weight double")
+    held = lambda *rows: spark.createDataFrame(rows, "account_id long, ticker string, shares double")
+    acc = lambda start: spark.createDataFrame([(1, "m", 10.0, start), (2, "m", 10.0, None), (3, "other", 10.0, D[0])], "account_id long, model_id string, cash double, last_rebalanced date")
+    row = A.implementation_effects(acc(D[0]), held((1, "A", 10.0)), mod, px, D[3]).collect()
+    assert len(row) == 1 and row[0]["value_start"] == 110.0 and row[0]["account"] == pytest.approx(140 / 110 - 1) and row[0]["cash_start"] == pytest.approx(10 / 110)
+    for accounts, holdings, what in ((acc(D[0]), held((1, "A", 10.0), (1, "G", 10.0)), "no price at start or end for: G"), (acc(D[3]), held((1, "A", 1.0)), "not before"), (acc(D[5]), held((1, "A", 1.0)), "not before")):
+        with pytest.raises(Exception, match=what):
+            A.implementation_effects(accounts, holdings, mod, px, D[3]).count()
+    growth, of = spark.createDataFrame([("A", 1.1)], "ticker string, growth double"), spark.createDataFrame([("A", "s")], "ticker string, sleeve string")
+    with pytest.raises(Exception, match="no growth for: B"):
+        A.sleeves(spark.createDataFrame([("A", 0.5), ("B", 0.5)], "ticker string, weight double"), growth, of).count()
+
+
+def test_only_traded_accounts_change_their_book_and_count(spark):
+    o = [("A", 5.0, 10.0, 0.5, -2.0, -2.0)]
+    kind = "array<struct<ticker string, held double, price double, target double, cap double, trade double>>"
+    result = spark.createDataFrame([(1, "TRADED", 20.0, o), (2, "EXC_INVARIANT", 20.0, o), (3, "EXC_INPUT", None, None), (4, "SKIPPED_IN_BAND", 7.0, o)], f"account_id long, status string, post_cash double, o {kind}")
+    held = spark.createDataFrame([(i, "A", 5.0) for i in (1, 2, 3, 4)] + [(3, "B", 0.0)], "account_id long, ticker string, shares double")
+    assert sorted(tuple(r) for r in M.post_holdings(result, held).collect()) == [(1, "A", 3.0), (2, "A", 5.0), (3, "A", 5.0), (4, "A", 5.0)]
+    cash = spark.createDataFrame([(i, "m", 7.0) for i in (1, 2, 3, 4)], "account_id long, model_id string, cash double")
+    assert [r["cash"] for r in M.post_accounts(result, cash).orderBy("account_id").collect()] == [20.0, 7.0, 7.0, 7.0]
+
+
+def test_drawn_numbers_do_not_hang_on_partitions(spark):
+    from ledgerframe.functions.draws import with_uniform, with_uniforms
+
+    rows = spark.range(1, 400).withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(50))))
+    u = with_uniform(rows, "u", ["id", "j"], 7).orderBy("id", "j").toPandas()["u"]
+    again = with_uniform(rows.repartition(13), "u", ["id", "j"], 7).orderBy("id", "j").toPandas()["u"]
+    arrays = with_uniforms(spark.range(1, 400), "u", ["id"], F.lit(50), 7).orderBy("id").select(F.explode("u").alias("u")).toPandas()["u"]
+    assert (u == again).all() and (u == arrays).all() and 0 < u.min() and u.max() < 1
+    assert abs(u.mean() - 0.5) < 0.01 and abs(u.std() - 12**-0.5) < 0.01 and abs(u.autocorr(1)) < 0.03 and abs(u.autocorr(50)) < 0.03
+
+
+def test_simulated_z2_is_near_its_exact_level(spark):
+    """Without a breach Z2 is 0, and p is the share of draws at or below 0; the mean of all draws is near 0 where ES is right."""
+    t = spark.createDataFrame([("b", D[0] + dt.timedelta(days=i), 0.0, 0.02, 0.03, 0) for i in range(250)], "book string, date date, r double, var double, es double, breach int")
+    row = B.acerbi_p_value(t, 0.05, 4000).first()
+    assert row["z2"] == 0.0 and 0.4 < row["p_value"] < 0.6 and abs(row["boot_mean"]) < 0.03 and not row["reject_z2"]
+    same = B.acerbi_p_value(t.repartition(7), 0.05, 4000).first()
+    assert same["p_value"] == row["p_value"]
+    bad = t.withColumn("r", F.when(F.dayofmonth("date") < 6, -0.09).otherwise(0.0)).withColumn("breach", (F.col("r") < 0).cast("int"))
+    assert B.acerbi_p_value(bad, 0.05, 4000).first()["reject_z2"]
 
 
 def test_factor_loaders(spark):
