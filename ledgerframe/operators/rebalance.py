@@ -1,8 +1,8 @@
 """Model rebalancing of many accounts: validation, drift, whole-share orders, reconciliation.
 
 One row for each account holds its tickers as an array in ticker order, so sums run in that order and
-floors do not depend on partitioning. Every account takes one path without branches, so the tables
-behind it are read once.
+floors do not depend on partitioning. Every account takes one path without branches: a run joins holdings
+and targets once, and excluded accounts go through it with a null array.
 
 Fixed values, as results must have them: the statuses TRADED, SKIPPED_IN_BAND, EXC_INPUT, EXC_TOO_SMALL,
 EXC_INVARIANT; OK, ABORTED, FAILED_RECONCILIATION; the reasons UNKNOWN_MODEL, BAD_HOLDINGS,
@@ -31,32 +31,59 @@ class Rules:
     fractional: bool = False
 
 
+def bad_shares(q: Column, fractional: bool) -> Column:
+    bad = q.isNull() | F.isnan(q) | (q < 0) | (F.abs(q) == float("inf"))
+    return bad if fractional else bad | (q != F.floor(q))
+
+
+def reason_of(known: Column, bad: Column, unpriced: Column) -> Column:
+    """The first reason that holds for an account; null counts as false."""
+    cash, yes = F.col("cash"), lambda c: F.coalesce(c, F.lit(False))
+    bad_cash = cash.isNull() | F.isnan(cash) | (cash < 0) | (F.abs(cash) == float("inf"))
+    return F.when(~yes(known), "UNKNOWN_MODEL").when(bad_cash | yes(bad), "BAD_HOLDINGS").when(yes(unpriced), "PRICE_MISSING")
+
+
 def validate(accounts: DataFrame, holdings: DataFrame, models: DataFrame, prices: DataFrame, fractional: bool = False) -> DataFrame:
     """accounts with reason: the first of UNKNOWN_MODEL, BAD_HOLDINGS, PRICE_MISSING, or null."""
     known = models.select("model_id").distinct().withColumn("_known", F.lit(True))
     q = F.col("shares")
-    bad = q.isNull() | F.isnan(q) | (q < 0) | (F.abs(q) == float("inf"))
-    if not fractional:
-        bad = bad | (q != F.floor(q))
     priced = prices.where(good_price(F.col("price"))).select("ticker", F.lit(True).alias("_priced"))
-    held = holdings.join(priced, "ticker", "left").groupBy("account_id").agg(F.bool_or(bad).alias("_bad"), F.bool_or((q != 0) & F.col("_priced").isNull()).alias("_unpriced"))
-    cash = F.col("cash")
-    reason = (
-        F.when(F.col("_known").isNull(), "UNKNOWN_MODEL")
-        .when(cash.isNull() | F.isnan(cash) | (cash < 0) | (F.abs(cash) == float("inf")) | F.coalesce("_bad", F.lit(False)), "BAD_HOLDINGS")
-        .when(F.coalesce("_unpriced", F.lit(False)), "PRICE_MISSING")
-    )
+    held = holdings.join(priced, "ticker", "left").groupBy("account_id").agg(F.bool_or(bad_shares(q, fractional)).alias("_bad"), F.bool_or((q != 0) & F.col("_priced").isNull()).alias("_unpriced"))
+    reason = reason_of(F.col("_known"), F.col("_bad"), F.col("_unpriced"))
     return accounts.join(known, "model_id", "left").join(held, "account_id", "left").withColumn("reason", reason).drop("_known", "_bad", "_unpriced")
 
 
+def checked_positions(accounts: DataFrame, holdings: DataFrame, models: DataFrame, prices: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """accounts with reason as `validate` gives it and p as `positions` gives it (null where there is a reason; prices that cannot be traded
+    at are null): one full join and one aggregate by account for both."""
+    held = holdings.where("shares is null or shares <> 0").select("account_id", "ticker", "shares", F.lit(True).alias("_held"))
+    target = accounts.select("account_id", "model_id").join(models, "model_id").select("account_id", "ticker", (F.col("weight") * (1 - rules.cash_buffer)).alias("target"), F.lit(True).alias("_listed"))
+    rows = held.join(target, ["account_id", "ticker"], "full").join(prices.select("ticker", "price"), "ticker", "left")
+    good, zero = good_price(F.col("price")), F.lit(0.0)
+    entry = F.struct("ticker", F.coalesce("shares", zero).alias("held"), F.when(good, F.col("price")).alias("price"), F.coalesce("target", zero).alias("target"))
+    one = rows.groupBy("account_id").agg(
+        F.bool_or("_listed").alias("_known"), F.bool_or(F.col("_held") & bad_shares(F.col("shares"), rules.fractional)).alias("_bad"), F.bool_or(F.col("_held") & ~good).alias("_unpriced"), F.array_sort(F.collect_list(entry)).alias("p")
+    )
+    out = accounts.join(one, "account_id", "left").withColumn("reason", reason_of(F.col("_known"), F.col("_bad"), F.col("_unpriced")))
+    return out.withColumn("p", F.when(F.col("reason").isNull(), F.col("p"))).drop("_known", "_bad", "_unpriced")
+
+
+def unpriced_tickers(models: DataFrame, prices: DataFrame) -> DataFrame:
+    """One row with bad: the model tickers without a usable price, joined by commas."""
+    good = prices.where(good_price(F.col("price"))).select("ticker")
+    return models.select("ticker").distinct().join(good, "ticker", "left_anti").agg(F.array_join(F.array_sort(F.collect_list("ticker")), ",").alias("bad"))
+
+
+def why_aborted(most_excluded: float) -> Column:
+    """The reason out of bad, n_out and n_all; null if the run may go on."""
+    many = F.concat(F.lit("ABORTED_TOO_MANY_EXCLUDED: "), F.col("n_out").cast("string"), F.lit("/"), F.col("n_all").cast("string"))
+    return F.when(F.col("bad") != "", F.concat(F.lit("ABORTED_PRICE_MISSING: "), F.col("bad"))).when(F.col("n_out") > F.col("n_all") * F.lit(float(most_excluded)), many)
+
+
 def abort_reason(validated: DataFrame, models: DataFrame, prices: DataFrame, most_excluded: float = MOST_EXCLUDED) -> DataFrame:
     """One row with abort_reason: a model ticker has no usable price, or too many accounts are excluded; null if the run may go on."""
-    good = prices.where(good_price(F.col("price"))).select("ticker")
-    bad = models.select("ticker").distinct().join(good, "ticker", "left_anti").agg(F.array_join(F.array_sort(F.collect_list("ticker")), ",").alias("bad"))
     out = validated.agg(F.count("reason").alias("n_out"), F.count("*").alias("n_all"))
-    many = F.concat(F.lit("ABORTED_TOO_MANY_EXCLUDED: "), F.col("n_out").cast("string"), F.lit("/"), F.col("n_all").cast("string"))
-    reason = F.when(F.col("bad") != "", F.concat(F.lit("ABORTED_PRICE_MISSING: "), F.col("bad"))).when(F.col("n_out") > F.col("n_all") * F.lit(float(most_excluded)), many)
-    return bad.crossJoin(out).select(reason.alias("abort_reason"))  # one row each
+    return unpriced_tickers(models, prices).crossJoin(out).select(why_aborted(most_excluded).alias("abort_reason"))  # one row each
 
 
 def require_few_excluded(validated: DataFrame, most: float = MOST_EXCLUDED) -> None:
@@ -93,14 +120,15 @@ def toward_zero(x: Column) -> Column:
     return F.when(x > 0, F.floor(x + EPSILON)).otherwise(F.ceil(x - EPSILON)).cast("double")
 
 
-def drift(weight_of, p: str = "p") -> Column:
-    return F.array_max(F.transform(p, weight_of))
+def drift(p: str, total: str, held) -> Column:
+    """Largest distance of a position from its target; the total is computed once an account, however Spark folds the columns together."""
+    return bound(F.col(total), lambda all_: F.array_max(F.transform(p, lambda x: F.abs(held(x) * x["price"] / all_ - x["target"]))))
 
 
 def drift_band(pos: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Adds total_value, drift_before and in_band."""
     valued = pos.withColumn("total_value", F.col("cash") + total_of(F.col("p"), lambda x: x["held"] * x["price"]))
-    d = drift(lambda x: F.abs(x["held"] * x["price"] / F.col("total_value") - x["target"]))
+    d = drift("p", "total_value", lambda x: x["held"])
     return valued.withColumn("drift_before", d).withColumn("in_band", F.col("drift_before") <= rules.band)
 
 
@@ -150,7 +178,7 @@ def settle(traded: DataFrame, rules: Rules = Rules()) -> DataFrame:
     spent = total_of(F.col("o"), lambda x: x["trade"] * x["price"])
     t = traded.withColumn("post_cash", F.col("cash") - spent)
     t = t.withColumn("_post", F.col("post_cash") + total_of(F.col("o"), lambda x: (x["held"] + x["trade"]) * x["price"]))
-    t = t.withColumn("drift_after", drift(lambda x: F.abs((x["held"] + x["trade"]) * x["price"] / F.col("_post") - x["target"]), "o"))
+    t = t.withColumn("drift_after", drift("o", "_post", lambda x: x["held"] + x["trade"]))
     t = t.withColumn("turnover", total_of(F.col("o"), lambda x: F.abs(x["trade"] * x["price"])) / 2 / F.col("total_value"))
     t = t.withColumn("n_orders", F.size(F.filter("o", lambda x: x["trade"] != 0)).cast("long"))
     post = lambda x: x["held"] + x["trade"]
@@ -174,14 +202,20 @@ def rebalance(accounts: DataFrame, holdings: DataFrame, models: DataFrame, price
     return settle(top_up(cash_scaled(raw_orders(valued, rules), rules), rules), rules)
 
 
+def outcome(checked: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The rows of checked_positions with orders, values and status; those with a reason have none of them and the status EXC_INPUT."""
+    done = settle(top_up(cash_scaled(raw_orders(drift_band(checked, rules), rules), rules), rules), rules)
+    valid = F.col("reason").isNull()
+    done = done.withColumns({c: F.when(valid, F.col(c)) for c in ("violations", "flags")})
+    return done.withColumn("status", F.when(valid, F.col("status")).otherwise("EXC_INPUT"))
+
+
 def run(accounts: DataFrame, holdings: DataFrame, models: DataFrame, prices: DataFrame, rules: Rules = Rules(), most_excluded: float = MOST_EXCLUDED) -> DataFrame:
     """Every account once, excluded ones with their reason as status EXC_INPUT; no account at all if the run is aborted."""
-    checked = validate(accounts, holdings, models, prices, rules.fractional)
+    checked = checked_positions(accounts, holdings, models, prices, rules)
     go_on = abort_reason(checked, models, prices, most_excluded).where("abort_reason is null")
     checked = checked.crossJoin(F.broadcast(go_on)).drop("abort_reason")  # one row
-    done = rebalance(checked.where("reason is null").drop("reason"), holdings, models, prices, rules).drop("model_id", "cash")
-    out = checked.join(done, "account_id", "left")
-    return out.withColumn("status", F.when(F.col("reason").isNotNull(), "EXC_INPUT").otherwise(F.col("status")))
+    return outcome(checked, rules)
 
 
 def run_id(accounts: DataFrame, holdings: DataFrame, models: DataFrame, prices: DataFrame, asof, rules: Rules = Rules(), version: str = "1") -> DataFrame:
@@ -200,22 +234,33 @@ def run_id(accounts: DataFrame, holdings: DataFrame, models: DataFrame, prices:
 
 
 def run_summary(accounts: DataFrame, holdings: DataFrame, models: DataFrame, prices: DataFrame, rules: Rules = Rules(), most_excluded: float = MOST_EXCLUDED) -> DataFrame:
-    """One row: status (OK, ABORTED, FAILED_RECONCILIATION), abort_reason and the counts."""
-    checked = validate(accounts, holdings, models, prices, rules.fractional)
-    reason = abort_reason(checked, models, prices, most_excluded)
-    counted = reconcile(run(accounts, holdings, models, prices, rules, most_excluded)).drop("target", "reconciled")
-    target = accounts.agg(F.count("*").alias("target"))
-    out = reason.crossJoin(counted).crossJoin(target)  # one row each
-    whole = F.col("processed") + F.col("exceptions") + F.col("skipped") == F.col("target")
-    status = F.when(F.col("abort_reason").isNotNull(), "ABORTED").when(whole, "OK").otherwise("FAILED_RECONCILIATION")
-    return out.select(status.alias("status"), "abort_reason", "target", "processed", "exceptions", "skipped")
+    """One row: status (OK, ABORTED, FAILED_RECONCILIATION), abort_reason and the counts (null if aborted), from one pass over the accounts."""
+    result = outcome(checked_positions(accounts, holdings, models, prices, rules), rules)
+    counted = result.agg(F.count("reason").alias("n_out"), F.count("*").alias("n_all"), *status_counts())
+    out = unpriced_tickers(models, prices).crossJoin(counted).withColumn("abort_reason", why_aborted(most_excluded))  # one row each
+    aborted, target = F.col("abort_reason").isNotNull(), F.col("n_all")
+    whole = F.col("processed") + F.col("exceptions") + F.col("skipped") == target
+    status = F.when(aborted, "ABORTED").when(whole, "OK").otherwise("FAILED_RECONCILIATION")
+    counts = [F.when(~aborted, F.col(c)).alias(c) for c in ("processed", "exceptions", "skipped")]
+    return out.select(status.alias("status"), "abort_reason", target.alias("target"), *counts)
+
+
+def valid_only(result: DataFrame) -> DataFrame:
+    """The accounts of a result that have values and orders. Asked of the reason, never of a computed column: Spark would push such a
+    filter below the projections that compute it and repeat their folds in it, each inside the next."""
+    return result.where("reason is null") if "reason" in result.columns else result
+
+
+def exploded(result: DataFrame, *columns) -> DataFrame:
+    """columns and x, an entry of o. Outer, as Spark infers a filter on o from an inner explode and pushes that one down too."""
+    return result.select(*columns, F.explode_outer("o").alias("x")).where("x is not null")
 
 
 def account_detail(result: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Per account a row for each ticker and one for CASH: shares, weights and drift before and after the orders."""
-    base = result.where("o is not null").select("account_id", "cash", "post_cash", "total_value", "o")
+    base = valid_only(result).select("account_id", "cash", "post_cash", "total_value", "o")
     x = lambda c: F.col(f"x.{c}")
-    held = base.select("*", F.explode("o").alias("x")).select("account_id", "total_value", x("ticker").alias("ticker"), x("price").alias("price"), x("held").alias("shares_before"), x("trade").alias("order"), (x("held") + x("trade")).alias("shares_after"), x("target").alias("target"))
+    held = exploded(base, "account_id", "total_value").select("account_id", "total_value", x("ticker").alias("ticker"), x("price").alias("price"), x("held").alias("shares_before"), x("trade").alias("order"), (x("held") + x("trade")).alias("shares_after"), x("target").alias("target"))
     cash = base.select("account_id", "total_value", F.lit("CASH").alias("ticker"), F.lit(1.0).alias("price"), F.col("cash").alias("shares_before"), (F.col("post_cash") - F.col("cash")).alias("order"), F.col("post_cash").alias("shares_after"), F.lit(rules.cash_buffer).alias("target"))
     rows = held.unionByName(cash)
     weight = lambda c: F.col(c) * F.col("price") / F.col("total_value")
@@ -225,7 +270,7 @@ def account_detail(result: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 def orders_of(result: DataFrame) -> DataFrame:
     """account_id, ticker, shares and notional (negative for sales), side, price."""
-    rows = result.select("account_id", F.explode("o").alias("x")).where("x.trade <> 0")
+    rows = exploded(result, "account_id").where("x.trade <> 0")
     return rows.select("account_id", "x.ticker", F.col("x.trade").alias("shares"), F.when(F.col("x.trade") > 0, "BUY").otherwise("SELL").alias("side"), "x.price", (F.col("x.trade") * F.col("x.price")).alias("notional"))
 
 
@@ -233,25 +278,40 @@ def post_holdings(result: DataFrame, holdings: DataFrame | None = None) -> DataF
     """Holdings after the run: accounts that TRADED have their positions after the orders, all others (in their band, excluded, with a
     violation) keep what they hold; positions of zero are left out. holdings: those before the run, needed where accounts are excluded.
     """
-    rows = result.where("o is not null").select("account_id", F.col("status") == "TRADED", F.explode("o").alias("x")).toDF("account_id", "_traded", "x")
+    rows = exploded(result, "account_id", (F.col("status") == "TRADED").alias("_traded"))
     shares = F.col("x.held") + F.when(F.col("_traded"), F.col("x.trade")).otherwise(0.0)
     after = rows.select("account_id", "x.ticker", shares.alias("shares"))
     if holdings is not None:
-        after = after.unionByName(holdings.select("account_id", "ticker", "shares").join(result.where("o is not null").select("account_id"), "account_id", "left_anti"))
+        kept = holdings.join(result.select("account_id", F.col("o").isNotNull().alias("_done")), "account_id", "left").where(~F.coalesce("_done", F.lit(False)))
+        after = after.unionByName(kept.select("account_id", "ticker", "shares"))
     return after.where("shares <> 0")
 
 
 def post_accounts(result: DataFrame, accounts: DataFrame) -> DataFrame:
     """Accounts with their cash after the run; only those that TRADED have spent or raised any."""
-    cash = result.where("status = 'TRADED'").select("account_id", "post_cash")
+    cash = result.select("account_id", F.when(F.col("status") == "TRADED", F.col("post_cash")).alias("post_cash"))
     return accounts.join(cash, "account_id", "left").withColumn("cash", F.coalesce("post_cash", "cash")).select(*accounts.columns)
 
 
+def positions_after(result: DataFrame) -> DataFrame:
+    """The positions that a next run at the same prices starts from, as `positions` makes them of post_accounts and post_holdings, taken from
+    the arrays at hand: no table is read or joined again."""
+    done = F.col("status") == "TRADED"
+    shares = lambda x: x["held"] + F.when(done, x["trade"]).otherwise(0.0)
+    after = F.transform("o", lambda x: F.struct(x["ticker"].alias("ticker"), shares(x).alias("held"), x["price"].alias("price"), x["target"].alias("target")))
+    cash = F.when(done, F.col("post_cash")).otherwise(F.col("cash"))
+    rows = valid_only(result).select("account_id", "model_id", cash.alias("cash"), after.alias("p"))
+    return rows.withColumn("p", F.filter("p", lambda x: (x["held"] != 0) | (x["target"] != 0)))
+
+
+def status_counts() -> list[Column]:
+    n, status = lambda c: F.sum(c.cast("long")), F.col("status")
+    return [n(status == "TRADED").alias("processed"), n(status.startswith("EXC")).alias("exceptions"), n(status == "SKIPPED_IN_BAND").alias("skipped")]
+
+
 def reconcile(result: DataFrame) -> DataFrame:
     """One row: accounts in all, processed, exceptions, skipped, and whether these add up."""
-    n = lambda c: F.sum(c.cast("long"))
-    status = F.col("status")
-    g = result.agg(F.count("*").alias("target"), n(status == "TRADED").alias("processed"), n(status.startswith("EXC")).alias("exceptions"), n(status == "SKIPPED_IN_BAND").alias("skipped"))
+    g = result.agg(F.count("*").alias("target"), *status_counts())
     return g.withColumn("reconciled", F.col("target") == F.col("processed") + F.col("exceptions") + F.col("skipped"))
 
 

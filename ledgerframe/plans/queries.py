@@ -685,13 +685,13 @@ def _(spark, sf):
 
 @query("raw_orders", f"WITH {RAW} SELECT account_id, ticker, {r8('price', 'price')}, CAST(cap AS BIGINT) AS shares FROM want WHERE cap <> 0")
 def _(spark, sf):
-    rows = M.raw_orders(valued(spark, sf)).select("account_id", F.explode("o").alias("x"))
+    rows = M.exploded(M.raw_orders(valued(spark, sf)), "account_id")
     return rows.select("account_id", "x.ticker", "x.price", F.col("x.cap").cast("long").alias("shares")).where("shares <> 0")
 
 
 @query("cash_scaled_orders", f"WITH {SCALED} SELECT account_id, ticker, cash_short, CAST(trade AS BIGINT) AS shares FROM scaled WHERE trade <> 0")
 def _(spark, sf):
-    rows = M.cash_scaled(M.raw_orders(valued(spark, sf))).select("account_id", "cash_short", F.explode("o").alias("x"))
+    rows = M.exploded(M.cash_scaled(M.raw_orders(valued(spark, sf))), "account_id", "cash_short")
     return rows.select("account_id", "x.ticker", "cash_short", F.col("x.trade").cast("long").alias("shares")).where("shares <> 0")
 
 
@@ -753,9 +753,7 @@ JOIN ok USING (account_id) LEFT JOIN (SELECT account_id, spent, after FROM sp UN
 SELECT count(*) AS accounts, count(*) FILTER (WHERE drift <= 0.05) AS skipped FROM again""")
 def _(spark, sf):
     """A second run on what the first one left: how many accounts are within their band now."""
-    a, h, m, p = valid_book(spark, sf)
-    first = M.rebalance(a, h, m, p)
-    again = M.drift_band(M.positions(first.select("account_id", "model_id", F.when(F.col("status") == "TRADED", F.col("post_cash")).otherwise(F.col("cash")).alias("cash")), M.post_holdings(first), m, p))
+    again = M.drift_band(M.positions_after(M.rebalance(*valid_book(spark, sf))))
     return again.agg(F.count("*").alias("accounts"), F.sum(F.col("in_band").cast("long")).alias("skipped"))
 
 

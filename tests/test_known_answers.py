@@ -231,6 +231,37 @@ def test_run_reconciles_and_its_id_follows_the_inputs(spark):
     assert detail.loc["CASH", "order"] == pytest.approx(-(detail["order"] * detail["price"]).drop("CASH").sum())
 
 
+def test_run_equals_validation_and_rebalance_apart(spark):
+    acc, held, mod, px = market(spark, 20.0)
+    acc = acc.union(spark.createDataFrame([(3, "x", 1.0), (4, "m", -1.0), (5, "m", 9.0), (6, "m", 2.0), (7, "m", 9.0)], acc.schema))
+    held = held.union(spark.createDataFrame([(3, "A", 1.0), (5, "A", 1.5), (6, "A", 4.0), (6, "B", 2.0), (6, "A", 0.0), (7, "GONE", 1.0), (7, "A", None)], held.schema))
+    book = (acc, held, mod, px)
+    result = M.run(*book, most_excluded=1.0)
+    reasons = {r["account_id"]: r["reason"] for r in result.collect()}
+    assert reasons == {r["account_id"]: r["reason"] for r in M.validate(*book).collect()} and sorted(k for k, v in reasons.items() if v is None) == [1, 2, 6]
+    apart = M.rebalance(M.validate(*book).where("reason is null").drop("reason"), held, mod, px)
+    columns = apart.columns
+    assert sorted(map(str, result.where("reason is null").select(columns).collect())) == sorted(map(str, apart.collect()))
+    out = result.where("reason is not null").select("status", "o", "flags", "violations", "n_orders", "total_value", "post_cash").distinct().collect()
+    assert [tuple(r) for r in out] == [("EXC_INPUT", None, None, None, None, None, None)]
+    s = M.run_summary(*book, most_excluded=1.0).first()
+    assert (s["status"], s["target"], s["processed"], s["exceptions"], s["skipped"]) == ("OK", 7, 2, 4, 1)
+
+
+def test_next_positions_are_those_of_the_stored_book(spark):
+    book = market(spark, 20.0)
+    result = M.run(*book)
+    stored = M.positions(M.post_accounts(result, book[0]), M.post_holdings(result, book[1]), *book[2:]).select("account_id", "model_id", "cash", "p")
+    assert sorted(map(str, stored.collect())) == sorted(map(str, M.positions_after(result).collect()))
+
+
+def test_plans_do_not_repeat_the_folds(spark):
+    """Filters on computed columns would be pushed below the projections that compute them and repeat these: two million characters."""
+    result = M.rebalance(*market(spark, 20.0))
+    for df in (M.account_detail(result), M.post_holdings(result), M.drift_band(M.positions_after(result))):
+        assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+
+
 def test_stale_price(spark):
     px = spark.createDataFrame([("A", D[0], 1.0), ("A", D[1], 2.0), ("B", D[1], 3.0)], "ticker string, date date, price double")
     assert sorted(tuple(r) for r in M.require_fresh(px, D[1]).select("ticker", "price").collect()) == [("A", 2.0), ("B", 3.0)]
