@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.symmetric import principal_axis
+
 #: Parameters of the score and of the mixture (fixed values).
 LABELS = ("risk_off", "soft_patch", "risk_on")
 MIXTURE_MEANS = (20.0, 50.0, 80.0)
@@ -92,41 +93,75 @@ def bucket_stats(labelled: DataFrame, horizons: Sequence[int] = (1, 5, 21)) -> D
     return rows.groupBy("label", "horizon").agg(F.avg("x").alias("mean"), F.count("x").alias("n")).where("n > 0")
 
 
-def regime_table(prices: DataFrame, window: int = 252, names: dict[str, str] | None = None, weights: ScoreWeights = ScoreWeights()) -> DataFrame:
-    """date, z-scores, score, posteriors, policy of every date on which all macro tickers have a price.
+#: z-scores of the macro series, in the order in which the principal axis is taken; the first is the anchor of its sign.
+Z_NAMES = ("vix_z", "dxy_z", "ief_z", "credit_z")
+
 
-    names: the tickers that stand for vix, dxy, hyg and ief.
+def rolling_pc1(zs: DataFrame, columns: Sequence[str], anchor: str, name: str = "pca_factor", history: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Adds to each row its projection (not centred) on the first principal axis of the rows up to it: of all, or of the last `history`.
+
+    The axis has unit length and a loading >= 0 at the anchor. Rows that lack a column count for no covariance and
+    have no projection; nor has the first whole row, as one row has no covariance.
+    """
+    cols, n = list(columns), len(columns)
+    order = Window.partitionBy(*by).orderBy("date") if by else Window.partitionBy(F.lit(0)).orderBy("date")
+    frame = order.rowsBetween(Window.unboundedPreceding if history is None else 1 - history, 0)
+    whole = F.expr(" and ".join(f"`{c}` is not null and not isnan(`{c}`)" for c in cols))
+    x = {c: F.when(whole, F.col(c)) for c in cols}
+    # pairs in the order of the packed upper triangle
+    cov = [F.covar_samp(x[a], x[b]).over(frame) for i, a in enumerate(cols) for b in cols[i:]]
+    rows = zs.withColumn("_cov", F.when(whole, F.array(*cov)))
+    rows = rows.withColumn("_axis", principal_axis(F.col("_cov"), n, cols.index(anchor)))
+    dot = sum((F.get("_axis", F.lit(i)) * F.col(c) for i, c in enumerate(cols[1:], 1)), F.get("_axis", F.lit(0)) * F.col(cols[0]))
+    return rows.withColumn(name, dot).drop("_cov", "_axis")
+
+
+def regime_table(prices: DataFrame, window: int = 252, names: dict[str, str] | None = None, weights: ScoreWeights = ScoreWeights(), history: int | None = None) -> DataFrame:
+    """One row for each date on which all macro tickers have a price: days (such dates so far), z-scores, pca_factor, score, posteriors,
+    policy, label, and unresolved: the inputs that lack history, by name.
+
+    A date with an unresolved input has no score and nothing that follows from it, never that of a neutral market.
+    names: the tickers that stand for vix, dxy, hyg and ief; history: rows of z-scores behind the principal axis (all so far).
     """
     names = names or {"vix": "^VIX", "dxy": "UUP", "hyg": "HYG", "ief": "IEF"}
     pick = [F.max(F.when(F.col("ticker") == t, F.col("price"))).alias(k) for k, t in names.items()]
     wide = prices.where(F.col("ticker").isin(list(names.values()))).groupBy("date").agg(*pick).dropna().withColumn("credit", F.col("hyg") / F.col("ief"))
-    frame = Window.partitionBy(F.lit(0)).orderBy("date").rowsBetween(1 - window, 0)  # one macro series: a row for each day
+    order = Window.partitionBy(F.lit(0)).orderBy("date")  # one macro series: a row for each day
+    frame = order.rowsBetween(1 - window, 0)
 
     def z(c: str) -> Column:
         sd = F.stddev_samp(c).over(frame)
         return F.when((F.count(c).over(frame) == window) & (sd > 0), (F.col(c) - F.avg(c).over(frame)) / sd)
 
-    zs = wide.select("date", *[z(c).alias(f"{c}_z") for c in ("vix", "dxy", "ief", "credit")]).dropna()
-    scored = zs.withColumn("score", composite_score(F.col("vix_z"), F.col("dxy_z"), F.col("ief_z"), F.col("credit_z"), w=weights))
-    return label_from_posterior(policy(mixture_posterior(scored)))
+    zs = wide.select("date", F.row_number().over(order).alias("days"), *[z(c.removesuffix("_z")).alias(c) for c in Z_NAMES])
+    zs = rolling_pc1(zs, Z_NAMES, Z_NAMES[0], history=history)
+    known = [*Z_NAMES, "pca_factor"]
+    zs = zs.withColumn("unresolved", F.concat_ws(", ", *[F.when(F.col(c).isNull(), c) for c in known]))
+    score = composite_score(*[F.col(c) for c in known], w=weights)
+    scored = zs.withColumn("score", F.when(F.col("unresolved") == "", score))
+    done = label_from_posterior(policy(mixture_posterior(scored)))
+    follow = [*(f"posterior_{x}" for x in LABELS), "gross_target", "beta_cap", "label"]
+    return done.withColumns({c: F.when(F.col("unresolved") == "", F.col(c)) for c in follow})
+
+
+def regime_asof(table: DataFrame, asof, window: int = 252) -> DataFrame:
+    """The last row of a regime table on or before asof; an error if there is none, or if one of its inputs is unresolved."""
+    last = table.where(F.col("date") <= F.lit(asof).cast("date")).agg(F.max_by(F.struct(*table.columns), "date").alias("s"))
+    none = F.lit(f"no macro prices up to {asof}")
+    short = F.concat(F.lit(f"insufficient macro history for {asof}: "), F.col("s.days").cast("string"), F.lit(f" aligned trading days (need {window}); unresolved: "), F.col("s.unresolved"))
+    ok = F.when(F.col("s").isNull(), F.raise_error(none).cast("boolean")).when(F.col("s.unresolved") != "", F.raise_error(short).cast("boolean")).otherwise(True)
+    return last.where(ok).select("s.*")
 
 
 def pc1_score(history: DataFrame, columns: Sequence[str], anchor: str) -> DataFrame:
-    """Projection of the last row (not centred) on the first principal axis, signed so that the anchor's loading is >= 0.
+    """One row, pc1: the projection of the last whole row on the first principal axis of all whole rows; null without any.
 
-    The covariances are aggregated by Spark; only their matrix is decomposed here.
+    One aggregate: the covariances, the last row and the axis never leave the executors.
     """
-    import numpy as np
-
-    cols = list(columns)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    row = history.agg(*[F.covar_samp(a, b).alias(f"{a}|{b}") for a, b in pairs], F.max_by(F.array(*cols), "date").alias("last")).first()
-    out = None
-    if row["last"] is not None and all(x is not None and not math.isnan(x) for x in row["last"]) and all(row[f"{a}|{b}"] is not None for a, b in pairs):
-        cov = np.zeros((len(cols), len(cols)))
-        for a, b in pairs:
-            cov[cols.index(a), cols.index(b)] = cov[cols.index(b), cols.index(a)] = row[f"{a}|{b}"]
-        axis = np.linalg.eigh(cov)[1][:, -1]
-        axis = axis if axis[cols.index(anchor)] >= 0 else -axis
-        out = float(axis @ np.array(row["last"]))
-    return history.sparkSession.createDataFrame([(out,)], "pc1 double")
+    cols, n = list(columns), len(columns)
+    rows = history.dropna(subset=cols)
+    cov = [F.covar_samp(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    one = rows.agg(F.array(*cov).alias("cov"), F.max_by(F.array(*[F.col(c).cast("double") for c in cols]), "date").alias("last"))
+    axis = principal_axis(F.col("cov"), n, cols.index(anchor))
+    dot = F.aggregate(F.zip_with("axis", "last", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    return one.withColumn("axis", axis).select(dot.alias("pc1"))

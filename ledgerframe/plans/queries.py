@@ -495,28 +495,41 @@ def _(spark, sf):
 
 MACRO = {"vix": "ECONOMY", "dxy": "PROMO", "hyg": "LARGE", "ief": "MEDIUM"}
 ZF = lambda c: f"CASE WHEN count({c}) OVER f = {W} AND stddev_samp({c}) OVER f > 0 THEN ({c} - avg({c}) OVER f) / stddev_samp({c}) OVER f END"
+tri = lambda i, j: f"m{min(i, j)}{max(i, j)}"
+TRI = [tri(i, j) for i in range(4) for j in range(i, 4)]
 REGIME = PANEL + f""",
 wide0 AS (SELECT date, {', '.join(f"max(CASE WHEN ticker = '{t}' THEN price END) AS {k}" for k, t in MACRO.items())} FROM panel GROUP BY date),
 wide AS (SELECT *, hyg / ief AS credit FROM wide0 WHERE vix IS NOT NULL AND dxy IS NOT NULL AND hyg IS NOT NULL AND ief IS NOT NULL),
-zz AS (SELECT date, {', '.join(f'{ZF(c)} AS {c}_z' for c in ('vix', 'dxy', 'ief', 'credit'))} FROM wide WINDOW f AS (ORDER BY date ROWS BETWEEN {W - 1} PRECEDING AND CURRENT ROW)),
-zs AS (SELECT * FROM zz WHERE vix_z IS NOT NULL AND dxy_z IS NOT NULL AND ief_z IS NOT NULL AND credit_z IS NOT NULL),
-sc AS (SELECT *, greatest(0.0, least(100.0, 50 - 12 * vix_z - 8 * dxy_z - 6 * ief_z - 20 / (1 + exp(-1.2 * vix_z)) + CASE WHEN credit_z >= 0 THEN 5 * credit_z ELSE -15 * abs(credit_z) END)) AS score FROM zs),
+zz AS (SELECT date, row_number() OVER (ORDER BY date) AS days, {', '.join(f'{ZF(c)} AS {c}_z' for c in ('vix', 'dxy', 'ief', 'credit'))} FROM wide WINDOW f AS (ORDER BY date ROWS BETWEEN {W - 1} PRECEDING AND CURRENT ROW)),
+zn AS (SELECT * FROM zz WHERE vix_z IS NOT NULL AND dxy_z IS NOT NULL AND ief_z IS NOT NULL AND credit_z IS NOT NULL),
+cz AS (SELECT *, {', '.join(f'covar_samp({a}, {b}) OVER h AS m{i}{j}' for i, a in enumerate(G.Z_NAMES) for j, b in enumerate(G.Z_NAMES) if i <= j)} FROM zn WINDOW h AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+sq AS (SELECT date, 0 AS k, {', '.join(f'{m} / (m00 + m11 + m22 + m33) AS {m}' for m in TRI)} FROM cz WHERE m00 IS NOT NULL UNION ALL
+  SELECT date, k + 1, {', '.join(f"({' + '.join(f'{tri(i, q)} * {tri(q, j)}' for q in range(4))}) / t" for i in range(4) for j in range(i, 4))} FROM (SELECT *, {' + '.join(f'{tri(i, j)} * {tri(i, j)}' for i in range(4) for j in range(4))} AS t FROM sq) WHERE k < 32),
+ax AS (SELECT date, {', '.join(f"CASE greatest(m00, m11, m22, m33) {' '.join(f'WHEN m{i}{i} THEN {tri(i, j)}' for i in range(4))} END AS a{j}" for j in range(4))} FROM sq WHERE k = 32),
+zs AS (SELECT zz.*, CASE WHEN a0 < 0 THEN -1 ELSE 1 END * (a0 * vix_z + a1 * dxy_z + a2 * ief_z + a3 * credit_z) / sqrt(a0 * a0 + a1 * a1 + a2 * a2 + a3 * a3) AS pca_factor FROM zz LEFT JOIN ax USING (date)),
+sc AS (SELECT *, CASE WHEN pca_factor IS NOT NULL THEN greatest(0.0, least(100.0, 50 - 12 * vix_z - 8 * dxy_z - 6 * ief_z - 6 * pca_factor - 20 / (1 + exp(-1.2 * vix_z)) + CASE WHEN credit_z >= 0 THEN 5 * credit_z ELSE -15 * abs(credit_z) END)) END AS score,
+  concat_ws(', ', {', '.join(f"CASE WHEN {c} IS NULL THEN '{c}' END" for c in (*G.Z_NAMES, 'pca_factor'))}) AS unresolved FROM zs),
 lk AS (SELECT *, {', '.join(f'exp(-0.5 * pow((score - {m}) / 15.0, 2)) AS l{i}' for i, m in enumerate(G.MIXTURE_MEANS))} FROM sc),
 po AS (SELECT *, l0 / (l0 + l1 + l2) AS posterior_risk_off, l1 / (l0 + l1 + l2) AS posterior_soft_patch, l2 / (l0 + l1 + l2) AS posterior_risk_on FROM lk),
 reg AS (SELECT *, 100 + 40 * (posterior_risk_on - posterior_risk_off) AS gross_target, 0.3 + 0.4 * (posterior_risk_on - posterior_risk_off) AS beta_cap,
-  CASE WHEN posterior_risk_off >= posterior_soft_patch AND posterior_risk_off >= posterior_risk_on THEN 'risk_off' WHEN posterior_soft_patch >= posterior_risk_on THEN 'soft_patch' ELSE 'risk_on' END AS label FROM po)"""
-REG_COLS = ("vix_z", "dxy_z", "ief_z", "credit_z", "score", "posterior_risk_off", "posterior_soft_patch", "posterior_risk_on", "gross_target", "beta_cap")
+  CASE WHEN score IS NULL THEN NULL WHEN posterior_risk_off >= posterior_soft_patch AND posterior_risk_off >= posterior_risk_on THEN 'risk_off' WHEN posterior_soft_patch >= posterior_risk_on THEN 'soft_patch' ELSE 'risk_on' END AS label FROM po)"""
+REG_COLS = (*G.Z_NAMES, "pca_factor", "score", "posterior_risk_off", "posterior_soft_patch", "posterior_risk_on", "gross_target", "beta_cap")
 
 
 def regime(spark, sf):
     return G.regime_table(T.price_panel(spark, sf), W, MACRO)
 
 
-@query("regime_table", f"WITH {REGIME} SELECT date, {', '.join(r8(c, c) for c in REG_COLS)}, label FROM reg")
+@query("regime_table", f"WITH RECURSIVE {REGIME} SELECT date, days, {', '.join(r8(c, c) for c in REG_COLS)}, label, unresolved FROM reg")
 def _(spark, sf):
     return regime(spark, sf)
 
 
+@query("regime_asof", f"WITH RECURSIVE {REGIME} SELECT date, days, {', '.join(r8(c, c) for c in REG_COLS)}, label, unresolved FROM reg WHERE date <= DATE '1997-06-30' ORDER BY date DESC LIMIT 1")
+def _(spark, sf):
+    return G.regime_asof(regime(spark, sf), "1997-06-30", W)
+
+
 @query("rolling_zscores", f"WITH {PANEL} SELECT ticker, date, {r8('price', 'price')}, round({ZF('price')}, 8) AS z FROM panel WINDOW f AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN {W - 1} PRECEDING AND CURRENT ROW)")
 def _(spark, sf):
     return G.rolling_zscore(T.price_panel(spark, sf), "price", W, ["ticker"])
@@ -536,18 +549,18 @@ def _(spark, sf):
     return G.forward_returns(book_ret(spark, sf))
 
 
-@query("regime_buckets", f"""WITH {REGIME}, s AS (SELECT date, price / lag(price) OVER (ORDER BY date) - 1 AS r FROM panel WHERE ticker = 'STANDARD'), bret AS (SELECT label AS lb, 'spy' AS book, s.date, s.r, label FROM s JOIN reg USING (date) WHERE s.r IS NOT NULL),
+@query("regime_buckets", f"""WITH RECURSIVE {REGIME}, s AS (SELECT date, price / lag(price) OVER (ORDER BY date) - 1 AS r FROM panel WHERE ticker = 'STANDARD'), bret AS (SELECT label AS lb, 'spy' AS book, s.date, s.r, label FROM s JOIN reg USING (date) WHERE s.r IS NOT NULL AND label IS NOT NULL),
 f AS (SELECT label, {FWD} FROM bret WINDOW {FWD_W}), l AS ({' UNION ALL '.join(f'SELECT label, {h} AS horizon, fwd_{h} AS x FROM f' for h in (1, 5, 21))})
 SELECT label, CAST(horizon AS BIGINT) AS horizon, {r8('avg(x)', 'mean')}, count(x) AS n FROM l GROUP BY label, horizon HAVING count(x) > 0""")
 def _(spark, sf):
     spy = R.simple_returns(T.price_panel(spark, sf).where("ticker = 'STANDARD'")).select("date", "r")
-    joined = spy.join(regime(spark, sf).select("date", "label"), "date").withColumn("book", F.lit("spy"))
+    joined = spy.join(regime(spark, sf).where("unresolved = ''").select("date", "label"), "date").withColumn("book", F.lit("spy"))
     return G.bucket_stats(G.forward_returns(joined))
 
 
-@query("pc1_score")
+@query("pc1_score", f"WITH RECURSIVE {REGIME} SELECT {r8('arg_max(pca_factor, date)', 'pc1')} FROM reg")
 def _(spark, sf):
-    return G.pc1_score(regime(spark, sf), ["vix_z", "dxy_z", "ief_z", "credit_z"], "vix_z")
+    return G.pc1_score(regime(spark, sf), G.Z_NAMES, G.Z_NAMES[0])
 
 
 # --- covariance and models ----------------------------------------------------------------------------------------
