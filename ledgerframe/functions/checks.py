@@ -8,11 +8,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 
 def require_known(rows: DataFrame, known: DataFrame, key: str | Sequence[str], what: str) -> DataFrame:
-    """The rows; one whose key (a column, or several) is not among `known` raises an error, whichever columns are read: the guard is a filter."""
+    """The rows; one whose key (a column, or several) is not among `known` raises an error, whichever columns are read and joined later.
+
+    The guard is a filter, and the keys come out of it too: Spark infers filters on a key from what it is joined with
+    later, and would push them below the guard if the key were that of the rows alone.
+    """
     keys = [key] if isinstance(key, str) else list(key)
     have = known.select(*keys).distinct().withColumn("_known", F.lit(True))
     named = F.concat_ws(" ", F.lit(f"{what}:"), *[F.col(k).cast("string") for k in keys])
-    return rows.join(have, keys, "left").where(F.when(F.col("_known"), True).otherwise(F.raise_error(named).cast("boolean"))).select(*rows.columns)
+    stop = lambda kind: F.raise_error(named).cast(kind)
+    kinds = dict(rows.dtypes)
+    guarded = rows.join(have, keys, "left").where(F.when(F.col("_known"), True).otherwise(stop("boolean")))
+    return guarded.select(*[F.when(F.col("_known"), F.col(c)).otherwise(stop(kinds[c])).alias(c) if c in keys else c for c in rows.columns])
 
 
 def good_price(price: Column) -> Column:

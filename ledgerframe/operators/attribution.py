@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.checks import require_known
 
@@ -103,12 +103,18 @@ def _model_daily(models: DataFrame, prices: DataFrame) -> DataFrame:
     return r.groupBy("model_id", "date").agg(F.sum(F.col("weight") * F.col("r")).alias("r"))
 
 
+def size_bucket(value: Column) -> Column:
+    """Name of the bucket of an account's value (a value on a bound belongs below it); null for values of 0 and less."""
+    size = F.lit(LARGEST)
+    for bound, name in reversed(SIZE_BUCKETS):
+        size = F.when(value <= bound, name).otherwise(size)
+    return F.when(value > 0, size)
+
+
 def by_size(effects: DataFrame) -> DataFrame:
     """By account size (a value on a bound belongs below it; values of 0 and less have no size): number of accounts, median share of cash
     at the start, medians of all effects and of the total, and the worst total, in basis points."""
-    size = F.lit(LARGEST)
-    for bound, name in reversed(SIZE_BUCKETS):
-        size = F.when(F.col("value_start") <= bound, name).otherwise(size)
+    size = size_bucket(F.col("value_start"))
     median = lambda c: (F.percentile(c, F.lit(0.5)) * 1e4).alias
     return effects.where("value_start > 0").groupBy(size.alias("size")).agg(
         F.count("*").alias("n"), F.percentile("cash_start", F.lit(0.5)).alias("cash_start"), median("drift_effect")("drift_bp"), median("cash_effect")("cash_bp"), median("rounding_effect")("rounding_bp"),

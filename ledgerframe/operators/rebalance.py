@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.arrays import bound
 from ..functions.checks import good_price
+from .attribution import size_bucket
+from .models import require_valid
 
 EPSILON, VALUE_TOLERANCE = 1e-9, 0.01
 #: Share of excluded accounts over which a run is aborted (fixed value).
@@ -57,7 +59,7 @@ def checked_positions(accounts: DataFrame, holdings: DataFrame, models: DataFram
     """accounts with reason as `validate` gives it and p as `positions` gives it (null where there is a reason; prices that cannot be traded
     at are null): one full join and one aggregate by account for both."""
     held = holdings.where("shares is null or shares <> 0").select("account_id", "ticker", "shares", F.lit(True).alias("_held"))
-    target = accounts.select("account_id", "model_id").join(models, "model_id").select("account_id", "ticker", (F.col("weight") * (1 - rules.cash_buffer)).alias("target"), F.lit(True).alias("_listed"))
+    target = accounts.select("account_id", "model_id").join(require_valid(models.select("model_id", "ticker", "weight")), "model_id").select("account_id", "ticker", (F.col("weight") * (1 - rules.cash_buffer)).alias("target"), F.lit(True).alias("_listed"))
     rows = held.join(target, ["account_id", "ticker"], "full").join(prices.select("ticker", "price"), "ticker", "left")
     good, zero = good_price(F.col("price")), F.lit(0.0)
     entry = F.struct("ticker", F.coalesce("shares", zero).alias("held"), F.when(good, F.col("price")).alias("price"), F.coalesce("target", zero).alias("target"))
@@ -104,7 +106,7 @@ def require_fresh(prices: DataFrame, asof) -> DataFrame:
 def positions(accounts: DataFrame, holdings: DataFrame, models: DataFrame, prices: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """account columns and p: array of (ticker, held, price, target) over model and held tickers; one without a usable price is an error."""
     held = holdings.where("shares <> 0").select("account_id", "ticker", F.col("shares").alias("held"))
-    target = accounts.select("account_id", "model_id").join(models, "model_id").select("account_id", "ticker", (F.col("weight") * (1 - rules.cash_buffer)).alias("target"))
+    target = accounts.select("account_id", "model_id").join(require_valid(models.select("model_id", "ticker", "weight")), "model_id").select("account_id", "ticker", (F.col("weight") * (1 - rules.cash_buffer)).alias("target"))
     rows = held.join(accounts.select("account_id"), "account_id", "left_semi").join(target, ["account_id", "ticker"], "full").join(prices.select("ticker", "price"), "ticker", "left")
     rows = rows.withColumn("price", F.when(good_price(F.col("price")), F.col("price")).otherwise(F.raise_error(F.concat(F.lit("no usable price for "), F.col("ticker")))))
     rows = rows.fillna(0.0, ["held", "target"])
@@ -315,6 +317,28 @@ def reconcile(result: DataFrame) -> DataFrame:
     return g.withColumn("reconciled", F.col("target") == F.col("processed") + F.col("exceptions") + F.col("skipped"))
 
 
+#: Groupings of a run's report.
+REPORT_SETS = ((), ("status",), ("model_id",), ("size",), ("status", "model_id"), ("model_id", "size"))
+
+
+def run_report(result: DataFrame, sets=REPORT_SETS) -> DataFrame:
+    """Counts of accounts by status and flag, orders, book value, gross notional and turnover of a run: in all and by status, model and size,
+    from one pass. level is the grouping id of (status, model_id, size): a set bit is a column summed over; accounts without a value have no size.
+    Orders and their notional are those of orders_of.
+    """
+    names = ("status", "model_id", "size")
+    rows = result.withColumn("size", size_bucket(F.col("total_value")))
+    n, flag = lambda c: F.count_if(F.coalesce(c, F.lit(False))), lambda f: F.array_contains("flags", f)
+    traded = F.col("status") == "TRADED"
+    gross = F.coalesce(F.sum(F.col("turnover") * 2 * F.col("total_value")), F.lit(0.0))
+    value = F.coalesce(F.sum("total_value"), F.lit(0.0))
+    return rows.groupingSets([[F.col(c) for c in s] for s in sets], *names).agg(
+        F.grouping_id().cast("long").alias("level"), F.count("*").alias("accounts"), n(traded).alias("traded"), n(F.col("status") == "SKIPPED_IN_BAND").alias("in_band"), n(F.col("status") == "EXC_TOO_SMALL").alias("too_small"),
+        n(F.col("status").isin("EXC_INPUT", "EXC_INVARIANT")).alias("failed"), n(flag("CASH_SHORT")).alias("cash_short"), n(flag("STILL_OUT_OF_BAND")).alias("still_out"),
+        F.coalesce(F.sum("n_orders"), F.lit(0)).alias("orders"), gross.alias("gross_notional"), value.alias("book_value"), F.coalesce(F.try_divide(gross / 2, value), F.lit(0.0)).alias("book_turnover"),
+    )
+
+
 def band_table(accounts: DataFrame, holdings: DataFrame, models: DataFrame, prices: DataFrame, bands, rules: Rules = Rules()) -> DataFrame:
     """For each band: accounts, triggered, traded, too small, orders, turnover of the book, median drift after. Positions are made once."""
     priced = positions(accounts, holdings, models, prices, rules).withColumn("band", F.explode(F.array(*[F.lit(float(b)) for b in bands])))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.draws import quantile_ranks, resampled_ranks_sql, with_uniform_sql
-from ..operators import attribution as A, backtest as B, covariance as C, rebalance as M, regime as G, returns as R, stats as P, var as V
+from ..operators import attribution as A, backtest as B, covariance as C, models as D, rebalance as M, regime as G, returns as R, stats as P, var as V
 from ..sources import loaders as L, tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -637,6 +637,55 @@ def _(spark, sf):
     return C.round_to_grid(T.portfolio_weights(spark, sf).select("pf_name", "trade_date", "ticker", "weight"), 0.005, ("pf_name", "trade_date"))
 
 
+# models by book and month; each is edited by moving a point of weight from its largest ticker to its smallest
+MODEL_BY = ("pf_name", "trade_date")
+EDITS = WEIGHTS + """,
+ed AS (SELECT pf_name, trade_date, first(ticker ORDER BY weight DESC, ticker DESC) AS src, first(ticker ORDER BY weight, ticker) AS dst FROM pw GROUP BY 1, 2 HAVING max(weight) >= 0.01),
+ol AS (SELECT pf_name, trade_date, ticker, weight FROM pw SEMI JOIN ed USING (pf_name, trade_date)),
+nw AS (SELECT pf_name, trade_date, ticker, weight - CASE WHEN ticker = src THEN 0.01 ELSE 0 END + CASE WHEN ticker = dst THEN 0.01 ELSE 0 END AS weight, '1+' || src || '->' || dst AS version FROM pw JOIN ed USING (pf_name, trade_date))"""
+
+
+def monthly_models(spark, sf):
+    """(models, edits)"""
+    m = T.portfolio_weights(spark, sf).select(*MODEL_BY, F.lit("1").alias("version"), "ticker", "weight")
+    largest, smallest = F.max_by("ticker", F.struct("weight", "ticker")), F.min_by("ticker", F.struct("weight", "ticker"))
+    e = m.groupBy(*MODEL_BY).agg(F.concat_ws(":", largest, smallest, F.lit("0.01")).alias("edit"), F.max("weight").alias("most")).where("most >= 0.01").drop("most")
+    return m, e
+
+
+@query("model_edits", f"WITH {EDITS} SELECT pf_name, trade_date, version, ticker, {r8('weight', 'weight')} FROM nw WHERE weight > 0")
+def _(spark, sf):
+    return D.apply_edits(*monthly_models(spark, sf), MODEL_BY)
+
+
+@query("model_problems", f"""WITH {WEIGHTS}, bent AS (SELECT pf_name, trade_date, ticker, CASE WHEN month(trade_date) = 3 AND weight < 0.17 THEN -weight WHEN month(trade_date) = 4 THEN 2 * weight ELSE weight END AS weight FROM pw)
+SELECT pf_name, trade_date, CASE WHEN min(weight) < 0 THEN 'negative or non-finite weights: ' || string_agg(ticker, ', ' ORDER BY ticker) FILTER (WHERE weight < 0) ELSE 'weights sum to' END AS reason FROM bent GROUP BY 1, 2 HAVING min(weight) < 0 OR abs(sum(weight) - 1) > 1e-9""")
+def _(spark, sf):
+    m, month = monthly_models(spark, sf)[0], F.month("trade_date")
+    bent = m.withColumn("weight", F.when((month == 3) & (F.col("weight") < 0.17), -F.col("weight")).when(month == 4, 2 * F.col("weight")).otherwise(F.col("weight")))
+    return D.problems(bent, by=MODEL_BY).withColumn("reason", F.regexp_replace("reason", "^weights sum to .*", "weights sum to"))
+
+
+@query("model_change_summary", f"""WITH {COV}, {EDITS}, bn AS (SELECT trade_date, ticker, weight FROM pw WHERE pf_name = 'BUILDING'),
+ks AS (SELECT pf_name, trade_date, ticker FROM ol UNION SELECT pf_name, trade_date, ticker FROM nw UNION SELECT pf_name, trade_date, bn.ticker FROM ed JOIN bn USING (trade_date)),
+dd AS (SELECT pf_name, trade_date, ticker, coalesce(n.weight, 0) - coalesce(o.weight, 0) AS c, coalesce(o.weight, 0) - coalesce(b.weight, 0) AS ob, coalesce(n.weight, 0) - coalesce(b.weight, 0) AS nb FROM ks LEFT JOIN ol o USING (pf_name, trade_date, ticker) LEFT JOIN nw n USING (pf_name, trade_date, ticker) LEFT JOIN bn b USING (trade_date, ticker)),
+te AS (SELECT x.pf_name, x.trade_date, {', '.join(f'1e4 * sqrt(greatest(sum(x.{c} * cov * y.{c}), 0)) AS {c}' for c in ('c', 'ob', 'nb'))} FROM dd x JOIN dd y USING (pf_name, trade_date) JOIN cv ON cv.ticker_i = x.ticker AND cv.ticker_j = y.ticker GROUP BY 1, 2)
+SELECT pf_name, trade_date, {r8('sum(abs(dd.c)) / 2', 'turnover')}, count(*) FILTER (WHERE abs(dd.c) > 0.0005) AS n_changed, {r8('any_value(te.c)', 'te_old_new')}, {', '.join(f"round(CASE WHEN trade_date IN (SELECT trade_date FROM bn) THEN any_value(te.{c}) END, 8) AS te_{n}_bench" for c, n in (('ob', 'old'), ('nb', 'new')))} FROM dd JOIN te USING (pf_name, trade_date) GROUP BY 1, 2""")
+def _(spark, sf):
+    """Tracking errors in basis points, against the month's BUILDING book."""
+    m, e = monthly_models(spark, sf)
+    bench = m.where("pf_name = 'BUILDING'").select("trade_date", "ticker", "weight").join(e.select(*MODEL_BY), "trade_date")
+    s = D.change_summary(m.join(e, list(MODEL_BY), "left_semi"), D.apply_edits(m, e, MODEL_BY), covariance(spark, sf), bench, MODEL_BY)
+    return s.withColumns({c: F.col(c) * 1e4 for c in s.columns if c.startswith("te_")})
+
+
+@query("model_change_by_sleeve", f"""WITH {EDITS}, s AS (SELECT * FROM {values(SLEEVES, 'ticker, sleeve')}), al AS (SELECT pf_name, trade_date, ticker, -weight AS w FROM ol UNION ALL SELECT pf_name, trade_date, ticker, weight FROM nw)
+SELECT pf_name, trade_date, sleeve, {r8('sum(w)', 'diff')}, {r8('sum(w) * 1000', 'flow')} FROM al JOIN s USING (ticker) GROUP BY 1, 2, 3""")
+def _(spark, sf):
+    m, e = monthly_models(spark, sf)
+    return D.change_by_sleeve(m.join(e, list(MODEL_BY), "left_semi"), D.apply_edits(m, e, MODEL_BY), literal(spark, SLEEVES, "ticker string, sleeve string"), 1000.0, MODEL_BY)
+
+
 @query("min_variance")
 def _(spark, sf):
     return C.optimise(covariance(spark, sf, 252.0).withColumn("book", F.lit("all")), bound=0.4)
@@ -748,6 +797,17 @@ def _(spark, sf):
     return M.run_summary(*book(spark, sf), most_excluded=1.0)
 
 
+SIZED = "CASE WHEN total_value <= 0 OR total_value IS NULL THEN NULL WHEN total_value <= 25000 THEN '<=25k' WHEN total_value <= 100000 THEN '25k-100k' WHEN total_value <= 500000 THEN '100k-500k' ELSE '>500k' END"
+
+
+@query("run_report", f"""WITH RECURSIVE {TOPPED}, ev AS (SELECT val.model_id, coalesce(status, 'EXC_INPUT') AS status, {SIZED} AS size, total_value AS v, turnover AS tu_, n_orders AS k, coalesce(cash_short, false) AS cs_, status IN ('TRADED', 'EXC_TOO_SMALL') AND drift_after > 0.05 AS out_ FROM val LEFT JOIN done USING (account_id))
+SELECT status, model_id, size, grouping(status, model_id, size) AS level, count(*) AS accounts, {', '.join(f"count(*) FILTER (WHERE {c}) AS {n}" for n, c in (('traded', "status = 'TRADED'"), ('in_band', "status = 'SKIPPED_IN_BAND'"), ('too_small', "status = 'EXC_TOO_SMALL'"), ('failed', "status = 'EXC_INPUT'"), ('cash_short', 'cs_'), ('still_out', 'out_')))},
+CAST(coalesce(sum(k) FILTER (WHERE status = 'TRADED'), 0) AS BIGINT) AS orders, round(coalesce(sum(2 * tu_ * v) FILTER (WHERE status = 'TRADED'), 0), 4) AS gross_notional, round(coalesce(sum(v), 0), 4) AS book_value, {r8("coalesce(sum(tu_ * v) FILTER (WHERE status = 'TRADED') / nullif(sum(v), 0), 0)", 'book_turnover')}
+FROM ev GROUP BY GROUPING SETS ((), (status), (model_id), (size), (status, model_id), (model_id, size))""")
+def _(spark, sf):
+    return M.run_report(M.run(*book(spark, sf), most_excluded=1.0)).withColumns({c: F.round(c, 4) for c in ("gross_notional", "book_value")})
+
+
 @query("run_aborted", f"WITH {BOOK} SELECT 'ABORTED' AS status, 'ABORTED_TOO_MANY_EXCLUDED: ' || count(reason) || '/' || count(*) AS abort_reason, count(*) AS target, CAST(0 AS BIGINT) AS processed, CAST(0 AS BIGINT) AS exceptions, CAST(0 AS BIGINT) AS skipped FROM val")
 def _(spark, sf):
     """At the limit of 5 % the accounts of a model that is not listed abort the run."""
