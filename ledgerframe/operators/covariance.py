@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.checks import require_known
+from .returns import unpadded_returns
 
 
 def sample_covariance(returns: DataFrame, scale: float = 1.0) -> DataFrame:
@@ -18,6 +19,54 @@ def sample_covariance(returns: DataFrame, scale: float = 1.0) -> DataFrame:
     return half.union(half.where("ticker_i < ticker_j").select("ticker_j", "ticker_i", "cov"))
 
 
+def covariances(returns: DataFrame, by: Sequence[str], scale: float = 1.0) -> DataFrame:
+    """by, ticker_i, ticker_j, cov: both triangles of the sample covariance of every group of (by, date, ticker, r), each over its own dates.
+
+    A missing return is an error (dates are to be aligned first); groups with fewer than two dates have no covariance and no rows.
+    """
+    by = list(by)
+    gap = F.raise_error(F.concat_ws(" ", F.lit("no return for"), *[F.col(c).cast("string") for c in [*by, "ticker", "date"]]))
+    # the guarded value is what is multiplied: nothing joined later can take its row away before
+    rows = returns.withColumn("r", F.when(F.col("r").isNotNull() & ~F.isnan("r"), F.col("r")).otherwise(gap.cast("double")))
+    i = rows.select(*by, "date", F.col("ticker").alias("ticker_i"), F.col("r").alias("ri"))
+    j = rows.select(*by, "date", F.col("ticker").alias("ticker_j"), F.col("r").alias("rj"))
+    half = i.join(j, [*by, "date"]).where("ticker_i <= ticker_j").groupBy(*by, "ticker_i", "ticker_j").agg((F.covar_samp("ri", "rj") * scale).alias("cov")).where("cov is not null")
+    swap = F.when(F.col("ticker_i") < F.col("ticker_j"), F.array(F.struct("ticker_i", "ticker_j"), F.struct(F.col("ticker_j").alias("ticker_i"), F.col("ticker_i").alias("ticker_j")))).otherwise(F.array(F.struct("ticker_i", "ticker_j")))
+    return half.select(*by, F.explode(swap).alias("x"), "cov").select(*by, "x.ticker_i", "x.ticker_j", "cov")
+
+
+def clip_eigenvalues(cov: DataFrame, by: Sequence[str], floor: float = 1e-10) -> DataFrame:
+    """by, ticker_i, ticker_j, cov, n_clipped: the covariances of every group made symmetric, eigenvalues below `floor` raised to it.
+
+    A matrix is one group (tickers squared rows), so groups go over the tasks; without `by` there would be one group for
+    all rows, which is refused. A missing or not finite entry, or a repeated one, is an error.
+    """
+    import pandas as pd
+
+    by = list(by)
+    if not by:
+        raise ValueError("clip_eigenvalues needs the columns that tell matrices apart")
+    kinds = {f.name: f.dataType.simpleString() for f in cov.schema.fields}
+
+    def clip(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        matrix = pdf.pivot(index="ticker_i", columns="ticker_j", values="cov").sort_index().sort_index(axis=1)
+        c = matrix.to_numpy(dtype=float)
+        if list(matrix.index) != list(matrix.columns) or not np.isfinite(c).all():
+            raise ValueError(f"covariances of {key} are not a whole matrix")
+        n = int((np.linalg.eigvalsh((c + c.T) / 2) < floor).sum())
+        c = ensure_psd(c, floor) if n else (c + c.T) / 2
+        names = matrix.index.to_numpy()
+        return pd.DataFrame({**dict(zip(by, key)), "ticker_i": np.repeat(names, len(names)), "ticker_j": np.tile(names, len(names)), "cov": ((c + c.T) / 2).ravel(), "n_clipped": n})
+
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "ticker_i string", "ticker_j string", "cov double", "n_clipped long"])
+    return cov.select(*by, "ticker_i", "ticker_j", "cov").groupBy(*by).applyInPandas(clip, schema)
+
+
+def annualized_covariances(prices: DataFrame, by: Sequence[str], periods: int = 252, floor: float = 1e-10) -> DataFrame:
+    """Positive semidefinite covariances of unpadded daily returns times `periods`, for every group of (by, ticker, date, price)."""
+    return clip_eigenvalues(covariances(unpadded_returns(prices, by), by, periods), by, floor)
+
+
 def factor_model_covariance(betas: DataFrame, factor_cov: DataFrame, resid: DataFrame) -> DataFrame:
     """B F B' + diag(D): betas (ticker, factor, beta), factor_cov (factor_i, factor_j, cov), resid (ticker, resid_var)."""
     left = betas.select(F.col("ticker").alias("ticker_i"), F.col("factor").alias("factor_i"), F.col("beta").alias("bi"))

@@ -29,6 +29,24 @@ def simple_returns(prices: DataFrame, by: Sequence[str] = (), dropna: str = "any
     return _drop(grid.select(*by, "ticker", "date", (F.col("price") / F.lag("price").over(order) - 1).alias("r")), by, dropna)
 
 
+def unpadded_returns(prices: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Change to the date before on the grid of each key's tickers and dates, null where either price is missing; the first date has no row."""
+    keys = list(by)
+    tickers, dates = prices.select(*keys, "ticker").distinct(), prices.select(*keys, "date").distinct()
+    grid = (tickers.join(dates, keys) if keys else tickers.crossJoin(dates)).join(prices.select(*keys, "ticker", "date", "price"), [*keys, "ticker", "date"], "left")
+    order = Window.partitionBy(*keys, "ticker").orderBy("date")
+    rows = grid.withColumn("r", F.col("price") / F.lag("price").over(order) - 1).withColumn("_nr", F.row_number().over(order))
+    return rows.where("_nr > 1").select(*keys, "ticker", "date", "r")
+
+
+def on_whole_dates(prices: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The prices of dates on which all tickers of their group (by) have one."""
+    keys = list(by)
+    counted = prices.withColumn("_k", F.count("price").over(Window.partitionBy(*keys, "date")))
+    n = prices.groupBy(*keys).agg(F.countDistinct("ticker").alias("_n"))
+    return (counted.join(n, keys) if keys else counted.crossJoin(F.broadcast(n))).where("_k = _n").drop("_k", "_n")  # without keys n is one row
+
+
 def log_returns(prices: DataFrame, by: Sequence[str] = (), dropna: str = "any") -> DataFrame:
     """Differences of logarithms on the unpadded grid: a gap leaves two nulls."""
     keys = list(by)

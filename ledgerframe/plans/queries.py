@@ -637,6 +637,30 @@ def _(spark, sf):
     return C.round_to_grid(T.portfolio_weights(spark, sf).select("pf_name", "trade_date", "ticker", "weight"), 0.005, ("pf_name", "trade_date"))
 
 
+BOOK_YEAR, FLOOR = ("book", "year"), 0.004
+mul = lambda a, b: f"SELECT a.book, a.year, a.i, b.j, sum(a.v * b.v) AS v FROM {a} a JOIN {b} b ON a.book = b.book AND a.year = b.year AND a.j = b.i GROUP BY ALL"
+# eigenvalues below the floor are those where the sign of (matrix - floor) is -1; that sign by Newton's iteration x (3 - x^2) / 2
+CLIPPED = PANEL + f""",
+books AS (SELECT * FROM {values(BOOKS, 'book, ticker, weight')}),
+own AS (SELECT book, year(date) AS year, date, ticker, price FROM panel JOIN books USING (ticker)),
+wd AS (SELECT book, year, date, ticker, price FROM (SELECT *, count(*) OVER (PARTITION BY book, date) AS k FROM own) JOIN (SELECT book, year, count(DISTINCT ticker) AS n FROM own GROUP BY 1, 2) USING (book, year) WHERE k = n),
+rr AS (SELECT * FROM (SELECT *, price / lag(price) OVER (PARTITION BY book, year, ticker ORDER BY date) - 1 AS r FROM wd) WHERE r IS NOT NULL),
+cy AS (SELECT a.book, a.year, a.ticker AS i, b.ticker AS j, covar_samp(a.r, b.r) * 252 AS c FROM rr a JOIN rr b ON a.book = b.book AND a.year = b.year AND a.date = b.date GROUP BY ALL HAVING count(*) > 1),
+yy AS (SELECT book, year, i, j, c - CASE WHEN i = j THEN {FLOOR} ELSE 0 END AS v FROM cy),
+sg AS (SELECT book, year, i, j, 0 AS k, v / sqrt(sum(v * v) OVER (PARTITION BY book, year)) AS v FROM yy UNION ALL
+  SELECT s.book, s.year, s.i, s.j, s.k + 1, 1.5 * s.v - 0.5 * q.v FROM sg s JOIN (SELECT x.book, x.year, x.i, z.j, sum(x.v * y.v * z.v) AS v FROM sg x JOIN sg y ON x.book = y.book AND x.year = y.year AND x.j = y.i JOIN sg z ON y.book = z.book AND y.year = z.year AND y.j = z.i GROUP BY ALL) q ON s.book = q.book AND s.year = q.year AND s.i = q.i AND s.j = q.j WHERE s.k < 60),
+fs AS (SELECT * FROM sg WHERE k = 60), ab AS ({mul('yy', 'fs')}),
+cl AS (SELECT book, year, i, j, (y.v + ab.v) / 2 + CASE WHEN i = j THEN {FLOOR} ELSE 0 END AS cov FROM yy y JOIN ab USING (book, year, i, j)),
+nc AS (SELECT book, year, CAST(round((count(*) - sum(v)) / 2) AS BIGINT) AS n_clipped FROM fs WHERE i = j GROUP BY 1, 2)"""
+
+
+@query("covariance_clipped", f"WITH RECURSIVE {CLIPPED} SELECT book, year, i AS ticker_i, j AS ticker_j, {r8('cov', 'cov')}, n_clipped FROM cl JOIN nc USING (book, year)")
+def _(spark, sf):
+    """Each book's covariance of each year, over the dates on which all its tickers have a price."""
+    own = T.price_panel(spark, sf).join(books(spark).select("book", "ticker"), "ticker").withColumn("year", F.year("date").cast("long"))
+    return C.annualized_covariances(R.on_whole_dates(own, BOOK_YEAR), BOOK_YEAR, 252, FLOOR)
+
+
 # models by book and month; each is edited by moving a point of weight from its largest ticker to its smallest
 MODEL_BY = ("pf_name", "trade_date")
 EDITS = WEIGHTS + """,
