@@ -637,7 +637,7 @@ def _(spark, sf):
     return C.round_to_grid(T.portfolio_weights(spark, sf).select("pf_name", "trade_date", "ticker", "weight"), 0.005, ("pf_name", "trade_date"))
 
 
-BOOK_YEAR, FLOOR = ("book", "year"), 0.009
+BOOK_YEAR, FLOOR = ("book", "year"), 0.0115
 mul = lambda a, b: f"SELECT a.book, a.year, a.i, b.j, sum(a.v * b.v) AS v FROM {a} a JOIN {b} b ON a.book = b.book AND a.year = b.year AND a.j = b.i GROUP BY ALL"
 # eigenvalues below the floor are those where the sign of (matrix - floor) is -1; that sign by Newton's iteration x (3 - x^2) / 2
 CLIPPED = PANEL + f""",
