@@ -524,6 +524,17 @@ def test_context_tree_by_brute_force(spark):
     assert checked > 30
 
 
+@pytest.mark.parametrize("contexts", [0, 7, 60])
+def test_context_tree_keeps_every_context(spark, contexts):
+    """How many contexts are broadcast does not change a score: the bytes after the others are joined."""
+    docs = table(spark, made_texts(80))
+    whole = {r["doc_id"]: r for r in ctw.score(docs).collect()}
+    for r in ctw.score(docs, head=40, contexts=contexts).collect():
+        want = whole[r["doc_id"]]
+        assert r["score"] == pytest.approx(want["score"], rel=1e-6) and r["bits_per_byte"] == pytest.approx(want["bits_per_byte"], rel=1e-6)
+        assert (r["n_tokens"], r["n_known"]) == (want["n_tokens"], want["n_known"]) and r["base_score"] == pytest.approx(want["base_score"], rel=1e-9)
+
+
 def test_most_frequent_takes_part_of_a_step(spark):
     from ledgerframe.llm.workspace import most_frequent
 
