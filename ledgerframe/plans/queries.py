@@ -756,7 +756,7 @@ def valid_book(spark, sf):
 
 
 def valued(spark, sf):
-    return M.drift_band(M.positions(*valid_book(spark, sf)))
+    return M.drift_band(M.valid_positions(*book(spark, sf)))
 
 
 @query("validate_accounts", f"WITH {BOOK} SELECT account_id, model_id, {r8('cash', 'cash')}, reason FROM val")
@@ -798,7 +798,7 @@ done AS (SELECT ok.account_id, ok.model_id, total_value, drift AS drift_before,
 
 @query("rebalance_orders", f"WITH RECURSIVE {TOPPED} SELECT account_id, ticker, {r8('trade', 'shares')}, CASE WHEN trade > 0 THEN 'BUY' ELSE 'SELL' END AS side, {r8('price', 'price')}, {r8('trade * price', 'notional')} FROM fin WHERE trade <> 0")
 def _(spark, sf):
-    return M.orders_of(M.rebalance(*valid_book(spark, sf)))
+    return M.orders_of(M.rebalanced(M.valid_positions(*book(spark, sf))))
 
 
 @query("rebalance_accounts", f"""WITH RECURSIVE {TOPPED} SELECT val.account_id, val.model_id, coalesce(status, 'EXC_INPUT') AS status, reason, CASE WHEN status IS NULL THEN NULL WHEN status = 'SKIPPED_IN_BAND' THEN '' ELSE concat_ws(';', CASE WHEN cash_short THEN 'CASH_SHORT' END, CASE WHEN drift_after > 0.05 THEN 'STILL_OUT_OF_BAND' END) END AS flags,
@@ -842,7 +842,7 @@ def _(spark, sf):
 rw AS (SELECT account_id, ticker, price, held AS b, trade AS t, held + trade AS a, target FROM every UNION ALL SELECT account_id, 'CASH', 1.0, ok.cash, post_cash - ok.cash, post_cash, 0.02 FROM done JOIN ok USING (account_id))
 SELECT account_id, ticker, {r8('price', 'price')}, {r8('b', 'shares_before')}, {r8('t', '"order"')}, {r8('a', 'shares_after')}, {r8('target', 'target')}, {r8('b * price / total_value', 'weight_before')}, {r8('a * price / total_value', 'weight_after')}, {r8('b * price / total_value - target', 'drift_before')}, {r8('a * price / total_value - target', 'drift_after')} FROM rw JOIN tot USING (account_id)""")
 def _(spark, sf):
-    return M.account_detail(M.rebalance(*valid_book(spark, sf)))
+    return M.account_detail(M.rebalanced(M.valid_positions(*book(spark, sf))))
 
 
 @query("rerun_noop", f"""WITH RECURSIVE {TOPPED}, again AS (SELECT f.account_id, max(abs((held + trade) * price / (ok.cash - spent + after) - target)) AS drift FROM (SELECT account_id, ticker, held, price, target, trade FROM fin UNION ALL SELECT account_id, ticker, held, price, target, 0.0 FROM pp ANTI JOIN sp USING (account_id)) f
@@ -850,7 +850,7 @@ JOIN ok USING (account_id) LEFT JOIN (SELECT account_id, spent, after FROM sp UN
 SELECT count(*) AS accounts, count(*) FILTER (WHERE drift <= 0.05) AS skipped FROM again""")
 def _(spark, sf):
     """A second run on what the first one left: how many accounts are within their band now."""
-    again = M.drift_band(M.positions_after(M.rebalance(*valid_book(spark, sf))))
+    again = M.drift_band(M.positions_after(M.rebalanced(M.valid_positions(*book(spark, sf)))))
     return again.agg(F.count("*").alias("accounts"), F.sum(F.col("in_band").cast("long")).alias("skipped"))
 
 
@@ -859,7 +859,7 @@ BANDS = (0.01, 0.02, 0.03, 0.05)
 
 @query("band_table", " UNION ALL ".join(f"(WITH RECURSIVE {TOPPED.replace('drift > 0.05', f'drift > {b}')} SELECT CAST({b} AS DOUBLE) AS band, count(*) AS accounts, count(*) FILTER (WHERE status IN ('TRADED', 'EXC_TOO_SMALL')) AS triggered, count(*) FILTER (WHERE status = 'TRADED') AS traded, count(*) FILTER (WHERE status = 'EXC_TOO_SMALL') AS too_small, CAST(coalesce(sum(n_orders) FILTER (WHERE status = 'TRADED'), 0) AS BIGINT) AS orders, {r8("coalesce(sum(turnover * total_value) FILTER (WHERE status = 'TRADED'), 0) / sum(total_value)", 'book_turnover')}, {r8("coalesce(quantile_cont(drift_after, 0.5) FILTER (WHERE status = 'TRADED'), 0)", 'median_drift')} FROM done)" for b in BANDS))
 def _(spark, sf):
-    return M.band_table(*valid_book(spark, sf), BANDS)
+    return M.by_band(M.valid_positions(*book(spark, sf)), BANDS)
 
 
 # --- attribution --------------------------------------------------------------------------------------------------
