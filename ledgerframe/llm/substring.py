@@ -6,8 +6,9 @@ neighbouring windows mostly share theirs: a run is a row of windows with one
 anchor, that is the anchor extended both ways.
 
 1. Runs of equal content repeat as a whole: all but the first (smallest doc_id,
-   then start) are removed. Each task already keeps only its own first of a run,
-   so a passage shared by any number of documents reaches the shuffle once a task.
+   then start) are removed. Each task already keeps only the first of a run among
+   the last FLUSH runs, so a passage shared by any number of documents reaches the
+   shuffle a few times a task, and a task's memory does not grow with its share.
 2. Anchors that stand in runs of different content are where repeats end. Only
    for the first occurrence of such runs single windows are compared.
 3. Repeated runs and windows that touch or overlap add up to maximal repeats.
@@ -37,6 +38,8 @@ WINDOW = 20
 SEED = 8
 #: Windows of one run at most.
 MOST = 63
+#: Runs of a task that are sorted together.
+FLUSH = 1 << 18
 NO_ID = -(1 << 63)
 
 
@@ -87,21 +90,12 @@ def runs(buf: np.ndarray, offsets: np.ndarray):
     return own, position, least[begin].view(np.int64), content(prefix_sums(word), start, length + WINDOW - 1)
 
 
-def found_runs(docs: DataFrame) -> DataFrame:
-    """anchor, run (content), doc, position, repeated: whether this task holds an earlier run of the same content."""
+def found_runs(docs: DataFrame, flush: int = FLUSH) -> DataFrame:
+    """anchor, run (content), doc, position, repeated: whether an earlier run of the same content is among those sorted together."""
     names = ["anchor", "run", "doc", "position", "repeated"]
 
-    def find(batches):
-        columns: list[list[np.ndarray]] = [[], [], [], []]
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for lo, hi, buf, offs in T.documents(batch.column(1)):
-                own, position, anchor, run = runs(buf, offs)
-                for column, values in zip(columns, (anchor, run, ids[lo:hi][own], position)):
-                    column.append(values)
-        if not columns[0]:
-            return
-        anchor, run, doc, position = (np.concatenate(c) for c in columns)
+    def sorted_runs(waiting: list[tuple[np.ndarray, ...]]):
+        anchor, run, doc, position = (np.concatenate(c) for c in zip(*waiting))
         order = np.lexsort((position, doc, run))
         anchor, run, doc, position = anchor[order], run[order], doc[order], position[order]
         repeated = np.zeros(len(run), dtype=bool)
@@ -110,10 +104,23 @@ def found_runs(docs: DataFrame) -> DataFrame:
         same = np.zeros(len(run), dtype=bool)
         same[1:] = repeated[1:] & (doc[1:] == doc[:-1]) & (position[1:] == position[:-1])
         anchor, run, doc, position, repeated = (x[~same] for x in (anchor, run, doc, position, repeated))
-        for lo in range(0, len(run), 1 << 17):
-            cut = slice(lo, lo + (1 << 17))
+        for lo in range(0, len(run), 1 << 16):
+            cut = slice(lo, lo + (1 << 16))
             yield pa.RecordBatch.from_arrays([pa.array(x[cut]) for x in (anchor, run, doc, position, repeated)], names=names)
 
+    def find(batches):
+        waiting: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for lo, hi, buf, offs in T.documents(batch.column(1)):
+                own, position, anchor, run = runs(buf, offs)
+                waiting.append((anchor, run, ids[lo:hi][own], position))
+                if sum(len(w[0]) for w in waiting) >= flush:
+                    yield from sorted_runs(waiting)
+                    waiting = []
+        if waiting:
+            yield from sorted_runs(waiting)
+
     return docs.select("doc", "text").mapInArrow(find, "anchor long, run long, doc long, position long, repeated boolean")
 
 
@@ -168,7 +175,7 @@ def _with_text(docs: DataFrame, entries: DataFrame, how: str) -> DataFrame:
 def repeats(docs: DataFrame) -> DataFrame:
     """doc, position, run of everything that starts earlier elsewhere; docs has doc and text."""
     found = found_runs(docs)
-    seen = F.array_sort(F.collect_list(F.struct("doc", "position"))).alias("seen")  # one entry for each task at most
+    seen = F.array_sort(F.collect_list(F.struct("doc", "position"))).alias("seen")  # one entry for each flush at most
     by_run = found.where("not repeated").select("anchor", "run", "doc", "position").repartition("run").groupBy("run").agg(F.min("anchor").alias("anchor"), seen)
     by_run = store(by_run.select("run", "anchor", F.element_at("seen", 1).alias("first"), F.when(F.size("seen") > 1, F.slice("seen", F.lit(2), F.size("seen") - 1)).alias("others")), "runs")
     later = by_run.select("run", "first", F.explode("others").alias("s")).where("s <> first").select("s.doc", "s.position", "run")

@@ -12,7 +12,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text handled at once (a single longer document is still taken whole).
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

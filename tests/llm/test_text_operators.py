@@ -524,6 +524,16 @@ def test_context_tree_by_brute_force(spark):
     assert checked > 30
 
 
+def test_substring_runs_are_sorted_in_bounded_flushes(spark, monkeypatch):
+    """However small a flush is, the same words go; a task hands on its first runs before it has read all of its share."""
+    docs = table(spark, made_texts(120)).coalesce(1)
+    whole = {tuple(r) for r in substring.digests(docs).collect()}
+    found = substring.found_runs
+    monkeypatch.setattr(substring, "found_runs", lambda d: found(d, flush=1))
+    monkeypatch.setattr(substring.T.documents, "__defaults__", (2000,))
+    assert {tuple(r) for r in substring.digests(docs).collect()} == whole and len(whole) > 100
+
+
 @pytest.mark.parametrize("contexts", [0, 7, 60])
 def test_context_tree_keeps_every_context(spark, contexts):
     """How many contexts are broadcast does not change a score: the bytes after the others are joined."""
