@@ -530,8 +530,14 @@ def test_substring_runs_are_sorted_in_bounded_flushes(spark, monkeypatch):
     whole = {tuple(r) for r in substring.digests(docs).collect()}
     found = substring.found_runs
     monkeypatch.setattr(substring, "found_runs", lambda d: found(d, flush=1))
-    monkeypatch.setattr(substring.T.documents, "__defaults__", (2000,))
-    assert {tuple(r) for r in substring.digests(docs).collect()} == whole and len(whole) > 100
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")  # a flush for every ten documents
+    try:
+        assert {tuple(r) for r in substring.digests(docs).collect()} == whole and len(whole) > 100
+        columns = ["doc_id as doc", "coalesce(text, '') as text"]
+        firsts = [found(docs.selectExpr(*columns), flush=f).where("not repeated").count() for f in (1, 1 << 18)]
+        assert firsts[0] > firsts[1]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 @pytest.mark.parametrize("contexts", [0, 7, 60])
