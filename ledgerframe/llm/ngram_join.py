@@ -10,16 +10,20 @@ documents that stand in T = ceil(0.75 n) of its n inverted lists, or more.
    at least k of these, in its own order as well.
 3. The merge is a sort of (list, document) entries over all machines; a list of one
    document ends there. Long lists are dealt over parts by their length.
-4. Documents that reach the merge threshold k together are probed in the lists set
+4. Documents with fewer than k lists left are out. Pairs are probed in the lists set
    aside: every shingle of the smaller set is looked up by binary search in the
    other one. The link is decided on the exact overlap.
-5. Lists of one document also bound the overlap a document can reach with any other.
-   Documents that cannot reach T are out, and others are only paired with sizes for
-   which they can reach the overlap needed.
-   The larger that overlap is, the fewer lists (the rarest ones first) need be looked at.
+5. Documents are only paired with sizes they can link with. The larger the overlap
+   needed is, the fewer lists (the rarest ones first) need be looked at.
 6. Only components are asked for, so a document is first probed against the leader
-   of most of its lists (one pair a document, twice); the merge by pairs is for
-   lists whose documents are in different components then, and only across these.
+   of most of its lists (one pair a document, twice). The leader is the document with
+   the most shingles in long lists: of a group of near copies that is the one the
+   others were made from, or the one with the fewest changes.
+7. The merge by pairs is for lists whose documents are in different components then,
+   and only across these. A pair meets in the first list that both stand in, which
+   is among the first n - O + 1 of a document when the overlap needed is O: what is
+   peculiar to a document that is unlike the others comes before their common lists.
+   Documents of the list's own component (that of most of them) meet the others only.
 
 Defined results: null and empty texts, and texts without words, have no shingles
 and link with nothing. Texts of fewer than five words are one shingle. Equal
@@ -162,10 +166,12 @@ def merge_threshold(n, merged: int):
 
 
 def merged_lists(docs: DataFrame, long_lists) -> DataFrame:
-    """shingle, digest, n, pos (place in the document's order), lead, lead_n for the lists that are merged: the first n - T + k of every document.
+    """shingle, digest, n, pos (place in the document's order), central, lead, lead_n for the lists that are merged: the first n - T + k of every document.
 
+    central is the number of a document's shingles in long lists; the leader of a list is the most central document.
     A list over PART documents is dealt over parts (salt), each with its own leader; salt is -1 for other lists.
     """
+    kept = ["shingle", "salt", "digest", "n", "pos", "central"]
 
     def first(batches):
         long_key, long_n = long_lists.value
@@ -187,30 +193,31 @@ def merged_lists(docs: DataFrame, long_lists) -> DataFrame:
                 order = np.concatenate([short, long])
                 order = order[np.argsort(doc[order], kind="stable")]
                 pos = np.arange(len(h)) - np.repeat(bounds[:-1], n) + 1
+                central = np.bincount(doc[long], minlength=len(n))
                 keep = pos <= (n - (PERCENT * n + 99) // 100 + merge_threshold(n, MERGED))[doc]
                 h, weight, doc, pos = h[order][keep], weight[order][keep], doc[keep], pos[keep]
                 parts = 1 << np.ceil(np.log2(np.maximum(1, weight / PART))).astype(np.int64)
                 salt = np.where(parts > 1, own[doc] & (parts - 1), -1)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(salt, pa.int32()), pa.array(own[doc]), pa.array(n[doc], pa.int32()), pa.array(pos, pa.int32())], names=["shingle", "salt", "digest", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(salt, pa.int32()), pa.array(own[doc]), pa.array(n[doc], pa.int32()), pa.array(pos, pa.int32()), pa.array(central[doc], pa.int32())], names=kept)
 
     def runs(batches):
-        names = ["shingle", "salt", "digest", "n", "pos"]
-        held = [np.zeros(0, np.int64)] * 5
+        held = [np.zeros(0, np.int64)] * len(kept)
 
-        def lists(shingle, salt, digest, n, pos):
+        def lists(shingle, salt, digest, n, pos, central):
             if not len(shingle):
                 return
             new = np.append(True, (shingle[1:] != shingle[:-1]) | (salt[1:] != salt[:-1]))
             once = new | np.append(True, digest[1:] != digest[:-1])
-            shingle, salt, digest, n, pos, new = (x[once] for x in (shingle, salt, digest, n, pos, new))
+            shingle, salt, digest, n, pos, central, new = (x[once] for x in (shingle, salt, digest, n, pos, central, new))
             begin = np.flatnonzero(new)
             size = np.diff(np.append(begin, len(new)))
-            last = np.repeat(begin + size - 1, size)
-            keep = (np.repeat(size, size) > 1) | (salt >= 0)
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (shingle, digest, n, pos, digest[last], n[last])], names=["shingle", "digest", "n", "pos", "lead", "lead_n"])
+            of = np.repeat(np.arange(len(size)), size)
+            lead = np.lexsort((digest, central, of))[begin + size - 1][of]
+            keep = (size > 1)[of] | (salt >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (shingle, digest, n, pos, central, digest[lead], n[lead])], names=["shingle", "digest", "n", "pos", "central", "lead", "lead_n"])
 
         for batch in batches:
-            now = [np.concatenate([x, batch.column(c).to_numpy().astype(np.int64)]) for x, c in zip(held, names)]
+            now = [np.concatenate([x, batch.column(c).to_numpy().astype(np.int64)]) for x, c in zip(held, kept)]
             # the last list may go on in the next batch
             same = (now[0] == now[0][-1]) & (now[1] == now[1][-1]) if len(now[0]) else np.zeros(0, bool)
             cut = int(same.argmax()) if len(same) else 0
@@ -218,9 +225,9 @@ def merged_lists(docs: DataFrame, long_lists) -> DataFrame:
             held = [x[cut:] for x in now]
         yield from lists(*held)
 
-    entries = docs.select("text").mapInArrow(first, "shingle long, salt int, digest long, n int, pos int")
+    entries = docs.select("text").mapInArrow(first, "shingle long, salt int, digest long, n int, pos int, central int")
     dealt = entries.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "digest")
-    return dealt.mapInArrow(runs, "shingle long, digest long, n long, pos long, lead long, lead_n long")
+    return dealt.mapInArrow(runs, "shingle long, digest long, n long, pos long, central long, lead long, lead_n long")
 
 
 def needed(n, m) -> Column:
@@ -238,10 +245,14 @@ def shared_at_least(n, m) -> Column:
 
 
 def reachable(lists: DataFrame) -> DataFrame:
-    """The lists with reach, the overlap that a document can have at most; documents that cannot reach their T are out."""
+    """The lists of documents that stand in k of them at least, as every linked pair does together; others are out.
+
+    reach is the overlap if nobody had the merged shingles whose list is of one document. It is an estimate, not a bound, as
+    a partner may have such a shingle among those that it set aside: leaders are chosen by it, no pair is left out for it.
+    """
     merged = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + merge_threshold(F.col("n"), MERGED)
-    alone = merged - F.count("*").over(Window.partitionBy("digest"))
-    return lists.withColumn("reach", F.col("n") - alone).where(F.col("reach") * 100 >= F.col("n") * PERCENT)
+    held = F.count("*").over(Window.partitionBy("digest"))
+    return lists.withColumn("held", held).where(F.col("held") >= merge_threshold(F.col("n"), MERGED)).withColumn("reach", F.col("n") - merged + F.col("held")).drop("held")
 
 
 def probed(docs: DataFrame, named: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -286,11 +297,15 @@ def with_best_leader(entries: DataFrame) -> DataFrame:
 
 
 def unsettled(lists: DataFrame, links: DataFrame) -> DataFrame:
-    """shingle, digest, n, pos, reach, component of the lists whose documents are in several components; size is that of the list."""
+    """shingle, digest, n, pos, central, reach, component of the lists whose documents are in several components.
+
+    main is the component of most of a list's documents, others how many are not in it.
+    """
     comp = components(links).withColumnRenamed("node", "digest")
-    placed = lists.select("shingle", "digest", "n", "pos", "reach").join(comp, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    several = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("shingle", "size")
-    return store(placed.join(several, "shingle"), "unsettled")
+    placed = lists.select("shingle", "digest", "n", "pos", "central", "reach").join(comp, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    shares = placed.groupBy("shingle", "component").agg(F.count("*").alias("size"))
+    several = shares.groupBy("shingle").agg(F.max(F.struct("size", "component")).alias("most"), F.sum("size").alias("all")).where("all > most.size")
+    return store(placed.join(several.select("shingle", F.col("most.component").alias("main"), (F.col("all") - F.col("most.size")).alias("others")), "shingle"), "unsettled")
 
 
 #: Classes of size: linked documents are at most STEPS classes apart (and one for rounding).
@@ -302,26 +317,35 @@ def size_class(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / float(np.log(_RATIO)))
 
 
+def led_by_size(rest: DataFrame) -> DataFrame:
+    """Entries with the most central document of their own class of size in the list, where that is in another component."""
+    rest = rest.withColumn("own", size_class(F.col("n")))
+    head = rest.groupBy("shingle", "own").agg(F.max(F.struct("central", "component", "digest", "n")).alias("head"))
+    led = rest.join(head, ["shingle", "own"]).where("component <> head.component")
+    return led.select("digest", "n", "reach", F.col("head.digest").alias("lead"), F.col("head.n").alias("lead_n"))
+
+
 def across(rest: DataFrame) -> DataFrame:
-    """Pairs of documents of different components that share enough of the lists that matter for their sizes.
+    """Pairs of documents of different components that meet early enough in a list to reach the overlap that their sizes need.
 
-    A pair of sizes n and m needs an overlap O, so it has k lists in common among the first n - O + k of the one and
-    the first m - O + k of the other. Documents meet by (list, class of one, class of the other): for sizes like its
-    own a document need only be listed under its rarest lists. A list is dealt over parts of bounded size.
+    A pair of sizes n and m needs an overlap O. The first shingle that both have is followed by O - 1 more in each, so it
+    is among the first n - O + 1 of the one and the first m - O + 1 of the other. Documents meet by (list, class of one,
+    class of the other): for sizes like its own a document need only be listed under its rarest lists. Documents of a
+    list's main component only meet the others; these are dealt over parts of bounded size.
     """
     n, pos, own = F.col("n"), F.col("pos"), size_class(F.col("n"))
     partner = F.explode(F.sequence(own - STEPS - 1, own + STEPS + 1)).alias("partner")
     least = F.greatest(F.floor(F.pow(F.lit(_RATIO), F.col("partner").cast("double"))), F.ceil(n * PERCENT / 100))
     overlap = F.ceil((n + least) * PERCENT / (100 + PERCENT))
-    able = rest.withColumn("own", own).select("*", partner).where(pos <= n - overlap + merge_threshold(n, MERGED)).where(F.col("reach") >= overlap)
-    parts = F.ceil(F.col("size") / PART)
-    x = able.select("shingle", F.col("own").alias("c1"), F.col("partner").alias("c2"), F.pmod(F.xxhash64("digest"), parts).alias("part"), *[F.col(c).alias(f"{c}_a") for c in ("digest", "n", "pos", "reach", "component")])
-    y = able.select("shingle", F.col("partner").alias("c1"), F.col("own").alias("c2"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), *[F.col(c).alias(f"{c}_b") for c in ("digest", "n", "pos", "reach", "component")])
-    k, o = merge_threshold(F.least("n_a", "n_b"), MERGED), needed("n_a", "n_b")
-    met = x.join(y, ["shingle", "c1", "c2", "part"]).where("component_a < component_b").where(F.least("reach_a", "reach_b") >= o)
-    met = met.where(F.col("pos_a") <= F.col("n_a") - o + k).where(F.col("pos_b") <= F.col("n_b") - o + k)
-    counted = met.groupBy(F.col("digest_a").alias("a"), F.col("digest_b").alias("b")).agg(F.count("*").alias("shared"), F.min(k).alias("k"))
-    return counted.where("shared >= k").select("a", "b")
+    able = rest.withColumn("own", own).select("*", partner).where(pos <= n - overlap + 1)
+    parts = F.ceil(F.col("others") / PART)
+    other = F.col("component") != F.col("main")
+    x = able.where(other).select("shingle", F.col("own").alias("c1"), F.col("partner").alias("c2"), F.pmod(F.xxhash64("digest"), parts).alias("part"), *[F.col(c).alias(f"{c}_a") for c in ("digest", "n", "pos", "component")])
+    y = able.select("shingle", F.col("partner").alias("c1"), F.col("own").alias("c2"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), other.alias("other"), *[F.col(c).alias(f"{c}_b") for c in ("digest", "n", "pos", "component")])
+    o = needed("n_a", "n_b")
+    met = x.join(y, ["shingle", "c1", "c2", "part"]).where("(other AND component_a < component_b) OR (NOT other AND component_a <> component_b)")
+    met = met.where(F.col("pos_a") <= F.col("n_a") - o + 1).where(F.col("pos_b") <= F.col("n_b") - o + 1)
+    return met.select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b")).distinct()
 
 
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -335,9 +359,7 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = probed(docs, named, with_best_leader(lists))
     rest = unsettled(lists, links)
     if not rest.isEmpty():
-        head = rest.groupBy("shingle").agg(F.min(F.struct("component", "digest", "n")).alias("head"))
-        led = rest.join(head, "shingle").where("component <> head.component").select("digest", "n", "reach", F.col("head.digest").alias("lead"), F.col("head.n").alias("lead_n"))
-        links = links.union(probed(docs, named, with_best_leader(led)))
+        links = links.union(probed(docs, named, with_best_leader(led_by_size(rest))))
         rest = unsettled(rest, links)
     if not rest.isEmpty():
         links = links.union(probed(docs, named, across(rest)))

@@ -421,6 +421,36 @@ def test_ngram_join_of_a_common_passage(spark, monkeypatch, leaders):
     assert got == want and 1 < len({c for _, c in want.values()}) < len(texts)
 
 
+def test_ngram_join_of_many_near_copies(spark, monkeypatch):
+    """Copies of one text with few and with many changes: the merge across components does not pair those that are too unlike."""
+    rnd = random.Random(7)
+    base = [f"b{i}" for i in range(150)]
+    texts = []
+    for i in range(400):
+        words = list(base)
+        for at in rnd.sample(range(150), rnd.choice([0, 1, 2, 3, 4, 5, 6, 8])):
+            words[at] = f"c{rnd.randrange(40)}"
+        texts.append(" ".join(words))
+    pairs, across = [], ngram_join.across
+    monkeypatch.setattr(ngram_join, "across", lambda rest: pairs.append(across(rest).count()) or across(rest))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.groups(table(spark, texts)).collect()}
+    assert got == jaccard_components(texts)
+    assert sum(pairs) <= 2 * len(texts)
+
+
+def test_ngram_join_of_shingles_set_aside(spark, monkeypatch):
+    """Pairs that share shingles which only one of them merges; no leaders, so that the merge across components finds them."""
+    monkeypatch.setattr(ngram_join, "with_best_leader", lambda entries: entries.select(F.col("digest").alias("a"), F.col("lead").alias("b")).where("false"))
+    rnd = random.Random(3)
+    texts = []
+    for i in range(120):
+        words = [f"w{i}x{k}" for k in range(rnd.randint(30, 44))]
+        texts += [" ".join(words), " ".join([*words, *(f"v{i}x{k}" for k in range(rnd.randint(4, 9)))])]
+    want = jaccard_components(texts)
+    assert len({c for _, c in want.values()}) < 200
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.groups(table(spark, texts)).collect()} == want
+
+
 def test_ngram_join_list_lengths(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "FLUSH", 64)
     texts = made_texts(60)
