@@ -53,8 +53,8 @@ MERGED = 32
 #: Entries of a list that meet in one place.
 PART = 1024
 #: Shingles counted together, and bytes of text cut into shingles together.
-FLUSH = 1 << 20
-CHUNK = 1 << 20
+FLUSH = 1 << 19
+CHUNK = 1 << 18
 NO_ID = -(1 << 63)
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
